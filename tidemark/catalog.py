@@ -1,0 +1,19 @@
+"""Registered queries of the table-health and dashboard operators."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return lines.groupBy("l_returnflag").agg(F.count("*").alias("n"))
+
+
+def queries():
+    return {}
+
+
+def oracle_sql():
+    return {}
