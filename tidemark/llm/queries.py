@@ -1,11 +1,12 @@
 """The queries of this package and, where SQL can say it, their DuckDB SQL."""
 
-from tidemark.llm import token_counts, url_filter
+from tidemark.llm import decontaminate, token_counts, url_filter
 
 
 def queries():
     return {
         "op7_url_filter": url_filter.op7_url_filter,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_token_counts": token_counts.op9_token_counts,
     }
 
