@@ -1,10 +1,12 @@
 """The queries of this package and, where SQL can say it, their DuckDB SQL."""
 
-from tidemark.llm import decontaminate, token_counts, url_filter
+from tidemark.llm import decontaminate, simhash, token_counts, topk, url_filter
 
 
 def queries():
     return {
+        "op1_simhash": simhash.op1_simhash,
+        "op2_topk": topk.op2_topk,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_token_counts": token_counts.op9_token_counts,
@@ -12,4 +14,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op7_url_filter": url_filter.OP7_SQL}
+    return {"op2_topk": topk.OP2_SQL, "op7_url_filter": url_filter.OP7_SQL}
