@@ -1,12 +1,13 @@
 """The queries of this package and, where SQL can say it, their DuckDB SQL."""
 
-from tidemark.llm import decontaminate, simhash, token_counts, topk, url_filter
+from tidemark.llm import decontaminate, language_id, simhash, token_counts, topk, url_filter
 
 
 def queries():
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_topk": topk.op2_topk,
+        "op4_language_id": language_id.op4_language_id,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_token_counts": token_counts.op9_token_counts,
