@@ -61,9 +61,10 @@ def write_index(rules: list[tuple[str, str, str]]) -> str:
         np.array([r[1] for r in rows], np.int64).tobytes(), np.array([r[3] for r in rows], np.int64).tobytes(), b"".join(r[2] for r in rows),
     ]
     body = b"".join(parts)
-    path = os.path.join(tempfile.mkdtemp(prefix="tidemark-"), f"url-{hashlib.sha256(body).hexdigest()[:24]}.idx")
-    with open(path, "wb") as out:
+    path = os.path.join(tempfile.gettempdir(), f"tidemark-url-{hashlib.sha256(body).hexdigest()[:24]}.idx")  # a file's name may be shipped from one place only
+    with open(f"{path}.{os.getpid()}", "wb") as out:
         out.write(body)
+    os.replace(out.name, path)
     return path
 
 
