@@ -14,7 +14,9 @@ a text count one token from their last character on; a text of any length is tak
 
 from __future__ import annotations
 
+import functools
 import json
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +29,9 @@ from tidemark.llm.base import appended, table
 
 #: The library's byte-level split, and Unicode's White_Space.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-CACHE = 300_000
+SPACE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+CACHE = 500_000
+TWO = (2,)
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -46,96 +49,107 @@ class PrefixCounter:
             spec = json.load(f)
         at = byte_alphabet()
         raw = lambda s: bytes(at[c] for c in s)
-        pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
-        self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
-        self.tokens = {a + b for a, b in self.ranks} | {bytes([b]) for b in range(256)}
+        pairs = [(raw(a), raw(b)) for a, b in (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])]
+        #: A token's rank is that of the merge that makes it; single bytes come before all merges.
+        self.rank = {bytes([b]): -1 for b in range(256)} | {a + b: i for i, (a, b) in reversed(list(enumerate(pairs)))}
+        self.halves = {a + b: (a, b) for a, b in reversed(pairs)}
+        self.ranks = {(a, b): i for i, (a, b) in reversed(list(enumerate(pairs)))}
         ends: dict[bytes, set[int]] = {}
-        for t in self.tokens:
-            ends.setdefault(t[-2:], set()).add(len(t))
-        self.ends = {k: sorted(v, reverse=True) for k, v in ends.items()}
+        for t in self.rank:
+            if len(t) > 2:
+                ends.setdefault(t[-3:], set()).add(len(t))
+        self.ends = {k: sorted(v | {2}, reverse=True) for k, v in ends.items()}
+        self.seen, self.last, self.counts = b"", [b""], [0]
         self.special = [t["content"] for t in spec.get("added_tokens", []) if t.get("special")]
         self.pattern = regex.compile(SPLIT)
-        self.fields = regex.compile(f"[{SPACE}]*+[^{SPACE}]++|[{SPACE}]++")
-        self.space = regex.compile(f"[{SPACE}]*+")
+        self.fields = re.compile(f"[{SPACE}]*+[^{SPACE}]++|[{SPACE}]++")
+        self.space = re.compile(f"[{SPACE}]*+")
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.fit: dict[tuple[bytes, bytes], bool] = {}
-        self.words: dict[str, list[int]] = {}
-        counter = self
-
-        class Fields(dict):
-            def __missing__(self, field):
-                if len(self) >= CACHE:
-                    self.clear()
-                out = self[field] = counter.field_changes(field)
-                return out
-
-        self.cache = Fields()
-
-    def merged(self, data: bytes) -> list[bytes]:
-        """Tokens of a short byte string by the merges themselves."""
-        parts = [data[i : i + 1] for i in range(len(data))]
-        while len(parts) > 1:
-            rank, i = min((self.ranks.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 30:
-                break
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        self.word = Generations(self.word_changes)
+        self.cache = Generations(self.field_changes)
 
     def fits(self, a: bytes, b: bytes) -> bool:
-        known = self.fit.get((a, b))
-        if known is None:
-            if len(self.fit) >= CACHE:
-                self.fit.clear()
-            known = self.fit[a, b] = self.merged(a + b) == [a, b]
-        return known
-
-    def word(self, word: str) -> list[int]:
-        """Token count of each character prefix of one pre-token."""
-        found = self.words.get(word)
-        if found is None:
-            if len(self.words) >= CACHE:
-                self.words.clear()
-            if word in ("'re", "'ve", "'ll"):  # their first two characters are two pre-tokens while the third is missing
-                found = [1, 2, len(self.merged(word.encode()))]
+        """Whether the merges leave a and b side by side: no pair on their common border merges before both are made."""
+        limit, left, right = 1 << 30, a, b
+        while True:
+            if self.ranks.get((left, right), limit) < limit:
+                return False
+            x, y = self.rank[left], self.rank[right]
+            if x < 0 and y < 0:
+                return True
+            if x > y:  # the later merge is undone first; what merges before it would have taken the border
+                limit, left = x, self.halves[left][1]
             else:
-                counts = self.byte_counts(word.encode())
-                found = counts if len(counts) == len(word) else [counts[i - 1] for i in np.cumsum([len(c.encode()) for c in word]).tolist()]
-            self.words[word] = found
-        return found
+                limit, right = y + 1, self.halves[right][0]
 
     def byte_counts(self, data: bytes) -> list[int]:
-        last, counts = [b""], [0]
-        for i in range(1, len(data) + 1):
-            for n in self.ends.get(data[max(0, i - 2) : i], ()):
-                if n <= i and (t := data[i - n : i]) in self.tokens and (n == i or self.fits(last[i - n], t)):
-                    break
+        """Token count at each byte prefix of one pre-token; goes on from the prefix shared with the last one."""
+        last, counts, rank, fit, ends, seen = self.last, self.counts, self.rank, self.fit, self.ends, self.seen
+        p, most = 0, min(len(seen), len(data))
+        while p < most and seen[p] == data[p]:
+            p += 1
+        del last[p + 1 :], counts[p + 1 :]
+        self.seen = data
+        for i in range(p + 1, len(data) + 1):
+            for n in ends.get(data[i - 3 : i], TWO) if i > 2 else TWO:
+                if n <= i and (t := data[i - n : i]) in rank:
+                    if n == i:
+                        break
+                    key = last[i - n], t
+                    good = fit.get(key)
+                    if good is None:
+                        if len(fit) >= CACHE:
+                            fit.clear()
+                        good = fit[key] = self.fits(*key)
+                    if good:
+                        break
             else:
-                t = data[i - 1 : i]
                 n = 1
+                t = data[i - 1 : i]
             last.append(t)
             counts.append(counts[i - n] + 1)
         return counts[1:]
 
-    def field_counts(self, field: str) -> list[int]:
-        """Counts at the prefixes of white space and what follows it, up to the next white space."""
-        r = self.space.match(field).end()
-        out = list(self.word(field[:r])) if r else []
-        if r < len(field):
-            base, start = 0, 0
-            if r:
-                start = r - 1
-                base = out[r - 2] if r > 1 else 0
-                if field[r - 1] != " ":
-                    start = r
-                    base += self.word(field[r - 1])[-1]
-            for word in self.pattern.findall(field[start:]):
-                counts = self.word(word)
-                out += [base + c for c in (counts[1:] if start == r - 1 and len(out) == r else counts)]
-                base += counts[-1]
-        return out
+    def word_changes(self, word: str) -> bytes:
+        if word in ("'re", "'ve", "'ll"):  # their first two characters are two pre-tokens while the third is missing
+            counts = [1, 2, self.byte_counts(word.encode())[-1]]
+        else:
+            counts = self.byte_counts(word.encode())
+            if len(counts) != len(word):
+                ends = np.cumsum([len(c.encode()) for c in word]).tolist()
+                counts = [counts[i - 1] for i in ends]
+        return changes_of(counts)
 
     def field_changes(self, field: str) -> bytes:
-        return np.diff(np.array([0, *self.field_counts(field)])).astype(np.int8).tobytes()
+        """Changes over white space and what follows it, up to the next white space."""
+        if field[1:].isalpha() and (field[0] == " " or field[0].isalpha()):
+            return self.word_changes(field)
+        r = self.space.match(field).end()
+        if not r:
+            return b"".join(self.word[w] for w in self.pattern.findall(field))
+        blank = self.word[field[:r]]
+        if r == len(field):
+            return blank
+        # With a word behind it the last white space leaves the run and begins the word, if it is a plain space.
+        before = total(self.word[field[: r - 1]]) if r > 1 else 0
+        words = self.pattern.findall(field[r - 1 :] if field[r - 1] == " " else field[r:])
+        rest = b"".join(self.word[w] for w in words)
+        if field[r - 1] == " ":
+            before += rest[0]
+            rest = rest[1:]
+        else:
+            before += total(self.word[field[r - 1]])
+        first = int(np.int8(np.uint8(rest[0]))) + before - total(blank)
+        return blank + bytes([first & 255]) + rest[1:]
+
+    def learn(self, texts: list[str | None]) -> None:
+        """Counts the fields that the cache lacks in sorted order, so that neighbours share their prefixes."""
+        found: set[str] = set()
+        for text in texts:
+            found.update(self.fields.findall(text or ""))
+        for field in sorted(f for f in found if f not in self.cache):
+            self.cache[field]
 
     def changes(self, text: str | None) -> bytes:
         """The stored form: the change of the token count at each character."""
@@ -145,11 +159,10 @@ class PrefixCounter:
             return b"".join(map(self.cache.__getitem__, self.fields.findall(text)))
         out, tail = [], ""
         for i, part in enumerate(self.split_special.split(text)):
-            if i % 2:
-                grown = part[:-1]
-                before = self.total(tail)
-                counts = [self.total(tail + grown[:k]) - before for k in range(1, len(grown) + 1)]
-                out.append(np.diff(np.array([0, *counts, 1])).astype(np.int8).tobytes())
+            if i % 2:  # until its last character a special string is ordinary text behind what precedes it
+                before = self.piece(tail)
+                counts = [total(self.piece(tail + part[:k])) - total(before) for k in range(1, len(part))]
+                out.append(changes_of([*counts, 1]))
                 tail = ""
             elif part:
                 fields = self.fields.findall(part)
@@ -157,8 +170,41 @@ class PrefixCounter:
                 tail = fields[-1]
         return b"".join(out)
 
-    def total(self, piece: str) -> int:
-        return sum(self.field_counts(f)[-1] for f in self.fields.findall(piece))
+    def piece(self, text: str) -> bytes:
+        return b"".join(map(self.cache.__getitem__, self.fields.findall(text)))
+
+
+class Generations(dict):
+    """A cache of at most 2 * CACHE entries: when it is full, only what is used again is carried on."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make, self.old = make, {}
+
+    def __missing__(self, key):
+        if len(self) >= CACHE:
+            self.old = dict(self)
+            self.clear()
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        self[key] = found
+        return found
+
+
+def changes_of(counts: list[int]) -> bytes:
+    """A change lies in -127 .. 4: a character adds 4 bytes at most, and no token is longer than 128 bytes."""
+    return bytes([(b - a) & 255 for a, b in zip([0, *counts], counts)])
+
+
+def total(changes: bytes) -> int:
+    return int(np.frombuffer(changes, np.int8).sum(dtype=np.int64)) if len(changes) > 40 else sum(c - 256 if c > 127 else c for c in changes)
+
+
+@functools.lru_cache(2)
+def counter_of(path: str) -> PrefixCounter:
+    """One counter, and so one cache, for each worker process."""
+    return PrefixCounter(path)
 
 
 def prefix_counts(changes: bytes) -> np.ndarray:
@@ -178,11 +224,13 @@ def count_tokens(docs: DataFrame, vocabulary: str, text: str = "text", budget: i
     """
 
     def make():
-        counter = PrefixCounter(vocabulary)
+        counter = counter_of(vocabulary)
 
         def run(column: pa.Array) -> list[pa.Array]:
             stored, tokens, fit = [], [], []
-            for s in column.to_pylist():
+            texts = column.to_pylist()
+            counter.learn(texts)
+            for s in texts:
                 c = counter.changes(s)
                 n = int(np.frombuffer(c, np.int8).sum(dtype=np.int64))
                 stored.append(c)
