@@ -1,6 +1,6 @@
 """The queries of this package and, where SQL can say it, their DuckDB SQL."""
 
-from tidemark.llm import decontaminate, language_id, simhash, token_counts, topk, url_filter
+from tidemark.llm import decontaminate, language_id, repeats, simhash, token_counts, topk, url_filter
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_token_counts": token_counts.op9_token_counts,
+        "op10_repeats": repeats.op10_repeats,
     }
 
 
