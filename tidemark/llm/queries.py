@@ -1,6 +1,6 @@
 """The queries of this package and, where SQL can say it, their DuckDB SQL."""
 
-from tidemark.llm import decontaminate, language_id, repeats, simhash, token_counts, topk, url_filter
+from tidemark.llm import chat_format, decontaminate, language_id, repeats, simhash, token_counts, topk, url_filter
 
 
 def queries():
@@ -8,6 +8,7 @@ def queries():
         "op1_simhash": simhash.op1_simhash,
         "op2_topk": topk.op2_topk,
         "op4_language_id": language_id.op4_language_id,
+        "op6_chat_format": chat_format.op6_chat_format,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_token_counts": token_counts.op9_token_counts,
