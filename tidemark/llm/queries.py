@@ -1,12 +1,13 @@
 """The queries of this package and, where SQL can say it, their DuckDB SQL."""
 
-from tidemark.llm import chat_format, decontaminate, language_id, repeats, simhash, token_counts, topk, url_filter
+from tidemark.llm import chat_format, decontaminate, language_id, repeats, sharding, simhash, token_counts, topk, url_filter
 
 
 def queries():
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_topk": topk.op2_topk,
+        "op3_sharding": sharding.op3_sharding,
         "op4_language_id": language_id.op4_language_id,
         "op6_chat_format": chat_format.op6_chat_format,
         "op7_url_filter": url_filter.op7_url_filter,
