@@ -1,6 +1,6 @@
 """The queries of this package and, where SQL can say it, their DuckDB SQL."""
 
-from tidemark.llm import chat_format, decontaminate, language_id, repeats, sharding, simhash, token_counts, topk, url_filter
+from tidemark.llm import chat_format, decontaminate, language_id, pieces, repeats, sharding, simhash, token_counts, topk, url_filter
 
 
 def queries():
@@ -9,6 +9,7 @@ def queries():
         "op2_topk": topk.op2_topk,
         "op3_sharding": sharding.op3_sharding,
         "op4_language_id": language_id.op4_language_id,
+        "op5_pieces": pieces.op5_pieces,
         "op6_chat_format": chat_format.op6_chat_format,
         "op7_url_filter": url_filter.op7_url_filter,
         "op8_decontaminate": decontaminate.op8_decontaminate,
