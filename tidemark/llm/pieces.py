@@ -144,48 +144,75 @@ class Lattices:
         self._edges(code[at], self.points[at], left)
 
     def _edges(self, code, points, left):
+        """Flat arrays of all edges, those of a row together, and by row and length their numbers and running shares."""
         words, n = self.words, len(code)
-        self.piece = np.full((n, words.longest), -1, np.int32)
-        live, h = np.flatnonzero(code > 0), np.zeros(int((code > 0).sum()), np.uint64)
+        self.bytes = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
+        self.point = points
+        live = np.flatnonzero(code > 0)
+        h = np.zeros(len(live), np.uint64)
+        bare = np.ones(n, bool)
+        rows, spans, pieces = [], [], []
         for k in range(words.longest):
             inside = left[live] > k
             live, h = live[inside], h[inside]
+            if not len(live):
+                break
             h = h * _P + code[live + k].astype(np.uint64)
             at = np.minimum(np.searchsorted(words.prefix, h), len(words.prefix) - 1)
             good = words.prefix[at] == h
             live, h, at = live[good], h[good], at[good]
-            self.piece[live, k] = words.prefix_id[at]
+            piece = words.prefix_id[at]
+            whole = piece >= 0
+            rows.append(live[whole])
+            pieces.append(piece[whole])
+            spans.append(np.full(len(rows[-1]), k + 1, np.uint8))
+            if k == 0:
+                bare[rows[0]] = False
             more = words.goes_on[at]
             live, h = live[more], h[more]
-        weight = np.where(self.piece >= 0, words.weight[self.piece], -np.inf)
-        self.point = points
-        bare = np.flatnonzero(self.piece[:, 0] < 0)
-        self.bytes = np.where(points < 0x80, 1, np.where(points < 0x800, 2, np.where(points < 0x10000, 3, 4)))
-        weight[bare, 0] = self.bytes[bare] * words.byte_weight
-        self.mass = np.zeros(n + words.longest)
-        order = np.argsort(left, kind="stable")
-        cuts = np.searchsorted(left[order], np.arange(1, int(left.max(initial=0)) + 2))
-        span = np.arange(1, words.longest + 1)
-        for a, b in zip(cuts, cuts[1:]):
-            at = order[a:b]
-            beyond = np.where(span >= left[at][:, None], 0.0, self.mass[at[:, None] + span])
-            score = weight[at] + beyond
-            top = score.max(axis=1)
-            self.mass[at] = top + np.log(np.exp(score - top[:, None]).sum(axis=1))
-            weight[at] = score - self.mass[at][:, None]
-        self.log_prob = weight.astype(np.float32)  # of each edge, given that the path comes here
+        alone = np.flatnonzero(bare)
+        row, piece, span = np.concatenate([*rows, alone]), np.concatenate([*pieces, np.full(len(alone), -1, np.int32)]), np.concatenate([*spans, np.ones(len(alone), np.uint8)])
+        # By distance to the field's end, then row, then length: the sums go from ends to beginnings.
+        order = np.argsort((left[row].astype(np.int64) << 40) | (row << 8) | span, kind="stable")
+        row, self.piece, span = row[order], piece[order], span[order]
+        weight = np.where(self.piece >= 0, words.weight[self.piece], words.byte_weight * self.bytes[row])
+        head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+        mass = np.zeros(n + 1)
+        far = left[row]
+        cuts = np.flatnonzero(np.concatenate([[True], far[1:] != far[:-1], [True]])) if len(row) else np.zeros(1, np.int64)
+        heads = np.searchsorted(head, cuts)
+        onward = np.where(far > span, row + span, n)  # the place n has mass 0 and stays so
+        for a, b, x, y in zip(cuts, cuts[1:], heads, heads[1:]):
+            score = weight[a:b] + mass[onward[a:b]]
+            local = head[x:y] - a
+            top = np.maximum.reduceat(score, local)
+            size = np.diff(np.append(local, b - a))
+            own = top + np.log(np.add.reduceat(np.exp(score - np.repeat(top, size)), local))
+            mass[row[a:b][local]] = own
+            weight[a:b] = score - np.repeat(own, size)
+        self.log_prob = weight
         share = np.exp(weight)
-        below = np.cumsum(share, axis=1)
-        top, every = share.argmax(axis=1), np.arange(n)
-        with np.errstate(divide="ignore"):
-            self.log_rest = np.log1p(-np.minimum(share, 0.9)).astype(np.float32)  # of all other edges; only the largest can pass 0.9
-            share[every, top] = 0
-            self.log_rest[every, top] = np.log(share.sum(axis=1))
-        self.below = (below / below[:, -1:]).astype(np.float32)
+        size = np.diff(np.append(head, len(row)))
+        best = share == np.repeat(np.maximum.reduceat(share, head), size) if len(row) else np.zeros(0, bool)
+        rest = np.repeat(np.add.reduceat(np.where(best, 0, share), head), size) if len(row) else np.zeros(0)
+        with np.errstate(divide="ignore"):  # what is left when the edge goes; ties of the largest have a half or less
+            self.log_rest = np.log(np.where(best & (share > 0.5), rest, 1 - np.minimum(share, 0.5)))
+        self.width = int(span.max(initial=1))
+        self.edge = np.full((n, self.width), -1, np.int32)
+        self.edge[row, span - 1] = np.arange(len(row))
+        self.below = np.zeros((n, self.width), np.float32)
+        self.below[row, span - 1] = share
+        np.cumsum(self.below, axis=1, out=self.below)
+        self.below /= self.below[:, -1:]
+
+    def allowed(self, row: np.ndarray, barred: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the rows' edges by length; -inf where there is none or its bit is barred."""
+        edge = self.edge[row]
+        return np.where((edge >= 0) & (barred[:, None] >> np.arange(self.width) & 1 == 0), self.log_prob[edge], -np.inf)
 
     def ids(self, row: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of edges, and how many each edge has (bytes have several)."""
-        piece = self.piece[row, length - 1]
+        piece = self.piece[self.edge[row, length - 1]]
         bare = piece < 0
         count = np.where(bare, self.bytes[row], 1)
         out = np.repeat(piece, count)
@@ -221,9 +248,8 @@ def sample(lattices: Lattices, seeds: np.ndarray, k: int) -> tuple[list[Path], n
     bounds, n_texts = lattices.bounds, len(lattices.bounds) - 1
     start_of_text = bounds[:-1]
     text_of = np.repeat(np.arange(n_texts, dtype=np.int32), np.diff(bounds))
-    step = np.arange(lattices.n) - np.repeat(lattices.field_at, lattices.field_size)
-    row_of = np.repeat(lattices.field_row, lattices.field_size) + step
-    field_end = np.repeat(lattices.field_at + lattices.field_size, lattices.field_size)
+    row_of = np.repeat((lattices.field_row - lattices.field_at).astype(np.int32), lattices.field_size) + np.arange(lattices.n, dtype=np.int32)
+    field_end = np.repeat((lattices.field_at + lattices.field_size).astype(np.int32), lattices.field_size)
 
     def walk(place, salt, length):
         """Follows drawn edges from each place to the end of its field; writes them to `length`."""
@@ -231,7 +257,7 @@ def sample(lattices: Lattices, seeds: np.ndarray, k: int) -> tuple[list[Path], n
             text = text_of[place]
             u = uniform(seeds[text], place - start_of_text[text], salt).astype(np.float32)
             took = (u[:, None] > lattices.below[row_of[place]]).sum(axis=1).astype(np.uint8) + 1
-            took = np.minimum(took, lattices.piece.shape[1]).astype(np.uint8)
+            took = np.minimum(took, lattices.width).astype(np.uint8)
             length[place] = took
             place, end = place + took, field_end[place]
             place = place[place < end]
@@ -239,16 +265,16 @@ def sample(lattices: Lattices, seeds: np.ndarray, k: int) -> tuple[list[Path], n
     def opened(length, value, branch, barred, salt):
         at = np.flatnonzero(length)
         row, text, took = row_of[at], text_of[at], length[at].astype(np.int64)
-        log_prob = lattices.log_prob[row, took - 1].astype(np.float64)
+        edge = lattices.edge[row, took - 1]
+        log_prob = lattices.log_prob[edge]
         path = Path(at, row, took, log_prob, text, value, branch, barred, bounds)
         ahead = np.cumsum(log_prob) - log_prob
         ahead -= np.repeat(ahead[np.minimum(path.edge_bounds[:-1], max(0, len(at) - 1))] if len(at) else 0, np.diff(path.edge_bounds))
-        leave = ahead + lattices.log_rest[row, took - 1]
+        leave = ahead + lattices.log_rest[edge]
         special = np.flatnonzero(at == branch[text])
         if len(special):
-            barring = (barred[text[special]][:, None] >> np.arange(lattices.piece.shape[1]) & 1).astype(bool)
             with np.errstate(divide="ignore"):
-                leave[special] = ahead[special] + np.log(np.where(barring, 0, np.exp(lattices.log_prob[row[special]].astype(np.float64))).sum(axis=1))
+                leave[special] = ahead[special] + np.log(np.exp(lattices.allowed(row[special], barred[text[special]])).sum(axis=1))
         noise = -np.log(uniform(seeds[text], at - start_of_text[text], salt))
         top = value[text]
         with np.errstate(over="ignore", invalid="ignore"):
@@ -290,10 +316,10 @@ def sample(lattices: Lattices, seeds: np.ndarray, k: int) -> tuple[list[Path], n
             e = edge[mine]
             at, row = path.at[e], path.row[e]
             mask = np.where(path.branch[mine] == at, path.barred[mine], np.int64(1) << (path.length[e] - 1))
-            weight = np.where((mask[:, None] >> np.arange(lattices.piece.shape[1])) & 1, -np.inf, lattices.log_prob[row].astype(np.float64))
+            weight = lattices.allowed(row, mask)
             share = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
             u = uniform(seeds[mine], at - start_of_text[mine], 10 * number + 4)
-            took = np.minimum((u[:, None] * share[:, -1:] > share).sum(axis=1), lattices.piece.shape[1] - 1) + 1
+            took = np.minimum((u[:, None] * share[:, -1:] > share).sum(axis=1), lattices.width - 1) + 1
             path.open[e] = -np.inf  # the new path stands for the rest of this node
             limit = np.full(n_texts, -1)
             limit[mine] = at
