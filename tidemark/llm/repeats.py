@@ -274,9 +274,13 @@ def cover(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` plus removed_spans (byte ranges, flat) and kept_bytes, what is left of the text."""
-    names = {"removed_spans", "kept_bytes"}
+def remove_repeats(docs: DataFrame, text: str = "text", as_text: bool = False) -> DataFrame:
+    """`docs` plus removed_spans (byte ranges, flat) and kept_bytes, what is left of the text.
+
+    With `as_text` there is kept_text instead; characters that a range cuts in two go from it as a whole.
+    """
+    kept_name = "kept_text" if as_text else "kept_bytes"
+    names = {"removed_spans", kept_name}
     source = docs.select(*[f"`{c}`" for c in docs.columns if c not in names])
     n = len(source.columns)
     spans = marked_spans(docs, text).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("spans").alias("__spans"))
@@ -284,7 +288,7 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
     joined = source.withColumns({"__k1": one, "__k2": two}).join(spans, (F.col("__k1") == F.col("__t1")) & (F.col("__k2") == F.col("__t2")), "left")
     joined = joined.select(*[f"`{c}`" for c in source.columns], "__spans")
     at = source.columns.index(text)
-    schema = T.StructType([*source.schema.fields, T.StructField("removed_spans", T.ArrayType(T.IntegerType())), T.StructField("kept_bytes", T.BinaryType())])
+    schema = T.StructType([*source.schema.fields, T.StructField("removed_spans", T.ArrayType(T.IntegerType())), T.StructField(kept_name, T.StringType() if as_text else T.BinaryType())])
 
     def run(batches):
         for batch in batches:
@@ -294,7 +298,8 @@ def remove_repeats(docs: DataFrame, text: str = "text") -> DataFrame:
                 removed.append([x for r in ranges for x in r])
                 ends = [0, *removed[-1], len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2])))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(removed, pa.list_(pa.int32())), pa.array(kept, pa.binary())], names=schema.names)
+            left = pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(removed, pa.list_(pa.int32())), left], names=schema.names)
 
     return joined.mapInArrow(run, schema)
 
