@@ -86,9 +86,7 @@ class Vocabulary:
                     entry[1] = i
                 else:
                     entry[2] = True
-        self.prefix = np.array(sorted(found), np.uint64)
-        self.prefix_id = np.array([found[h][1] for h in sorted(found)], np.int32)
-        self.goes_on = np.array([found[h][2] for h in sorted(found)], bool)
+        self._table(found)
         spelled = [p.replace(MARK, " ").encode() for p in self.pieces]
         for i in range(n):
             if model.is_byte(i):
@@ -98,12 +96,41 @@ class Vocabulary:
         self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
         self.spelled_at = np.cumsum([0, *map(len, spelled)])
 
+    def _table(self, found: dict[int, list]) -> None:
+        """An open-addressed table of the prefixes; slots without one hold hash 0, which no prefix has."""
+        assert 0 not in found
+        self.bits = max(4, (4 * len(found)).bit_length())
+        size = 1 << self.bits
+        self.prefix, self.prefix_id, self.goes_on = np.zeros(size, np.uint64), np.full(size, -1, np.int32), np.zeros(size, bool)
+        for h, (_, piece, more) in found.items():
+            at = int(self.slot(np.array([h], np.uint64))[0])
+            while self.prefix[at]:
+                at = (at + 1) % size
+            self.prefix[at], self.prefix_id[at], self.goes_on[at] = h, piece, more
+
+    def slot(self, h: np.ndarray) -> np.ndarray:
+        return (((h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - self.bits)).astype(np.int32)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Slots of prefix hashes; -1 for those that are none."""
+        at = self.slot(h)
+        held = self.prefix[at]
+        out = np.where(held == h, at, -1)
+        rest = np.flatnonzero((held != h) & (held != 0))
+        while len(rest):
+            at[rest] = (at[rest] + 1) & ((1 << self.bits) - 1)
+            held = self.prefix[at[rest]]
+            good = held == h[rest]
+            out[rest[good]] = at[rest[good]]
+            rest = rest[~good & (held != 0)]
+        return out
+
     def decode(self, ids: np.ndarray) -> bytes:
-        """The text of a segmentation, without the space before its first word."""
+        """The bytes of piece ids, with the space before a text's first word."""
         begin, size = self.spelled_at[ids], self.spelled_at[ids + 1] - self.spelled_at[ids]
         total = np.cumsum(size)
         at = np.arange(total[-1] if len(total) else 0) + np.repeat(begin - total + size, size)
-        return self.spelled[at].tobytes()[1:]
+        return self.spelled[at].tobytes()
 
 
 @functools.lru_cache(2)
@@ -148,7 +175,7 @@ class Lattices:
         words, n = self.words, len(code)
         self.bytes = 1 + (points >= 0x80).astype(np.int8) + (points >= 0x800) + (points >= 0x10000)
         self.point = points
-        live = np.flatnonzero(code > 0)
+        live = np.flatnonzero(code > 0).astype(np.int32)
         h = np.zeros(len(live), np.uint64)
         bare = np.ones(n, bool)
         rows, spans, pieces = [], [], []
@@ -158,8 +185,8 @@ class Lattices:
             if not len(live):
                 break
             h = h * _P + code[live + k].astype(np.uint64)
-            at = np.minimum(np.searchsorted(words.prefix, h), len(words.prefix) - 1)
-            good = words.prefix[at] == h
+            at = words.find(h)
+            good = np.flatnonzero(at >= 0)
             live, h, at = live[good], h[good], at[good]
             piece = words.prefix_id[at]
             whole = piece >= 0
@@ -173,8 +200,22 @@ class Lattices:
         alone = np.flatnonzero(bare)
         row, piece, span = np.concatenate([*rows, alone]), np.concatenate([*pieces, np.full(len(alone), -1, np.int32)]), np.concatenate([*spans, np.ones(len(alone), np.uint8)])
         # By distance to the field's end, then row, then length: the sums go from ends to beginnings.
-        order = np.argsort((left[row].astype(np.int64) << 40) | (row << 8) | span, kind="stable")
-        row, self.piece, span = row[order], piece[order], span[order]
+        count = np.bincount(row, minlength=n)
+        rank = np.argsort(left.astype(np.int16) if left.max(initial=0) < 1 << 15 else left, kind="stable")  # two-byte keys sort by radix
+        slot = np.empty(n, np.int64)
+        slot[rank] = np.cumsum(count[rank]) - count[rank]
+        order = np.empty(len(row), np.int64)
+        at = 0
+        for part in (*rows, alone):  # the parts come by length
+            order[at : at + len(part)] = slot[part]
+            slot[part] += 1
+            at += len(part)
+        self.piece = np.empty(len(row), np.int32)
+        self.piece[order] = piece
+        row, piece = np.empty_like(row), row
+        row[order] = piece
+        piece, span = span, np.empty_like(span)
+        span[order] = piece
         weight = np.where(self.piece >= 0, words.weight[self.piece], words.byte_weight * self.bytes[row])
         head = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
         mass = np.zeros(n + 1)
@@ -366,16 +407,19 @@ def _samples(part: pa.RecordBatch, width: int, words: Vocabulary, k: int, names:
     seeds = part.column(width + 1).to_numpy(zero_copy_only=False).view(np.uint64)
     paths, threshold = sample(lattices, seeds, k)
     rows, number, flat, sizes, log_prob, value, inclusion, whole = [], [], [], [], [], [], [], []
-    raw = [t.encode() for t in texts]
+    raw = [b" " + t.encode() if t else b"" for t in texts]
+    text_ends = np.cumsum([0, *map(len, raw)])
+    joined = b"".join(raw)
     for j, path in enumerate(paths):
         ids, count = lattices.ids(path.row, path.length)
         ends = np.concatenate([[0], np.cumsum(count)])[path.edge_bounds]
         has = np.isfinite(path.value) if j else np.ones(len(texts), bool)
-        for i in np.flatnonzero(has).tolist():
-            own = ids[ends[i] : ends[i + 1]]
-            flat.append(own)
-            whole.append(words.decode(own) == raw[i])
         at = np.flatnonzero(has)
+        flat.append(ids)  # a text without this path has no edges in it
+        if has.all() and words.decode(ids) == joined:
+            whole.append(np.ones(len(at), bool))
+        else:
+            whole.append(np.array([words.decode(ids[ends[i] : ends[i + 1]]) == joined[text_ends[i] : text_ends[i + 1]] for i in at.tolist()], bool))
         rows.append(at)
         number.append(np.full(len(at), j + 1, np.int32))
         sizes.append(np.diff(ends)[at])
@@ -386,7 +430,7 @@ def _samples(part: pa.RecordBatch, width: int, words: Vocabulary, k: int, names:
     index = pa.array(np.concatenate(rows))
     offsets = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
     lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(flat) if flat else np.empty(0, np.int32)))
-    return pa.RecordBatch.from_arrays([*(part.column(i).take(index) for i in range(width)), pa.array(np.concatenate(number)), lists, *(pa.array(np.concatenate(x)) for x in (log_prob, value, inclusion)), pa.array(whole, pa.bool_())], names=names)
+    return pa.RecordBatch.from_arrays([*(part.column(i).take(index) for i in range(width)), pa.array(np.concatenate(number)), lists, *(pa.array(np.concatenate(x)) for x in (log_prob, value, inclusion)), pa.array(np.concatenate(whole))], names=names)
 
 
 def decode_pieces(rows: DataFrame, model: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
@@ -397,7 +441,7 @@ def decode_pieces(rows: DataFrame, model: str, ids: str = "ids", to: str = "deco
     def run(batches):
         words = vocabulary_of(model)
         for batch in batches:
-            found = [None if x is None else words.decode(np.array(x, np.int64)).decode() for x in batch.column(batch.num_columns - 1).to_pylist()]
+            found = [None if x is None else words.decode(np.array(x, np.int64))[1:].decode() for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], names=schema.names)
 
     return source.mapInArrow(run, schema)
