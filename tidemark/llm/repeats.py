@@ -237,26 +237,27 @@ def marked_spans(docs: DataFrame, text: str = "text") -> DataFrame:
     """(t1, t2, spans): for each text with repeated passages its marked window starts, as arrays (from, to)."""
     keyed = docs.where(F.octet_length(text) >= SPAN).select(F.col(text).alias("text"), *text_hashes(text))
     every = written(keyed.mapInArrow(_pieces, "t1 long, t2 long, a int, b int, key long, context long"), "pieces")
-    keys = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    # Sums are written before they are joined, so that the join reads plain shuffles, whose hot keys Spark can split.
+    keys = written(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
     kept = written(every.join(keys, "key"), "kept")
     contexts = kept.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "a", "b")).alias("at"))
     contexts = written(contexts, "contexts")
     buckets = written(contexts.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = contexts.join(buckets, "key").select("at.t1", "at.t2", F.struct("key", "context", "at.a", "at.b", "size").alias("span"))
-    members = members.groupBy("t1", "t2").agg(F.collect_list("span").alias("spans"))
+    members = written(members.groupBy("t1", "t2").agg(F.collect_list("span").alias("spans")), "members")
     data = keyed.join(members, ["t1", "t2"]).select("text", "spans").mapInArrow(_contexts, "key long, context long, data binary")
     data = written(data.dropDuplicates(["key", "context"]).join(buckets, "key"), "data")
     usual = data.where(F.col("size") <= LIMIT).select("key", "context", "data").repartition("key").sortWithinPartitions("key", "context")
     marks = usual.mapInArrow(_resolve, "context long, key long, s int, e int")
     windows = data.where(F.col("size") > LIMIT).select("key", "context", "data").mapInArrow(_windows, "key long, context long, at int, h1 long, h2 long")
-    again = windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
+    again = written(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "again")
     large = windows.join(again, ["h1", "h2"]).select("context", "key", F.col("at").alias("s"), F.col("at").alias("e"))
     whole = contexts.where("n > 1").select("context", "key", F.lit(0).alias("s"), (F.col("at.b") - F.col("at.a")).alias("e"))
     single = contexts.where("n = 1").select("context", "key")
     part = marks.unionByName(large).join(single, ["context", "key"])
     marks = whole.unionByName(part.select(*whole.columns))
     spans = kept.join(marks, ["context", "key"]).select("t1", "t2", F.struct((F.col("a") + F.col("s")).alias("from"), (F.col("a") + F.col("e")).alias("to")).alias("span"))
-    return spans.distinct().groupBy("t1", "t2").agg(F.collect_list("span").alias("spans"))
+    return written(spans.distinct().groupBy("t1", "t2").agg(F.collect_list("span").alias("spans")), "spans")
 
 
 def text_hashes(text: str):

@@ -36,6 +36,7 @@ def propagate(members: DataFrame, shards: int, capacity: int, rounds: int = ROUN
         full = [s for s in range(shards) if held.get(s, 0) >= 0.98 * capacity]
         votes = written(state.groupBy("link", "label").agg(F.count("*").alias("votes")), f"votes{step}")
         best = votes.where(~F.col("label").isin(full)).groupBy("link").agg(F.max(F.struct(F.col("votes").alias("most"), (-F.col("label")).alias("to"))).alias("best"))
+        best = written(best, f"best{step}")  # so that the join reads plain shuffles, whose hot links Spark can split
         asks = state.join(votes, ["link", "label"]).join(best, "link")
         stronger = (F.col("best.most") > F.col("votes")) | ((F.col("best.most") == F.col("votes")) & (-F.col("best.to") < F.col("label")))
         asks = asks.where(stronger).groupBy("row").agg(F.max(F.struct(F.col("best.most").alias("most"), F.col("best.to").alias("to"), "link")).alias("ask"), F.first("label").alias("from"))
@@ -74,7 +75,7 @@ def balanced_shards(rows: DataFrame, links: DataFrame, shards: int = SHARDS, rou
     """
     spark = rows.sparkSession
     total = rows.count()
-    sizes = links.groupBy("link").agg(F.count("*").alias("n")).where("n > 1")
+    sizes = written(links.groupBy("link").agg(F.count("*").alias("n")).where("n > 1"), "links")
     members = links.join(sizes, "link").select("row", "link", "n")
     state = propagate(members, shards, max(1, total // shards), rounds)
     own = state.groupBy("row").agg(F.first("label").alias("label"), F.min("link").alias("link"))

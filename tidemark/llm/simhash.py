@@ -152,9 +152,8 @@ def links(prints: DataFrame) -> DataFrame:
     ready = []
     for level in range(len(LEVELS)):
         rows = _finer(rows, level)
-        sizes = rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-        if level:
-            sizes = written(sizes, f"sizes{level}")
+        # Written, so that the join reads plain shuffles, whose hot keys Spark can split.
+        sizes = written(rows.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{level}")
         rows = rows.join(sizes, "key")
         ready.append(rows.where(F.col("size") <= LIMIT).select("key", "fp"))
         rows = written(rows.where(F.col("size") > LIMIT), f"hot{level}")
@@ -179,7 +178,7 @@ def components(edges: DataFrame) -> DataFrame:
     step = 0
     while True:
         step += 1
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near"))
+        near = written(both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("root").alias("near")), f"near{step}")
         hooked = labels.join(near, labels["node"] == near["a"]).select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
         hooked = written(hooked, f"hooked{step}")
         up = hooked.select(F.col("node").alias("up"), F.col("root").alias("above"))
@@ -195,7 +194,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") ->
     distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = components(links(distinct)).withColumnRenamed("node", "fp")
     classes = written(distinct.join(roots, "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root")), "classes")
-    names = classes.groupBy("root").agg(F.min("least").alias("component_id"))
+    names = written(classes.groupBy("root").agg(F.min("least").alias("component_id")), "names")
     classes = classes.join(names, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select(F.col("id").alias(id), "fp", "component_id")
 
