@@ -247,3 +247,21 @@ def brute_force(text: str | None, items: list[tuple[str, str | None]]) -> tuple[
         hit.update(x for p in at for x in range(p, p + n))
         ids += [str(i)] * bool(at)
     return len(doc), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)
+
+
+_SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, {_SQL_WORDS} AS w FROM documents),
+i AS (SELECT CAST(item_id AS VARCHAR) AS item_id, {_SQL_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+iw AS (
+  SELECT DISTINCT item_id, least({SPAN}, len(w)) AS n, array_to_string(list_slice(w, k, k + least({SPAN}, len(w)) - 1), ' ') AS g
+  FROM i, unnest(range(1, greatest(len(w) - {SPAN} + 1, 1) + 1)) t(k) WHERE len(w) > 0),
+dw AS (
+  SELECT doc_id, n, k, array_to_string(list_slice(w, k, k + n - 1), ' ') AS g
+  FROM d, (SELECT DISTINCT n FROM iw), unnest(range(1, len(w) - n + 2)) t(k)),
+hits AS (SELECT DISTINCT doc_id, item_id, k, dw.n AS n FROM dw JOIN iw ON dw.n = iw.n AND dw.g = iw.g),
+words AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM hits) GROUP BY 1),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT doc_id, item_id FROM hits) GROUP BY 1)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
