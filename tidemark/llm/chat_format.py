@@ -111,3 +111,30 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         "conv_id", "n_turns", F.sha2(said.cast("binary"), 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss.cast("binary"), 256).alias("loss_sha256"), "formatted_chars", "n_windows",
     )
+
+
+OP6_SQL = rf"""
+WITH c AS (
+  SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+t AS (SELECT *, CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 4 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM c),
+s AS (SELECT conv_id, tokens AS cost FROM t WHERE place = 1 AND role = 'system'),
+p AS (
+  SELECT t.*, cost, sum(tokens) OVER (PARTITION BY t.conv_id ORDER BY place) - coalesce(cost, 0) AS last,
+         floor(greatest({BUDGET - HISTORY} - coalesce(cost, 0), {BUDGET // 4}) / 2) AS half,
+         12 + length(role) + 1 + length(replace(text, '\', '\\')) + len(regexp_extract_all(text, '<\|im_(?:start|again|end)\|>|<</?SYS>>|</?s>|\[/?INST\]')) + 11 AS chars
+  FROM t LEFT JOIN s ON t.conv_id = s.conv_id),
+x AS (SELECT *, 2 * floor((last - 1) / half) + CASE WHEN tokens <= half THEN 1 ELSE 0 END AS win FROM p WHERE cost IS NULL OR place > 1),
+w AS (SELECT conv_id, win, max(last) AS upto, lead(win) OVER (PARTITION BY conv_id ORDER BY win) AS next FROM x GROUP BY conv_id, win),
+n AS (SELECT conv_id, count(*) AS n FROM w GROUP BY 1),
+f AS (
+  SELECT x.conv_id, chars * CASE WHEN next IS NOT NULL AND upto - last + tokens <= {HISTORY} THEN 2 ELSE 1 END AS chars FROM x JOIN w ON x.conv_id = w.conv_id AND x.win = w.win
+  UNION ALL SELECT p.conv_id, chars * coalesce(n, 1) FROM p LEFT JOIN n ON p.conv_id = n.conv_id WHERE cost IS NOT NULL AND place = 1),
+g AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM f GROUP BY 1),
+said AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY place)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY place) FILTER (role = 'assistant'), '') AS loss
+  FROM t GROUP BY 1)
+SELECT said.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, formatted_chars, coalesce(n, 1) AS n_windows
+FROM said JOIN g ON said.conv_id = g.conv_id LEFT JOIN n ON said.conv_id = n.conv_id
+"""
