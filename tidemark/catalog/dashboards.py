@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.inputs import money, table
 from tidemark.catalog.profiles import frame, with_profile
+from tidemark.functions.text import kpi_text
 from tidemark.operators import dashboard as d
 from tidemark.operators.profile import profile
 
@@ -31,6 +32,10 @@ def kpis(spark, sf):
     return d.kpis(df, roles)
 
 
+def kpi_texts(spark, sf):
+    return kpis(spark, sf).select("position", kpi_text(F.col("value"), F.col("format")).alias("shown"))
+
+
 def measure_totals(spark, sf):
     df, roles = exact(spark, sf, "lineitem", "l_extendedprice")
     keep = d.Roles(roles.date, tuple(m for m in roles.measures if m not in ("l_quantity", "l_discount", "l_tax")), roles.dimensions)
@@ -83,6 +88,8 @@ ENTRIES = {
     **{f"roles_{n}": roles_of(n) for n in ("lineitem", "orders", "part", "supplier", "labels", "events", "documents")},
     "kpis": (kpis, f"""SELECT 0 AS position, 'Total records' AS label, CAST(count(*) AS DOUBLE) AS value, 'int' AS format FROM orders UNION ALL SELECT 1, 'Total o_orderkey', CAST(sum(o_orderkey) AS DOUBLE), 'number' FROM orders
         UNION ALL SELECT 2, 'Total o_custkey', CAST(sum(o_custkey) AS DOUBLE), 'number' FROM orders UNION ALL SELECT 3, 'Total o_totalprice', CAST(sum({Q}) AS DOUBLE), 'currency' FROM orders"""),
+    "kpi_texts": (kpi_texts, f"""SELECT 0 AS position, format('{{:,}}', count(*)) AS shown FROM orders UNION ALL SELECT 1, format('{{:,.2f}}', CAST(sum(o_orderkey) AS DOUBLE)) FROM orders
+        UNION ALL SELECT 2, format('{{:,.2f}}', CAST(sum(o_custkey) AS DOUBLE)) FROM orders UNION ALL SELECT 3, '$' || format('{{:,.0f}}', CAST(sum({Q}) AS DOUBLE)) FROM orders"""),
     "measure_totals": (measure_totals, """SELECT 0 AS position, 'Total records' AS label, CAST(count(*) AS DOUBLE) AS value, 'int' AS format FROM lineitem
         UNION ALL SELECT 1, 'Total l_orderkey', CAST(sum(l_orderkey) AS DOUBLE), 'number' FROM lineitem UNION ALL SELECT 2, 'Total l_partkey', CAST(sum(l_partkey) AS DOUBLE), 'number' FROM lineitem
         UNION ALL SELECT 3, 'Total l_suppkey', CAST(sum(l_suppkey) AS DOUBLE), 'number' FROM lineitem UNION ALL SELECT 4, 'Total l_extendedprice', CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE), 'currency' FROM lineitem"""),

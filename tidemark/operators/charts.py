@@ -42,27 +42,42 @@ def mean(y):
     return F.try_divide(F.sum(y).cast("double"), F.count(y))
 
 
+def aggregate_of(df: DataFrame, measure: str | None, agg: str):
+    if measure is None or agg == "count":
+        return F.count("*")
+    if agg == "mean":
+        return mean(measure_of(df, measure))
+    if agg == "sum":
+        return F.coalesce(F.sum(measure_of(df, measure)), F.lit(0))
+    raise ValueError(f"unknown aggregate {agg!r}")
+
+
+def grouped_values(df: DataFrame, dimension: str, grain: str | None, values: list[tuple[str | None, str]]) -> DataFrame:
+    """(x, v0, v1, ...): several (measure, aggregate) of all categories in one pass, missing categories left out."""
+    df = bucketed(df, dimension, grain)
+    rows = df.where(value_of(df.schema[dimension]).isNotNull())
+    return rows.groupBy(named(dimension).alias("x")).agg(*[aggregate_of(df, m, a).alias(f"v{i}") for i, (m, a) in enumerate(values)])
+
+
 def grouped(df: DataFrame, request: ChartRequest) -> DataFrame:
     """(x, value) of all categories, missing ones left out."""
-    df = bucketed(df, request.dimension, request.grain)
-    rows = df.where(value_of(df.schema[request.dimension]).isNotNull())
-    if request.measure is None or request.agg == "count":
-        value = F.count("*")
-    elif request.agg == "mean":
-        value = mean(measure_of(df, request.measure))
-    elif request.agg == "sum":
-        value = F.coalesce(F.sum(measure_of(df, request.measure)), F.lit(0))
-    else:
-        raise ValueError(f"unknown aggregate {request.agg!r}")
-    return rows.groupBy(named(request.dimension).alias("x")).agg(value.alias("value"))
+    return grouped_values(df, request.dimension, request.grain, [(request.measure, request.agg)]).withColumnRenamed("v0", "value")
+
+
+def along_x(df: DataFrame, request: ChartRequest) -> bool:
+    """Whether a chart runs along its x: dates do, and lines of a measure."""
+    counts = request.measure is None or request.agg == "count"
+    return type_class(df.schema[request.dimension].dataType) == DATE or (request.chart_type == "line" and not counts)
+
+
+def top_limit(df: DataFrame, request: ChartRequest) -> int | None:
+    return None if along_x(df, request) else request.top_n
 
 
 def chart_query(df: DataFrame, request: ChartRequest, axis_as_text: bool = False) -> DataFrame:
     """(x, value): by x on a date axis and for lines, else by value downward, then x; top_n only there."""
     out = grouped(df, request)
-    dated = type_class(df.schema[request.dimension].dataType) == DATE
-    counts = request.measure is None or request.agg == "count"
-    if dated or (request.chart_type == "line" and not counts):
+    if along_x(df, request):
         out = out.orderBy("x")
     else:
         out = out.orderBy(F.desc("value"), F.asc("x"))

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidemark.functions.text import folded
-from tidemark.operators.charts import GRAINS, ChartRequest, chart_query
+from tidemark.operators.charts import GRAINS, ChartRequest, grouped_values, top_limit
 from tidemark.operators.dashboard import PRIORITY
 
 MAX_CATALOG = 10_000
@@ -230,8 +230,9 @@ def confirmation(requests: DataFrame) -> DataFrame:
 
 
 def answers(df: DataFrame, requests: DataFrame, max_distinct: int = 1000) -> DataFrame:
-    """(msg_id, x, value): the data of every resolved chart. Each different request runs once, however many ask it.
+    """(msg_id, x, value): the data of every resolved chart, as `chart_query` gives them.
 
+    Different requests on one dimension and grain share one aggregate over the table, however many messages ask them.
     There are at most (columns)^2 times a few different requests; more than `max_distinct` are refused, not cut.
     """
     keys = ["chart_type", "dimension", "measure", "agg", "top_n", "grain"]
@@ -239,12 +240,21 @@ def answers(df: DataFrame, requests: DataFrame, max_distinct: int = 1000) -> Dat
     different = asked.select(*keys).distinct().limit(max_distinct + 1).collect()
     if len(different) > max_distinct:
         raise ValueError(f"more than {max_distinct} different requests")
+    axes: dict[tuple, list] = {}
+    for r in sorted(different, key=str):
+        axes.setdefault((r["dimension"], r["grain"]), []).append(r)
     out = None
-    for r in different:
-        rows = chart_query(df, ChartRequest(r["dimension"], r["measure"], r["agg"], r["chart_type"], r["top_n"], r["grain"]))
-        rows = rows.select(F.col("x").cast("string").alias("x"), F.col("value").cast("double").alias("value"), *[F.lit(r[k]).alias(f"k_{k}") for k in keys])
+    for (dimension, grain), group in axes.items():
+        cells = []
+        values = grouped_values(df, dimension, grain, [(r["measure"], r["agg"]) for r in group])
+        for i, r in enumerate(group):
+            keep = top_limit(df, ChartRequest(dimension, r["measure"], r["agg"], r["chart_type"], r["top_n"], grain))
+            cells.append(F.struct(F.col(f"v{i}").cast("double").alias("value"), F.lit(keep).cast("int").alias("keep"), *[F.lit(r[k]).alias(f"k_{k}") for k in keys]))
+        rows = values.select(F.col("x").cast("string").alias("x"), F.col("x").alias("order"), F.explode(F.array(*cells)).alias("c")).select("x", "order", "c.*")
+        place = F.row_number().over(Window.partitionBy(*[f"k_{k}" for k in keys]).orderBy(F.desc("value"), F.asc("order")))
+        rows = rows.withColumn("place", place).where("keep is null or place <= keep").drop("order", "place", "keep")
         out = rows if out is None else out.unionByName(rows)
     if out is None:
-        return df.sparkSession.createDataFrame([], "msg_id long, x string, value double")
+        return requests.select("msg_id", F.lit("").alias("x"), F.lit(0.0).alias("value")).where("false")
     same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
     return asked.join(out, same).select("msg_id", "x", "value")
