@@ -51,30 +51,30 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     rows = rows.withColumn("tokens", tokens(F.col("text"))).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))))
     inside = Window.partitionBy("conv", "block").orderBy("turn", "role", "text")
     above = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("conv", "block").agg(F.sum("tokens").alias("sum"), F.count("*").alias("rows"), F.min_by(F.struct("role", "text", "tokens"), F.struct("turn", "role", "text")).alias("first"))
+    sums = rows.groupBy("conv", "block").agg(F.sum("tokens").alias("sum"), F.count("*").alias("rows"), F.min_by(F.struct("role", "tokens"), F.struct("turn", "role", "text")).alias("first"))
     lead = F.first("first").over(Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
     sums = sums.select("conv", "block", F.coalesce(F.sum("sum").over(above), F.lit(0)).alias("sum0"), F.coalesce(F.sum("rows").over(above), F.lit(0)).alias("rows0"), lead.alias("lead"))
-    sums = sums.select(F.col("conv").alias("s_conv"), F.col("block").alias("s_block"), "sum0", "rows0", F.when(F.col("lead.role") == "system", F.col("lead")).alias("system"))
+    sums = sums.select(F.col("conv").alias("s_conv"), F.col("block").alias("s_block"), "sum0", "rows0", F.when(F.col("lead.role") == "system", F.col("lead.tokens")).alias("cost"))
     rows = rows.withColumn("place", F.row_number().over(inside)).withColumn("end", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.join(sums, F.col("conv").eqNullSafe(F.col("s_conv")) & (F.col("block") == F.col("s_block")))
-    cost = F.coalesce("system.tokens", F.lit(0))
+    cost = F.coalesce("cost", F.lit(0))
     rows = rows.withColumn("place", F.col("place") + F.col("rows0")).withColumn("end", F.col("end") + F.col("sum0") - cost).withColumn("half", F.floor(F.greatest(F.lit(budget - history) - cost, F.lit(budget // 4)) / 2))
-    is_system = F.col("system").isNotNull() & (F.col("place") == 1)
+    is_system = F.col("cost").isNotNull() & (F.col("place") == 1)
     window = F.when(is_system, F.lit(-1)).otherwise(2 * F.floor((F.col("end") - 1) / F.col("half")) + (F.col("tokens") <= F.col("half")).cast("int"))
-    rows = rows.withColumn("window", window).select("conv", "place", "role", "text", "tokens", "end", "window", "system")
+    rows = rows.withColumn("window", window).select("conv", "place", "role", "text", "tokens", "end", "window")
     # One row a window: where it ends, and which window comes next.
-    ends = rows.where("window >= 0").groupBy("conv", "window").agg(F.max("end").alias("last"), F.first("system").alias("system"))
     own = Window.partitionBy("conv").orderBy("window")
-    ends = ends.select(F.col("conv").alias("e_conv"), F.col("window").alias("e_window"), "last", F.lead("window").over(own).alias("next"), F.row_number().over(own).alias("nth"), F.col("system").alias("e_system"))
+    ends = rows.where("window >= 0").groupBy("conv", "window").agg(F.max("end").alias("last"))
+    ends = ends.select(F.col("conv").alias("e_conv"), F.col("window").alias("e_window"), "last", F.lead("window").over(own).alias("next"), F.row_number().over(own).alias("nth"))
     same = F.col("conv").eqNullSafe(F.col("e_conv")) & (F.col("window") == F.col("e_window"))
-    placed = rows.where("window >= 0").join(ends.drop("e_system", "nth"), same)
+    placed = rows.where("window >= 0").join(ends.drop("nth"), same)
     again = F.col("next").isNotNull() & (F.col("last") - F.col("end") + F.col("tokens") <= history)
     uses = F.array_compact(F.array(F.struct(F.col("window").alias("window"), F.lit(True).alias("new")), F.when(again, F.struct(F.col("next").alias("window"), F.lit(False).alias("new")))))
     placed = placed.select("conv", "place", "role", "text", "tokens", F.explode(uses).alias("use")).select("conv", "use.window", "place", "role", "text", "tokens", "use.new")
-    systems = ends.where("e_system is not null").select(F.col("e_conv").alias("conv"), F.col("e_window").alias("window"), F.lit(0).cast("long").alias("place"), "e_system.role", "e_system.text", "e_system.tokens", (F.col("nth") == 1).alias("new"))
-    # A conversation of a system turn alone still is one window.
-    alone = rows.groupBy("conv").agg(F.max("window").alias("window"), F.max("system").alias("system")).where("window = -1").select("conv", F.col("window").cast("long").alias("window"), F.lit(0).cast("long").alias("place"), "system.role", "system.text", "system.tokens", F.lit(True).alias("new"))
-    every = placed.unionByName(systems).unionByName(alone)
+    # The system turn goes to every window; a conversation of a system turn alone still is one window.
+    systems = rows.where("window = -1").join(ends.select("e_conv", "e_window", "nth"), F.col("conv").eqNullSafe(F.col("e_conv")), "left")
+    systems = systems.select("conv", F.coalesce("e_window", "window").alias("window"), F.lit(0).cast("long").alias("place"), "role", "text", "tokens", (F.coalesce("nth", F.lit(1)) == 1).alias("new"))
+    every = placed.unionByName(systems)
     head = F.concat(F.when(F.col("new"), NEW).otherwise(AGAIN), F.url_encode("role"), F.lit("\n"))
     every = every.withColumn("head", head).withColumn("body", escape(F.col("text"))).withColumn("written", F.concat("head", "body", F.lit(END)))
     order = Window.partitionBy("conv", "window").orderBy("place")
