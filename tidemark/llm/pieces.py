@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.base import sliced, table
 
-SAMPLES, SLICE = 2, 1_000_000
+SAMPLES, SLICE = 2, 500_000
 MARK = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
 
