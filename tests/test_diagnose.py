@@ -5,7 +5,6 @@ import datetime as dt
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
 
 from tidemark.operators import health as h
 from tidemark.operators import rules

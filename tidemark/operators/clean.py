@@ -8,7 +8,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.types import TEXT, columns_of, missing_as_null, named, numeric_columns, strip_symbols, to_moment, to_number
+from tidemark.functions.types import TEXT, columns_of, named, numeric_columns, strip_symbols, to_moment, to_number, value_of
 
 MIN_SUCCESS = 0.8
 
@@ -81,10 +81,7 @@ def preview(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 def row_sums(df: DataFrame, name: str = "row_sum") -> DataFrame:
     """`df` plus the sum over each row's numbers; a missing one counts 0."""
-    clean = {f.name for f in df.schema.fields}
-    columns = [c for c in numeric_columns(df) if c in clean]
-    nulls = missing_as_null(df.select(*[named(c) for c in columns]))
-    parts = [F.coalesce(F.nanvl(named(c).cast("double"), F.lit(0.0)), F.lit(0.0)) for c in nulls.columns]
+    parts = [F.coalesce(value_of(df.schema[c]).cast("double"), F.lit(0.0)) for c in numeric_columns(df)]
     return df.withColumn(name, reduce(add, parts, F.lit(0.0)))
 
 

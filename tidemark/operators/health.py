@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.types import missing_as_null, named
@@ -34,7 +34,7 @@ def health(prof: DataFrame, duplicates: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.when(F.col("is_pii"), F.struct("ordinal", "column")))).alias("pii"),
     )
     row = sums.crossJoin(F.broadcast(duplicates))  # one row each
-    cells = F.greatest(F.col("nulls") * 0 + F.col("n_rows") * F.col("n_columns"), F.lit(1))
+    cells = F.greatest(F.col("n_rows") * F.col("n_columns"), F.lit(1))
     row = row.withColumns({
         "completeness": (1 - F.col("nulls") / cells) * 100,
         "uniqueness": F.coalesce((1 - F.try_divide("duplicates", "n_rows")) * 100, F.lit(100.0)),
