@@ -4,7 +4,7 @@ import random
 import duckdb
 import pytest
 
-from tidemark.llm.chat_format import BUDGET, format_chats, op6_chat_format, read_back, turn_tokens
+from tidemark.llm.chat_format import format_chats, op6_chat_format, read_back
 
 
 def digest(s):

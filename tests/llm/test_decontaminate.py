@@ -2,13 +2,12 @@ import random
 
 import duckdb
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from tidemark.llm.decontaminate import brute_force, decontaminate, op8_decontaminate
 
 
 def rows(df):
-    from pyspark.sql import functions as F
-
     return {r["doc_id"]: tuple(r)[1:] for r in df.select("doc_id", "n_words", "n_hit", F.size("items"), F.sha2(F.array_join("items", ",").cast("binary"), 256), (F.col("n_hit") > 0)).collect()}
 
 
@@ -18,7 +17,7 @@ def test_random_texts_against_brute_force(spark):
     say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
     items = [(i, say(n)) for i, n in enumerate([12, 10, 9, 3, 1, 30, 0, 11])] + [(98, None), (99, "zz yy " * 6)]
     docs = [(i, rng.choice(["", "- "]) + say(rng.randrange(60)) + rng.choice(["", " | " + rng.choice(items[:6])[1].upper() + ", " + say(5)])) for i in range(120)] + [(500, None), (501, ""), (502, "a " * 3000), (503, "zz yy " * 2000)]
-    got = rows(decontaminate(spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", __import__("pyspark.sql.functions").sql.functions.lit(1)), spark.createDataFrame(items, "item_id long, text string")))
+    got = rows(decontaminate(spark.createDataFrame(docs, "doc_id long, text string").withColumn("items", F.lit(1)), spark.createDataFrame(items, "item_id long, text string")))
     assert got == {i: brute_force(t, items) for i, t in docs}
 
 
