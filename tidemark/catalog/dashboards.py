@@ -11,14 +11,17 @@ from tidemark.operators import dashboard as d
 from tidemark.operators.profile import profile
 
 
-def roles_of(name):
-    sql = with_profile(name) + """, r AS (SELECT ordinal, col, CASE
+def roles_sql(name):
+    """`r`: the role of each column that has one."""
+    return with_profile(name) + """, r AS (SELECT * FROM (SELECT ordinal, col, n_distinct, CASE
       WHEN kind = 'd' THEN CASE WHEN ordinal = (SELECT min(ordinal) FROM prof WHERE kind = 'd') THEN 'date' END
       WHEN kind IN ('i', 'n', 'b') THEN CASE WHEN kind = 'i' AND n_rows > nulls AND n_distinct > 1 AND (n_distinct <= 2 OR (n_distinct <= 50 AND CAST(n_distinct AS DOUBLE) / (n_rows - nulls) <= 0.2)) THEN 'dimension'
         WHEN NOT (lower(col) = 'id' OR ends_with(lower(col), '_id')) THEN 'measure' END
-      WHEN n_distinct <= 30 THEN 'dimension' END AS role FROM prof)
-    SELECT CAST(ordinal AS INTEGER) AS ordinal, col AS "column", role FROM r WHERE role IS NOT NULL"""
-    return (lambda spark, sf: d.column_roles(profile(frame(spark, sf, name))).select("ordinal", "column", "role")), sql
+      WHEN n_distinct <= 30 THEN 'dimension' END AS role FROM prof) WHERE role IS NOT NULL)"""
+
+
+def roles_of(name):
+    return (lambda spark, sf: d.column_roles(profile(frame(spark, sf, name))).select("ordinal", "column", "role")), roles_sql(name) + 'SELECT CAST(ordinal AS INTEGER) AS ordinal, col AS "column", role FROM r'
 
 
 def exact(spark, sf, name, measure):
@@ -37,9 +40,8 @@ def kpi_texts(spark, sf):
 
 
 def measure_totals(spark, sf):
-    df, roles = exact(spark, sf, "lineitem", "l_extendedprice")
-    keep = d.Roles(roles.date, tuple(m for m in roles.measures if m not in ("l_quantity", "l_discount", "l_tax")), roles.dimensions)
-    return d.measure_totals(df, keep)
+    df = table(spark, sf, "lineitem").withColumn("l_extendedprice", money("l_extendedprice"))
+    return d.measure_totals(df, d.Roles(None, ("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"), ()))
 
 
 def recipes(name):
@@ -49,12 +51,16 @@ def recipes(name):
         counts = {r["column"]: r["n_distinct"] for r in found.collect()}
         return d.recipe_rows(df, d.chart_recipes(d.roles_of(found), counts))
 
-    return run
-
-
-def recipe_sql(*rows):
-    values = ", ".join("(" + ", ".join(x) + ")" for x in rows)
-    return f'SELECT CAST(position AS INTEGER) AS position, type, x, y, agg, CAST(top_n AS INTEGER) AS top_n, title FROM (VALUES {values}) v(position, type, x, y, agg, top_n, title)'
+    words = " ".join(f"WHEN contains(lower(col), '{w}') THEN {i}" for i, w in enumerate(d.PRIORITY))
+    sql = roles_sql(name) + f""", dims AS (SELECT col, n_distinct, row_number() OVER (ORDER BY ordinal) AS k FROM r WHERE role = 'dimension'),
+    main AS (SELECT col FROM r WHERE role = 'measure' ORDER BY CASE {words} ELSE 99 END, ordinal LIMIT 1), dt AS (SELECT col FROM r WHERE role = 'date'),
+    recs AS (SELECT 1 AS g, 'line' AS type, dt.col AS x, main.col AS y, 'sum' AS agg, CAST(NULL AS INTEGER) AS top_n, main.col || ' over time' AS title FROM dt, main
+      UNION ALL SELECT 1 + k, 'bar', dims.col, main.col, 'sum', 10, main.col || ' by ' || dims.col FROM dims, main WHERE k <= 2
+      UNION ALL SELECT 9, 'pie', dims.col, main.col, 'sum', NULL, main.col || ' share by ' || dims.col FROM dims, main WHERE k = 1 AND n_distinct <= 8
+      UNION ALL SELECT 10, 'histogram', col, NULL, 'none', NULL, 'Distribution of ' || col FROM main WHERE (SELECT count(*) FROM dt) = 0 AND (SELECT count(*) FROM dims) = 0
+      UNION ALL SELECT 11, 'bar', col, NULL, 'count', 10, 'Row count by ' || col FROM dims WHERE k = 1 AND (SELECT count(*) FROM main) = 0)
+    SELECT CAST(row_number() OVER (ORDER BY g) - 1 AS INTEGER) AS position, type, x, y, agg, top_n, title FROM recs"""
+    return run, sql
 
 
 def leaders(spark, sf):
@@ -93,11 +99,7 @@ ENTRIES = {
     "measure_totals": (measure_totals, """SELECT 0 AS position, 'Total records' AS label, CAST(count(*) AS DOUBLE) AS value, 'int' AS format FROM lineitem
         UNION ALL SELECT 1, 'Total l_orderkey', CAST(sum(l_orderkey) AS DOUBLE), 'number' FROM lineitem UNION ALL SELECT 2, 'Total l_partkey', CAST(sum(l_partkey) AS DOUBLE), 'number' FROM lineitem
         UNION ALL SELECT 3, 'Total l_suppkey', CAST(sum(l_suppkey) AS DOUBLE), 'number' FROM lineitem UNION ALL SELECT 4, 'Total l_extendedprice', CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE), 'currency' FROM lineitem"""),
-    "chart_recipes_lineitem": (recipes("lineitem"), recipe_sql(
-        ("0", "'line'", "'l_shipdate'", "'l_extendedprice'", "'sum'", "NULL", "'l_extendedprice over time'"), ("1", "'bar'", "'l_linenumber'", "'l_extendedprice'", "'sum'", "10", "'l_extendedprice by l_linenumber'"),
-        ("2", "'bar'", "'l_returnflag'", "'l_extendedprice'", "'sum'", "10", "'l_extendedprice by l_returnflag'"), ("3", "'pie'", "'l_linenumber'", "'l_extendedprice'", "'sum'", "NULL", "'l_extendedprice share by l_linenumber'"))),
-    "chart_recipes_labels": (recipes("labels"), recipe_sql(("0", "'bar'", "'quality'", "NULL", "'count'", "10", "'Row count by quality'"))),
-    "chart_recipes_none": (recipes("pages"), recipe_sql(("0", "''", "''", "''", "''", "0", "''")) + " WHERE false"),
+    **{f"chart_recipes_{n}": recipes(n) for n in ("lineitem", "labels", "supplier", "part", "events", "pages")},
     "insight_leaders": (leaders, f"""WITH {GROUPS}, o AS (SELECT *, row_number() OVER (ORDER BY v DESC, s) AS a, row_number() OVER (ORDER BY v, s DESC) AS b FROM g)
         SELECT 'total' AS kind, 'o_totalprice' AS subject, total AS value, CAST(NULL AS DOUBLE) AS share FROM t UNION ALL SELECT 'leader', s, v, round(v / total, 9) FROM o, t WHERE a = 1 UNION ALL SELECT 'lowest', s, v, round(v / total, 9) FROM o, t WHERE b = 1"""),
     "insight_trend": (trend, f"""WITH x AS (SELECT o_orderdate AS x, CAST(sum({Q}) AS DOUBLE) AS v FROM orders GROUP BY 1), e AS (SELECT arg_min(v, x) AS first, arg_max(v, x) AS last FROM x)

@@ -19,6 +19,7 @@ TABLES = {
     "events": "event_id:i ts:d user_id:i event_type:t value:n props:t",
     "documents": "doc_id:i text:t lang:t source:t n_chars:i",
     "labels": "doc_id:i quality:i toxic:i",
+    "pages": "page_id:i url:t html:t",
     "dirty": "order_id:i status:t amount:t order_date:t total:n flag:b",
 }
 COLUMNS = {name: [tuple(c.split(":")) for c in spec.split()] for name, spec in TABLES.items()}
