@@ -34,10 +34,10 @@ def propagate(members: DataFrame, shards: int, capacity: int, rounds: int = ROUN
     for step in range(1, rounds + 1):
         held = {r["label"]: r["n"] for r in state.groupBy("row").agg(F.first("label").alias("label")).groupBy("label").agg(F.count("*").alias("n")).collect()}
         full = [s for s in range(shards) if held.get(s, 0) >= 0.98 * capacity]
-        votes = written(state.groupBy("link", "label").agg(F.count("*").alias("votes")), f"votes{step}")
-        best = votes.where(~F.col("label").isin(full)).groupBy("link").agg(F.max(F.struct(F.col("votes").alias("most"), (-F.col("label")).alias("to"))).alias("best"))
-        best = written(best, f"best{step}")  # so that the join reads plain shuffles, whose hot links Spark can split
-        asks = state.join(votes, ["link", "label"]).join(best, "link")
+        votes = state.groupBy("link", "label").agg(F.count("*").alias("votes"))
+        open_best = F.max(F.when(~F.col("label").isin(full), F.struct(F.col("votes").alias("most"), (-F.col("label")).alias("to"))))
+        votes = written(votes.withColumn("best", open_best.over(Window.partitionBy("link"))), f"votes{step}")  # a link has a row a shard at most
+        asks = state.join(votes, ["link", "label"])  # plain shuffles, so that Spark can split hot links
         stronger = (F.col("best.most") > F.col("votes")) | ((F.col("best.most") == F.col("votes")) & (-F.col("best.to") < F.col("label")))
         asks = asks.where(stronger).groupBy("row").agg(F.max(F.struct(F.col("best.most").alias("most"), F.col("best.to").alias("to"), "link")).alias("ask"), F.first("label").alias("from"))
         small = F.col("ask.most") * 64 < capacity
