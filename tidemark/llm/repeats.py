@@ -17,11 +17,16 @@ its windows are counted by 128-bit hash in a shuffle, with partial sums.
 
 Defined cases: null and empty texts have no bytes; a text shorter than 400 bytes loses nothing; texts are told
 apart by two 64-bit hashes, copies share their marks; other columns pass through unless they have a result's name.
+
+Passages by words: with `words` the same steps also run over each text as a string of codes, 5 bytes of hash for each
+word between white space, with a span of so many codes; marks at word starts take the words from first to last. White
+space between the words may differ. Words of one code differ once in 2**40 pairs.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +37,7 @@ from pyspark.sql import types as T
 from tidemark.llm.base import sliced, table, text_bytes, written
 
 SPAN, GRAM = 400, 32
-WINDOW = SPAN - GRAM + 1
-HALF = WINDOW // 2 + 1
+CODE = 5
 LIMIT = 4096
 SEGMENT = 1_000_000
 CHUNK = 1_000_000
@@ -72,46 +76,49 @@ class Hasher:
         return mixed((self.total[b] - self.total[a]) * self.inverse[a] + np.asarray(salt).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def window_names(hasher: Hasher, n: int) -> np.ndarray:
-    """For each start of SPAN bytes, the place of the smallest gram inside."""
+def window_names(hasher: Hasher, n: int, span: int = SPAN) -> np.ndarray:
+    """For each start of `span` bytes, the place of the smallest gram inside."""
+    window = span - GRAM + 1
     m = n - GRAM + 1
     gram = hasher(slice(0, m), slice(GRAM, n + 1))
     low = (gram >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(m, dtype=np.uint64)
     width = 1
-    while width * 2 <= WINDOW:
+    while width * 2 <= window:
         low = np.minimum(low[:-width], low[width:])
         width *= 2
-    low = np.minimum(low[: m - WINDOW + 1], low[WINDOW - width :])
+    low = np.minimum(low[: m - window + 1], low[window - width :])
     return (low & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
 
 
-def pieces(data: np.ndarray, offsets: np.ndarray):
+def pieces(data: np.ndarray, offsets: np.ndarray, span: int = SPAN):
     """(text, from, to, key, context) of all pieces; from and to are the first and last window start in the text."""
-    for s in range(0, max(0, len(data) - SPAN + 1), SEGMENT):
-        part = data[s : s + SEGMENT + SPAN - 1]
-        if len(part) < SPAN:
+    window = span - GRAM + 1
+    middle = window // 2 + 1
+    for s in range(0, max(0, len(data) - span + 1), SEGMENT):
+        part = data[s : s + SEGMENT + span - 1]
+        if len(part) < span:
             continue
         hasher = Hasher(part)
-        name = window_names(hasher, len(part))
+        name = window_names(hasher, len(part), span)
         starts = np.arange(len(name))
         text = np.searchsorted(offsets, starts + s, "right") - 1
-        real = starts + s + SPAN <= offsets[1:][text]
-        far = name - starts >= HALF
+        real = starts + s + span <= offsets[1:][text]
+        far = name - starts >= middle
         cut = (name[1:] != name[:-1]) | (far[1:] != far[:-1]) | (text[1:] != text[:-1])
         a = np.flatnonzero(real & np.concatenate([[True], cut | ~real[:-1]]))
         b = np.flatnonzero(real & np.concatenate([cut | ~real[1:], [True]]))
         gram, half, text = name[a], far[a], text[a]
-        low, high = np.where(half, HALF, 0), np.where(half, WINDOW - 1, HALF - 1)
-        key = hasher(gram - low, gram - high + SPAN, low + 1)
-        context = hasher(a, b + SPAN, b - a + 1000)
+        low, high = np.where(half, middle, 0), np.where(half, window - 1, middle - 1)
+        key = hasher(gram - low, gram - high + span, low + 1)
+        context = hasher(a, b + span, b - a + 1000)
         yield text, a + s - offsets[text], b + s - offsets[text], key, context
 
 
-def _pieces(batches):
+def _pieces(batches, span):
     for batch in batches:
         for part in sliced(batch, 0, SEGMENT):
             one, two = part.column(1), part.column(2)
-            for text, a, b, key, context in pieces(*text_bytes(part.column(0))):
+            for text, a, b, key, context in pieces(*text_bytes(part.column(0)), span):
                 text = pa.array(text)
                 yield pa.RecordBatch.from_arrays([one.take(text), two.take(text), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(context.view(np.int64))], names=["t1", "t2", "a", "b", "key", "context"])
 
@@ -185,22 +192,22 @@ class RunLengthIndex:
             best = np.maximum(best, value[at] - (np.arange(n) - at))
         return best
 
-    def repeated(self) -> list[tuple[int, int, int]]:
-        """(string, from, to): runs of starts of SPAN bytes that also start elsewhere."""
-        long = np.concatenate([[False], self.matching_statistics() >= SPAN, [False]])
+    def repeated(self, span: int = SPAN) -> list[tuple[int, int, int]]:
+        """(string, from, to): runs of starts of `span` bytes that also start elsewhere."""
+        long = np.concatenate([[False], self.matching_statistics() >= span, [False]])
         edges = np.flatnonzero(long[1:] != long[:-1])
         string = np.searchsorted(self.begins, edges[::2], "right") - 1
         return [(k, a - int(self.begins[k]), b - 1 - int(self.begins[k])) for k, a, b in zip(string.tolist(), edges[::2].tolist(), edges[1::2].tolist())]
 
 
-def _resolve(batches):
+def _resolve(batches, span):
     """Rows (key, context, bytes), sorted by key and no key in two tasks, to marks (context, key, from, to)."""
     held, size, last = [], 0, None
 
     def marks():
         if len(held) < 2:
             return
-        found = RunLengthIndex([h[2] for h in held]).repeated()
+        found = RunLengthIndex([h[2] for h in held]).repeated(span)
         yield pa.RecordBatch.from_arrays([pa.array([held[k][1] for k, _, _ in found], pa.int64()), pa.array([held[k][0] for k, _, _ in found], pa.int64()), pa.array([a for _, a, _ in found], pa.int32()), pa.array([b for _, _, b in found], pa.int32())], names=["context", "key", "s", "e"])
 
     for batch in batches:
@@ -214,28 +221,53 @@ def _resolve(batches):
     yield from marks()
 
 
-def _windows(batches):
+def _windows(batches, span):
     """Rows (key, context, bytes) to one row for each window: (key, context, at, h1, h2)."""
     for batch in batches:
         for key, context, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            n = len(data) - SPAN + 1
-            digests = [hashlib.blake2b(data[i : i + SPAN], digest_size=16).digest() for i in range(n)]
+            n = len(data) - span + 1
+            digests = [hashlib.blake2b(data[i : i + span], digest_size=16).digest() for i in range(n)]
             h = np.frombuffer(b"".join(digests), np.int64).reshape(n, 2)
             yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["key", "context", "at", "h1", "h2"])
 
 
-def _contexts(batches):
+def _contexts(batches, span):
     """Rows (text, spans: array of (key, context, a, b)) to (key, context, bytes)."""
     for batch in batches:
         for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            data = text.encode()
+            data = text if isinstance(text, bytes) else text.encode()
             if spans:
-                yield pa.RecordBatch.from_arrays([pa.array([s["key"] for s in spans], pa.int64()), pa.array([s["context"] for s in spans], pa.int64()), pa.array([data[s["a"] : s["b"] + SPAN] for s in spans], pa.binary())], names=["key", "context", "data"])
+                yield pa.RecordBatch.from_arrays([pa.array([s["key"] for s in spans], pa.int64()), pa.array([s["context"] for s in spans], pa.int64()), pa.array([data[s["a"] : s["b"] + span] for s in spans], pa.binary())], names=["key", "context", "data"])
+
+
+def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in texts that lie one after the other; space and 0x09-0x0D are between words."""
+    word = np.zeros(len(data) + 2, bool)
+    word[1:-1] = (data != 32) & ((data < 9) | (data > 13))
+    first = np.zeros(len(data) + 1, bool)
+    first[offsets] = True  # a text's end is the next one's beginning
+    return np.flatnonzero(word[1:] & (~word[:-1] | first)), np.flatnonzero(word[:-1] & (~word[1:] | first))
+
+
+def _coded(batches):
+    """Rows (text, t1, t2) to the same with each text as the codes of its words."""
+    for batch in batches:
+        for part in sliced(batch, 0):
+            data, offsets = text_bytes(part.column(0))
+            starts, ends = word_bounds(data, offsets)
+            codes = Hasher(data)(starts, ends, ends - starts).view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes()
+            at = (np.searchsorted(starts, offsets) * CODE).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([codes[a:b] for a, b in zip(at, at[1:])], pa.binary()), part.column(1), part.column(2)], names=["text", "t1", "t2"])
 
 
-def marked_spans(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(t1, t2, spans): for each text with repeated passages its marked window starts, as arrays (from, to)."""
-    keyed = docs.where(F.octet_length(text) >= SPAN).select(F.col(text).alias("text"), *text_hashes(text))
+def marked_spans(docs: DataFrame, text: str = "text", span: int = SPAN, coded: bool = False) -> DataFrame:
+    """(t1, t2, spans): for each text with repeated passages its marked window starts, as arrays (from, to).
+
+    With `coded` the span and the starts count bytes of word codes.
+    """
+    _pieces, _contexts, _resolve, _windows = (partial(f, span=span) for f in _STEPS)
+    keyed = docs.select(F.col(text).alias("text"), *text_hashes(text)).where("text is not null")
+    keyed = (keyed.mapInArrow(_coded, "text binary, t1 long, t2 long") if coded else keyed).where(F.octet_length("text") >= span)
     every = written(keyed.mapInArrow(_pieces, "t1 long, t2 long, a int, b int, key long, context long"), "pieces")
     # Sums are written before they are joined, so that the join reads plain shuffles, whose hot keys Spark can split.
     keys = written(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
@@ -264,10 +296,22 @@ def text_hashes(text: str):
     return F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), F.col(text)).alias("t2")
 
 
-def cover(spans: list[dict]) -> list[tuple[int, int]]:
-    """Maximal removed byte ranges of marked window starts."""
+_STEPS = _pieces, _contexts, _resolve, _windows
+
+
+def word_ranges(data: bytes, spans: list[dict], words: int) -> list[tuple[int, int]]:
+    """Byte ranges of the words of marked starts of `words` word codes."""
+    if not spans:
+        return []
+    starts, ends = word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+    found = ((-(-s["from"] // CODE), s["to"] // CODE) for s in spans)
+    return [(int(starts[a]), int(ends[b + words - 1])) for a, b in found if a <= b]
+
+
+def cover(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Maximal removed byte ranges."""
     out: list[list[int]] = []
-    for a, b in sorted((s["from"], s["to"] + SPAN) for s in spans):
+    for a, b in sorted(ranges):
         if out and a <= out[-1][1]:
             out[-1][1] = max(out[-1][1], b)
         else:
@@ -275,27 +319,34 @@ def cover(spans: list[dict]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", as_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", as_text: bool = False, words: int | None = None) -> DataFrame:
     """`docs` plus removed_spans (byte ranges, flat) and kept_bytes, what is left of the text.
 
     With `as_text` there is kept_text instead; characters that a range cuts in two go from it as a whole.
+    With `words` repeated passages of so many words go too, also those of fewer bytes.
     """
     kept_name = "kept_text" if as_text else "kept_bytes"
     names = {"removed_spans", kept_name}
     source = docs.select(*[f"`{c}`" for c in docs.columns if c not in names])
     n = len(source.columns)
-    spans = marked_spans(docs, text).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("spans").alias("__spans"))
+    spans = marked_spans(docs, text).withColumn("words", F.lit(None).cast("array<struct<from:int,to:int>>"))
+    if words:
+        more = marked_spans(docs, text, words * CODE, True).select("t1", "t2", F.lit(None).cast("array<struct<from:int,to:int>>").alias("spans"), F.col("spans").alias("words"))
+        spans = spans.unionByName(more).groupBy("t1", "t2").agg(F.first("spans", True).alias("spans"), F.first("words", True).alias("words"))
+        spans = written(spans, "all_spans")
+    spans = spans.toDF("__t1", "__t2", "__spans", "__words")
     one, two = text_hashes(text)
     joined = source.withColumns({"__k1": one, "__k2": two}).join(spans, (F.col("__k1") == F.col("__t1")) & (F.col("__k2") == F.col("__t2")), "left")
-    joined = joined.select(*[f"`{c}`" for c in source.columns], "__spans")
+    joined = joined.select(*[f"`{c}`" for c in source.columns], "__spans", "__words")
     at = source.columns.index(text)
     schema = T.StructType([*source.schema.fields, T.StructField("removed_spans", T.ArrayType(T.IntegerType())), T.StructField(kept_name, T.StringType() if as_text else T.BinaryType())])
 
     def run(batches):
         for batch in batches:
             removed, kept = [], []
-            for s, marks in zip(batch.column(at).to_pylist(), batch.column(n).to_pylist()):
-                data, ranges = (s or "").encode(), cover(marks or [])
+            for s, marks, more in zip(*(batch.column(i).to_pylist() for i in (at, n, n + 1))):
+                data = (s or "").encode()
+                ranges = cover([(m["from"], m["to"] + SPAN) for m in marks or []] + word_ranges(data, more, words))
                 removed.append([x for r in ranges for x in r])
                 ends = [0, *removed[-1], len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2])))
