@@ -1,0 +1,18 @@
+import numpy as np
+
+from tidemark.llm import language_id
+
+
+def test_pruned_model_keeps_discounts_and_continuation_counts_of_all_counts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("lang is not null")
+    whole, pruned = language_id.train(docs), language_id.train(docs, max_grams=600)
+    assert len(pruned.rows[4][0]) < len(whole.rows[4][0]) / 3
+    for a, b in zip(whole.rows[1], pruned.rows[1]):
+        assert np.array_equal(a, b)
+    symbols = np.arange(language_id.SYMBOLS, dtype=np.uint64)
+    for context in (0x0020_0074_0068, 0x0001_0001_0001):
+        mass = np.exp(pruned._log_prob(symbols | np.uint64(context << 16), 4).astype(float)).sum(axis=0)
+        assert np.allclose(mass, 1, atol=1e-3)
+    rows = docs.collect()
+    right = [p[0] == r["lang"] for p, r in zip(pruned.predict([r["text"] for r in rows]), rows) if p[0] != "und"]
+    assert sum(right) >= 0.97 * len(right)

@@ -7,8 +7,9 @@ lower orders. The model holds, for each order, one sorted hash array over all la
 interpolated log-probability in each language, and one for the back-off weights of the contexts. A text takes
 the language of lowest cross-entropy per character.
 
-Size: `max_grams` bounds the four-grams of a language in the broadcast model; where a language has more, the
-rarest go first, by raising its least count. Calibration uses up to `calibration_docs` training documents.
+Size: `max_grams` bounds the grams of each order of a language in the broadcast model; where a language has more, the
+rarest go first, by raising its least count. Discounts, totals of contexts and continuation counts are those of all
+counts, and what a gram that went had of its context goes to the back-off. Calibration uses up to `calibration_docs` training documents.
 
 Rejection: the cross-entropy of a text must not lie above what training documents of the language show: more
 than `MARGIN` nats over their mean and `SPREAD` times their largest standardised excess.
@@ -104,12 +105,58 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
     return rows.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
+def discount_of(once: int, twice: int) -> float:
+    return min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.05
+
+
+def shares(keys: np.ndarray, n: np.ndarray, total: np.ndarray, discount: float):
+    """Grams, discounted share of each, contexts and their back-off weight (and the last weight).
+
+    `total` counts all grams of each gram's context; what is not among `keys` goes to the weight.
+    """
+    contexts, first, at = np.unique(keys >> np.uint64(16), return_index=True, return_inverse=True)
+    whole = total[first]
+    weight = (whole - np.bincount(at, n) + discount * np.bincount(at)) / whole
+    return keys, (n - discount) / total, contexts, weight, float(weight[0])
+
+
+def orders_of(counts: DataFrame, max_grams: int) -> dict[str, list]:
+    """For each language the `shares` of all orders, from all four-gram counts; at most about `max_grams` of an order."""
+    out: dict[str, list] = {}
+    for order in range(ORDER, 0, -1):
+        rare = counts.groupBy("lang", F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("grams"))
+        least: dict[str, int] = {}
+        total: dict[str, int] = {}
+        few: dict[tuple[str, int], int] = {}
+        for r in sorted(rare.collect(), key=lambda r: (r["lang"], -r["n"])):  # at most 10,000 rows a language
+            few[r["lang"], r["n"]] = r["grams"]
+            total[r["lang"]] = total.get(r["lang"], 0) + r["grams"]
+            if total[r["lang"]] <= max_grams or r["lang"] not in least:
+                least[r["lang"]] = r["n"]
+        if not least:
+            return out
+        context = F.shiftrightunsigned("key", 16)
+        totals = written(counts.groupBy("lang", context.alias("context")).agg(F.sum("n").alias("total")), f"totals{order}")
+        kept = counts.join(F.broadcast(counts.sparkSession.createDataFrame(list(least.items()), "lang string, least long")), "lang").where("n >= least")
+        rows = kept.withColumn("context", context).join(totals, ["lang", "context"]).select("lang", "key", "n", "total").toArrow()
+        names, keys = rows.column("lang").to_pandas().to_numpy(), rows.column("key").to_numpy().view(np.uint64)
+        n, all_n = rows.column("n").to_numpy(), rows.column("total").to_numpy()
+        for name in least:
+            at = np.flatnonzero(names == name)
+            at = at[np.argsort(keys[at])]
+            out.setdefault(name, [None] * (ORDER + 1))[order] = shares(keys[at], n[at], all_n[at], discount_of(few.get((name, 1), 0), few.get((name, 2), 0)))
+        if order > 1:  # of the next order: how many symbols precede each gram
+            lower = F.col("key").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1))
+            counts = written(counts.groupBy("lang", lower.alias("key")).agg(F.count("*").alias("n")), f"grams{order - 1}")
+    return out
+
+
 class LanguageModel:
-    """Sorted hash arrays of all orders; built from the four-gram counts of each language."""
+    """Sorted hash arrays of all orders; built from each language's four-gram counts, or its `shares` of all orders."""
 
-    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, counts: dict[str, tuple[np.ndarray, np.ndarray] | list]):
         self.langs = sorted(counts)
-        per_lang = [self._orders(*counts[name]) for name in self.langs]
+        per_lang = [c if isinstance(c, list) else self._orders(*c) for c in map(counts.get, self.langs)]
         self.rows: list[tuple[np.ndarray, np.ndarray] | None] = [None] * (ORDER + 1)
         self.weights: list[tuple[np.ndarray, np.ndarray] | None] = [None] * (ORDER + 1)
         floor = np.array([orders[1][4] for orders in per_lang])  # weight of the uniform distribution
@@ -136,12 +183,8 @@ class LanguageModel:
         """For each order: grams, discounted share of each, contexts and their back-off weight (and the last weight)."""
         out: list = [None] * (ORDER + 1)
         for order in range(ORDER, 0, -1):
-            once, twice = int((n == 1).sum()), int((n == 2).sum())
-            discount = min(0.95, max(0.05, once / (once + 2 * twice))) if once else 0.05
-            contexts, at = np.unique(keys >> np.uint64(16), return_inverse=True)
-            total, kinds = np.bincount(at, n), np.bincount(at)
-            weight = discount * kinds / total
-            out[order] = (keys, (n - discount) / total[at], contexts, weight, float(weight[0]))
+            _, at = np.unique(keys >> np.uint64(16), return_inverse=True)
+            out[order] = shares(keys, n, np.bincount(at, n)[at], discount_of(int((n == 1).sum()), int((n == 2).sum())))
             if order > 1:  # of the next order: how many symbols precede each gram
                 keys, n = np.unique(keys & np.uint64((1 << 16 * (order - 1)) - 1), return_counts=True)
         return out
@@ -220,22 +263,9 @@ class LanguageModel:
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int = MAX_GRAMS, calibration_docs: int = CALIBRATION_DOCS) -> LanguageModel | None:
     """The model of all rows of `docs` with a text and a language; None where there is none."""
     counts = written(count_grams(docs, text, lang), "grams")
-    rare = counts.groupBy("lang", F.least("n", F.lit(10_000)).alias("n")).agg(F.count("*").alias("grams"))
-    least: dict[str, int] = {}
-    total: dict[str, int] = {}
-    for r in sorted(rare.collect(), key=lambda r: (r["lang"], -r["n"])):  # at most 10,000 rows a language
-        total[r["lang"]] = total.get(r["lang"], 0) + r["grams"]
-        if total[r["lang"]] <= max_grams or r["lang"] not in least:
-            least[r["lang"]] = r["n"]
-    if not least:
+    found = orders_of(counts, max_grams)
+    if not found:
         return None
-    rows = counts.join(F.broadcast(docs.sparkSession.createDataFrame(list(least.items()), "lang string, least long")), "lang").where("n >= least").select("lang", "key", "n").toArrow()
-    names, keys, n = rows.column("lang").to_pandas().to_numpy(), rows.column("key").to_numpy().view(np.uint64), rows.column("n").to_numpy()
-    found = {}
-    for name in least:
-        at = np.flatnonzero(names == name)
-        at = at[np.argsort(keys[at])]
-        found[name] = keys[at], n[at]
     model = LanguageModel(found)
     order = F.xxhash64(text)
     some = docs.where(F.col(text).isNotNull() & F.col(lang).isin(*model.langs)).select(F.col(text).alias("text"), F.col(lang).alias("lang"), order.alias("h"))
