@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,6 +57,19 @@ def strip_symbols(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)[$,%\s]", "")
 
 
+def shape_of(form: str) -> str:
+    """What texts of a date format look like: letters as so many digits, one or two where the letter stands alone."""
+    digits = lambda m: r"\d{1,2}" if len(m[0]) == 1 else rf"\d{{{len(m[0])}}}"
+    return "^" + re.sub(r"([A-Za-z])\1*", digits, form) + r"\z"
+
+
 def to_moment(c: Column, formats: tuple[str, ...] = DATE_FORMATS) -> Column:
-    """Text as a timestamp by the first format that fits, ISO first; else null."""
-    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    """Text as a timestamp by the first format that fits, ISO first; else null.
+
+    Only texts that look like a format are parsed by it, since a failed parse costs far more than a look. Formats
+    are of digits and marks.
+    """
+    text = F.trim(c)
+    tried = F.coalesce(*[F.when(text.rlike(shape_of(f)), F.try_to_timestamp(text, F.lit(f))) for f in formats])
+    longest = max(map(len, formats)) + 2
+    return F.when(F.length(text).between(min(map(len, formats)), longest), tried).cast("timestamp_ntz")

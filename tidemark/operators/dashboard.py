@@ -109,11 +109,13 @@ def insight_leaders(df: DataFrame, roles: Roles) -> DataFrame:
     if not roles.dimensions:
         return out
     groups = grouped(df, ChartRequest(roles.dimensions[0], main)).select(F.col("x").cast("string").alias("subject"), F.col("value").cast("double").alias("value"))
-    top = groups.orderBy(F.desc("value"), F.asc("subject")).limit(1).withColumn("kind", F.lit("leader"))
-    low = groups.orderBy(F.asc("value"), F.desc("subject")).limit(1).withColumn("kind", F.lit("lowest"))
-    low = low.join(F.broadcast(top.select(F.col("subject").alias("other"))), F.col("subject") != F.col("other")).drop("other")
-    both = top.unionByName(low).crossJoin(F.broadcast(total))  # one row each
-    return out.unionByName(both.select("kind", "subject", "value", F.try_divide("value", "total").alias("share")))
+    # Both ends by one aggregate: the leader has the largest sum and first name, the lowest the smallest sum and last name.
+    place = F.struct((-F.col("value")).alias("minus"), "subject")
+    ends = groups.where("value is not null").agg(F.min(place).alias("leader"), F.max(place).alias("lowest"))
+    row = total.crossJoin(F.broadcast(ends))  # one row each
+    cell = lambda kind: F.struct(F.lit(kind).alias("kind"), F.col(f"{kind}.subject").alias("subject"), (-F.col(f"{kind}.minus")).alias("value"))
+    both = row.select("total", "leader", F.explode(F.array(cell("leader"), cell("lowest"))).alias("x")).where("x.kind = 'leader' or x.subject <> leader.subject")
+    return out.unionByName(both.where("x.subject is not null").select("x.*", F.try_divide("x.value", "total").alias("share")))
 
 
 def insight_trend(df: DataFrame, roles: Roles) -> DataFrame:

@@ -64,6 +64,14 @@ def _sampled(df: DataFrame, texts: list[str], order: str) -> DataFrame:
     )
 
 
+def _countable(field: T.StructField) -> Column:
+    """The value as a grouping key: long texts by two 64-bit hashes, so that no shuffle carries them."""
+    c = value_of(field)
+    if type_class(field.dataType) != TEXT:
+        return c
+    return F.when(F.octet_length(c) > 32, F.concat(F.hex(F.xxhash64(c)), F.lit("/"), F.hex(F.xxhash64(F.lit(1), c)))).otherwise(c)
+
+
 def profile(df: DataFrame, distinct: str = "exact", sample_order: str | None = None) -> DataFrame:
     """One row a column: ordinal, column, dtype, class, n_rows, nulls, null_pct, n_distinct, is_pk_candidate, sql_type,
     is_pii, date_like, number_like, number_seen.
@@ -77,7 +85,7 @@ def profile(df: DataFrame, distinct: str = "exact", sample_order: str | None = N
     names = ("nulls", "max_len", "max_abs", "pii_hits", "date_hits", "number_hits")
     one = df.agg(F.count("*").alias("n_rows"), *[m.alias(f"{n}_{i}") for i, f in enumerate(fields) for n, m in zip(names, _measures(f, sample_order is None))])
     countable = [i for i, f in enumerate(fields) if "map<" not in f.dataType.simpleString() and f.dataType.simpleString() != "variant"]
-    two = df.agg(*[count(value_of(fields[i])).alias(f"distinct_{i}") for i in countable]) if countable else None
+    two = df.agg(*[count(_countable(fields[i])).alias(f"distinct_{i}") for i in countable]) if countable else None
     row = one.crossJoin(F.broadcast(two)) if two is not None else one  # one row each
     cell = lambda i, f: F.struct(
         F.lit(i).alias("ordinal"), F.lit(f.name).alias("column"), F.lit(f.dataType.simpleString()).alias("dtype"), F.lit(type_class(f.dataType)).alias("class"), F.col("n_rows"),
@@ -140,13 +148,20 @@ def column_facts(df: DataFrame, column: str, order: str, n: int = 5) -> DataFram
     return base.crossJoin(F.broadcast(firsts)).select(F.lit(f.dataType.simpleString()).alias("dtype"), "*")
 
 
-def numeric_summary(df: DataFrame) -> DataFrame:
-    """(column, count, mean, std, min, p25, p50, p75, max) of each numeric column; quartiles interpolate."""
+def numeric_summary(df: DataFrame, exact: bool = True) -> DataFrame:
+    """(column, count, mean, std, min, p25, p50, p75, max) of each numeric column; quartiles interpolate.
+
+    Exact quartiles hold the different values of a column with their counts; without `exact` a sketch of bounded size
+    gives values of the table within a ten-thousandth of its ranks.
+    """
     fields = [f for f in df.schema.fields if type_class(f.dataType) == NUMERIC]
-    parts = lambda c: (F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), F.percentile(c, F.lit(0.25)), F.percentile(c, F.lit(0.5)), F.percentile(c, F.lit(0.75)), F.max(c))
-    names = ("count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    share = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    parts = lambda c: (F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), F.max(c), F.percentile(c, share) if exact else F.percentile_approx(c, share, 10_000))
+    names = ("count", "mean", "std", "min", "max", "quartiles")
+    kinds = {"count": "long", "quartiles": "array<double>"}
     if not fields:
         return df.sparkSession.createDataFrame([], "column string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
-    row = df.agg(*[x.cast("long" if n == "count" else "double").alias(f"{n}_{i}") for i, f in enumerate(fields) for n, x in zip(names, parts(value_of(f).cast("double")))])
+    row = df.agg(*[x.cast(kinds.get(n, "double")).alias(f"{n}_{i}") for i, f in enumerate(fields) for n, x in zip(names, parts(value_of(f).cast("double")))])
     cells = [F.struct(F.lit(f.name).alias("column"), *[F.col(f"{n}_{i}").alias(n) for n in names]) for i, f in enumerate(fields)]
-    return row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    rows = row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    return rows.select("column", "count", "mean", "std", "min", *[F.get("quartiles", i).alias(p) for i, p in enumerate(("p25", "p50", "p75"))], "max")
