@@ -2,27 +2,62 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 SLICE_BYTES = 1_000_000
+BATCH_ROWS = 1_000  # rows of an Arrow batch, unless the session says otherwise than Spark's default
+CHECKED_ROWS = 500_000  # rows of two longs that may be broadcast: about 40 MB as a hash table
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_tasks(run: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """`run` for mapInArrow; at its end the worker, which lives on, gives the memory back that it does not use."""
+
+    @functools.wraps(run)
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+                trim(0)
+
+    return task
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """`df`, whose session takes fewer rows to a Python worker at once: texts are long."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    return df
+
+
+def checked(df: DataFrame) -> DataFrame:
+    """A written table of a few longs a row, marked for broadcast if its rows are few enough; else joined as Spark sees fit."""
+    return F.broadcast(df) if df.count() <= CHECKED_ROWS else df
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where it is unset a local one of a local master (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -75,4 +110,4 @@ def appended(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]], m
             for part in sliced(batch, batch.num_columns - 1):
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *function(part.column(part.num_columns - 1))], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(in_tasks(run), schema)

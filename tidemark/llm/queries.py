@@ -19,4 +19,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op2_topk": topk.OP2_SQL, "op6_chat_format": chat_format.OP6_SQL, "op7_url_filter": url_filter.OP7_SQL, "op8_decontaminate": decontaminate.OP8_SQL}
+    return {"op2_topk": topk.OP2_SQL, "op6_chat_format": chat_format.OP6_SQL, "op7_url_filter": url_filter.OP7_SQL, "op8_decontaminate": decontaminate.OP8_SQL, "op10_repeats": repeats.OP10_SQL}

@@ -9,11 +9,13 @@
    its runs with their ends sampled. Only at run ends a common prefix is measured on the bytes; inside a run it
    is one less than that of the position before. So the matching statistics of each context against all others
    are streamed from the samples, and window starts with a match of 400 bytes or more are marked.
-4. Marks go back to all texts with such a piece, and the covered bytes out of the texts.
+4. A key of more than `LIMIT` different contexts is cut finer: windows are told apart by where the gram lies in them,
+   in parts half as wide, which lengthens the core, and steps 2 and 3 are taken again under the new keys. The last
+   core is a window, under which there is one context. So no task gets more than `LIMIT` contexts of one key.
+5. Marks go back to all texts with such a piece, and the covered bytes out of the texts.
 
-Keys are 64-bit hashes and only route; that two contexts are equal is taken from a 64-bit hash of each
-together with their key, 128 bits. A key with more than `LIMIT` different contexts is not indexed in one task:
-its windows are counted by 128-bit hash in a shuffle, with partial sums.
+Keys and contexts are XXH3 hashes of their bytes under different seeds, 128 bits together; the sums from which the
+grams' hashes come only choose names.
 
 Defined cases: null and empty texts have no bytes; a text shorter than 400 bytes loses nothing; texts are told
 apart by two 64-bit hashes, copies share their marks; other columns pass through unless they have a result's name.
@@ -30,17 +32,19 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import sliced, table, text_bytes, written
+from tidemark.llm.base import in_tasks, sliced, small_batches, table, text_bytes, written
 
 SPAN, GRAM = 400, 32
 CODE = 5
-LIMIT = 4096
-SEGMENT = 1_000_000
-CHUNK = 1_000_000
+PASSAGE = 51  # words
+LIMIT = 256
+SEGMENT = 500_000
+CHUNK = 500_000
 PLACE_BITS = 24
 
 _ODD = 0x9E3779B97F4A7C15
@@ -72,8 +76,8 @@ class Hasher:
         np.cumsum((data.astype(np.uint64) + np.uint64(1)) * powers(_ODD, n), out=self.total[1:])
         self.inverse = powers(_INVERSE, n + 1)
 
-    def __call__(self, a, b, salt=0) -> np.ndarray:
-        return mixed((self.total[b] - self.total[a]) * self.inverse[a] + np.asarray(salt).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    def __call__(self, a, b) -> np.ndarray:
+        return mixed((self.total[b] - self.total[a]) * self.inverse[a])
 
 
 def window_names(hasher: Hasher, n: int, span: int = SPAN) -> np.ndarray:
@@ -90,10 +94,33 @@ def window_names(hasher: Hasher, n: int, span: int = SPAN) -> np.ndarray:
     return (low & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64)
 
 
+def digests(data: np.ndarray, a: np.ndarray, b: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+    """XXH3 of the bytes from each a up to b, as signed longs."""
+    view = memoryview(np.ascontiguousarray(data))
+    found = (xxhash.xxh3_64_intdigest(view[x:y], s) for x, y, s in zip(a.tolist(), b.tolist(), seeds.tolist()))
+    return np.fromiter(found, np.uint64, len(a)).view(np.int64)
+
+
+def part_widths(span: int) -> list[int]:
+    """How many places of the gram in its window one key stands for, level by level."""
+    out = [(span - GRAM + 1) // 2 + 1]
+    while out[-1] > 1:
+        out.append(-(-out[-1] // 2))
+    return out
+
+
+def named(data: np.ndarray, first: np.ndarray, last: np.ndarray, gram: np.ndarray, width: int, span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Key and context of runs of window starts, from first to last, that have one gram in one part of so many places."""
+    part = (gram - first) // width
+    low = part * width
+    high = np.minimum(low + width, span - GRAM + 1) - 1
+    key = digests(data, gram - low, gram - high + span, (part << 10) + width)
+    return key, digests(data, first, last + span, np.full(len(first), 1 << 20))
+
+
 def pieces(data: np.ndarray, offsets: np.ndarray, span: int = SPAN):
     """(text, from, to, key, context) of all pieces; from and to are the first and last window start in the text."""
-    window = span - GRAM + 1
-    middle = window // 2 + 1
+    width = part_widths(span)[0]
     for s in range(0, max(0, len(data) - span + 1), SEGMENT):
         part = data[s : s + SEGMENT + span - 1]
         if len(part) < span:
@@ -103,24 +130,32 @@ def pieces(data: np.ndarray, offsets: np.ndarray, span: int = SPAN):
         starts = np.arange(len(name))
         text = np.searchsorted(offsets, starts + s, "right") - 1
         real = starts + s + span <= offsets[1:][text]
-        far = name - starts >= middle
+        far = (name - starts) // width
         cut = (name[1:] != name[:-1]) | (far[1:] != far[:-1]) | (text[1:] != text[:-1])
         a = np.flatnonzero(real & np.concatenate([[True], cut | ~real[:-1]]))
         b = np.flatnonzero(real & np.concatenate([cut | ~real[1:], [True]]))
-        gram, half, text = name[a], far[a], text[a]
-        low, high = np.where(half, middle, 0), np.where(half, window - 1, middle - 1)
-        key = hasher(gram - low, gram - high + span, low + 1)
-        context = hasher(a, b + span, b - a + 1000)
+        text = text[a]
+        key, context = named(part, a, b, name[a], width, span)
         yield text, a + s - offsets[text], b + s - offsets[text], key, context
 
 
-def _pieces(batches, span):
+def _strings(column: pa.Array, coded: bool) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all rows and their offsets; with `coded` those of the word codes."""
+    data, offsets = text_bytes(column)
+    if not coded:
+        return data, offsets
+    starts, ends = word_bounds(data, offsets)
+    codes = mixed(Hasher(data)(starts, ends) + (ends - starts).astype(np.uint64))
+    return np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 8)[:, :CODE]).ravel(), np.searchsorted(starts, offsets) * CODE
+
+
+def _pieces(batches, span, coded):
     for batch in batches:
         for part in sliced(batch, 0, SEGMENT):
             one, two = part.column(1), part.column(2)
-            for text, a, b, key, context in pieces(*text_bytes(part.column(0)), span):
+            for text, a, b, key, context in pieces(*_strings(part.column(0), coded), span):
                 text = pa.array(text)
-                yield pa.RecordBatch.from_arrays([one.take(text), two.take(text), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(key.view(np.int64)), pa.array(context.view(np.int64))], names=["t1", "t2", "a", "b", "key", "context"])
+                yield pa.RecordBatch.from_arrays([one.take(text), two.take(text), pa.array(a.astype(np.int32)), pa.array(b.astype(np.int32)), pa.array(key), pa.array(context)], names=["t1", "t2", "a", "b", "key", "context"])
 
 
 class RunLengthIndex:
@@ -135,33 +170,45 @@ class RunLengthIndex:
         self.ends = (self.begins + self.sizes)[owner]
         self.order = self._suffixes(n, int(self.sizes.max(initial=0)))
         before = self.data[self.order - 1].astype(np.int16)
-        before[np.isin(self.order, self.begins)] = -1  # the beginning of a string goes on with no other
+        first = np.zeros(n, bool)
+        first[self.begins] = True
+        before[first[self.order]] = -1  # the beginning of a string goes on with no other
         head = np.ones(n, bool)
         head[1:] = (before[1:] != before[:-1]) | (before[1:] < 0) | (before[:-1] < 0)
         self.heads = np.flatnonzero(head)  # first suffix of each run; the one before it is the last of the run above
 
     def _suffixes(self, n: int, longest: int) -> np.ndarray:
-        """Places of all suffixes in order, by doubling; each suffix ends with its string."""
-        place = np.arange(n)
+        """Places of all suffixes in order, by doubling; each suffix ends with its string.
+
+        Up to a million places a word and its place are sorted as one number, which is much faster than their order.
+        """
+        place, bits = np.arange(n, dtype=np.uint64), n.bit_length()
+        left = self.ends - place.astype(np.int64)
+
+        def ordered(word, size):
+            if size + bits > 64:
+                order = np.argsort(word)
+                return order, word[order]
+            both = np.sort(word << np.uint64(bits) | place)
+            return (both & np.uint64((1 << bits) - 1)).astype(np.int64), both >> np.uint64(bits)
+
+        width = 5
         word = np.zeros(n, np.uint64)
-        left = self.ends - place
-        for i in range(7):  # seven bytes and how many are real, so that an end comes before any byte
+        for i in range(width):  # five bytes and how many are real, so that an end comes before any byte
             byte = np.zeros(n, np.uint64)
             byte[: n - i] = self.data[i:]
-            word |= np.where(left > i, byte, 0).astype(np.uint64) << np.uint64(8 * (7 - i))
-        word |= np.minimum(left, 7).astype(np.uint64)
-        order, width = np.argsort(word, kind="stable"), 7
+            word |= np.where(left > i, byte, 0).astype(np.uint64) << np.uint64(8 * (width - 1 - i) + 3)
+        order, found = ordered(word | np.minimum(left, width).astype(np.uint64), 43)
         while True:
-            new = np.concatenate([[False], word[order][1:] != word[order][:-1]])
-            rank = np.empty(n, np.uint64)
-            rank[order] = np.cumsum(new).astype(np.uint64) + np.uint64(1)
+            new = np.concatenate([[False], found[1:] != found[:-1]])
             if width > longest or new.sum() == n - 1:
                 return order
+            rank = np.empty(n, np.uint64)
+            rank[order] = np.cumsum(new).astype(np.uint64) + np.uint64(1)
             rest = np.zeros(n, np.uint64)
             inside = np.flatnonzero(left > width)
             rest[inside] = rank[inside + width]
-            word = rank << np.uint64(32) | rest
-            order = np.argsort(word, kind="stable")
+            order, found = ordered(rank << np.uint64(bits) | rest, 2 * bits)
             width *= 2
 
     def common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -221,23 +268,41 @@ def _resolve(batches, span):
     yield from marks()
 
 
-def _windows(batches, span):
-    """Rows (key, context, bytes) to one row for each window: (key, context, at, h1, h2)."""
+def _contexts(batches, span, coded):
+    """Rows (text, spans: array of (key, context, a, b, size)) to (key, context, size, data)."""
     for batch in batches:
-        for key, context, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            n = len(data) - span + 1
-            digests = [hashlib.blake2b(data[i : i + span], digest_size=16).digest() for i in range(n)]
-            h = np.frombuffer(b"".join(digests), np.int64).reshape(n, 2)
-            yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array([context] * n, pa.int64()), pa.array(np.arange(n, dtype=np.int32)), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy())], names=["key", "context", "at", "h1", "h2"])
-
-
-def _contexts(batches, span):
-    """Rows (text, spans: array of (key, context, a, b)) to (key, context, bytes)."""
+        for part in sliced(batch, 0, SEGMENT):
+            data, offsets = _strings(part.column(0), coded)
+            spans = part.column(1)
+            row = np.repeat(np.arange(len(spans)), np.asarray(spans.value_lengths()))
+            flat = spans.flatten()
+            begin = offsets[row] + flat.field("a").to_numpy()
+            end = offsets[row] + flat.field("b").to_numpy() + span
+            view = memoryview(np.ascontiguousarray(data))
+            found = pa.array([bytes(view[x:y]) for x, y in zip(begin.tolist(), end.tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([flat.field("key"), flat.field("context"), flat.field("size"), found], names=["key", "context", "size", "data"])
+
+
+def _finer(batches, span, level):
+    """Rows (key, context, data) of contexts to their parts at a level: (k0, c0, shift, last, key, context, data)."""
+    width = part_widths(span)[level]
     for batch in batches:
-        for text, spans in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            data = text if isinstance(text, bytes) else text.encode()
-            if spans:
-                yield pa.RecordBatch.from_arrays([pa.array([s["key"] for s in spans], pa.int64()), pa.array([s["context"] for s in spans], pa.int64()), pa.array([data[s["a"] : s["b"] + span] for s in spans], pa.binary())], names=["key", "context", "data"])
+        for part in sliced(batch, 2, SEGMENT):
+            data, offsets = text_bytes(part.column(2))
+            name = window_names(Hasher(data), len(data), span)
+            starts = np.arange(len(name))
+            row = np.searchsorted(offsets, starts, "right") - 1
+            real = starts + span <= offsets[1:][row]
+            place = (name - starts) // width
+            cut = (place[1:] != place[:-1]) | (row[1:] != row[:-1])
+            a = np.flatnonzero(real & np.concatenate([[True], cut | ~real[:-1]]))
+            b = np.flatnonzero(real & np.concatenate([cut | ~real[1:], [True]]))
+            row = row[a]
+            key, context = named(data, a, b, name[a], width, span)
+            view = memoryview(np.ascontiguousarray(data))
+            inside = pa.array([bytes(view[x : y + span]) for x, y in zip(a.tolist(), b.tolist())], pa.binary())
+            index = pa.array(row)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(index), part.column(1).take(index), pa.array((a - offsets[row]).astype(np.int32)), pa.array((b - a).astype(np.int32)), pa.array(key), pa.array(context), inside], names=["k0", "c0", "shift", "last", "key", "context", "data"])
 
 
 def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,15 +314,30 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.flatnonzero(word[1:] & (~word[:-1] | first)), np.flatnonzero(word[:-1] & (~word[1:] | first))
 
 
-def _coded(batches):
-    """Rows (text, t1, t2) to the same with each text as the codes of its words."""
-    for batch in batches:
-        for part in sliced(batch, 0):
-            data, offsets = text_bytes(part.column(0))
-            starts, ends = word_bounds(data, offsets)
-            codes = Hasher(data)(starts, ends, ends - starts).view(np.uint8).reshape(-1, 8)[:, :CODE].tobytes()
-            at = (np.searchsorted(starts, offsets) * CODE).tolist()
-            yield pa.RecordBatch.from_arrays([pa.array([codes[a:b] for a, b in zip(at, at[1:])], pa.binary()), part.column(1), part.column(2)], names=["text", "t1", "t2"])
+def _many(rows: DataFrame) -> DataFrame:
+    """`rows`, to be dealt by key to so many tasks that each has some thousand contexts."""
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, rows.count() // 4096), "key")
+
+
+def _marks(data: DataFrame, span: int, level: int = 0) -> DataFrame:
+    """(context, key, s, e): marked window starts of contexts (key, context, size, data); size counts those of the key."""
+    usual = _many(data.where(F.col("size") <= LIMIT).select("key", "context", "data")).sortWithinPartitions("key", "context")
+    marks = usual.mapInArrow(in_tasks(partial(_resolve, span=span)), "context long, key long, s int, e int")
+    hot = data.where(F.col("size") > LIMIT).select("key", "context", "data")
+    if level + 1 == len(part_widths(span)) or hot.isEmpty():
+        return marks
+    parts = hot.mapInArrow(in_tasks(partial(_finer, span=span, level=level + 1)), "k0 long, c0 long, shift int, last int, key long, context long, data binary")
+    parts = written(parts, f"parts{level + 1}")
+    counts = written(parts.groupBy("key", "context").agg(F.count("*").alias("n")), f"counts{level + 1}")
+    sizes = written(counts.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{level + 1}")
+    own = parts.select(F.col("c0").alias("context"), F.col("k0").alias("key"), F.col("shift").alias("s"), (F.col("shift") + F.col("last")).alias("e"), F.struct("key", "context").alias("part"))
+    named_part = lambda df: df.withColumn("part", F.struct("key", "context"))
+    whole = own.join(named_part(counts.where("n > 1")).select("part"), "part").drop("part")
+    deeper = written(_marks(written(parts.dropDuplicates(["key", "context"]).join(sizes, "key").select("key", "context", "size", "data"), f"data{level + 1}"), span, level + 1), f"marks{level + 1}")
+    deeper = named_part(deeper.join(counts.where("n = 1").drop("n"), ["key", "context"])).select("part", F.col("s").alias("from"), F.col("e").alias("to"))
+    deeper = own.join(deeper, "part").select("context", "key", (F.col("s") + F.col("from")).alias("s"), (F.col("s") + F.col("to")).alias("e"))
+    return marks.unionByName(whole).unionByName(deeper)
 
 
 def marked_spans(docs: DataFrame, text: str = "text", span: int = SPAN, coded: bool = False) -> DataFrame:
@@ -265,10 +345,8 @@ def marked_spans(docs: DataFrame, text: str = "text", span: int = SPAN, coded: b
 
     With `coded` the span and the starts count bytes of word codes.
     """
-    _pieces, _contexts, _resolve, _windows = (partial(f, span=span) for f in _STEPS)
-    keyed = docs.select(F.col(text).alias("text"), *text_hashes(text)).where("text is not null")
-    keyed = (keyed.mapInArrow(_coded, "text binary, t1 long, t2 long") if coded else keyed).where(F.octet_length("text") >= span)
-    every = written(keyed.mapInArrow(_pieces, "t1 long, t2 long, a int, b int, key long, context long"), "pieces")
+    keyed = small_batches(docs).select(F.col(text).alias("text"), *text_hashes(text)).where(F.octet_length("text") >= (2 * span // CODE - 1 if coded else span))
+    every = written(keyed.mapInArrow(in_tasks(partial(_pieces, span=span, coded=coded)), "t1 long, t2 long, a int, b int, key long, context long"), "pieces")
     # Sums are written before they are joined, so that the join reads plain shuffles, whose hot keys Spark can split.
     keys = written(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
     kept = written(every.join(keys, "key"), "kept")
@@ -277,17 +355,12 @@ def marked_spans(docs: DataFrame, text: str = "text", span: int = SPAN, coded: b
     buckets = written(contexts.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = contexts.join(buckets, "key").select("at.t1", "at.t2", F.struct("key", "context", "at.a", "at.b", "size").alias("span"))
     members = written(members.groupBy("t1", "t2").agg(F.collect_list("span").alias("spans")), "members")
-    data = keyed.join(members, ["t1", "t2"]).select("text", "spans").mapInArrow(_contexts, "key long, context long, data binary")
-    data = written(data.dropDuplicates(["key", "context"]).join(buckets, "key"), "data")
-    usual = data.where(F.col("size") <= LIMIT).select("key", "context", "data").repartition("key").sortWithinPartitions("key", "context")
-    marks = usual.mapInArrow(_resolve, "context long, key long, s int, e int")
-    windows = data.where(F.col("size") > LIMIT).select("key", "context", "data").mapInArrow(_windows, "key long, context long, at int, h1 long, h2 long")
-    again = written(windows.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2"), "again")
-    large = windows.join(again, ["h1", "h2"]).select("context", "key", F.col("at").alias("s"), F.col("at").alias("e"))
+    data = keyed.join(members, ["t1", "t2"]).select("text", "spans").mapInArrow(in_tasks(partial(_contexts, span=span, coded=coded)), "key long, context long, size long, data binary")
+    data = written(data.dropDuplicates(["key", "context"]), "data")
+    marks = _marks(data, span)
     whole = contexts.where("n > 1").select("context", "key", F.lit(0).alias("s"), (F.col("at.b") - F.col("at.a")).alias("e"))
     single = contexts.where("n = 1").select("context", "key")
-    part = marks.unionByName(large).join(single, ["context", "key"])
-    marks = whole.unionByName(part.select(*whole.columns))
+    marks = written(whole.unionByName(marks.join(single, ["context", "key"]).select(*whole.columns)), "marks")
     spans = kept.join(marks, ["context", "key"]).select("t1", "t2", F.struct((F.col("a") + F.col("s")).alias("from"), (F.col("a") + F.col("e")).alias("to")).alias("span"))
     return written(spans.distinct().groupBy("t1", "t2").agg(F.collect_list("span").alias("spans")), "spans")
 
@@ -296,16 +369,10 @@ def text_hashes(text: str):
     return F.xxhash64(text).alias("t1"), F.xxhash64(F.lit(1), F.col(text)).alias("t2")
 
 
-_STEPS = _pieces, _contexts, _resolve, _windows
-
-
-def word_ranges(data: bytes, spans: list[dict], words: int) -> list[tuple[int, int]]:
-    """Byte ranges of the words of marked starts of `words` word codes."""
-    if not spans:
-        return []
-    starts, ends = word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
-    found = ((-(-s["from"] // CODE), s["to"] // CODE) for s in spans)
-    return [(int(starts[a]), int(ends[b + words - 1])) for a, b in found if a <= b]
+def word_ranges(spans: list[dict] | None, words: int | None) -> list[tuple[int, int]]:
+    """Maximal ranges of words that marked starts of `words` word codes cover."""
+    found = ((-(-s["from"] // CODE), s["to"] // CODE) for s in spans or [])
+    return cover([(a, b + words) for a, b in found if a <= b])
 
 
 def cover(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -319,15 +386,16 @@ def cover(ranges: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", as_text: bool = False, words: int | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", as_text: bool = False, words: int | None = None, cut_words: bool = True) -> DataFrame:
     """`docs` plus removed_spans (byte ranges, flat) and kept_bytes, what is left of the text.
 
     With `as_text` there is kept_text instead; characters that a range cuts in two go from it as a whole.
-    With `words` repeated passages of so many words go too, also those of fewer bytes.
+    With `words` passage_spans holds the ranges, counted in words, of repeated passages of so many words, whatever
+    their bytes; with `cut_words` they are removed as well.
     """
     kept_name = "kept_text" if as_text else "kept_bytes"
-    names = {"removed_spans", kept_name}
-    source = docs.select(*[f"`{c}`" for c in docs.columns if c not in names])
+    added = [("passage_spans", T.ArrayType(T.IntegerType()))] * bool(words) + [("removed_spans", T.ArrayType(T.IntegerType())), (kept_name, T.StringType() if as_text else T.BinaryType())]
+    source = docs.select(*[f"`{c}`" for c in docs.columns if c not in dict(added)])
     n = len(source.columns)
     spans = marked_spans(docs, text).withColumn("words", F.lit(None).cast("array<struct<from:int,to:int>>"))
     if words:
@@ -339,27 +407,55 @@ def remove_repeats(docs: DataFrame, text: str = "text", as_text: bool = False, w
     joined = source.withColumns({"__k1": one, "__k2": two}).join(spans, (F.col("__k1") == F.col("__t1")) & (F.col("__k2") == F.col("__t2")), "left")
     joined = joined.select(*[f"`{c}`" for c in source.columns], "__spans", "__words")
     at = source.columns.index(text)
-    schema = T.StructType([*source.schema.fields, T.StructField("removed_spans", T.ArrayType(T.IntegerType())), T.StructField(kept_name, T.StringType() if as_text else T.BinaryType())])
+    schema = T.StructType([*source.schema.fields, *(T.StructField(*f) for f in added)])
 
     def run(batches):
-        for batch in batches:
-            removed, kept = [], []
-            for s, marks, more in zip(*(batch.column(i).to_pylist() for i in (at, n, n + 1))):
+        for part in (p for batch in batches for p in sliced(batch, at)):
+            removed, kept, passages = [], [], []
+            for s, marks, more in zip(*(part.column(i).to_pylist() for i in (at, n, n + 1))):
                 data = (s or "").encode()
-                ranges = cover([(m["from"], m["to"] + SPAN) for m in marks or []] + word_ranges(data, more, words))
-                removed.append([x for r in ranges for x in r])
+                ranges, by_words = [(m["from"], m["to"] + SPAN) for m in marks or []], word_ranges(more, words)
+                passages.append([x for r in by_words for x in r])
+                if by_words and cut_words:
+                    starts, ends = word_bounds(np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+                    ranges += [(int(starts[a]), int(ends[b - 1])) for a, b in by_words]
+                removed.append([x for r in cover(ranges) for x in r])
                 ends = [0, *removed[-1], len(data)]
                 kept.append(b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2])))
             left = pa.array([k.decode(errors="ignore") for k in kept], pa.string()) if as_text else pa.array(kept, pa.binary())
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(removed, pa.list_(pa.int32())), left], names=schema.names)
+            lists = [pa.array(x, pa.list_(pa.int32())) for x in ([passages] * bool(words) + [removed])]
+            yield pa.RecordBatch.from_arrays([*part.columns[:n], *lists, left], names=schema.names)
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(in_tasks(run), schema)
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """The contract's columns, and n_passage_words: words in passages of over 50 words that also start elsewhere; by bytes alone they stay."""
+    out = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), words=PASSAGE, cut_words=False)
     size, left = F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint"), F.octet_length("kept_bytes")
-    return out.select("doc_id", size.alias("n_bytes"), (size - left).alias("n_removed"), (F.size("removed_spans") / 2).cast("bigint").alias("n_spans"), F.sha2("kept_bytes", 256).alias("kept_sha256"))
+    passages = F.aggregate("passage_spans", F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(-1).cast("bigint").alias("sign")), lambda a, x: F.struct((a["sum"] + a["sign"] * x).alias("sum"), (-a["sign"]).alias("sign")))["sum"]
+    return out.select(
+        "doc_id", size.alias("n_bytes"), (size - left).alias("n_removed"), (F.size("removed_spans") / 2).cast("bigint").alias("n_spans"),
+        F.sha2("kept_bytes", 256).alias("kept_sha256"), passages.alias("n_passage_words"),
+    )
+
+
+OP10_SQL = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS h,
+                  regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+win AS (SELECT r, s, md5(b[s + 1 : s + {SPAN}]) AS x FROM d, unnest(range(0, greatest(octet_length(b) - {SPAN - 1}, 0))) t(s)),
+starts AS (SELECT r, s FROM win WHERE x IN (SELECT x FROM win GROUP BY x HAVING count(*) > 1)),
+steps AS (SELECT r, s, CASE WHEN s <= lag(s) OVER (PARTITION BY r ORDER BY s) + {SPAN} THEN 0 ELSE 1 END AS new FROM starts),
+runs AS (SELECT r, min(s) AS a, max(s) + {SPAN} AS z FROM (SELECT r, s, sum(new) OVER (PARTITION BY r ORDER BY s) AS k FROM steps) GROUP BY r, k),
+gaps AS (SELECT r, a, z, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM runs),
+cut AS (SELECT r, sum(z - a) AS n_removed, count(*) AS n_spans, max(z) AS tail, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS head FROM gaps JOIN d USING (r) GROUP BY r),
+pw AS (SELECT r, k, md5(array_to_string(list_slice(w, k, k + {PASSAGE - 1}), ' ')) AS x FROM d, unnest(range(1, greatest(len(w) - {PASSAGE - 2}, 1))) t(k)),
+pk AS (SELECT r, k FROM pw WHERE x IN (SELECT x FROM pw GROUP BY x HAVING count(*) > 1)),
+pn AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(k, k + {PASSAGE})) AS p FROM pk) GROUP BY r)
+SELECT doc_id, CAST(octet_length(b) AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+       sha256(CASE WHEN head IS NULL THEN b ELSE unhex(head || substr(h, 2 * tail + 1)) END) AS kept_sha256, coalesce(n, 0) AS n_passage_words
+FROM d LEFT JOIN cut USING (r) LEFT JOIN pn USING (r)
+"""
 
 
 def brute_force(rows: list[tuple[int, str | None]], span: int = SPAN) -> dict[int, tuple[int, int, int, str]]:
