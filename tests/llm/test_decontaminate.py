@@ -21,13 +21,13 @@ def test_random_texts_against_brute_force(spark):
     assert got == {i: brute_force(t, items) for i, t in docs}
 
 
-def test_parts_give_the_same(spark, tmp_path):
+def test_without_a_look_up_first_it_is_the_same(spark):
     rng = random.Random(5)
     say = lambda n: " ".join(str(rng.randrange(40)) for _ in range(n))
     items = [(i, say(20)) for i in range(12)]
     docs = [(i, say(8) + " " + items[i % 12][1] + " " + items[(i * 5) % 12][1]) for i in range(40)]
     a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    assert rows(decontaminate(a, b, max_part_bytes=300)) == {i: brute_force(t, items) for i, t in docs}
+    assert rows(decontaminate(a, b, checked_prints=-1)) == {i: brute_force(t, items) for i, t in docs}
 
 
 def test_given_tables(spark):
@@ -39,6 +39,12 @@ def test_given_tables(spark):
     assert got == want and any(w[1] for w in want.values())
 
 
+def test_repeated_words_take_no_pairs(spark):
+    docs = [(1, "tide " * 20_000), (2, "tide " * 9), (3, "low " + "tide " * 10)]
+    got = rows(decontaminate(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([("a", "tide " * 500), ("b", "tide " * 400)], "item_id string, text string")))
+    assert {i: r[:3] for i, r in got.items()} == {1: (20_000, 20_000, 2), 2: (9, 0, 0), 3: (11, 10, 2)}
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert rows(decontaminate(docs, items)) == {}

@@ -3,11 +3,15 @@
 Texts are lower-cased (A-Z) and cut into words. Each sliding window of WINDOW k-grams (K words each) keeps its
 smallest k-gram hash, all of equal ones. Two texts that share K + WINDOW - 1 = 10 words share a kept
 fingerprint, so every shared span of 10 words is met when documents' and items' fingerprints are joined.
-A met pair is extended along its diagonal, word by word, and checked on the bytes themselves; runs of 10 words
-or more are hits. Items shorter than 10 words are one n-gram and are looked up as such.
 
-The items' fingerprints go to every task in parts of a checked size; a benchmark of more text than
-`max_part_bytes` takes several passes, each over all documents.
+1. Fingerprints of all items, and of all documents, are joined by Spark. If the items have few enough, tasks look
+   them up first, so that only what can meet leaves a task; that choice changes the work, not the result.
+2. What a document's fingerprint met is extended to the windows of 10 words around it. These are joined with the
+   items' windows on the words themselves, so no hash decides. Items of fewer words are one window of that many.
+3. A document's hit words are the union of its windows that some item has; its items are counted apart from where
+   they hit, so neither repeated words nor repeated items multiply.
+
+Documents are told apart by two 64-bit hashes of their texts, so equal texts are looked at as one.
 
 Defined cases: null and empty texts have no words and no hits; items without words hit nothing; repeated items
 count each by its own id, a null item id is ignored; other columns pass through unless they have a result's name.
@@ -16,19 +20,18 @@ count each by its own id, a null item id is ignored; other columns pass through
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import SLICE_BYTES, sliced, table, text_bytes, written
+from tidemark.llm.base import CHECKED_ROWS, SLICE_BYTES, in_tasks, sliced, small_batches, table, text_bytes, written
 
 K, WINDOW = 5, 6
 SPAN = K + WINDOW - 1
-MAX_PART_BYTES = 32_000_000
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before A-Z are lower-cased
 
 _ODD = 0x9E3779B97F4A7C15
 _INVERSE = pow(_ODD, -1, 1 << 64)
@@ -112,114 +115,120 @@ class Words:
         return at, gram[at]
 
 
-class BenchmarkIndex:
-    """Fingerprints of some items, sorted, with the items' words to extend hits."""
-
-    def __init__(self, items: Iterable[tuple[str, str]]):
-        items = sorted((str(i), t) for i, t in items if i is not None and t)
-        self.ids = [i for i, _ in items]
-        raw = [t.encode() for _, t in items]
-        self.words = Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-        counts = np.diff(self.words.bounds)
-        at, hashes = self.words.winnowed()
-        long = counts[self.words.text[at]] >= SPAN
-        order = np.argsort(hashes[long], kind="stable")
-        self.prints, self.places = hashes[long][order], at[long][order]
-        self.short: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-        for n in sorted({int(c) for c in counts if 0 < c < SPAN}):
-            at = self.words.bounds[:-1][counts == n]
-            hashes = self.words.grams(n)[at]
-            order = np.argsort(hashes, kind="stable")
-            self.short[n] = hashes[order], at[order]
-
-    @staticmethod
-    def pairs(sorted_hashes: np.ndarray, places: np.ndarray, at: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """All (document position, item position) with equal hash."""
-        lo, hi = np.searchsorted(sorted_hashes, hashes), np.searchsorted(sorted_hashes, hashes, "right")
-        n = hi - lo
-        k = np.flatnonzero(n)
-        n = n[k]
-        which = np.repeat(lo[k] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        return np.repeat(at[k], n), places[which]
-
-    def hits(self, doc: Words) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-        """Spans of hit words as (from, to), and (text, item) of the items that occur."""
-        mine, spans, found = self.words, [], set()
-        p, q = self.pairs(self.prints, self.places, *doc.winnowed()) if len(self.prints) else (np.empty(0, np.int64),) * 2
-        for text, item, shift in np.unique(np.stack([doc.text[p], mine.text[q], p - q], 1), axis=0).tolist():
-            a = max(doc.bounds[text], mine.bounds[item] + shift)
-            b = min(doc.bounds[text + 1], mine.bounds[item + 1] + shift)
-            same = np.concatenate([[False], doc.hash[a:b] == mine.hash[a - shift : b - shift], [False]])
-            edges = np.flatnonzero(same[1:] != same[:-1])
-            for x, y in zip(edges[::2].tolist(), edges[1::2].tolist()):
-                if y - x >= SPAN and doc.bytes(a + x, a + y) == mine.bytes(a + x - shift, a + y - shift):
-                    spans.append((int(a + x), int(a + y)))
-                    found.add((text, item))
-        for n, (hashes, places) in self.short.items():
-            gram = doc.grams(n)
-            at = np.flatnonzero(gram != _LAST)
-            p, q = self.pairs(hashes, places, at, gram[at])
-            for x, y in zip(p.tolist(), q.tolist()):
-                if doc.bytes(x, x + n) == mine.bytes(y, y + n):
-                    spans.append((x, x + n))
-                    found.add((int(doc.text[x]), int(mine.text[y])))
-        return spans, sorted(found)
-
-
-def _scan(column: pa.Array, index: BenchmarkIndex, before: tuple[list, list] | None):
-    words = Words(*text_bytes(column))
-    spans, found = index.hits(words)
-    n = len(column)
-    own_spans: list[list[int]] = [[] for _ in range(n)]
-    own_items: list[list[str]] = [[] for _ in range(n)]
-    if before:
-        own_spans, own_items = [list(x) for x in before[0]], [list(x) for x in before[1]]
-    for a, b in spans:
-        text = int(words.text[a])
-        own_spans[text] += [a - int(words.bounds[text]), b - int(words.bounds[text])]
-    for text, item in found:
-        own_items[text].append(index.ids[item])
-    hit = []
-    for flat in own_spans:
-        total, end = 0, 0
-        for a, b in sorted(zip(flat[::2], flat[1::2])):
-            total += max(0, b - max(a, end))
-            end = max(end, b)
-        hit.append(total)
-    return [
-        pa.array(np.diff(words.bounds), pa.int64()), pa.array(own_spans, pa.list_(pa.int32())),
-        pa.array([sorted(set(x)) for x in own_items], pa.list_(pa.string())), pa.array(hit, pa.int64()),
-    ]
+def _item_windows(batches):
+    """Rows (id, text) to the windows (id, n, gram) of items; an item of fewer words than SPAN is one."""
+    for part in (p for batch in batches for p in sliced(batch, 1, SLICE_BYTES // 4)):
+        words = Words(*text_bytes(part.column(1)))
+        of, sizes, grams = [], [], []
+        for i, (a, b) in enumerate(zip(words.bounds[:-1].tolist(), words.bounds[1:].tolist())):
+            if n := min(SPAN, b - a):
+                found = {words.bytes(k, k + n) for k in range(a, b - n + 1)}
+                of += [i] * len(found)
+                sizes += [n] * len(found)
+                grams += found
+        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(of, pa.int64())), pa.array(sizes, pa.int32()), pa.array(grams, pa.binary())], names=["id", "n", "gram"])
+
+
+def _prints(words: Words, short: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, words, hash): kept fingerprints, and all grams of the given fewer words."""
+    at, found = words.winnowed()
+    parts = [(at, np.full(len(at), SPAN, np.int32), found)]
+    for n in short:
+        gram = words.grams(n)
+        at = np.flatnonzero(gram != _LAST)
+        parts.append((at, np.full(len(at), n, np.int32), gram[at]))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _item_prints(batches, short):
+    """Rows (id, text) to the prints (n, hash) of items; those of SPAN words have fingerprints."""
+    for part in (p for batch in batches for p in sliced(batch, 1)):
+        words = Words(*text_bytes(part.column(1)))
+        size = np.minimum(np.diff(words.bounds), SPAN)
+        at, n, found = _prints(words, short)
+        own = size[words.text[at]] == n
+        yield pa.RecordBatch.from_arrays([pa.array(n[own]), pa.array(found[own].view(np.int64))], names=["n", "hash"])
+
+
+def _doc_prints(batches, short, known):
+    """Rows (text, t1, t2) to (t1, t2, n, hash, at), without those not in `known` where that is given."""
+    for part in (p for batch in batches for p in sliced(batch, 0)):
+        words = Words(*text_bytes(part.column(0)))
+        at, n, found = _prints(words, short)
+        if known is not None:
+            held = known.value
+            place = np.minimum(np.searchsorted(held, found), len(held) - 1) if len(held) else np.zeros(len(found), np.int64)
+            keep = held[place] == found if len(held) else np.zeros(len(found), bool)
+            at, n, found = at[keep], n[keep], found[keep]
+        text = words.text[at]
+        row = pa.array(text)
+        yield pa.RecordBatch.from_arrays([part.column(1).take(row), part.column(2).take(row), pa.array(n), pa.array(found.view(np.int64)), pa.array((at - words.bounds[text]).astype(np.int32))], names=["t1", "t2", "n", "hash", "at"])
+
+
+def _around(batches):
+    """Rows (text, t1, t2, met: array of (n, at)) to the windows (t1, t2, n, s, gram) that have what was met."""
+    for part in (p for batch in batches for p in sliced(batch, 0, SLICE_BYTES // 4)):
+        words = Words(*text_bytes(part.column(0)))
+        of, sizes, starts, grams = [], [], [], []
+        for i, met in enumerate(part.column(3).to_pylist()):
+            first, total = int(words.bounds[i]), int(words.bounds[i + 1] - words.bounds[i])
+            places = {(m["n"], s) for m in met for s in (range(max(0, m["at"] - SPAN + K), m["at"] + 1) if m["n"] == SPAN else (m["at"],))}
+            for n, s in sorted(places):
+                if s + n <= total:
+                    of.append(i)
+                    sizes.append(n)
+                    starts.append(s)
+                    grams.append(words.bytes(first + s, first + s + n))
+        row = pa.array(of, pa.int64())
+        yield pa.RecordBatch.from_arrays([part.column(1).take(row), part.column(2).take(row), pa.array(sizes, pa.int32()), pa.array(starts, pa.int32()), pa.array(grams, pa.binary())], names=["t1", "t2", "n", "s", "gram"])
 
 
 FIELDS = [("n_words", T.LongType()), ("hit_spans", T.ArrayType(T.IntegerType())), ("items", T.ArrayType(T.StringType())), ("n_hit", T.LongType())]
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", max_part_bytes: int = MAX_PART_BYTES, drop: bool = False) -> DataFrame:
-    """`docs` plus n_words, hit_spans (from, to, from, to, ... in words), items (ids, sorted) and n_hit."""
+def found_in(keyed: DataFrame, items: DataFrame, checked_prints: int = CHECKED_ROWS) -> DataFrame:
+    """(t1, t2, hit_spans, n_hit, items) of the texts (text, t1, t2) that have a window of an item (id, text)."""
+    spark = keyed.sparkSession
+    own = written(small_batches(items).mapInArrow(in_tasks(_item_windows), "id string, n int, gram binary"), "item_windows")
+    short = sorted(r["n"] for r in own.select("n").distinct().where(F.col("n") < SPAN).collect())  # at most nine numbers
+    prints = written(items.mapInArrow(in_tasks(lambda b: _item_prints(b, short)), "n int, hash long").distinct(), "item_prints")
+    known = None
+    if prints.count() <= checked_prints:
+        known = spark.sparkContext.broadcast(np.sort(prints.select("hash").distinct().toPandas()["hash"].to_numpy(np.int64).view(np.uint64)))
+    met = keyed.mapInArrow(in_tasks(lambda b: _doc_prints(b, short, known)), "t1 long, t2 long, n int, hash long, at int")
+    met = met.join(prints, ["n", "hash"]).groupBy("t1", "t2").agg(F.collect_set(F.struct("n", "at")).alias("met"))
+    met = written(met, "met")
+    windows = keyed.join(met, ["t1", "t2"]).select("text", "t1", "t2", "met").mapInArrow(in_tasks(_around), "t1 long, t2 long, n int, s int, gram binary")
+    grams = own.select("n", "gram").distinct()
+    hits = written(windows.distinct().join(grams, ["n", "gram"]), "hits")
+    # Where: the union of the hit windows.
+    order = Window.partitionBy("t1", "t2").orderBy("s", "n")
+    end = F.col("s") + F.col("n")
+    steps = hits.select("t1", "t2", "s", "n", end.alias("e"), F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)).alias("before"))
+    steps = steps.withColumn("run", F.sum(F.when(F.col("s") <= F.col("before"), 0).otherwise(1)).over(order))
+    runs = steps.groupBy("t1", "t2", "run").agg(F.min("s").alias("s"), F.max("e").alias("e"))
+    where = runs.groupBy("t1", "t2").agg(F.sum(F.col("e") - F.col("s")).alias("n_hit"), F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("s", "e"))), lambda x: F.array(x["s"], x["e"]))).alias("hit_spans"))
+    which = hits.select("t1", "t2", "n", "gram").distinct().join(own, ["n", "gram"]).groupBy("t1", "t2").agg(F.sort_array(F.collect_set("id")).alias("items"))
+    return written(where.join(which, ["t1", "t2"]), "found")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", drop: bool = False, checked_prints: int = CHECKED_ROWS) -> DataFrame:
+    """`docs` plus n_words, hit_spans (from, to, from, to, ... in words), items (ids, sorted) and n_hit.
+
+    `checked_prints`: up to so many fingerprints of items are looked up in tasks before the join.
+    """
     items = benchmark.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text")).where("id is not null and text is not null")
-    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("id"))).first()[0] or 0
-    parts = max(1, -(-size // max_part_bytes))
+    one, two = F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))
+    keyed = small_batches(docs).select(F.col(text).alias("text"), one.alias("t1"), two.alias("t2")).where("text is not null")
+    found = found_in(keyed, items, checked_prints).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("hit_spans").alias("__spans"), F.col("n_hit").alias("__hit"), F.col("items").alias("__items"))
     names = {n for n, _ in FIELDS}
-    source = docs.select(*[f"`{c}`" for c in docs.columns if c not in names and not (drop and parts == 1 and c == text)], docs[text].alias("__text"))
-    out, width = source, len(source.columns)
-    for i in range(parts):
-        rows = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(parts)) == i).collect()
-        index = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in rows])
-        last = i == parts - 1
-        schema = T.StructType([*source.schema.fields[: width - last], *(T.StructField(*f) for f in FIELDS)])
-
-        def run(batches, index=index, last=last, names=schema.names, more=i > 0):
-            found = BenchmarkIndex(index.value)
-            for batch in batches:
-                for part in sliced(batch, width - 1):
-                    before = (part.column(width + 1).to_pylist(), part.column(width + 2).to_pylist()) if more else None
-                    yield pa.RecordBatch.from_arrays([*part.columns[: width - last], *_scan(part.column(width - 1), found, before)], names=names)
-
-        out = out.mapInArrow(run, schema)
-        if not last:
-            out = written(out, f"part{i}")
-    return out.drop(text) if drop and parts > 1 else out
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names and not (drop and c == text)]
+    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    out = docs.select(*kept, words.alias("n_words"), one.alias("__k1"), two.alias("__k2"), F.col(text).isNotNull().alias("__some"))
+    out = out.join(found, F.col("__some") & (F.col("__k1") == F.col("__t1")) & (F.col("__k2") == F.col("__t2")), "left")
+    none = {n: F.array().cast(t) for n, t in FIELDS if isinstance(t, T.ArrayType)}
+    found_columns = [F.coalesce("__spans", none["hit_spans"]).alias("hit_spans"), F.coalesce("__items", none["items"]).alias("items"), F.coalesce("__hit", F.lit(0)).cast("long").alias("n_hit")]
+    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names and not (drop and c == text)], "n_words", *found_columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
