@@ -102,7 +102,7 @@ def test_given_tables(spark):
     out = op5_pieces(spark, "/root/testdata/sf0.001")
     rows = out.collect()
     assert len(rows) == 400 and all(r["round_trip"] for r in rows)
-    assert len({(r["doc_id"], r["ids_hash"]) for r in rows}) == 400
+    assert len({(r["doc_id"], tuple(r["ids"])) for r in rows}) == 400
 
 
 def test_empty(spark):

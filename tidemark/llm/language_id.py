@@ -11,8 +11,9 @@ Size: `max_grams` bounds the grams of each order of a language in the broadcast
 rarest go first, by raising its least count. Discounts, totals of contexts and continuation counts are those of all
 counts, and what a gram that went had of its context goes to the back-off. Calibration uses up to `calibration_docs` training documents.
 
-Rejection: the cross-entropy of a text must not lie above what training documents of the language show: more
-than `MARGIN` nats over their mean and `SPREAD` times their largest standardised excess.
+Rejection: the cross-entropy of a text must not lie above what labelled texts of the language show that were left
+out of the counts: more than `MARGIN` nats over their mean and `SPREAD` times the standardised excess that 99 in a
+hundred of them keep within.
 
 Defined cases: null texts and texts without letters are `und` with score 0 and rejected; without any training
 document all are `und`; null languages train nothing; documents of any length are scored whole.
@@ -27,12 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import appended, sliced, table, written
+from tidemark.llm.base import appended, in_tasks, sliced, small_batches, table, written
 
 ORDER = 4
 PAD, SPACE, BEYOND = 1, 32, 2
 MAX_GRAMS, CALIBRATION_DOCS = 1_000_000, 20_000
-MARGIN, SPREAD = 0.8, 2.0
+HELD = 1_500_000  # grams that a task sums up before it hands them on
+LEFT_OUT = 20  # one text in so many, at most, calibrates and is not counted
+MARGIN, SPREAD, USUAL = 0.8, 2.0, 0.99
 SYMBOLS = 65_536
 _fold: list[np.ndarray] = []
 
@@ -81,8 +84,17 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
         held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
 
         def merge(parts):
-            keys, at = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            return [(keys, np.bincount(at, np.concatenate([n for _, n in parts]), len(keys)).astype(np.int64))]
+            keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([n for _, n in parts])
+            order = np.argsort(keys)
+            keys = keys[order]
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            return [(keys[first], np.add.reduceat(n[order], first))]
+
+        def summed():
+            for name, parts in held.items():
+                for keys, n in merge(parts):
+                    yield pa.RecordBatch.from_arrays([pa.array([name]).take(pa.array(np.zeros(len(keys), np.int32))), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "key", "n"])
+            held.clear()
 
         for batch in batches:
             for part in sliced(batch, 0):
@@ -95,14 +107,16 @@ def count_grams(docs: DataFrame, text: str, lang: str) -> DataFrame:
                         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
                         parts = held.setdefault(name, [])
                         parts.append((key[at], np.diff(np.append(at, len(key)))))
-                        if sum(len(k) for k, _ in parts) > 2_000_000 or len(parts) > 64:
+                        if len(parts) > 32:
                             held[name] = merge(parts)
-        for name, parts in held.items():
-            for keys, n in merge(parts):
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n)], names=["lang", "key", "n"])
+                if sum(len(k) for parts in held.values() for k, _ in parts) > HELD:
+                    held.update({name: merge(parts) for name, parts in held.items()})
+                    if sum(len(k) for parts in held.values() for k, _ in parts) > HELD // 2:
+                        yield from summed()
+        yield from summed()
 
-    rows = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
-    return rows.mapInArrow(run, "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
+    rows = small_batches(docs).where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(text).alias("text"), F.col(lang).alias("lang"))
+    return rows.mapInArrow(in_tasks(run), "lang string, key long, n long").groupBy("lang", "key").agg(F.sum("n").alias("n"))
 
 
 def discount_of(once: int, twice: int) -> float:
@@ -241,8 +255,9 @@ class LanguageModel:
             if (at := truth == j).any():
                 self.mean[j] = np.average(own[at], weights=n[at])
                 z = (own[at] - self.mean[j]) * np.sqrt(n[at])
-                self.deviation[j] = max(1e-9, np.sqrt((z**2).mean()))
-                self.excess[j] = max(3.0, (z / self.deviation[j]).max())
+                # Quantiles, so that a few long texts under a wrong label do not set the bar for all others.
+                self.deviation[j] = max(1e-9, np.quantile(np.abs(z), 0.68))
+                self.excess[j] = max(3.0, np.quantile(z / self.deviation[j], USUAL))
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float, float, bool]]:
         """(language, score, cross-entropy, rejected) of each text."""
@@ -262,15 +277,17 @@ class LanguageModel:
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: int = MAX_GRAMS, calibration_docs: int = CALIBRATION_DOCS) -> LanguageModel | None:
     """The model of all rows of `docs` with a text and a language; None where there is none."""
-    counts = written(count_grams(docs, text, lang), "grams")
+    labelled = docs.where(F.col(text).isNotNull() & F.col(lang).isNotNull())
+    n_labelled = labelled.count()
+    share = min(1 / LEFT_OUT, calibration_docs / max(1, n_labelled))
+    left_out = F.pmod(F.xxhash64(text), F.lit(1_000_000)) < int(1e6 * share) + 1
+    counts = written(count_grams(labelled.where(~left_out) if n_labelled > 40 * LEFT_OUT else labelled, text, lang), "grams")
     found = orders_of(counts, max_grams)
     if not found:
         return None
     model = LanguageModel(found)
-    order = F.xxhash64(text)
-    some = docs.where(F.col(text).isNotNull() & F.col(lang).isin(*model.langs)).select(F.col(text).alias("text"), F.col(lang).alias("lang"), order.alias("h"))
-    count = some.count()
-    some = some.where(F.pmod("h", F.lit(1_000_000)) < int(1e6 * min(1.0, calibration_docs / max(1, count))) + 1).select("text", "lang")
+    some = labelled.where(left_out if n_labelled > 40 * LEFT_OUT else F.lit(True)).where(F.col(lang).isin(*model.langs))
+    some = small_batches(some).select(F.col(text).alias("text"), F.col(lang).alias("lang")).distinct()  # a hot text counts once
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def measure(batches):
@@ -280,7 +297,8 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_grams: in
                 entropy, n = own.entropies(part.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array(n.astype(np.int64)), pa.array(entropy.tolist(), pa.list_(pa.float64()))], names=["lang", "n", "entropy"])
 
-    seen = some.mapInArrow(measure, "lang string, n long, entropy array<double>").where("n > 0").limit(2 * calibration_docs).toPandas()
+    seen = some.mapInArrow(in_tasks(measure), "lang string, n long, entropy array<double>").where("n > 0").limit(2 * calibration_docs).toPandas()
+    shared.destroy()
     if len(seen):
         model.calibrate(np.stack(seen.entropy.to_numpy()), seen.n.to_numpy(), np.array([model.langs.index(x) for x in seen.lang]))
     return model

@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding: distinct sampled segmentations by Gumbel top-k without replacement.
 
 The lattice of a text has an edge for each vocabulary piece that matches there, and for a character without a
-piece one edge of its byte pieces. A piece's weight is that of its rank in the vocabulary by Zipf's law (the
-vocabularies are rank-scored), so a segmentation's probability is the product of its weights, normalised over
-the lattice by backward sums. Where no piece joins two characters the lattice falls into fields, and equal
+piece one edge of its byte pieces. A piece's log-weight is its score in the model times `scale`; without a scale it
+is that of the piece's rank by Zipf's law, since the scores of merge vocabularies are ranks and no log-probabilities.
+So a segmentation's probability is the product of its weights, normalised over the lattice by backward sums. Where no piece joins two characters the lattice falls into fields, and equal
 fields share their sums.
 
 The k segmentations with the largest log-probability plus Gumbel noise are found best first (perturbed A*): a
@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import sliced, table
+from tidemark.llm.base import in_tasks, sliced, small_batches, table
 
-SAMPLES, SLICE = 2, 500_000
+SAMPLES, SLICE = 2, 250_000
 MARK = "▁"
 _P = np.uint64(0x9E3779B97F4A7C15)
 
@@ -53,7 +53,7 @@ def uniform(seed: np.ndarray, place: np.ndarray, salt: int) -> np.ndarray:
 class Vocabulary:
     """Pieces as hashes of their prefixes, which characters pieces join, and the weights."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, scale: float | None = None):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         n = model.get_piece_size()
         usual = [i for i in range(n) if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
@@ -64,8 +64,12 @@ class Vocabulary:
                 self.byte_id[int(self.pieces[i][1:-1], 16)] = i
         order = sorted(usual, key=lambda i: (-model.get_score(i), i))
         self.weight = np.full(n, -np.inf)
-        self.weight[order] = -np.log(np.arange(len(order)) + 2.0)
-        self.byte_weight = -float(np.log(n + 2.0))
+        if scale is None:
+            self.weight[order] = -np.log(np.arange(len(order)) + 2.0)
+            self.byte_weight = -float(np.log(n + 2.0))
+        else:
+            self.weight[order] = [scale * model.get_score(i) for i in order]
+            self.byte_weight = float(self.weight[order].min()) - scale
         letters = sorted({c for i in usual for c in self.pieces[i]})
         number = {c: k + 1 for k, c in enumerate(letters)}
         self.number = np.zeros(0x110000, np.int32)
@@ -134,8 +138,8 @@ class Vocabulary:
 
 
 @functools.lru_cache(2)
-def vocabulary_of(path: str) -> Vocabulary:
-    return Vocabulary(path)
+def vocabulary_of(path: str, scale: float | None = None) -> Vocabulary:
+    return Vocabulary(path, scale)
 
 
 class Lattices:
@@ -382,7 +386,7 @@ def sample(lattices: Lattices, seeds: np.ndarray, k: int) -> tuple[list[Path], n
 FIELDS = [("sample", T.IntegerType()), ("ids", T.ArrayType(T.IntegerType())), ("log_prob", T.DoubleType()), ("perturbed", T.DoubleType()), ("inclusion", T.DoubleType()), ("round_trip", T.BooleanType())]
 
 
-def encode_samples(docs: DataFrame, model: str, key: str, text: str = "text", k: int = SAMPLES, seed: int = 0, drop: bool = True) -> DataFrame:
+def encode_samples(docs: DataFrame, model: str, key: str, text: str = "text", k: int = SAMPLES, seed: int = 0, drop: bool = True, scale: float | None = None) -> DataFrame:
     """One row for each row of `docs` and sample: ids, log_prob, perturbed value, inclusion probability, round_trip.
 
     `round_trip` says that decoding the ids gives the text. `model` is a file that each Python worker can read.
@@ -393,12 +397,12 @@ def encode_samples(docs: DataFrame, model: str, key: str, text: str = "text", k:
     schema = T.StructType([*source.schema.fields[:width], *(T.StructField(*f) for f in FIELDS)])
 
     def run(batches):
-        words = vocabulary_of(model)
+        words = vocabulary_of(model, scale)
         for batch in batches:
             for part in sliced(batch, width, SLICE):
                 yield _samples(part, width, words, k, schema.names)
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(in_tasks(run), schema)
 
 
 def _samples(part: pa.RecordBatch, width: int, words: Vocabulary, k: int, names: list[str]) -> pa.RecordBatch:
@@ -444,7 +448,7 @@ def decode_pieces(rows: DataFrame, model: str, ids: str = "ids", to: str = "deco
             found = [None if x is None else words.decode(np.array(x, np.int64))[1:].decode() for x in batch.column(batch.num_columns - 1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.string())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return small_batches(source).mapInArrow(in_tasks(run), schema)
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -452,4 +456,4 @@ def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = encode_samples(docs, public_tokenizers.path("piece_bpe_32k.model"), "doc_id")
-    return out.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_hash"), "log_prob", "perturbed", "inclusion", "round_trip")
+    return out.select("doc_id", "sample", F.size("ids").cast("long").alias("n_pieces"), "ids", "log_prob", "perturbed", "inclusion", "round_trip")

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import appended, table, written
+from tidemark.llm.base import appended, in_tasks, table, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 LIMIT = 4096
@@ -166,7 +166,7 @@ def links(prints: DataFrame) -> DataFrame:
         ready.append(rows.select(F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other")).alias("key"), "fp"))
     out = None
     for part in ready:
-        found = part.repartition("key").sortWithinPartitions("key").mapInArrow(_forests, "a long, b long")
+        found = part.repartition("key").sortWithinPartitions("key").mapInArrow(in_tasks(_forests), "a long, b long")
         out = found if out is None else out.unionByName(found)
     return out.distinct()
 

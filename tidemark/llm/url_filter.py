@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.base import in_tasks
+
 #: The production rules (host, path, verdict).
 RULES = [
     ("com", "/", "allow"),
@@ -139,7 +141,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]],
             rule, verdict = index.judge(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], names=schema.names)
 
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(in_tasks(run), schema)
 
 
 def _joined(source: DataFrame, rules: DataFrame) -> DataFrame:
