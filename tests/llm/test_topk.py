@@ -30,7 +30,7 @@ def brute(rows, k=10):
 @pytest.mark.parametrize("block", [64, 32768])
 def test_ties_copies_and_bad_vectors(spark, monkeypatch, block):
     monkeypatch.setattr(topk, "BLOCK", block)
-    monkeypatch.setattr(topk, "BATCH", 2)
+    monkeypatch.setattr(topk, "LEAST", block)
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(0, 0.1, 6).round(1).tolist()) for i in range(300)]
     rows += [(i, [0.5] * 6) for i in range(300, 400)] + [(400, [0.5] * 6), (401, None), (402, [None] * 6), (500, [float("nan")] * 6), (501, [float("inf")] * 6), (600, [0.0] * 6)]

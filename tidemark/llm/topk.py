@@ -6,8 +6,9 @@ carry-save adders at the weights of the query's bits, which leaves the slices of
 rows. The k best are selected from the most significant slice downward. Every row that the quantisation error
 leaves in doubt is then scored exactly, so the result is exact.
 
-Rows are dealt to blocks of about `BLOCK` by a hash and queries to batches of `BATCH`; each block meets each
-batch once. Equal vectors are one row of the index with its k + 1 smallest ids.
+Rows are dealt to blocks of at most about `BLOCK` by a hash, each row once. A block's rows come to one task, which
+makes their index, and then the queries, which stream through it. So what is shuffled is the rows, and the queries
+once for each block. Equal vectors are one row of the index with its k + 1 smallest ids.
 
 Defined cases: vectors that are null, or hold null or non-finite components, and rows with a null id take no
 part; shorter vectors count as ended by zeros; equal rows count once; ties go to the smaller id; fewer than k
@@ -21,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.base import table, written
+from tidemark.llm.base import in_tasks, table, written
 
-BLOCK, BATCH, SLICES = 32_768, 256, 7
+BLOCK, LEAST, SLICES = 65_536, 2_048, 7
 
 
 def integer_vectors(rows: DataFrame, id: str, vector: str, scale: int = 1024) -> DataFrame:
@@ -33,6 +34,10 @@ def integer_vectors(rows: DataFrame, id: str, vector: str, scale: int = 1024) ->
     return usable.select(F.col(id).cast("long").alias("id"), F.transform(vector, lambda x: F.floor(F.lit(float(scale)) * x.cast("double")).cast("long")).alias("v"))
 
 
+def widest(column: pa.Array) -> int:
+    return int(np.asarray(column.value_lengths()).max(initial=0))
+
+
 def matrix(column: pa.Array, width: int) -> np.ndarray:
     values, offsets = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(column.offsets)
     offsets, counts = offsets - offsets[0], np.diff(offsets)
@@ -118,35 +123,59 @@ class SlicedIndex:
         return np.flatnonzero(np.unpackbits((over | equal).view(np.uint8), bitorder="little"))
 
 
-def search_block(rows: pa.Table, queries: pa.Table, k: int) -> pa.Table:
-    """Best k rows of a block for each query of a batch; `rows` has v and ids, `queries` id and v."""
-    ids, query_ids = rows.column("ids").combine_chunks(), queries.column("id").to_pylist()
-    widths = [len(x) for t in (rows, queries) for x in t.column("v").to_pylist()]
-    width = max(widths, default=0)
-    index = SlicedIndex(matrix(rows.column("v").combine_chunks(), width))
-    wanted = matrix(queries.column("v").combine_chunks(), width)
-    flat, offsets = ids.flatten().to_numpy(zero_copy_only=False), np.asarray(ids.offsets)
-    flat, offsets = flat, offsets - offsets[0]
-    least = flat[offsets[:-1]]
-    found: list[tuple[int, np.ndarray, np.ndarray]] = []
-    for own, query in zip(query_ids, wanted):
-        at = index.in_doubt(query, k + 1)
-        score = index.vectors[at] @ query
-        best = np.lexsort((least[at], -score))[: k + 1]
+class Block:
+    """The index of a block's rows; `v` are their vectors, `ids` the ids of each."""
+
+    def __init__(self, v: pa.Array, ids: pa.Array):
+        self.index = SlicedIndex(matrix(v, widest(v)))
+        self.ids, self.offsets = ids.flatten().to_numpy(zero_copy_only=False), np.asarray(ids.offsets)
+        self.offsets = self.offsets - self.offsets[0]
+        self.least = self.ids[self.offsets[:-1]]
+
+    def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and scores of the k best rows but the query's own."""
+        at = self.index.in_doubt(query, k + 1)
+        score = self.index.vectors[at] @ query
+        best = np.lexsort((self.least[at], -score))[: k + 1]
         at, score = at[best], score[best]
-        counts = offsets[at + 1] - offsets[at]
-        member = np.concatenate([flat[offsets[i] : offsets[i + 1]] for i in at.tolist()]) if len(at) else np.empty(0, np.int64)
-        score = np.repeat(score, counts)
+        member = np.concatenate([self.ids[self.offsets[i] : self.offsets[i + 1]] for i in at.tolist()]) if len(at) else np.empty(0, np.int64)
+        score = np.repeat(score, self.offsets[at + 1] - self.offsets[at])
         keep = member != own
         member, score = member[keep], score[keep]
         best = np.lexsort((member, -score))[:k]
-        found.append((own, member[best], score[best]))
-    n = [len(m) for _, m, _ in found]
-    return pa.table({
-        "query_id": np.repeat(np.array(query_ids, np.int64), n),
-        "vec_id": np.concatenate([m for _, m, _ in found]).astype(np.int64) if found else np.empty(0, np.int64),
-        "score": np.concatenate([s for _, _, s in found]).astype(np.int64) if found else np.empty(0, np.int64),
-    })
+        return member[best], score[best]
+
+
+def _searched(k: int):
+    """Rows (block, id, ids, v), a block's rows (without id) before its queries (without ids), to (query_id, vec_id, score)."""
+
+    def run(batches):
+        held, block, number = [], None, None
+        for batch in batches:
+            blocks, is_query = np.asarray(batch.column(0)), np.asarray(batch.column(1).is_valid())
+            cuts = np.flatnonzero((blocks[1:] != blocks[:-1]) | (is_query[1:] != is_query[:-1])) + 1
+            for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+                if b == a:
+                    continue
+                part = batch.slice(a, b - a)
+                if number != blocks[a]:
+                    held, block, number = [], None, blocks[a]
+                if not is_query[a]:
+                    held.append(part)
+                    continue
+                if block is None and held:
+                    rows = pa.Table.from_batches(held).combine_chunks()
+                    block, held = Block(rows.column("v").combine_chunks(), rows.column("ids").combine_chunks()), []
+                if block is None:
+                    continue
+                ids, vectors = part.column(1).to_pylist(), part.column(3)
+                width = block.index.dims
+                queries = matrix(vectors, max(width, widest(vectors)))[:, :width]
+                found = [block.search(own, query, k) for own, query in zip(ids, queries)]
+                n = [len(m) for m, _ in found]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.concatenate([m for m, _ in found]).astype(np.int64)), pa.array(np.concatenate([s for _, s in found]).astype(np.int64))], names=["query_id", "vec_id", "score"])
+
+    return run
 
 
 def top_k(rows: DataFrame, is_query, k: int = 10, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -156,10 +185,12 @@ def top_k(rows: DataFrame, is_query, k: int = 10, id: str = "vec_id", vector: st
     distinct = vectors.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     distinct = written(distinct.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "distinct")
     queries = written(vectors.where(is_query(F.col("id"))).distinct(), "queries")
-    n_blocks, n_batches = -(-distinct.count() // BLOCK), -(-queries.count() // BATCH)
-    left = distinct.withColumn("block", F.pmod(F.xxhash64("v"), F.lit(max(1, n_blocks)))).withColumn("batch", F.explode(F.sequence(F.lit(0), F.lit(max(1, n_batches) - 1))))
-    right = queries.withColumn("batch", F.pmod(F.xxhash64("id"), F.lit(max(1, n_batches))).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(max(1, n_blocks) - 1)).cast("array<long>")))
-    found = left.groupBy("block", "batch").cogroup(right.groupBy("block", "batch")).applyInArrow(lambda a, b: search_block(a, b, k), "query_id long, vec_id long, score long")
+    n, least = distinct.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = max(1, -(-n // BLOCK), min(least, -(-n // LEAST)))
+    left = distinct.select(F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("block"), F.lit(None).cast("long").alias("id"), "ids", "v")
+    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), "id", F.lit(None).cast("array<long>").alias("ids"), "v")
+    met = left.unionByName(right).repartition(blocks, "block").sortWithinPartitions("block", F.asc_nulls_first("id"))
+    found = met.mapInArrow(in_tasks(_searched(k)), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
