@@ -63,6 +63,14 @@ def test_budget_and_history(spark):
         assert (w["formatted"].count("<|im_again|>") > 1) == (i > 0)
 
 
+def test_windows_are_full_and_long_turns_are_told(spark):
+    rows = [(1, t, "user" if t % 2 else "assistant", "w" * 76) for t in range(2000)] + [(2, t, "user", "w" * (9000 if t == 7 else 40)) for t in range(30)]
+    windows = format_chats(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    full = [w["n_tokens"] for w in windows if w["conv_id"] == 1]
+    assert max(full) <= 512 and sum(full) / len(full) > 0.85 * 512
+    assert [w["n_tokens"] > 2000 for w in windows if w["over_budget"]] == [True]
+
+
 def test_given_tables(spark):
     sf = "/root/testdata/sf0.01"
     rows = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{sf}/conversations.parquet'").fetchall()

@@ -1,8 +1,9 @@
 """Chat formatting in budgeted, turn-aligned windows, with DataFrame functions only.
 
-Running token sums over a conversation place every turn: the sum at its end, in steps of half the room of a
-window, is its window. Turns up to that half fit the room whatever the borders are; a longer turn has a window
-of its own. Each window begins with the conversation's system turn and with as many of the last turns of the
+Running token sums over a conversation place every turn: the sum at its end, in steps, is its window. Turns up to
+half the room of a window are small. A step is the room less the largest small turn, so what a window holds fits
+whatever the borders are, and windows of small turns are nearly full; a longer turn has a window of its own. Where a
+longer turn is no longer than that step, steps are half the room. Each window begins with the conversation's system turn and with as many of the last turns of the
 window before as fit the history budget; these are marked as repeated and carry no loss, so each assistant text
 is a target once. Sums are taken in blocks of `BLOCK` turns first, so no task needs a whole long conversation
 to place its turns.
@@ -43,24 +44,33 @@ def turn_tokens(text: Column) -> Column:
 
 
 def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=turn_tokens, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv_id, window, formatted, loss_spans, n_tokens): one row for each window, windows in order of `window`.
+    """(conv_id, window, formatted, loss_spans, n_tokens, over_budget): one row for each window, windows in order of `window`.
 
-    loss_spans are (start, length) in characters of `formatted`. `tokens` gives a turn's tokens from its text.
+    loss_spans are (start, length) in characters of `formatted`. `tokens` gives a turn's tokens from its text: an
+    estimate by default, or any expression, such as a column of counts. A window over the budget, which holds a turn
+    that alone does not fit beside the system turn, says so in over_budget; texts are never cut.
     """
     rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
     rows = rows.withColumn("tokens", tokens(F.col("text"))).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))))
     inside = Window.partitionBy("conv", "block").orderBy("turn", "role", "text")
     above = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("conv", "block").agg(F.sum("tokens").alias("sum"), F.count("*").alias("rows"), F.min_by(F.struct("role", "tokens"), F.struct("turn", "role", "text")).alias("first"))
+    sums = rows.groupBy("conv", "block").agg(F.sum("tokens").alias("sum"), F.count("*").alias("rows"), F.min_by(F.struct("role", "tokens"), F.struct("turn", "role", "text")).alias("first"), F.collect_set("tokens").alias("sizes"))
     lead = F.first("first").over(Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
-    sums = sums.select("conv", "block", F.coalesce(F.sum("sum").over(above), F.lit(0)).alias("sum0"), F.coalesce(F.sum("rows").over(above), F.lit(0)).alias("rows0"), lead.alias("lead"))
-    sums = sums.select(F.col("conv").alias("s_conv"), F.col("block").alias("s_block"), "sum0", "rows0", F.when(F.col("lead.role") == "system", F.col("lead.tokens")).alias("cost"))
+    sums = sums.select("conv", "block", F.coalesce(F.sum("sum").over(above), F.lit(0)).alias("sum0"), F.coalesce(F.sum("rows").over(above), F.lit(0)).alias("rows0"), lead.alias("lead"), "sizes")
+    cost = F.when(F.col("lead.role") == "system", F.col("lead.tokens"))
+    sums = sums.withColumn("cost", cost).withColumn("room", F.greatest(F.lit(budget - history) - F.coalesce("cost", F.lit(0)), F.lit(budget // 4))).withColumn("half", F.floor(F.col("room") / 2))
+    whole = Window.partitionBy("conv")  # of one row a block, as above
+    small = F.coalesce(F.max(F.array_max(F.filter("sizes", lambda x: x <= F.col("half")))).over(whole), F.lit(0))
+    large = F.min(F.array_min(F.filter("sizes", lambda x: x > F.col("half")))).over(whole)
+    sums = sums.withColumns({"small": small, "large": large})
+    step = F.when(F.col("large") <= F.col("room") - F.col("small"), F.col("half")).otherwise(F.col("room") - F.col("small"))
+    sums = sums.select(F.col("conv").alias("s_conv"), F.col("block").alias("s_block"), "sum0", "rows0", "cost", "half", step.alias("step"))
     rows = rows.withColumn("place", F.row_number().over(inside)).withColumn("end", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.join(sums, F.col("conv").eqNullSafe(F.col("s_conv")) & (F.col("block") == F.col("s_block")))
     cost = F.coalesce("cost", F.lit(0))
-    rows = rows.withColumn("place", F.col("place") + F.col("rows0")).withColumn("end", F.col("end") + F.col("sum0") - cost).withColumn("half", F.floor(F.greatest(F.lit(budget - history) - cost, F.lit(budget // 4)) / 2))
+    rows = rows.withColumn("place", F.col("place") + F.col("rows0")).withColumn("end", F.col("end") + F.col("sum0") - cost)
     is_system = F.col("cost").isNotNull() & (F.col("place") == 1)
-    window = F.when(is_system, F.lit(-1)).otherwise(2 * F.floor((F.col("end") - 1) / F.col("half")) + (F.col("tokens") <= F.col("half")).cast("int"))
+    window = F.when(is_system, F.lit(-1)).otherwise(2 * F.floor((F.col("end") - 1) / F.col("step")) + (F.col("tokens") <= F.col("half")).cast("int"))
     rows = rows.withColumn("window", window).select("conv", "place", "role", "text", "tokens", "end", "window")
     # One row a window: where it ends, and which window comes next.
     own = Window.partitionBy("conv").orderBy("window")
@@ -83,7 +93,7 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     parts = every.withColumn("loss", loss).groupBy("conv", "window").agg(F.sort_array(F.collect_list(F.struct("place", "written", "loss"))).alias("parts"), F.sum("tokens").alias("n_tokens"))
     return parts.select(
         F.col("conv").alias(conv), "window", F.array_join(F.transform("parts", lambda p: p["written"]), "").alias("formatted"),
-        F.array_compact(F.transform("parts", lambda p: p["loss"])).alias("loss_spans"), "n_tokens",
+        F.array_compact(F.transform("parts", lambda p: p["loss"])).alias("loss_spans"), "n_tokens", (F.col("n_tokens") > budget).alias("over_budget"),
     )
 
 
@@ -121,10 +131,12 @@ t AS (SELECT *, CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 4 AS tokens, row_numb
 s AS (SELECT conv_id, tokens AS cost FROM t WHERE place = 1 AND role = 'system'),
 p AS (
   SELECT t.*, cost, sum(tokens) OVER (PARTITION BY t.conv_id ORDER BY place) - coalesce(cost, 0) AS last,
-         floor(greatest({BUDGET - HISTORY} - coalesce(cost, 0), {BUDGET // 4}) / 2) AS half,
+         greatest({BUDGET - HISTORY} - coalesce(cost, 0), {BUDGET // 4}) AS room, floor(room / 2) AS half,
          12 + length(role) + 1 + length(replace(text, '\', '\\')) + len(regexp_extract_all(text, '<\|im_(?:start|again|end)\|>|<</?SYS>>|</?s>|\[/?INST\]')) + 11 AS chars
   FROM t LEFT JOIN s ON t.conv_id = s.conv_id),
-x AS (SELECT *, 2 * floor((last - 1) / half) + CASE WHEN tokens <= half THEN 1 ELSE 0 END AS win FROM p WHERE cost IS NULL OR place > 1),
+l AS (SELECT conv_id, max(tokens) FILTER (tokens <= half) AS small, min(tokens) FILTER (tokens > half) AS large FROM p GROUP BY 1),
+x AS (SELECT p.*, 2 * floor((last - 1) / CASE WHEN large <= room - coalesce(small, 0) THEN half ELSE room - coalesce(small, 0) END) + CASE WHEN tokens <= half THEN 1 ELSE 0 END AS win
+  FROM p JOIN l ON p.conv_id = l.conv_id WHERE cost IS NULL OR place > 1),
 w AS (SELECT conv_id, win, max(last) AS upto, lead(win) OVER (PARTITION BY conv_id ORDER BY win) AS next FROM x GROUP BY conv_id, win),
 n AS (SELECT conv_id, count(*) AS n FROM w GROUP BY 1),
 f AS (

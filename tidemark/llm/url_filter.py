@@ -8,7 +8,8 @@ vectorised binary search, and a hit counts only if the stored string is the same
 Defined cases: a null URL or one without "://" has empty host and path and gets the default verdict; of
 several rules the longest string wins, then the longer host; repeated rules count once (block before
 allow); an empty rule table allows all; other columns of the page table pass through unless a result
-column has their name. Rules beyond `max_index_rules` are joined by hash in a shuffle instead of mapped.
+column has their name. Of more than `max_index_rules`
+rules each part has a sorted digest array of its own, to which the candidate strings are dealt by hash.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import in_tasks
+from tidemark.llm.base import in_tasks, written
 
 #: The production rules (host, path, verdict).
 RULES = [
@@ -36,7 +37,7 @@ RULES = [
     ("net", "/fr/", "block"),
 ]
 DEFAULT = "allow"
-MAX_INDEX_RULES = 2_000_000
+MAX_INDEX_RULES = 500_000
 
 _HOST = r"^(?s).*?://([^/?#]*)"
 _PATH = r"^(?s).*?://[^/?#]*([^?#]*)"
@@ -125,10 +126,10 @@ def judge_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]],
     source = pages.select(*[f"`{c}`" for c in pages.columns if c not in names], host.alias("host"), path.alias("path"))
     if not isinstance(rules, list):
         rules = rules.select("host", "path", "verdict").where("host is not null and path is not null")
-        head = rules.limit(max_index_rules + 1)
-        if head.count() > max_index_rules:
-            return _joined(source, rules)
-        rules = [tuple(r) for r in head.collect()]
+        n_rules = rules.count()
+        if n_rules > max_index_rules:
+            return _parted(source, rules, n_rules, max_index_rules)
+        rules = [tuple(r) for r in rules.collect()]
     file = write_index(rules)
     spark.sparkContext.addFile(file)
     name = os.path.basename(file)
@@ -144,20 +145,51 @@ def judge_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]],
     return source.mapInArrow(in_tasks(run), schema)
 
 
-def _joined(source: DataFrame, rules: DataFrame) -> DataFrame:
-    """For rule tables too large for one file: distinct (host, path) probes meet the rules in a hash join."""
-    rules = rules.groupBy(F.col("host").alias("r_host"), F.col("path").alias("r_path")).agg(F.max(F.col("verdict") == "block").alias("r_block"))
-    lengths = F.broadcast(rules.agg(F.sort_array(F.collect_set(F.length("r_path"))).alias("__lengths")))
-    sites = source.select("host", "path").distinct().crossJoin(lengths)
+def _looked_up(batches):
+    """Rows (part, string, host_chars, block), a part's rules before its probes (block null), to the probes that are rules."""
+    part, rules, keys, order = None, [], None, None
+    digests = lambda strings: np.fromiter((xxhash.xxh64_intdigest(s, 0) for s in strings), np.uint64, len(strings))
+    for batch in batches:
+        numbers, probe = np.asarray(batch.column(0)), np.asarray(batch.column(3).is_null())
+        cuts = (np.flatnonzero((numbers[1:] != numbers[:-1]) | (probe[1:] != probe[:-1])) + 1).tolist()
+        for a, b in zip([0, *cuts], [*cuts, batch.num_rows]):
+            if a == b:
+                continue
+            if numbers[a] != part:
+                part, rules, keys = numbers[a], [], None
+            rows = list(zip(*(batch.column(i).slice(a, b - a).to_pylist() for i in (1, 2, 3))))
+            if not probe[a]:
+                rules += rows
+                continue
+            if keys is None:  # the part's sorted digest array
+                keys = digests([s for s, _, _ in rules])
+                order = np.argsort(keys)
+                keys = keys[order]
+            found = digests([s for s, _, _ in rows])
+            low, high = np.searchsorted(keys, found), np.searchsorted(keys, found, "right")
+            hits = [rules[order[i]] for j in np.flatnonzero(low < high).tolist() for i in range(low[j], high[j]) if rules[order[i]][:2] == rows[j][:2]]
+            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], t) for k, t in enumerate((pa.string(), pa.int32(), pa.bool_()))], names=["string", "host_chars", "block"])
+
+
+def _parted(source: DataFrame, rules: DataFrame, n_rules: int, part_rules: int) -> DataFrame:
+    """For rule tables too large for one file: strings are dealt by hash, and each part has a sorted digest array of its own."""
+    parts = -(-n_rules // max(1, part_rules))
+    rules = rules.groupBy("host", "path").agg(F.max(F.col("verdict") == "block").alias("block"))
+    lengths = F.broadcast(rules.agg(F.sort_array(F.collect_set(F.length("path"))).alias("__lengths")))  # one row
     labels = F.split("host", r"\.")
-    sites = sites.where("host <> ''").withColumn("__suffix", F.explode(F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))))
-    sites = sites.withColumn("__k", F.explode("__lengths")).where(F.col("__k") <= F.length("path")).withColumn("__prefix", F.expr("substring(path, 1, __k)"))
-    hits = sites.join(rules, (F.xxhash64("__suffix", "__prefix") == F.xxhash64("r_host", "r_path")) & (F.col("__suffix") == F.col("r_host")) & (F.col("__prefix") == F.col("r_path")))
-    order = F.struct(F.length(F.concat("r_host", "r_path")).alias("n"), F.length("r_host").alias("h"), F.concat("r_host", "r_path").alias("rule"), "r_block")
-    best = hits.groupBy("host", "path").agg(F.max(order).alias("__best"))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    sites = source.select("host", "path").distinct().where("host <> ''").withColumn("suffix", F.explode(suffixes)).crossJoin(lengths)
+    sites = sites.withColumn("k", F.explode("__lengths")).where(F.col("k") <= F.length("path")).drop("__lengths")
+    sites = written(sites.select("host", "path", F.concat("suffix", F.expr("substring(path, 1, k)")).alias("string"), F.length("suffix").alias("host_chars")), "probes")
+    own = rules.select(F.concat("host", "path").alias("string"), F.length("host").alias("host_chars"), "block")
+    both = own.unionByName(sites.select("string", "host_chars").distinct().withColumn("block", F.lit(None).cast("boolean")))
+    both = both.select(F.pmod(F.xxhash64("string"), F.lit(parts)).alias("part"), "string", "host_chars", "block").repartition("part").sortWithinPartitions("part", F.desc_nulls_last("block"))
+    hits = both.mapInArrow(in_tasks(_looked_up), "string string, host_chars int, block boolean")
+    order = F.struct(F.length("string").alias("n"), "host_chars", "string", "block")
+    best = sites.join(hits, ["string", "host_chars"]).groupBy("host", "path").agg(F.max(order).alias("__best"))
     out = source.join(best, ["host", "path"], "left")
-    block = F.coalesce(F.col("__best.r_block"), F.lit(DEFAULT == "block"))
-    return out.withColumn("rule", F.col("__best.rule")).withColumn("verdict", F.when(block, "block").otherwise("allow")).drop("__best").select(*source.columns, "rule", "verdict")
+    block = F.coalesce(F.col("__best.block"), F.lit(DEFAULT == "block"))
+    return out.withColumn("rule", F.col("__best.string")).withColumn("verdict", F.when(block, "block").otherwise("allow")).drop("__best").select(*source.columns, "rule", "verdict")
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
