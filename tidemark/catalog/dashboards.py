@@ -78,6 +78,16 @@ def sentences(spark, sf):
     return d.insights(df, roles).where("kind <> 'trend'")
 
 
+def specification(spark, sf):
+    """The whole dashboard of the orders as rows (part, name, value)."""
+    df = table(spark, sf, "orders").withColumn("o_totalprice", money("o_totalprice"))
+    found = d.dashboard(df)
+    rows = lambda frame, part, name, value: frame.select(F.lit(part).alias("part"), name.alias("name"), value.alias("value"))
+    out = rows(found.kpis, "kpi", F.col("label"), kpi_text(F.col("value"), F.col("format")))
+    out = out.unionByName(rows(d.recipe_rows(df, found.recipes), "chart", F.col("title"), F.col("type")))
+    return out.unionByName(rows(found.insights, "insight", F.col("kind"), F.col("text")))
+
+
 def unmatched(spark, sf):
     """Integrity of a dimension table that lacks one value."""
     df = table(spark, sf, "lineitem")
@@ -90,6 +100,9 @@ def simple(spark, sf):
 
 Q = "CAST(o_totalprice AS DECIMAL(18,2))"
 GROUPS = f"g AS (SELECT o_orderstatus AS s, CAST(sum({Q}) AS DOUBLE) AS v FROM orders WHERE o_orderstatus IS NOT NULL GROUP BY 1), t AS (SELECT CAST(sum({Q}) AS DOUBLE) AS total FROM orders)"
+SPECIFICATION = """SELECT 'kpi' AS part, label AS name, shown AS value FROM (SELECT position, label FROM ({kpis})) JOIN ({texts}) USING (position)
+    UNION ALL SELECT 'chart', title, type FROM ({charts}) UNION ALL SELECT 'insight', kind, text FROM ({sentences})
+    UNION ALL SELECT 'insight', 'trend', 'o_totalprice trended ' || CASE WHEN change_pct >= 0 THEN 'up' ELSE 'down' END || format(' {{:.0f}}%', abs(change_pct)) || ' from first to last period.' FROM ({trend})"""
 ENTRIES = {
     **{f"roles_{n}": roles_of(n) for n in ("lineitem", "orders", "part", "supplier", "labels", "events", "documents")},
     "kpis": (kpis, f"""SELECT 0 AS position, 'Total records' AS label, CAST(count(*) AS DOUBLE) AS value, 'int' AS format FROM orders UNION ALL SELECT 1, 'Total o_orderkey', CAST(sum(o_orderkey) AS DOUBLE), 'number' FROM orders
@@ -113,3 +126,4 @@ ENTRIES = {
     "simple_report": (simple, """WITH h AS (SELECT row_number() OVER (ORDER BY c_custkey) AS k, CAST(c_custkey + c_nationkey AS DECIMAL(38,2)) AS v FROM customer)
         SELECT (SELECT count(*) FROM customer) AS n_rows, CAST(3 AS BIGINT) AS n_columns, CAST(2 AS BIGINT) AS n_numeric, string_agg(CAST(CAST(DATE '2024-01-01' + CAST(k - 1 AS INTEGER) AS DATE) AS VARCHAR) || '=' || CAST(v AS VARCHAR), ';' ORDER BY k) AS history FROM h WHERE k <= 10"""),
 }
+ENTRIES["dashboard_spec"] = (specification, SPECIFICATION.format(kpis=ENTRIES["kpis"][1], texts=ENTRIES["kpi_texts"][1], charts=recipes("orders")[1], sentences=ENTRIES["insight_sentences"][1], trend=ENTRIES["insight_trend"][1]))

@@ -10,19 +10,21 @@ from tidemark.operators.dashboard import column_roles
 from tidemark.operators.profile import profile
 
 #: What users ask, so that all rules have something to match.
-PHRASES = ["top 3 o_orderstatus as pie chart", "average o_totalprice by o_orderpriority", "ventas mensuales en barras", "what is the total o_totalprice", "o_totalprice by o_orderstatus no graph", "weekly sales as a line", "o_totalpricee by status", "hello"]
+PHRASES = ["top 3 o_orderstatus as pie chart", "average o_totalprice by o_orderpriority", "ventas mensuales en barras", "what is the total o_totalprice", "o_totalprice by o_orderstatus no graph", "weekly sales as a line", "o_totalpricee by status", "hello", "top 2 o_totalprice by o_orderpriority as a bar chart", "o_totalprice by o_orderdate as line"]
 
 
 def asked(spark, sf):
-    """(msg_id, text): every turn of the conversations; a user's turns ask one of the phrases, the others are as they are."""
+    """(msg_id, text): every turn of the conversations as it is, and for each turn of a user one of the phrases (negative ids)."""
+    said = table(spark, sf, "conversations")
     id = F.col("conv_id") * 1000 + F.col("turn")
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (id % len(PHRASES) + 1).cast("int"))
-    return table(spark, sf, "conversations").select(id.alias("msg_id"), F.when(F.col("role") == "user", phrase).otherwise(F.col("text")).alias("text"))
+    return said.select(id.alias("msg_id"), "text").unionByName(said.where("role = 'user'").select((-id - 1).alias("msg_id"), phrase.alias("text")))
 
 
 LIST = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
-ASKED = f"""a AS (SELECT conv_id * 1000 + turn AS msg_id, CASE WHEN role = 'user' THEN {LIST}[CAST((conv_id * 1000 + turn) % {len(PHRASES)} + 1 AS INTEGER)] ELSE text END AS text FROM conversations),
-f AS (SELECT msg_id, trim(text) AS text, translate(lower(trim(text)), 'áéíóúüñ', 'aeiouun') AS t FROM a)"""
+ASKED = f"""a AS (SELECT conv_id * 1000 + turn AS msg_id, text FROM conversations
+  UNION ALL SELECT -(conv_id * 1000 + turn) - 1, {LIST}[CAST((conv_id * 1000 + turn) % {len(PHRASES)} + 1 AS INTEGER)] FROM conversations WHERE role = 'user'),
+f AS (SELECT msg_id, trim(text) AS text, strip_accents(lower(trim(text))) AS t FROM a)"""
 
 
 def orders(spark, sf):
@@ -54,7 +56,8 @@ def strict(spark, sf):
     return r.strict(asked(spark, sf), orders(spark, sf)[1])
 
 
-STRICT = f"""WITH {ASKED} SELECT msg_id, 'pie' AS chart_type, 'o_orderstatus' AS dimension, CAST(NULL AS VARCHAR) AS measure, 'count' AS agg, 3 AS top_n FROM f WHERE text = '{PHRASES[0]}'"""
+STRICT = f"""WITH {ASKED}, s AS (SELECT * FROM (VALUES ('{PHRASES[0]}', 'pie', 'o_orderstatus', NULL, 'count', 3), ('{PHRASES[8]}', 'bar', 'o_orderpriority', 'o_totalprice', 'sum', 2), ('{PHRASES[9]}', 'line', 'o_orderdate', 'o_totalprice', 'sum', NULL)) v(text, chart_type, dimension, measure, agg, top_n))
+SELECT msg_id, chart_type, dimension, measure, agg, CAST(top_n AS INTEGER) AS top_n FROM f JOIN s USING (text)"""
 
 
 def mentioned(spark, sf):
@@ -66,27 +69,35 @@ def synonyms(spark, sf):
 
 
 def proposals(spark, sf):
-    """Proposals in JSON, one a message."""
+    """Every text as a proposal, as it is, and for each one in JSON (negative ids)."""
+    said = asked(spark, sf).where("msg_id >= 0")
     id = F.col("msg_id")
     body = F.to_json(F.struct(
         F.when(id % 5 == 0, "supplier").when(id % 5 == 1, "o_orderdate").otherwise("o_orderstatus").alias("dimension"), F.when(id % 3 == 0, "profit").otherwise("o_totalprice").alias("measure"),
         F.when(id % 4 == 0, "donut").otherwise("pie").alias("chart_type"), F.when(id % 7 == 0, "median").otherwise("mean").alias("agg"), (id % 60).alias("top_n"), F.lit("week").alias("grain"),
     ))
-    return r.validate_json(asked(spark, sf).select("msg_id", F.concat(F.lit("```json\n"), body, F.lit("\n``` thanks")).alias("text")), orders(spark, sf)[1])
+    made = said.select((-id - 1).alias("msg_id"), F.concat(F.lit("```json\n"), body, F.lit("\n``` thanks")).alias("text"))
+    return r.validate_json(said.unionByName(made), orders(spark, sf)[1])
 
 
 PROPOSALS = """WITH p AS (SELECT conv_id * 1000 + turn AS i FROM conversations)
-SELECT i AS msg_id, i % 5 <> 0 AS accepted, CASE WHEN i % 5 <> 0 THEN CASE WHEN i % 4 = 0 THEN 'bar' ELSE 'pie' END END AS chart_type,
+SELECT i AS msg_id, false AS accepted, NULL AS chart_type, NULL AS dimension, NULL AS measure, NULL AS agg, NULL AS top_n, NULL AS grain FROM p
+UNION ALL SELECT -i - 1, i % 5 <> 0, CASE WHEN i % 5 <> 0 THEN CASE WHEN i % 4 = 0 THEN 'bar' ELSE 'pie' END END AS chart_type,
   CASE WHEN i % 5 = 0 THEN NULL WHEN i % 5 = 1 THEN 'o_orderdate' ELSE 'o_orderstatus' END AS dimension, CASE WHEN i % 5 <> 0 AND i % 3 <> 0 THEN 'o_totalprice' END AS measure,
   CASE WHEN i % 5 = 0 THEN NULL WHEN i % 3 = 0 THEN 'count' WHEN i % 7 = 0 THEN 'sum' ELSE 'mean' END AS agg, CASE WHEN i % 5 <> 0 AND i % 60 BETWEEN 1 AND 50 THEN CAST(i % 60 AS INTEGER) END AS top_n, CASE WHEN i % 5 = 1 THEN 'week' END AS grain FROM p"""
 
 
 def answered(spark, sf):
+    """The data of all requests in the strict form, of three types."""
     df, catalog = orders(spark, sf)
-    return r.answers(df, r.resolve(asked(spark, sf), catalog).where("chart_type = 'pie'"))
+    return r.answers(df, r.strict(asked(spark, sf), catalog).withColumn("grain", F.lit(None).cast("string")))
 
 
-ANSWERS = f"WITH {ASKED}, top AS (SELECT o_orderstatus AS x, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3) SELECT msg_id, x, value FROM f, top WHERE text = '{PHRASES[0]}'"
+_SUM = "CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE)"
+ANSWERS = f"""WITH {ASKED}, top AS (SELECT '{PHRASES[0]}' AS text, o_orderstatus AS x, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 3),
+two AS (SELECT '{PHRASES[8]}' AS text, o_orderpriority AS x, {_SUM} AS value FROM orders GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 2),
+days AS (SELECT '{PHRASES[9]}' AS text, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS x, {_SUM} AS value FROM orders GROUP BY 2)
+SELECT msg_id, x, value FROM f JOIN (SELECT * FROM top UNION ALL SELECT * FROM two UNION ALL SELECT * FROM days) USING (text)"""
 ENTRIES = {
     "tag_intents": (intents, INTENTS), "tag_strict": (strict, STRICT), "tag_validate_json": (proposals, PROPOSALS), "tag_answers": (answered, ANSWERS),
     "tag_synonyms": (synonyms, f"WITH {ASKED} SELECT msg_id, 'o_orderstatus' AS synonym FROM f WHERE {has(r.SYNONYMS[-1][0])}"),

@@ -63,27 +63,49 @@ def profile_of(name):
 
 DUPLICATES = "dups AS (SELECT (SELECT count(*) FROM {0}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {0})) AS d)"
 HEALTH = DUPLICATES.format("dirty") + """,
-sums AS (SELECT sum(nulls) AS nulls, max(n_rows) AS r, count(*) AS c, count(*) FILTER (nulls > 0) AS wn, count(*) FILTER (is_pii) AS np FROM prof),
-parts AS (SELECT (1 - CAST(nulls AS DOUBLE) / (r * c)) * 100 AS co, (1 - CAST(d AS DOUBLE) / r) * 100 AS un, (1 - CAST(wn AS DOUBLE) / c) * 100 AS qu, greatest(0.0, 100.0 - np * 25) AS pr, d, wn, np FROM sums, dups),
-health AS (SELECT CAST(round_even(CAST(0.35 * co + 0.25 * un + 0.25 * qu + 0.15 * pr AS DOUBLE), 0) AS INTEGER) AS score, round_even(CAST(co AS DOUBLE), 1) AS co, round_even(CAST(un AS DOUBLE), 1) AS un, round_even(CAST(qu AS DOUBLE), 1) AS qu, CAST(pr AS DOUBLE) AS pr, d, wn, np FROM parts)
+sums AS (SELECT sum(nulls) AS nulls, max(n_rows) AS r, count(*) AS c, count(*) FILTER (nulls > 0) AS wn, count(*) FILTER (is_pii) AS np, coalesce(string_agg(col, ', ' ORDER BY ordinal) FILTER (is_pii), '') AS pc FROM prof),
+parts AS (SELECT (1 - CAST(nulls AS DOUBLE) / (r * c)) * 100 AS co, (1 - CAST(d AS DOUBLE) / r) * 100 AS un, (1 - CAST(wn AS DOUBLE) / c) * 100 AS qu, greatest(0.0, 100.0 - np * 25) AS pr, d, wn, np, pc FROM sums, dups),
+health AS (SELECT CAST(round_even(CAST(0.35 * co + 0.25 * un + 0.25 * qu + 0.15 * pr AS DOUBLE), 0) AS INTEGER) AS score, round_even(CAST(co AS DOUBLE), 1) AS co, round_even(CAST(un AS DOUBLE), 1) AS un, round_even(CAST(qu AS DOUBLE), 1) AS qu, CAST(pr AS DOUBLE) AS pr, d, wn, np, pc FROM parts),
+graded AS (SELECT *, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' ELSE 'D' END AS grade FROM health)
 """
 
 
 def parts(spark, sf):
     df = dirty_orders(spark, sf)
-    return p.profile(df), h.duplicate_rows(df)
+    return p.profile(df).cache(), h.duplicate_rows(df)  # a row a column; several parts read it
 
 
 def health_row(spark, sf):
-    return h.health(*parts(spark, sf)).drop("pii_columns")
+    return h.health(*parts(spark, sf))
 
 
 def card_rows(spark, sf):
-    return h.cards(h.health(*parts(spark, sf))).where("position > 1").select("position", "label", "status")
+    return h.cards(h.health(*parts(spark, sf)))
 
 
 def issue_rows(spark, sf):
-    return h.issues(*parts(spark, sf)).select("id", "severity", "count")
+    return h.issues(*parts(spark, sf))
+
+
+def report_rows(spark, sf):
+    """The whole report as rows (part, name, value)."""
+    r = h.report(dirty_orders(spark, sf))
+    rows = lambda df, part, name, value: df.select(F.lit(part).alias("part"), F.expr(name).alias("name"), F.expr(value).alias("value"))
+    out = rows(r.health, "health", "grade", "cast(score as string)")
+    for more in (
+        rows(r.profile, "profile", "column", "concat(sql_type, ' ', cast(nulls as string), ' ', cast(n_distinct as string))"), rows(r.cards, "card", "label", "status"), rows(r.issues, "issue", "id", "severity"),
+        rows(r.primary_key, "key", "column", "'primary'"), rows(r.indexes, "index", "column", "kind"), rows(r.declarations, "declaration", "declaration", "cast(is_key as string)"), rows(r.rules, "rule", "name", "condition"),
+    ):
+        out = out.unionByName(more)
+    return out
+
+
+def listed(spark, sf):
+    """The schema, and how many values each column has."""
+    df = table(spark, sf, "orders")
+    filled = df.agg(*[F.count(F.col(c)).alias(c) for c in df.columns])
+    counts = filled.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("filled")) for c in df.columns])).alias("x")).select("x.*")
+    return p.schema_list(df).join(F.broadcast(counts), "column").select("ordinal", "column", "dtype", "filled")
 
 
 def duplicates(by_hash):
@@ -140,6 +162,32 @@ FIRSTS = " UNION ALL ".join(
     FROM (SELECT {c} AS v, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE {c} IS NOT NULL) WHERE k <= 50"""
     for c in ("text", "lang", "source")
 )
+CARDS = with_profile("dirty") + ", " + HEALTH + """SELECT 1 AS position, 'Health score' AS label, score || '/100 (' || grade || ')' AS value, CASE WHEN score >= 90 THEN 'good' WHEN score >= 75 THEN 'warn' ELSE 'bad' END AS status, 'Weighted data-quality score.' AS detail FROM graded
+    UNION ALL SELECT 2, 'Completeness', co || '%', CASE WHEN co >= 98 THEN 'good' WHEN co >= 90 THEN 'warn' ELSE 'bad' END, 'Share of non-null cells.' FROM health
+    UNION ALL SELECT 3, 'Duplicate rows', CAST(d AS VARCHAR), CASE WHEN d = 0 THEN 'good' WHEN d <= 2 THEN 'warn' ELSE 'bad' END, 'Fully duplicated rows.' FROM health
+    UNION ALL SELECT 4, 'Cols with nulls', CAST(wn AS VARCHAR), CASE WHEN wn = 0 THEN 'good' WHEN wn <= 2 THEN 'warn' ELSE 'bad' END, 'Columns containing missing values.' FROM health
+    UNION ALL SELECT 5, 'PII columns', CAST(np AS VARCHAR), CASE WHEN np = 0 THEN 'good' WHEN np <= 1 THEN 'warn' ELSE 'bad' END, CASE WHEN np = 0 THEN 'No obvious PII detected.' ELSE pc END FROM health"""
+ISSUES = with_profile("dirty") + ", " + DUPLICATES.format("dirty") + """SELECT 'nulls_' || col AS id, CASE WHEN null_pct >= 20 THEN 'High' WHEN null_pct >= 5 THEN 'Medium' ELSE 'Low' END AS severity, nulls AS count, 'Fill with default / drop rows' AS action FROM prof WHERE null_pct > 0
+    UNION ALL SELECT 'pii_' || col, 'High', n_distinct, 'Mask / anonymize before storing' FROM prof WHERE is_pii UNION ALL SELECT 'dup_rows', CASE WHEN d <= 2 THEN 'Medium' ELSE 'High' END, d, 'Drop duplicates' FROM dups WHERE d > 0
+    UNION ALL SELECT 'cast_' || col, 'Low', num, 'Cast to a numeric type' FROM prof WHERE number_like"""
+
+
+def rules_sql(name):
+    return with_profile(name) + """, pk AS (SELECT col AS pk FROM prof WHERE is_pk_candidate ORDER BY ends_with(lower(col), 'id') DESC, ordinal LIMIT 1)
+    SELECT 'Null rate: ' || col AS name, 'Completeness' AS type, CASE WHEN null_pct >= 20 THEN 'High' ELSE 'Medium' END AS severity, 'null_rate(' || col || ') > ' || CAST(greatest(1, CAST(round_even(null_pct, 0) AS INTEGER)) AS VARCHAR) || '%' AS condition FROM prof WHERE null_pct > 0
+    UNION ALL SELECT 'Duplicate key: ' || pk, 'Uniqueness', 'High', 'COUNT(*) > COUNT(DISTINCT ' || pk || ')' FROM pk
+    UNION ALL SELECT * FROM (SELECT 'Freshness: ' || col, 'Timeliness', 'Medium', 'MAX(' || col || ') < TODAY - 2 days' FROM prof WHERE sql_type = 'DATETIME2' ORDER BY ordinal LIMIT 1)
+    UNION ALL SELECT 'Row volume drop', 'Volume', 'Medium', 'daily_row_count < 0.5 * 7day_avg'
+    UNION ALL SELECT * FROM (SELECT 'Outliers: ' || col, 'Validity', 'Low', col || ' outside mean +/- 3*stddev' FROM prof WHERE kind IN ('i', 'n') AND NOT ends_with(lower(col), 'id') ORDER BY ordinal LIMIT 1)"""
+
+
+REPORT = f"""SELECT 'health' AS part, grade AS name, CAST(score AS VARCHAR) AS value FROM ({with_profile("dirty")}, {HEALTH} SELECT * FROM graded)
+    UNION ALL SELECT 'profile', col, sql_type || ' ' || nulls || ' ' || n_distinct FROM ({with_profile("dirty")} SELECT * FROM prof)
+    UNION ALL SELECT 'card', label, status FROM ({CARDS}) UNION ALL SELECT 'issue', id, severity FROM ({ISSUES})
+    UNION ALL SELECT 'key', pk, 'primary' FROM ({with_profile("dirty")}{PK} SELECT pk FROM pk)
+    UNION ALL SELECT 'index', col, CASE WHEN col = pk THEN 'primary_key' WHEN ends_with(lower(col), 'id') THEN 'foreign_key_like' ELSE 'date' END FROM ({with_profile("dirty")}{PK} SELECT * FROM prof LEFT JOIN pk ON true) WHERE col = pk OR ends_with(lower(col), 'id') OR kind = 'd'
+    UNION ALL SELECT 'declaration', col || ' ' || sql_type || CASE WHEN nulls = 0 THEN ' NOT NULL' ELSE ' NULL' END, CASE WHEN col = pk THEN 'true' ELSE 'false' END FROM ({with_profile("dirty")}{PK} SELECT * FROM prof LEFT JOIN pk ON true)
+    UNION ALL SELECT 'rule', name, condition FROM ({rules_sql("dirty")})"""
 ENTRIES = {
     **{f"profile_{n}": profile_of(n) for n in TABLES},
     "profile_first_values": (first_sample, FIRSTS),
@@ -153,26 +201,17 @@ ENTRIES = {
         SELECT 'string' AS dtype, (SELECT count(DISTINCT event_type) FROM events) AS n_distinct, (SELECT count(*) - count(event_type) FROM events) AS nulls, string_agg(v, ', ' ORDER BY pos, v) AS first_values FROM f"""),
     "overview": (lambda s, d: p.overview(table(s, d, "orders")), "SELECT count(*) AS n_rows, CAST(6 AS BIGINT) AS n_columns, CAST(4 AS BIGINT) AS n_dtypes FROM orders"),
     "nulls_by_column": (lambda s, d: p.nulls_by_column(p.profile(dirty_orders(s, d))), with_profile("dirty") + "SELECT col AS \"column\", nulls, CAST(null_pct AS DOUBLE) AS null_pct FROM prof WHERE nulls > 0"),
-    "schema_list": (lambda s, d: p.schema_list(table(s, d, "orders")), "SELECT * FROM (VALUES (0, 'o_orderkey', 'bigint'), (1, 'o_custkey', 'bigint'), (2, 'o_orderstatus', 'string'), (3, 'o_totalprice', 'double'), (4, 'o_orderdate', 'timestamp_ntz'), (5, 'o_orderpriority', 'string')) v(ordinal, \"column\", dtype)"),
+    "schema_list": (listed, "WITH d AS (SELECT * FROM (DESCRIBE orders)), n AS (UNPIVOT (SELECT " + ", ".join(f"count({c}) AS {c}" for c, _ in COLUMNS["orders"]) + " FROM orders) ON * INTO NAME col VALUE filled), k AS (SELECT row_number() OVER () - 1 AS ordinal, column_name, column_type FROM d) SELECT CAST(ordinal AS INTEGER) AS ordinal, col AS \"column\", CASE column_type WHEN 'BIGINT' THEN 'bigint' WHEN 'VARCHAR' THEN 'string' WHEN 'DOUBLE' THEN 'double' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' END AS dtype, filled FROM n JOIN k ON col = column_name"),
     "shown_profile": (lambda s, d: p.shown_profile(p.profile(table(s, d, "labels"))), with_profile("labels") + "SELECT col AS \"column\", CASE col WHEN 'doc_id' THEN 'bigint' ELSE 'int' END AS dtype, n_distinct AS \"unique\", nulls AS missing FROM prof"),
     "numeric_summary": (summary, SUMMARY),
     "duplicate_rows": (duplicates(False), f"WITH {DIRTY}, {DUPLICATES.format('dirty')} SELECT CAST(d AS BIGINT) AS duplicates FROM dups"),
     "duplicate_rows_by_hash": (duplicates(True), f"WITH {DIRTY}, {DUPLICATES.format('dirty')} SELECT CAST(d AS BIGINT) AS duplicates FROM dups"),
-    "health": (health_row, with_profile("dirty") + ", " + HEALTH + "SELECT score, CASE WHEN score >= 90 THEN 'A' WHEN score >= 75 THEN 'B' WHEN score >= 60 THEN 'C' ELSE 'D' END AS grade, co AS completeness_pct, un AS uniqueness_pct, qu AS column_quality_pct, pr AS privacy_score, d AS duplicate_rows, wn AS columns_with_nulls, np AS n_pii FROM health"),
-    "cards": (card_rows, with_profile("dirty") + ", " + HEALTH + """SELECT 2 AS position, 'Completeness' AS label, CASE WHEN co >= 98 THEN 'good' WHEN co >= 90 THEN 'warn' ELSE 'bad' END AS status FROM health
-        UNION ALL SELECT 3, 'Duplicate rows', CASE WHEN d = 0 THEN 'good' WHEN d <= 2 THEN 'warn' ELSE 'bad' END FROM health
-        UNION ALL SELECT 4, 'Cols with nulls', CASE WHEN wn = 0 THEN 'good' WHEN wn <= 2 THEN 'warn' ELSE 'bad' END FROM health
-        UNION ALL SELECT 5, 'PII columns', CASE WHEN np = 0 THEN 'good' WHEN np <= 1 THEN 'warn' ELSE 'bad' END FROM health"""),
-    "issues": (issue_rows, with_profile("dirty") + ", " + DUPLICATES.format("dirty") + """SELECT 'nulls_' || col AS id, CASE WHEN null_pct >= 20 THEN 'High' WHEN null_pct >= 5 THEN 'Medium' ELSE 'Low' END AS severity, nulls AS count FROM prof WHERE null_pct > 0
-        UNION ALL SELECT 'pii_' || col, 'High', n_distinct FROM prof WHERE is_pii UNION ALL SELECT 'dup_rows', CASE WHEN d <= 2 THEN 'Medium' ELSE 'High' END, d FROM dups WHERE d > 0
-        UNION ALL SELECT 'cast_' || col, 'Low', num FROM prof WHERE number_like"""),
+    "health": (health_row, with_profile("dirty") + ", " + HEALTH + "SELECT score, grade, co AS completeness_pct, un AS uniqueness_pct, qu AS column_quality_pct, pr AS privacy_score, d AS duplicate_rows, wn AS columns_with_nulls, np AS n_pii, pc AS pii_columns FROM graded"),
+    "cards": (card_rows, CARDS), "issues": (issue_rows, ISSUES), "health_report": (report_rows, REPORT),
     "pk_pick_orders": key_of("orders"), "pk_pick_events": key_of("events"), "pk_pick_documents": key_of("documents"), "pk_pick_dirty": key_of("dirty"),
     "index_hints": (lambda s, d: h.index_hints(p.profile(table(s, d, "events"))).select("column", "kind"), with_profile("events") + PK + "SELECT col AS \"column\", CASE WHEN col = pk THEN 'primary_key' WHEN ends_with(lower(col), 'id') THEN 'foreign_key_like' ELSE 'date' END AS kind FROM prof, pk WHERE col = pk OR ends_with(lower(col), 'id') OR kind = 'd'"),
     "column_decls": (lambda s, d: h.column_declarations(p.profile(table(s, d, "events"))), with_profile("events") + PK + "SELECT CAST(ordinal AS INTEGER) AS ordinal, col || ' ' || sql_type || CASE WHEN nulls = 0 THEN ' NOT NULL' ELSE ' NULL' END AS declaration, col = pk AS is_key FROM prof, pk"),
-    "rule_rows": (lambda s, d: h.rule_rows(p.profile(dirty_orders(s, d))), with_profile("dirty") + """SELECT 'Null rate: ' || col AS name, 'Completeness' AS type, CASE WHEN null_pct >= 20 THEN 'High' ELSE 'Medium' END AS severity, 'null_rate(' || col || ') > ' || CAST(greatest(1, CAST(round_even(null_pct, 0) AS INTEGER)) AS VARCHAR) || '%' AS condition FROM prof WHERE null_pct > 0
-        UNION ALL SELECT 'Row volume drop', 'Volume', 'Medium', 'daily_row_count < 0.5 * 7day_avg' UNION ALL SELECT 'Outliers: total', 'Validity', 'Low', 'total outside mean +/- 3*stddev'"""),
-    "rule_rows_events": (lambda s, d: h.rule_rows(p.profile(table(s, d, "events"))), """SELECT * FROM (VALUES ('Duplicate key: event_id', 'Uniqueness', 'High', 'COUNT(*) > COUNT(DISTINCT event_id)'), ('Freshness: ts', 'Timeliness', 'Medium', 'MAX(ts) < TODAY - 2 days'),
-        ('Row volume drop', 'Volume', 'Medium', 'daily_row_count < 0.5 * 7day_avg'), ('Outliers: value', 'Validity', 'Low', 'value outside mean +/- 3*stddev')) v(name, type, severity, condition)"""),
+    "rule_rows": (lambda s, d: h.rule_rows(p.profile(dirty_orders(s, d)).cache()), rules_sql("dirty")), "rule_rows_events": (lambda s, d: h.rule_rows(p.profile(table(s, d, "events")).cache()), rules_sql("events")),
     "rule_null_rate": (rule_null_rate, f"""WITH {DIRTY}, o AS (SELECT round_even(CAST(100.0 * count(*) FILTER (o_orderkey % 20 = 0 OR o_orderstatus IS NULL) / count(*) AS DOUBLE), 1) AS b FROM orders), n AS (SELECT round_even(CAST(100.0 * (count(*) - count(status)) / count(*) AS DOUBLE), 1) AS c FROM dirty)
         SELECT 'status' AS "column", b AS baseline_pct, c AS null_pct, greatest(1, CAST(round_even(b, 0) AS INTEGER)) AS limit_pct, c > greatest(1, CAST(round_even(b, 0) AS INTEGER)) AS broken FROM o, n"""),
     "rule_dup_key": (lambda s, d: rules.duplicate_keys(dirty_orders(s, d), "order_id"), f"WITH {DIRTY} SELECT order_id AS key, count(*) AS n FROM dirty GROUP BY 1 HAVING count(*) > 1"),

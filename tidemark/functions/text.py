@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -9,6 +11,16 @@ from pyspark.sql import functions as F
 MONEY = ("revenue", "sales", "amount", "price", "cost", "value")
 
 
+def _accents() -> tuple[str, str]:
+    """Accented lower-case Latin letters and their base letters."""
+    letters = [chr(i) for i in range(0xE0, 0x180) if chr(i).islower()]
+    bases = {c: unicodedata.normalize("NFD", c) for c in letters}
+    return "".join(c for c in letters if len(bases[c]) > 1), "".join(bases[c][0] for c in letters if len(bases[c]) > 1)
+
+
+ACCENTS = _accents()
+
+
 def money_like(name: Column) -> Column:
     return F.lower(name).rlike("|".join(MONEY))
 
@@ -34,5 +46,5 @@ def number_text(value: Column, money: Column | bool = False) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case without the accents of Spanish, as the keyword patterns are written."""
-    return F.translate(F.lower(text), "áéíóúüñ", "aeiouun")
+    """Lower case without the accents of Latin letters, as the keyword patterns are written."""
+    return F.translate(F.lower(text), *ACCENTS)

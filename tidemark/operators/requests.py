@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from tidemark.functions.text import folded
-from tidemark.operators.charts import GRAINS, ChartRequest, grouped_values, top_limit
+from tidemark.functions.types import DATE, type_class
+from tidemark.operators.charts import GRAINS, grouped_values
 from tidemark.operators.dashboard import PRIORITY
 
 MAX_CATALOG = 10_000
@@ -229,32 +230,27 @@ def confirmation(requests: DataFrame) -> DataFrame:
     return requests.withColumn("confirmation", F.concat(F.lit("Added: "), what, F.lit(" by "), scope, F.lit("**"), F.col("dimension"), F.lit("**"), per, F.lit(", as a **"), F.col("chart_type"), F.lit("** chart.")))
 
 
-def answers(df: DataFrame, requests: DataFrame, max_distinct: int = 1000) -> DataFrame:
+def answers(df: DataFrame, requests: DataFrame) -> DataFrame:
     """(msg_id, x, value): the data of every resolved chart, as `chart_query` gives them.
 
-    Different requests on one dimension and grain share one aggregate over the table, however many messages ask them.
-    There are at most (columns)^2 times a few different requests; more than `max_distinct` are refused, not cut.
+    Requests on one dimension and grain share one aggregate over the table, however many messages ask them; their
+    top-n and type only choose rows of it. What is collected is the different (dimension, grain, measure, aggregate).
     """
-    keys = ["chart_type", "dimension", "measure", "agg", "top_n", "grain"]
+    keys = ["dimension", "grain", "measure", "agg"]
     asked = requests.where("dimension is not null")
-    different = asked.select(*keys).distinct().limit(max_distinct + 1).collect()
-    if len(different) > max_distinct:
-        raise ValueError(f"more than {max_distinct} different requests")
     axes: dict[tuple, list] = {}
-    for r in sorted(different, key=str):
+    for r in sorted(asked.select(*keys).distinct().collect(), key=str):
         axes.setdefault((r["dimension"], r["grain"]), []).append(r)
     out = None
     for (dimension, grain), group in axes.items():
-        cells = []
         values = grouped_values(df, dimension, grain, [(r["measure"], r["agg"]) for r in group])
-        for i, r in enumerate(group):
-            keep = top_limit(df, ChartRequest(dimension, r["measure"], r["agg"], r["chart_type"], r["top_n"], grain))
-            cells.append(F.struct(F.col(f"v{i}").cast("double").alias("value"), F.lit(keep).cast("int").alias("keep"), *[F.lit(r[k]).alias(f"k_{k}") for k in keys]))
+        cells = [F.struct(F.col(f"v{i}").cast("double").alias("value"), *[F.lit(r[k]).cast("string").alias(f"k_{k}") for k in keys]) for i, r in enumerate(group)]
         rows = values.select(F.col("x").cast("string").alias("x"), F.col("x").alias("order"), F.explode(F.array(*cells)).alias("c")).select("x", "order", "c.*")
         place = F.row_number().over(Window.partitionBy(*[f"k_{k}" for k in keys]).orderBy(F.desc("value"), F.asc("order")))
-        rows = rows.withColumn("place", place).where("keep is null or place <= keep").drop("order", "place", "keep")
+        rows = rows.withColumn("place", place).withColumn("dated", F.lit(type_class(df.schema[dimension].dataType) == DATE)).drop("order")
         out = rows if out is None else out.unionByName(rows)
     if out is None:
         return requests.select("msg_id", F.lit("").alias("x"), F.lit(0.0).alias("value")).where("false")
+    along_x = F.col("dated") | ((F.col("chart_type") == "line") & F.col("measure").isNotNull() & (F.col("agg") != "count"))
     same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
-    return asked.join(out, same).select("msg_id", "x", "value")
+    return asked.join(out, same).where(along_x | F.col("top_n").isNull() | (F.col("place") <= F.col("top_n"))).select("msg_id", "x", "value")

@@ -9,8 +9,12 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, or a local one where that is unset (tests); it goes when the driver ends."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
+    """A new folder below spark.checkpoint.dir, or where that is unset a local one of a local master (tests); it goes when the driver ends."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
     path = f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
