@@ -71,7 +71,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path).getParent()
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = at
+    return out
+
+
+class Tables:
+    """The written tables of one call, to be deleted as soon as no later step reads them."""
+
+    def __init__(self):
+        self.held: list[DataFrame] = []
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        self.held.append(written(df, name))
+        return self.held[-1]
+
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all others."""
+        for t in self.held:
+            if not any(t is k for k in tables):
+                t._written_at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(t._written_at, True)
+        self.held = [t for t in self.held if any(t is k for k in tables)]
 
 
 def sliced(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

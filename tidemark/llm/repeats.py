@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import in_tasks, sliced, small_batches, table, text_bytes, written
+from tidemark.llm.base import Tables, in_tasks, sliced, small_batches, table, text_bytes, written
 
 SPAN, GRAM = 400, 32
 CODE = 5
@@ -320,7 +320,7 @@ def _many(rows: DataFrame) -> DataFrame:
     return rows.repartition(max(least, rows.count() // 4096), "key")
 
 
-def _marks(data: DataFrame, span: int, level: int = 0) -> DataFrame:
+def _marks(data: DataFrame, span: int, tables: Tables, level: int = 0) -> DataFrame:
     """(context, key, s, e): marked window starts of contexts (key, context, size, data); size counts those of the key."""
     usual = _many(data.where(F.col("size") <= LIMIT).select("key", "context", "data")).sortWithinPartitions("key", "context")
     marks = usual.mapInArrow(in_tasks(partial(_resolve, span=span)), "context long, key long, s int, e int")
@@ -328,13 +328,13 @@ def _marks(data: DataFrame, span: int, level: int = 0) -> DataFrame:
     if level + 1 == len(part_widths(span)) or hot.isEmpty():
         return marks
     parts = hot.mapInArrow(in_tasks(partial(_finer, span=span, level=level + 1)), "k0 long, c0 long, shift int, last int, key long, context long, data binary")
-    parts = written(parts, f"parts{level + 1}")
-    counts = written(parts.groupBy("key", "context").agg(F.count("*").alias("n")), f"counts{level + 1}")
-    sizes = written(counts.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{level + 1}")
+    parts = tables.written(parts, f"parts{level + 1}")
+    counts = tables.written(parts.groupBy("key", "context").agg(F.count("*").alias("n")), f"counts{level + 1}")
+    sizes = tables.written(counts.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), f"sizes{level + 1}")
     own = parts.select(F.col("c0").alias("context"), F.col("k0").alias("key"), F.col("shift").alias("s"), (F.col("shift") + F.col("last")).alias("e"), F.struct("key", "context").alias("part"))
     named_part = lambda df: df.withColumn("part", F.struct("key", "context"))
     whole = own.join(named_part(counts.where("n > 1")).select("part"), "part").drop("part")
-    deeper = written(_marks(written(parts.dropDuplicates(["key", "context"]).join(sizes, "key").select("key", "context", "size", "data"), f"data{level + 1}"), span, level + 1), f"marks{level + 1}")
+    deeper = tables.written(_marks(tables.written(parts.dropDuplicates(["key", "context"]).join(sizes, "key").select("key", "context", "size", "data"), f"data{level + 1}"), span, tables, level + 1), f"marks{level + 1}")
     deeper = named_part(deeper.join(counts.where("n = 1").drop("n"), ["key", "context"])).select("part", F.col("s").alias("from"), F.col("e").alias("to"))
     deeper = own.join(deeper, "part").select("context", "key", (F.col("s") + F.col("from")).alias("s"), (F.col("s") + F.col("to")).alias("e"))
     return marks.unionByName(whole).unionByName(deeper)
@@ -346,23 +346,27 @@ def marked_spans(docs: DataFrame, text: str = "text", span: int = SPAN, coded: b
     With `coded` the span and the starts count bytes of word codes.
     """
     keyed = small_batches(docs).select(F.col(text).alias("text"), *text_hashes(text)).where(F.octet_length("text") >= (2 * span // CODE - 1 if coded else span))
-    every = written(keyed.mapInArrow(in_tasks(partial(_pieces, span=span, coded=coded)), "t1 long, t2 long, a int, b int, key long, context long"), "pieces")
+    tables = Tables()
+    every = tables.written(keyed.mapInArrow(in_tasks(partial(_pieces, span=span, coded=coded)), "t1 long, t2 long, a int, b int, key long, context long"), "pieces")
     # Sums are written before they are joined, so that the join reads plain shuffles, whose hot keys Spark can split.
-    keys = written(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
-    kept = written(every.join(keys, "key"), "kept")
+    keys = tables.written(every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "keys")
+    kept = tables.written(every.join(keys, "key"), "kept")
+    tables.keep(kept)
     contexts = kept.groupBy("key", "context").agg(F.count("*").alias("n"), F.min(F.struct("t1", "t2", "a", "b")).alias("at"))
-    contexts = written(contexts, "contexts")
-    buckets = written(contexts.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
+    contexts = tables.written(contexts, "contexts")
+    buckets = tables.written(contexts.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "buckets")
     members = contexts.join(buckets, "key").select("at.t1", "at.t2", F.struct("key", "context", "at.a", "at.b", "size").alias("span"))
-    members = written(members.groupBy("t1", "t2").agg(F.collect_list("span").alias("spans")), "members")
+    members = tables.written(members.groupBy("t1", "t2").agg(F.collect_list("span").alias("spans")), "members")
     data = keyed.join(members, ["t1", "t2"]).select("text", "spans").mapInArrow(in_tasks(partial(_contexts, span=span, coded=coded)), "key long, context long, size long, data binary")
-    data = written(data.dropDuplicates(["key", "context"]), "data")
-    marks = _marks(data, span)
+    data = tables.written(data.dropDuplicates(["key", "context"]), "data")
+    marks = _marks(data, span, tables)
     whole = contexts.where("n > 1").select("context", "key", F.lit(0).alias("s"), (F.col("at.b") - F.col("at.a")).alias("e"))
     single = contexts.where("n = 1").select("context", "key")
-    marks = written(whole.unionByName(marks.join(single, ["context", "key"]).select(*whole.columns)), "marks")
+    marks = tables.written(whole.unionByName(marks.join(single, ["context", "key"]).select(*whole.columns)), "marks")
     spans = kept.join(marks, ["context", "key"]).select("t1", "t2", F.struct((F.col("a") + F.col("s")).alias("from"), (F.col("a") + F.col("e")).alias("to")).alias("span"))
-    return written(spans.distinct().groupBy("t1", "t2").agg(F.collect_list("span").alias("spans")), "spans")
+    spans = tables.written(spans.distinct().groupBy("t1", "t2").agg(F.collect_list("span").alias("spans")), "spans")
+    tables.keep(spans)
+    return spans
 
 
 def text_hashes(text: str):
