@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import Counter, defaultdict
 
@@ -60,3 +61,31 @@ def test_given_tables(spark):
     sf = "/root/testdata/sf0.001"
     texts = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
     check(op3_sharding(spark, sf).collect(), texts, 24)
+
+
+def cut_links(shard_of):
+    """Pairs of rows of one text that lie in different shards; `shard_of` has (text, shard) rows."""
+    groups = defaultdict(Counter)
+    for text, shard in shard_of:
+        groups[text][shard] += 1
+    return sum(sum(c.values()) ** 2 - sum(n * n for n in c.values()) for c in groups.values()) // 2
+
+
+def test_fewer_cut_links_than_a_hash_and_near_the_optimum(spark):
+    rng = random.Random(8)
+    texts = [(i, f"group {g}") for i, g in enumerate(g for g in range(60) for _ in range(rng.randrange(2, 15)))]
+    texts += [(len(texts) + i, f"own {i}") for i in range(600)]
+    rows = shard_documents(spark.createDataFrame(texts, "doc_id long, text string"), 8).collect()
+    by = dict(texts)
+    check(rows, texts, 8)
+    cut = cut_links((by[r["doc_id"]], r["shard"]) for r in rows)
+    by_hash = cut_links((t, zlib.crc32(str(i).encode()) % 8) for i, t in texts)
+    assert by_hash > 1000 and cut <= 0.1 * by_hash, (cut, by_hash)  # the optimum is 0: every group fits a shard
+
+
+def test_given_table_against_a_hash(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    cut = cut_links((texts[r["doc_id"]], r["shard"]) for r in op3_sharding(spark, sf).collect())
+    by_hash = cut_links((t, zlib.crc32(str(i).encode()) % 24) for i, t in texts.items())
+    assert by_hash > 0 and cut <= 0.1 * by_hash, (cut, by_hash)

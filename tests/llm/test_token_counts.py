@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from tidemark.llm.token_counts import PrefixCounter, longest_prefix, prefix_counts
+from tidemark.llm.token_counts import PrefixCounter, count_tokens, longest_prefix, op9_token_counts, prefix_counts
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -45,3 +45,28 @@ def test_budget(both):
     n = longest_prefix(mine.changes(text), 50)
     assert len(library.encode(text[:n]).ids) <= 50 < len(library.encode(text[: n + 1]).ids)
     assert mine.changes(None) == b"" and np.array_equal(prefix_counts(b""), [0])
+
+
+def test_query_against_the_library(spark):
+    library = Tokenizer.from_file(PATH)
+    want = lambda t: len(library.encode(t or "", add_special_tokens=False).ids)
+    sf = "/root/testdata/sf0.001"
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    got = op9_token_counts(spark, sf).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        n = want(texts[r["doc_id"]])
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len((texts[r["doc_id"]] or "").encode()), n, n > 512)
+        assert want(texts[r["doc_id"]][: r["budget_chars"]]) <= 512
+
+
+def test_odd_rows_through_spark(spark):
+    library = Tokenizer.from_file(PATH)
+    texts = [None, "", "<|endoftext|>", "a<|endoftext|> b", "word " * 4000, "é中🙂" * 300, "a", "a"]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(None, "no id")], "doc_id long, text string").selectExpr("*", "1 as n_tokens", "'x' as token_changes", "2 as __text")
+    rows = count_tokens(df, PATH).collect()
+    assert sorted(rows[0].asDict()) == ["__text", "budget_chars", "doc_id", "n_tokens", "text", "token_changes"] and len(rows) == len(texts) + 1
+    for r in rows:
+        assert r["n_tokens"] == len(library.encode(r["text"] or "", add_special_tokens=False).ids)
+        assert len(prefix_counts(bytes(r["token_changes"]))) == len(r["text"] or "") + 1
+    assert count_tokens(df.limit(0), PATH).count() == 0

@@ -113,15 +113,27 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - (offsets[0] if len(offsets) else 0)
 
 
+def without(columns: list[str], *names: str) -> list[str]:
+    """The columns that none of the names, in whatever case, takes the place of."""
+    taken = {n.lower() for n in names}
+    return [c for c in columns if c.lower() not in taken]
+
+
+def free(columns: list[str], name: str) -> str:
+    """The name, or where a column has it a longer one."""
+    while name.lower() in {c.lower() for c in columns}:
+        name += "_"
+    return name
+
+
 def appended(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]], make: Callable[[], Callable[[pa.Array], list[pa.Array]]], drop: bool = False) -> DataFrame:
     """`df` (without `column` if `drop`) plus `fields`, computed from the text column in Arrow batches.
 
     `make` runs once a task and returns the function on a slice of the column. A column of `df` that
     has the name of a new field is replaced.
     """
-    names = {n for n, _ in fields}
-    kept = [c for c in df.columns if c not in names and not (drop and c == column)]
-    source = df.select(*[f"`{c}`" for c in kept], df[column].alias("__text"))
+    kept = [c for c in without(df.columns, *(n for n, _ in fields)) if not (drop and c == column)]
+    source = df.select(*[f"`{c}`" for c in kept], df[column].alias(free(kept, "__text")))
     schema = T.StructType([f for f in source.schema.fields[:-1]] + [T.StructField(n, t) for n, t in fields])
 
     def run(batches):

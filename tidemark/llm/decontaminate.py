@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import CHECKED_ROWS, SLICE_BYTES, in_tasks, sliced, small_batches, table, text_bytes, written
+from tidemark.llm.base import CHECKED_ROWS, SLICE_BYTES, in_tasks, sliced, small_batches, table, text_bytes, without, written
 
 K, WINDOW = 5, 6
 SPAN = K + WINDOW - 1
@@ -221,14 +221,13 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     one, two = F.xxhash64(F.col(text)), F.xxhash64(F.lit(1), F.col(text))
     keyed = small_batches(docs).select(F.col(text).alias("text"), one.alias("t1"), two.alias("t2")).where("text is not null")
     found = found_in(keyed, items, checked_prints).select(F.col("t1").alias("__t1"), F.col("t2").alias("__t2"), F.col("hit_spans").alias("__spans"), F.col("n_hit").alias("__hit"), F.col("items").alias("__items"))
-    names = {n for n, _ in FIELDS}
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names and not (drop and c == text)]
+    kept = [F.col(f"`{c}`") for c in without(docs.columns, *dict(FIELDS)) if not (drop and c == text)]
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     out = docs.select(*kept, words.alias("n_words"), one.alias("__k1"), two.alias("__k2"), F.col(text).isNotNull().alias("__some"))
     out = out.join(found, F.col("__some") & (F.col("__k1") == F.col("__t1")) & (F.col("__k2") == F.col("__t2")), "left")
     none = {n: F.array().cast(t) for n, t in FIELDS if isinstance(t, T.ArrayType)}
     found_columns = [F.coalesce("__spans", none["hit_spans"]).alias("hit_spans"), F.coalesce("__items", none["items"]).alias("items"), F.coalesce("__hit", F.lit(0)).cast("long").alias("n_hit")]
-    return out.select(*[F.col(f"`{c}`") for c in docs.columns if c not in names and not (drop and c == text)], "n_words", *found_columns)
+    return out.select(*kept, "n_words", *found_columns)
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

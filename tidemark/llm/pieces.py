@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import in_tasks, sliced, small_batches, table
+from tidemark.llm.base import free, in_tasks, sliced, small_batches, table, without
 
 SAMPLES, SLICE = 2, 250_000
 MARK = "▁"
@@ -391,8 +391,8 @@ def encode_samples(docs: DataFrame, model: str, key: str, text: str = "text", k:
 
     `round_trip` says that decoding the ids gives the text. `model` is a file that each Python worker can read.
     """
-    names = {n for n, _ in FIELDS}
-    source = docs.select(*[f"`{c}`" for c in docs.columns if c not in names and not (drop and c == text)], docs[text].alias("__text"), F.xxhash64(F.lit(seed), docs[key]).alias("__seed"))
+    kept = [c for c in without(docs.columns, *dict(FIELDS)) if not (drop and c == text)]
+    source = docs.select(*[f"`{c}`" for c in kept], docs[text].alias(free(kept, "__text")), F.xxhash64(F.lit(seed), docs[key]).alias(free(kept, "__seed")))
     width = len(source.columns) - 2
     schema = T.StructType([*source.schema.fields[:width], *(T.StructField(*f) for f in FIELDS)])
 
@@ -439,7 +439,8 @@ def _samples(part: pa.RecordBatch, width: int, words: Vocabulary, k: int, names:
 
 def decode_pieces(rows: DataFrame, model: str, ids: str = "ids", to: str = "decoded") -> DataFrame:
     """`rows` plus the text of the piece ids (null for null)."""
-    source = rows.select(*[f"`{c}`" for c in rows.columns if c != to], F.col(ids).alias("__ids"))
+    kept = without(rows.columns, to)
+    source = rows.select(*[f"`{c}`" for c in kept], F.col(ids).alias(free(kept, "__ids")))
     schema = T.StructType([*source.schema.fields[:-1], T.StructField(to, T.StringType())])
 
     def run(batches):

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import Tables, in_tasks, sliced, small_batches, table, text_bytes, written
+from tidemark.llm.base import Tables, in_tasks, sliced, small_batches, table, text_bytes, without, written
 
 SPAN, GRAM = 400, 32
 CODE = 5
@@ -399,7 +399,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", as_text: bool = False, w
     """
     kept_name = "kept_text" if as_text else "kept_bytes"
     added = [("passage_spans", T.ArrayType(T.IntegerType()))] * bool(words) + [("removed_spans", T.ArrayType(T.IntegerType())), (kept_name, T.StringType() if as_text else T.BinaryType())]
-    source = docs.select(*[f"`{c}`" for c in docs.columns if c not in dict(added)])
+    source = docs.select(*[f"`{c}`" for c in without(docs.columns, *dict(added))])
     n = len(source.columns)
     spans = marked_spans(docs, text).withColumn("words", F.lit(None).cast("array<struct<from:int,to:int>>"))
     if words:

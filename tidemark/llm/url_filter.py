@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import in_tasks, written
+from tidemark.llm.base import in_tasks, without, written
 
 #: The production rules (host, path, verdict).
 RULES = [
@@ -122,8 +122,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame | list[tuple[str, str, str]],
     """`pages` with host, path, rule and verdict; `rules` has columns host, path, verdict."""
     spark = pages.sparkSession
     host, path = url_parts(F.col(url))
-    names = {"host", "path", "rule", "verdict"}
-    source = pages.select(*[f"`{c}`" for c in pages.columns if c not in names], host.alias("host"), path.alias("path"))
+    source = pages.select(*[f"`{c}`" for c in without(pages.columns, "host", "path", "rule", "verdict")], host.alias("host"), path.alias("path"))
     if not isinstance(rules, list):
         rules = rules.select("host", "path", "verdict").where("host is not null and path is not null")
         n_rules = rules.count()
