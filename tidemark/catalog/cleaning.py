@@ -54,10 +54,11 @@ def round_trip(kind):
 
 
 def json_array(spark, sf):
-    """A file with one array of records, as other tools write it."""
+    """Files with one array of records each, as other tools write them: one for each 10,000 order numbers."""
     path = f"{scratch(spark)}/array"
-    table(spark, sf, "nation").agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("value")).write.text(path)
-    return read_json(spark, path).select(F.col("n_nationkey").cast("int").alias("n_nationkey"), "n_name")
+    blocks = table(spark, sf, "orders").groupBy(F.floor(F.col("o_orderkey") / 10_000)).agg(F.to_json(F.collect_list(F.struct("o_orderkey", "o_custkey", "o_orderstatus"))).alias("value"))
+    blocks.select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return read_json(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string")
 
 
 FIRST = f"WITH {DIRTY}, f AS (SELECT * FROM dirty QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY order_date, amount) = 1) "
@@ -80,5 +81,5 @@ ENTRIES = {
     "recipe_run": (recipe, STEPS),
     "recipe_replayed": (replayed, STEPS),
     **{f"io_roundtrip_{k}": round_trip(k) for k in ("csv", "json", "parquet")},
-    "io_json_array": (json_array, "SELECT n_nationkey, n_name FROM nation"),
+    "io_json_array": (json_array, "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"),
 }

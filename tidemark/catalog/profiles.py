@@ -193,7 +193,7 @@ ENTRIES = {
     "profile_first_values": (first_sample, FIRSTS),
     "pii_columns": (lambda s, d: p.profile(table(s, d, "customer").unionByName(table(s, d, "supplier"), allowMissingColumns=True)).select("column", "is_pii"),
         "SELECT col AS \"column\", regexp_matches(col, 'name') OR regexp_matches(col, 'mail') AS is_pii FROM (VALUES ('c_custkey'), ('c_name'), ('c_nationkey'), ('c_acctbal'), ('c_mktsegment'), ('s_suppkey'), ('s_name'), ('s_nationkey'), ('s_acctbal')) v(col)"),
-    "pii_values": (lambda s, d: table(s, d, "documents").where(F.col("text").rlike(p.EMAIL) | F.col("text").rlike(p.PHONE)).select("doc_id"),
+    "pii_values": (lambda s, d: p.personal_rows(table(s, d, "documents"), "text").select("doc_id"),
         f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{EMAIL}') OR regexp_matches(text, '{PHONE}')"),
     "date_like": (lambda s, d: p.profile(dirty_orders(s, d).select("order_date", "status")).select("column", "date_like"), with_profile("dirty") + "SELECT col AS \"column\", date_like FROM prof WHERE col IN ('order_date', 'status')"),
     "numeric_like": (lambda s, d: p.profile(table(s, d, "lineitem").select(F.col("l_linenumber").cast("string").alias("q"), "l_returnflag")).select("column", "number_like"), "SELECT * FROM (VALUES ('q', true), ('l_returnflag', false)) v(\"column\", number_like)"),

@@ -12,11 +12,11 @@ from tidemark.functions.types import missing_as_null, named
 from tidemark.operators.profile import id_like_loose, profile
 
 
-def duplicate_rows(df: DataFrame, by_hash: bool = False) -> DataFrame:
+def duplicate_rows(df: DataFrame, by_hash: bool = True) -> DataFrame:
     """One row `duplicates`: copies after the first; missing values equal each other.
 
-    With `by_hash` rows are told apart by two 64-bit hashes, which spares the shuffle of wide rows. Map columns
-    count by their entries.
+    With `by_hash` rows are told apart by two 64-bit hashes, which spares the shuffle of wide rows; without it by
+    themselves. Map columns count by their entries.
     """
     clean = missing_as_null(df)
     keys = [F.map_entries(named(f.name)) if f.dataType.typeName() == "map" else named(f.name) for f in clean.schema.fields]

@@ -120,6 +120,11 @@ def profile(df: DataFrame, distinct: str = "exact", sample_order: str | None = N
     )
 
 
+def personal_rows(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows with an e-mail address or a phone number in one of the columns."""
+    return df.where(reduce(Column.__or__, [named(c).rlike(EMAIL) | named(c).rlike(PHONE) for c in columns]))
+
+
 def overview(df: DataFrame) -> DataFrame:
     kinds = len({f.dataType.simpleString() for f in df.schema.fields})
     return df.agg(F.count("*").alias("n_rows")).select("n_rows", F.lit(len(df.columns)).cast("long").alias("n_columns"), F.lit(kinds).cast("long").alias("n_dtypes"))
