@@ -32,20 +32,38 @@ def orders(spark, sf):
     return df, column_roles(profile(df)).cache()
 
 
-def sql_case(patterns):
-    return "CASE " + " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{n}'" for n, p in patterns.items()) + " END"
-
-
 def intents(spark, sf):
     return r.intents(asked(spark, sf)).select("msg_id", "named_type", "top", "ranking", "average", "sales", "timely", "time_grain", "chart")
 
 
-def has(p):
-    return "regexp_matches(t, '" + p.replace("'", "''") + "')"
+#: The same words, stated for the SQL by themselves: a single word or a run of words of the folded text.
+SQL_WORDS = {
+    "pie": "pie pastel torta circular", "line": "line trend over_time linea lineas tendencia", "bar": "bar barra barras",
+    "ranking": "top most highest largest best leading biggest mejor mejores mayor mayores mas principales primero primeros",
+    "average": "average avg mean promedio media medio",
+    "sales": "selling sold sell sells sales revenue earn earns earning earnings profit profits profitable money dinero venta ventas ingreso ingresos",
+    "year": "yearly annual annually per_year by_year anual anuales por_ano", "quarter": "quarterly per_quarter by_quarter trimestral trimestrales por_trimestre",
+    "month": "monthly per_month by_month mensual mensuales por_mes", "week": "weekly per_week by_week semanal semanales por_semana", "day": "daily per_day by_day diario diaria diarios diarias por_dia",
+    "time": "over_time trend time_series timeseries by_date by_time por_fecha en_el_tiempo tendencia evolucion fecha date",
+    "chart": "chart graph plot visualize visualise visualizacion visualisacion draw show_me_a grafica graficas grafico graficos graficar diagrama barra barras pastel torta linea lineas",
+    "no_chart": "no_graph no_chart no_grafica no_grafico sin_grafica sin_grafico just_the_number just_the_total just_the_answer only_the_number only_the_total solo_el_numero solo_el_total",
+    "question": "what_is what's whats what_are how_much how_many tell_me cuanto cuantos cual_es cuales_son que_es dime", "status": "status state estado",
+}
+
+
+def said(*names):
+    """Whether the text has one of the words: t between marks, in which every run of other characters is one mark."""
+    return "(" + " OR ".join(f"contains(m, '|{w.replace(chr(39), '|').replace('_', '|')}|')" for n in names for w in SQL_WORDS[n].split()) + ")"
+
+
+def sql_case(*names):
+    return "CASE " + " ".join(f"WHEN {said(n)} THEN '{n}'" for n in names) + " END"
 
 
-INTENTS = f"""WITH {ASKED} SELECT msg_id, {sql_case(r.TYPES)} AS named_type, CASE WHEN regexp_extract(t, 'top\\s+(\\d{{1,2}})\\b', 1) <> '' AND regexp_matches(t, '\\btop\\s+(\\d{{1,2}})\\b') THEN CAST(regexp_extract(t, '\\btop\\s+(\\d{{1,2}})\\b', 1) AS INTEGER) WHEN {has(r.RANKING)} THEN 10 END AS top,
-  {has(r.RANKING)} AS ranking, {has(r.AVERAGE)} AS average, {has(r.SALES)} AS sales, {has(r.TIME)} AS timely, {sql_case(r.GRAIN)} AS time_grain, NOT {has(r.NO_CHART)} AND ({has(r.CHART)} OR NOT {has(r.QUESTION)}) AS chart FROM f"""
+INTENTS = f"""WITH {ASKED}, k AS (SELECT *, '|' || regexp_replace(t, '[^a-z0-9_]+', '|', 'g') || '|' AS m FROM f)
+SELECT msg_id, {sql_case('pie', 'line', 'bar')} AS named_type, CASE WHEN regexp_matches(t, '(^|[^a-z0-9_])top\\s+[0-9]{{1,2}}($|[^a-z0-9_])') THEN CAST(regexp_extract(t, '(?:^|[^a-z0-9_])top\\s+([0-9]{{1,2}})(?:$|[^a-z0-9_])', 1) AS INTEGER) WHEN {said('ranking')} THEN 10 END AS top,
+  {said('ranking')} AS ranking, {said('average')} AS average, {said('sales')} AS sales, {said('time', 'year', 'quarter', 'month', 'week', 'day')} AS timely, {sql_case('year', 'quarter', 'month', 'week', 'day')} AS time_grain,
+  NOT {said('no_chart')} AND ({said('chart')} OR NOT {said('question')}) AS chart FROM k"""
 
 
 def resolved(spark, sf):
@@ -100,6 +118,6 @@ days AS (SELECT '{PHRASES[9]}' AS text, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S
 SELECT msg_id, x, value FROM f JOIN (SELECT * FROM top UNION ALL SELECT * FROM two UNION ALL SELECT * FROM days) USING (text)"""
 ENTRIES = {
     "tag_intents": (intents, INTENTS), "tag_strict": (strict, STRICT), "tag_validate_json": (proposals, PROPOSALS), "tag_answers": (answered, ANSWERS),
-    "tag_synonyms": (synonyms, f"WITH {ASKED} SELECT msg_id, 'o_orderstatus' AS synonym FROM f WHERE {has(r.SYNONYMS[-1][0])}"),
+    "tag_synonyms": (synonyms, f"WITH {ASKED} SELECT msg_id, 'o_orderstatus' AS synonym FROM (SELECT *, '|' || regexp_replace(t, '[^a-z0-9_]+', '|', 'g') || '|' AS m FROM f) WHERE {said('status')}"),
     "tag_columns": (mentioned, None), "tag_resolve": (resolved, None),  # near-spellings need a sequence ratio; see tests/test_requests.py
 }

@@ -23,44 +23,43 @@ MAX_CATALOG = 10_000
 DEFAULT_TOP = 10
 SIMILAR = 0.82
 
-#: Keyword patterns in English and Spanish, without accents.
-TYPES = {
-    "pie": r"\b(pie|pastel|torta|circular)\b",
-    "line": r"\b(line|trend|over\s+time|linea|lineas|tendencia)\b",
-    "bar": r"\b(bar|barras?)\b",
-}
-RANKING = r"\b(top|most|highest|largest|best|leading|biggest|mejores?|mayores?|mas|principales|primeros?)\b"
-SALES = r"\b(selling|sold|sells?|sales|revenue|earn(?:ing)?s?|profit(?:s|able)?|money|dinero|ventas?|ingresos?)\b"
-AVERAGE = r"\b(average|avg|mean|promedio|medi[ao])\b"
-TIME = (
-    r"\b(over\s+time|trend|time\s*series|daily|weekly|monthly|quarterly|yearly|annual(?:ly)?|per\s+(?:day|week|month|quarter|year)"
-    r"|by\s+(?:day|week|month|quarter|year|date|time)|diari[ao]s?|semanal(?:es)?|mensual(?:es)?|trimestral(?:es)?|anual(?:es)?"
-    r"|por\s+(?:dia|semana|mes|trimestre|a[nx]o|fecha)|en\s+el\s+tiempo|tendencia|evoluci[ox]n|fecha|date)\b"
-)
+
+def any_of(phrases: str) -> str:
+    """A pattern for any of the phrases (between commas) as whole words; a star stands for any ending."""
+    return r"\b(" + "|".join(p.strip().replace(" ", r"\s+").replace("*", r"\w*") for p in phrases.split(",")) + r")\b"
+
+
+#: Words of requests in English and Spanish, without accents.
+TYPES = {"pie": any_of("pie, pastel, torta, circular"), "line": any_of("line, trend, over time, linea, lineas, tendencia"), "bar": any_of("bar, barra, barras")}
+RANKING = any_of("top, most, highest, largest, best, leading, biggest, mejor, mejores, mayor, mayores, mas, principales, primero, primeros")
+SALES = any_of("selling, sold, sell, sells, sales, revenue, earn, earns, earning, earnings, profit, profits, profitable, money, dinero, venta, ventas, ingreso, ingresos")
+AVERAGE = any_of("average, avg, mean, promedio, media, medio")
 GRAIN = {
-    "year": r"\b(yearly|annual(?:ly)?|per\s+year|by\s+year|anual(?:es)?|por\s+a[nx]o)\b",
-    "quarter": r"\b(quarterly|per\s+quarter|by\s+quarter|trimestral(?:es)?|por\s+trimestre)\b",
-    "month": r"\b(monthly|per\s+month|by\s+month|mensual(?:es)?|por\s+mes)\b",
-    "week": r"\b(weekly|per\s+week|by\s+week|semanal(?:es)?|por\s+semana)\b",
-    "day": r"\b(daily|per\s+day|by\s+day|diari[ao]s?|por\s+dia)\b",
+    "year": any_of("yearly, annual, annually, per year, by year, anual, anuales, por ano"),
+    "quarter": any_of("quarterly, per quarter, by quarter, trimestral, trimestrales, por trimestre"),
+    "month": any_of("monthly, per month, by month, mensual, mensuales, por mes"),
+    "week": any_of("weekly, per week, by week, semanal, semanales, por semana"),
+    "day": any_of("daily, per day, by day, diario, diaria, diarios, diarias, por dia"),
 }
-CHART = r"\b(chart|graph|plot|visuali[sz]e|visuali[sz]aci[ox]n|draw|show\s+me\s+a|grafic[ao]s?|graficar|diagrama|barras?|pastel|torta|lineas?)\b"
-NO_CHART = (
-    r"\b(no\s+(?:graph|chart|grafic[ao])|sin\s+grafic[ao]|just\s+the\s+(?:number|total|answer)|only\s+the\s+(?:number|total)"
-    r"|solo\s+el\s+(?:numero|total))\b"
+TIME = "|".join([*GRAIN.values(), any_of("over time, trend, time series, timeseries, by date, by time, por fecha, en el tiempo, tendencia, evolucion, fecha, date")])
+CHART = any_of(
+    "chart, graph, plot, visualize, visualise, visualizacion, visualisacion, draw, show me a, grafica, graficas, grafico, graficos, graficar, diagrama, barra, barras, pastel, torta, linea, lineas"
+)
+NO_CHART = any_of(
+    "no graph, no chart, no grafica, no grafico, sin grafica, sin grafico, just the number, just the total, just the answer, only the number, only the total, solo el numero, solo el total"
 )
-QUESTION = r"(^|\b)(what\s+is|what'?s|what\s+are|how\s+much|how\s+many|tell\s+me|cuantos?|cuanto|cual\s+es|cuales\s+son|que\s+es|dime)\b"
+QUESTION = any_of("what is, what's, whats, what are, how much, how many, tell me, cuanto, cuantos, cual es, cuales son, que es, dime")
 #: Business words, and the parts of column names they stand for, in order of preference.
 SYNONYMS = [
-    (r"\bsellers?\b|\bselling\b|\bsalespeople\b|\bsales\s*reps?\b|\bvendedor(?:es)?\b|\bvendedora?s?\b", ("seller", "salesperson", "sales_rep", "rep", "agent", "vendedor")),
-    (r"\bstores?\b|\bshops?\b|\bbranch(?:es)?\b|\blocations?\b|\boutlets?\b|\btiendas?\b|\bsucursal(?:es)?\b|\blocal(?:es)?\b", ("store", "shop", "branch", "location", "outlet", "tienda", "sucursal")),
-    (r"\bproducts?\b|\bitems?\b|\bskus?\b|\bproductos?\b|\bart[ix]culos?\b", ("product", "item", "sku", "producto")),
-    (r"\bcustomers?\b|\bclients?\b|\bbuyers?\b|\bclientes?\b|\bcompradores?\b", ("customer", "client", "buyer", "cliente")),
-    (r"\bregions?\b|\bareas?\b|\bzones?\b|\bterritor\w*\b|\bregi[ox]n(?:es)?\b|\bzonas?\b", ("region", "area", "zone", "territory", "zona")),
-    (r"\bcategor\w*\b|\btipos?\b", ("category", "type", "categoria")),
-    (r"\bcountr\w*\b|\bpais\b", ("country", "pais")),
-    (r"\bholidays?\b|\bfestivos?\b|\bferiados?\b|\bvacaciones\b", ("holiday", "festivo")),
-    (r"\bstatus\b|\bstate\b|\bestado\b", ("status", "state", "estado")),
+    (any_of("seller, sellers, selling, salespeople, sales rep, sales reps, salesrep, salesreps, vendedor, vendedores, vendedora, vendedoras"), ("seller", "salesperson", "sales_rep", "rep", "agent", "vendedor")),
+    (any_of("store, stores, shop, shops, branch, branches, location, locations, outlet, outlets, tienda, tiendas, sucursal, sucursales, local, locales"), ("store", "shop", "branch", "location", "outlet", "tienda", "sucursal")),
+    (any_of("product, products, item, items, sku, skus, producto, productos, articulo, articulos"), ("product", "item", "sku", "producto")),
+    (any_of("customer, customers, client, clients, buyer, buyers, cliente, clientes, comprador, compradores"), ("customer", "client", "buyer", "cliente")),
+    (any_of("region, regions, regiones, area, areas, zone, zones, zona, zonas, territor*"), ("region", "area", "zone", "territory", "zona")),
+    (any_of("categor*, tipo, tipos"), ("category", "type", "categoria")),
+    (any_of("countr*, pais"), ("country", "pais")),
+    (any_of("holiday, holidays, festivo, festivos, feriado, feriados, vacaciones"), ("holiday", "festivo")),
+    (any_of("status, state, estado"), ("status", "state", "estado")),
 ]
 STRICT = r"(?is)^(.*)\bas\s+(?:an?\s+)?(pie|bar|line)(?:\s+chart)?\s*\z"
 TOP = r"(?i)\btop\s+(\d{1,2})\b"
