@@ -77,3 +77,17 @@ def test_nulls_and_empty(spark):
     docs = spark.createDataFrame([(3, None), (2, ""), (9, "a"), (9, "a")], "doc_id long, text string").selectExpr("*", "1 as fp", "2 as least")
     assert sorted(tuple(r) for r in simhash.near_duplicates(docs).select("doc_id", "component_id").collect()) == [(2, 2), (3, 2), (9, 9), (9, 9)]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
+
+
+def test_one_fingerprint_for_half_the_rows(spark):
+    rows = [(i, "the same words in every one of these rows") for i in range(0, 1200, 2)] + [(i, f"row {i} has words {i * 7} of its own {i * i}") for i in range(1, 1200, 2)]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes", "spark.sql.adaptive.advisoryPartitionSizeInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "1k")
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+        got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(df).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {i: c for i, (_, c) in brute_force(rows).items()} and all(got[i] == 0 for i in range(0, 1200, 2))

@@ -8,6 +8,8 @@
    are added up in carry-save counters (ones, twos, over three); words whose candidates have all exceeded the
    radius are abandoned. Of the links a spanning forest per bucket is enough for the components.
 4. Components by smallest-label rounds with shortcuts, each round written to the shared folder.
+5. Components go back to the rows by a join on the fingerprint, whose plain shuffles let Spark split a fingerprint that
+   many rows have (adaptive skew joins).
 
 Defined cases: null and empty texts have fingerprint zero and link like any other; repeated rows and equal
 fingerprints are one class; a null id is never a component's name unless all ids of it are null; columns other
