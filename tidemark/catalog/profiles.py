@@ -167,18 +167,20 @@ CARDS = with_profile("dirty") + ", " + HEALTH + """SELECT 1 AS position, 'Health
     UNION ALL SELECT 3, 'Duplicate rows', CAST(d AS VARCHAR), CASE WHEN d = 0 THEN 'good' WHEN d <= 2 THEN 'warn' ELSE 'bad' END, 'Fully duplicated rows.' FROM health
     UNION ALL SELECT 4, 'Cols with nulls', CAST(wn AS VARCHAR), CASE WHEN wn = 0 THEN 'good' WHEN wn <= 2 THEN 'warn' ELSE 'bad' END, 'Columns containing missing values.' FROM health
     UNION ALL SELECT 5, 'PII columns', CAST(np AS VARCHAR), CASE WHEN np = 0 THEN 'good' WHEN np <= 1 THEN 'warn' ELSE 'bad' END, CASE WHEN np = 0 THEN 'No obvious PII detected.' ELSE pc END FROM health"""
-ISSUES = with_profile("dirty") + ", " + DUPLICATES.format("dirty") + """SELECT 'nulls_' || col AS id, CASE WHEN null_pct >= 20 THEN 'High' WHEN null_pct >= 5 THEN 'Medium' ELSE 'Low' END AS severity, nulls AS count, 'Fill with default / drop rows' AS action FROM prof WHERE null_pct > 0
-    UNION ALL SELECT 'pii_' || col, 'High', n_distinct, 'Mask / anonymize before storing' FROM prof WHERE is_pii UNION ALL SELECT 'dup_rows', CASE WHEN d <= 2 THEN 'Medium' ELSE 'High' END, d, 'Drop duplicates' FROM dups WHERE d > 0
-    UNION ALL SELECT 'cast_' || col, 'Low', num, 'Cast to a numeric type' FROM prof WHERE number_like"""
+ISSUES = with_profile("dirty") + ", " + DUPLICATES.format("dirty") + """SELECT 'nulls_' || col AS id, CASE WHEN null_pct >= 20 THEN 'High' WHEN null_pct >= 5 THEN 'Medium' ELSE 'Low' END AS severity, nulls AS count, 'Fill with default / drop rows' AS action, 'Missing values: ' || col AS title, null_pct || '% of the values are missing' AS detail FROM prof WHERE null_pct > 0
+    UNION ALL SELECT 'pii_' || col, 'High', n_distinct, 'Mask / anonymize before storing', 'Personal data: ' || col, 'its name or its values look personal' FROM prof WHERE is_pii UNION ALL SELECT 'dup_rows', CASE WHEN d <= 2 THEN 'Medium' ELSE 'High' END, d, 'Drop duplicates', 'Repeated rows', d || ' rows occur again' FROM dups WHERE d > 0
+    UNION ALL SELECT 'cast_' || col, 'Low', num, 'Cast to a numeric type', 'Numbers kept as text: ' || col, num || ' values read as numbers' FROM prof WHERE number_like"""
 
 
 def rules_sql(name):
-    return with_profile(name) + """, pk AS (SELECT col AS pk FROM prof WHERE is_pk_candidate ORDER BY ends_with(lower(col), 'id') DESC, ordinal LIMIT 1)
+    return with_profile(name) + """, pk AS (SELECT col AS pk FROM prof WHERE is_pk_candidate ORDER BY ends_with(lower(col), 'id') DESC, ordinal LIMIT 1), rules AS (
     SELECT 'Null rate: ' || col AS name, 'Completeness' AS type, CASE WHEN null_pct >= 20 THEN 'High' ELSE 'Medium' END AS severity, 'null_rate(' || col || ') > ' || CAST(greatest(1, CAST(round_even(null_pct, 0) AS INTEGER)) AS VARCHAR) || '%' AS condition FROM prof WHERE null_pct > 0
     UNION ALL SELECT 'Duplicate key: ' || pk, 'Uniqueness', 'High', 'COUNT(*) > COUNT(DISTINCT ' || pk || ')' FROM pk
     UNION ALL SELECT * FROM (SELECT 'Freshness: ' || col, 'Timeliness', 'Medium', 'MAX(' || col || ') < TODAY - 2 days' FROM prof WHERE sql_type = 'DATETIME2' ORDER BY ordinal LIMIT 1)
     UNION ALL SELECT 'Row volume drop', 'Volume', 'Medium', 'daily_row_count < 0.5 * 7day_avg'
-    UNION ALL SELECT * FROM (SELECT 'Outliers: ' || col, 'Validity', 'Low', col || ' outside mean +/- 3*stddev' FROM prof WHERE kind IN ('i', 'n') AND NOT ends_with(lower(col), 'id') ORDER BY ordinal LIMIT 1)"""
+    UNION ALL SELECT * FROM (SELECT 'Outliers: ' || col, 'Validity', 'Low', col || ' outside mean +/- 3*stddev' FROM prof WHERE kind IN ('i', 'n') AND NOT ends_with(lower(col), 'id') ORDER BY ordinal LIMIT 1))
+    SELECT *, CASE type WHEN 'Completeness' THEN 'later loads may miss more values than this one' WHEN 'Uniqueness' THEN 'a key names one row' WHEN 'Timeliness' THEN 'new rows should keep coming'
+      WHEN 'Volume' THEN 'a load may have been cut short' ELSE 'values far from the usual ones are often errors' END AS rationale FROM rules"""
 
 
 REPORT = f"""SELECT 'health' AS part, grade AS name, CAST(score AS VARCHAR) AS value FROM ({with_profile("dirty")}, {HEALTH} SELECT * FROM graded)

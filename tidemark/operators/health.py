@@ -69,15 +69,19 @@ def cards(h: DataFrame) -> DataFrame:
 
 
 def issues(prof: DataFrame, duplicates: DataFrame) -> DataFrame:
-    """(id, severity, count, action): missing values, personal data, duplicate rows, numbers kept as text."""
-    def rows(source, kind, severity, count, action):
-        return source.select(F.concat(F.lit(f"{kind}_"), F.col("column")).alias("id"), severity.alias("severity"), count.cast("long").alias("count"), F.lit(action).alias("action"))
+    """(id, severity, count, action, title, detail): missing values, personal data, duplicate rows, numbers kept as text."""
+    def rows(source, kind, severity, count, action, title, *detail):
+        text = F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in detail])
+        return source.select(
+            F.concat(F.lit(f"{kind}_"), F.col("column")).alias("id"), severity.alias("severity"), count.cast("long").alias("count"), F.lit(action).alias("action"),
+            F.concat(F.lit(f"{title}: "), F.col("column")).alias("title"), text.alias("detail"),
+        )
 
     p = F.col("null_pct")
-    nulls = rows(prof.where(p > 0), "nulls", F.when(p >= 20, "High").when(p >= 5, "Medium").otherwise("Low"), F.col("nulls"), "Fill with default / drop rows")
-    pii = rows(prof.where("is_pii"), "pii", F.lit("High"), F.col("n_distinct"), "Mask / anonymize before storing")
-    casts = rows(prof.where("number_like"), "cast", F.lit("Low"), F.col("number_seen"), "Cast to a numeric type")
-    copies = duplicates.where("duplicates > 0").select(F.lit("dup_rows").alias("id"), F.when(F.col("duplicates") <= 2, "Medium").otherwise("High").alias("severity"), F.col("duplicates").cast("long").alias("count"), F.lit("Drop duplicates").alias("action"))
+    nulls = rows(prof.where(p > 0), "nulls", F.when(p >= 20, "High").when(p >= 5, "Medium").otherwise("Low"), F.col("nulls"), "Fill with default / drop rows", "Missing values", p, "% of the values are missing")
+    pii = rows(prof.where("is_pii"), "pii", F.lit("High"), F.col("n_distinct"), "Mask / anonymize before storing", "Personal data", "its name or its values look personal")
+    casts = rows(prof.where("number_like"), "cast", F.lit("Low"), F.col("number_seen"), "Cast to a numeric type", "Numbers kept as text", F.col("number_seen"), " values read as numbers")
+    copies = duplicates.where("duplicates > 0").select(F.lit("dup_rows").alias("id"), F.when(F.col("duplicates") <= 2, "Medium").otherwise("High").alias("severity"), F.col("duplicates").cast("long").alias("count"), F.lit("Drop duplicates").alias("action"), F.lit("Repeated rows").alias("title"), F.concat(F.col("duplicates").cast("string"), F.lit(" rows occur again")).alias("detail"))
     return nulls.unionByName(pii).unionByName(copies).unionByName(casts)
 
 
@@ -114,13 +118,20 @@ def safe_name(name: str) -> str:
     return re.sub(r"\W+", "_", name).strip("_") or "ingested_data"
 
 
+#: Why a kind of rule is worth watching.
+RATIONALE = {
+    "Completeness": "later loads may miss more values than this one", "Uniqueness": "a key names one row", "Timeliness": "new rows should keep coming",
+    "Volume": "a load may have been cut short", "Validity": "values far from the usual ones are often errors",
+}
+
+
 def rule_rows(prof: DataFrame) -> DataFrame:
-    """(name, type, severity, condition): rules worth watching on later loads."""
+    """(name, type, severity, condition, rationale): rules worth watching on later loads."""
     keyed = _with_key(prof)
     p = F.col("null_pct")
 
     def rows(source, name, kind, severity, condition):
-        return source.select(name.alias("name"), F.lit(kind).alias("type"), severity.alias("severity"), condition.alias("condition"))
+        return source.select(name.alias("name"), F.lit(kind).alias("type"), severity.alias("severity"), condition.alias("condition"), F.lit(RATIONALE[kind]).alias("rationale"))
 
     column, c = F.col("column"), F.concat
     first_date = prof.where("sql_type = 'DATETIME2'").orderBy("ordinal").limit(1)
