@@ -18,19 +18,39 @@ def test_query_without_sql_runs(spark, name):
     assert catalog.queries()[name](spark, SF).count() > 0
 
 
-def test_entry_point_stands_without_the_training_data_operators():
+def imported(missing: str, then: str):
+    """Runs `then` in a process that lacks the modules of which the expression `missing` is true."""
     import subprocess
     import sys
 
-    code = """
+    code = f"""
 import sys
 class Gone:
     def find_spec(self, name, path=None, target=None):
-        if name == "corpus_pipeline" or name.startswith("tidemark.llm"):
-            raise ImportError(name)
+        if {missing}:
+            raise ModuleNotFoundError(name, name=name)
 sys.meta_path.insert(0, Gone())
+{then}
+"""
+    return subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=__file__.rsplit("/", 2)[0])
+
+
+def test_entry_point_stands_without_the_training_data_operators():
+    run = imported('name == "corpus_pipeline" or name == "tidemark.llm"', """
 import __spark_entry__ as e
 assert e.queries() and not [n for n in e.queries() if n.startswith("op") or n == "pipeline"], list(e.queries())
 assert set(e.oracle_sql()) <= set(e.queries())
-"""
-    subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/", 2)[0])
+""")
+    assert run.returncode == 0, run.stderr
+
+
+def test_entry_point_says_what_else_is_missing():
+    for gone in ("tidemark.catalog", *(("tidemark.llm.base", "xxhash") if _has_llm() else ())):
+        run = imported(f"name == {gone!r}", "import __spark_entry__")
+        assert run.returncode and gone in run.stderr, (gone, run.stderr)
+
+
+def _has_llm() -> bool:
+    import importlib.util
+
+    return importlib.util.find_spec("tidemark.llm") is not None
