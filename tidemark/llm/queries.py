@@ -1,6 +1,6 @@
 """The queries of this package and, where SQL can say it, their DuckDB SQL."""
 
-from tidemark.llm import chat_format, decontaminate, language_id, periodic, pieces, repeats, secret_scan, sharding, simhash, token_counts, topk, url_filter
+from tidemark.llm import alignment, chat_format, decontaminate, language_id, periodic, pieces, repeats, secret_scan, sharding, simhash, token_counts, topk, url_filter
 
 
 def queries():
@@ -15,6 +15,7 @@ def queries():
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_token_counts": token_counts.op9_token_counts,
         "op10_repeats": repeats.op10_repeats,
+        "op11_alignment": alignment.op11_alignment,
         "op12_periodic": periodic.op12_periodic,
         "op13_secrets": secret_scan.op13_secrets,
     }
