@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.functions.types import BOOL, DATE, NUMERIC, OTHER, TEXT, named, to_moment, type_class, value_of
+from tidemark.operators.quantiles import quantiles
 
 #: What marks personal data in a column's name and in its values.
 PII_WORDS = ("email", "mail", "phone", "tel", "ssn", "dni", "passport", "name", "nombre", "address", "direccion", "birth", "dob", "card")
@@ -156,17 +157,23 @@ def column_facts(df: DataFrame, column: str, order: str, n: int = 5) -> DataFram
 def numeric_summary(df: DataFrame, exact: bool = True) -> DataFrame:
     """(column, count, mean, std, min, p25, p50, p75, max) of each numeric column; quartiles interpolate.
 
-    Exact quartiles hold the different values of a column with their counts; without `exact` a sketch of bounded size
-    gives values of the table within a ten-thousandth of its ranks.
+    Exact quartiles are selected by rank in a few passes (`quantiles.py`); without `exact` a sketch of bounded size
+    gives values of the table within a ten-thousandth of its ranks, in the one pass.
     """
     fields = [f for f in df.schema.fields if type_class(f.dataType) == NUMERIC]
-    share = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    parts = lambda c: (F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), F.max(c), F.percentile(c, share) if exact else F.percentile_approx(c, share, 10_000))
-    names = ("count", "mean", "std", "min", "max", "quartiles")
-    kinds = {"count": "long", "quartiles": "array<double>"}
+    share = (0.25, 0.5, 0.75)
     if not fields:
         return df.sparkSession.createDataFrame([], "column string, count long, mean double, std double, min double, p25 double, p50 double, p75 double, max double")
+    parts = lambda c: [F.count(c), F.avg(c), F.stddev_samp(c), F.min(c), F.max(c), *([] if exact else [F.percentile_approx(c, F.array(*map(F.lit, share)), 10_000)])]
+    names = ("count", "mean", "std", "min", "max", *(() if exact else ("quantiles",)))
+    kinds = {"count": "long", "quantiles": "array<double>"}
     row = df.agg(*[x.cast(kinds.get(n, "double")).alias(f"{n}_{i}") for i, f in enumerate(fields) for n, x in zip(names, parts(value_of(f).cast("double")))])
+    if exact:
+        row = df.sparkSession.createDataFrame(row.collect(), row.schema)  # one row; its counts and extremes begin the selection
+        found = row.first()
+        extent = {f.name: (found[f"count_{i}"], found[f"min_{i}"], found[f"max_{i}"]) for i, f in enumerate(fields)}
     cells = [F.struct(F.lit(f.name).alias("column"), *[F.col(f"{n}_{i}").alias(n) for n in names]) for i, f in enumerate(fields)]
     rows = row.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
-    return rows.select("column", "count", "mean", "std", "min", *[F.get("quartiles", i).alias(p) for i, p in enumerate(("p25", "p50", "p75"))], "max")
+    if exact:
+        rows = rows.join(F.broadcast(quantiles(df, list(extent), share, extent)), "column")  # a row a column
+    return rows.select("column", "count", "mean", "std", "min", *[F.get("quantiles", F.lit(i)).alias(p) for i, p in enumerate(("p25", "p50", "p75"))], "max")
