@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from tidemark.catalog.inputs import DIRTY, dirty_orders, money, sql_amount, sql_moment, table
 from tidemark.operators import clean
+from tidemark.operators.health import index_hints
+from tidemark.operators.profile import profile
 from tidemark.plans.recipe import Step, apply_recipe, from_json, run_recipe, to_json
 from tidemark.scratch import scratch
+from tidemark.sources.layout import layout_of, read_dates, read_keys, write_buckets, write_laid_out
 from tidemark.sources.tables import read_json, read_table, write_table
 
 
@@ -61,6 +64,32 @@ def json_array(spark, sf):
     return read_json(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string")
 
 
+def laid_out(spark, sf):
+    """The events as their index hints say, in files of about a megabyte."""
+    events = table(spark, sf, "events")
+    layout = layout_of(events, index_hints(profile(events)), file_bytes=1 << 20)
+    return write_laid_out(events, f"{scratch(spark)}/events", layout), layout
+
+
+def dated_read(spark, sf):
+    path, layout = laid_out(spark, sf)
+    return read_dates(spark, path, layout, "2024-01-10", "2024-01-15").select("event_id", "user_id", "event_type")
+
+
+def keyed_read(spark, sf):
+    path, layout = laid_out(spark, sf)
+    return read_keys(spark, path, layout, 200, 900).select("event_id", "user_id", "event_type")
+
+
+def bucketed_join(spark, sf):
+    """Lines and orders in buckets of the order's number, joined and summed without a shuffle."""
+    path = scratch(spark)
+    orders = write_buckets(table(spark, sf, "orders"), f"{path}/orders", "o_orderkey", 8)
+    lines = write_buckets(table(spark, sf, "lineitem"), f"{path}/lines", "l_orderkey", 8)
+    joined = lines.hint("merge").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    return joined.groupBy("o_orderkey", "o_orderstatus").agg(F.count("*").alias("n"), F.sum(money("l_extendedprice")).cast("double").alias("total"))
+
+
 FIRST = f"WITH {DIRTY}, f AS (SELECT * FROM dirty QUALIFY row_number() OVER (PARTITION BY order_id ORDER BY order_date, amount) = 1) "
 STEPS = FIRST + f"SELECT order_id, coalesce(status, 'UNKNOWN') AS status, round({sql_amount('amount')}, 2) AS amount, {sql_moment('order_date')} AS order_date FROM f WHERE {sql_amount('amount')} IS NOT NULL"
 ENTRIES = {
@@ -81,5 +110,8 @@ ENTRIES = {
     "recipe_run": (recipe, STEPS),
     "recipe_replayed": (replayed, STEPS),
     **{f"io_roundtrip_{k}": round_trip(k) for k in ("csv", "json", "parquet")},
+    "layout_dated_read": (dated_read, "SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-15'"),
+    "layout_keyed_read": (keyed_read, "SELECT event_id, user_id, event_type FROM events WHERE event_id BETWEEN 200 AND 900"),
+    "layout_bucketed_join": (bucketed_join, "SELECT o_orderkey, o_orderstatus, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"),
     "io_json_array": (json_array, "SELECT o_orderkey, o_custkey, o_orderstatus FROM orders"),
 }
