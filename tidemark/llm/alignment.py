@@ -27,6 +27,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -37,11 +38,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import Tables, in_tasks, sliced, small_batches, table
+from tidemark.llm.base import Tables, in_tasks, sliced, small_batches, table, text_bytes
 from tidemark.llm.token_counts import SPACE, SPLIT, byte_alphabet
 
 CHUNK, FAN = 65_536, 16
-CACHE = 200_000  # units of one worker
+CACHE = 300_000  # units of one worker
 LINKS = 1 << 20  # links expanded at once
 CHECKED_PAIRS = 2_000_000  # pairs of ids that may be sent to all tasks: 17 bytes each
 _NONE = np.empty(0, np.int64)
@@ -139,43 +140,58 @@ class Both:
         self.words = regex.compile(SPLIT)
         self.pairs = n
         texts = [f"{i}{s}".encode() for i in range(max(len(self.a_bytes), n)) for s in ("", ",", "|", ";")]
-        self.spelled, self.spelled_at = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-        self.known: dict[str, tuple] = {}
+        self.spelled, self.spelled_at = np.frombuffer(b"".join(texts), np.uint8), offsets_of(texts)
+        self.sides = [(np.frombuffer(b"".join(x), np.uint8), offsets_of(x)) for x in (self.a_bytes, self.b_bytes)]
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[str, int] = {}
+        #: Of the known units, by number: bytes, whether they are spelled, and of each side where their tokens begin.
+        self.size, self.good, self.at = _NONE, np.empty(0, bool), [np.zeros(1, np.int64)] * 2
+        self.ids, self.ends = [np.empty(0, np.int32)] * 2, [np.empty(0, np.int32)] * 2
 
     def learn(self, units: list[str]) -> None:
-        """Encodes the units that the cache lacks."""
-        if len(self.known) > CACHE:
-            self.known.clear()
-        new = [u for u in units if u not in self.known]
+        """Encodes the units that the cache lacks, all at once."""
+        new = list(dict.fromkeys(u for u in units if u not in self.known))
+        if new and len(self.known) + len(new) > CACHE:
+            self.forget()
+            new = list(dict.fromkeys(units))
         if not new:
             return
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        for unit, one, two in zip(new, self.a.encode_batch_fast(new, add_special_tokens=False), self.b.encode(new, num_threads=1)):
-            raw, ids = unit.encode(), one.ids
-            spelled_a, spelled_b = [self.a_bytes[i] for i in ids], [self.b_bytes[i] for i in two]
-            good = b"".join(spelled_a) == raw and b"".join(spelled_b) == raw
-            self.known[unit] = (ids, np.cumsum([len(x) for x in spelled_a]).tolist(), two, np.cumsum([len(x) for x in spelled_b]).tolist(), len(raw), good)
-
-    def encoded(self, units: list[str], owner: np.ndarray) -> tuple[Tokens, list[np.ndarray], np.ndarray, np.ndarray]:
-        """Tokens of units that follow each other, the owners of the A and of the B tokens, each unit's end, and the units that are not spelled."""
-        number: dict[str, int] = {}
-        code = np.fromiter((number.setdefault(u, len(number)) for u in units), np.int64, len(units))
-        self.learn(list(number))
-        found = [self.known[u] for u in number]
-        size = np.array([f[4] for f in found], np.int64)[code] if len(code) else _NONE
-        ends = np.cumsum(size)
+        raw, raw_at = text_bytes(pa.array(new, pa.string()))
+        size, good = np.diff(raw_at), np.ones(len(new), bool)
+        for side, lists in enumerate(([e.ids for e in self.a.encode_batch_fast(new, add_special_tokens=False)], self.b.encode(new, num_threads=1))):
+            count = np.fromiter(map(len, lists), np.int64, len(lists))
+            ids = np.fromiter(chain.from_iterable(lists), np.int64, count.sum())
+            data, at = self.sides[side]
+            length = at[ids + 1] - at[ids]
+            total = np.concatenate([[0], np.cumsum(length)])
+            first = np.concatenate([[0], np.cumsum(count)])
+            fit = np.diff(total[first]) == size
+            spelled, own = data[ragged(at[ids], length)], raw[ragged(raw_at[:-1][fit], size[fit])]
+            spelled = spelled[np.repeat(fit, np.diff(total[first]))]
+            fit[np.flatnonzero(fit)[np.repeat(np.arange(fit.sum()), size[fit])[spelled != own]]] = False
+            good &= fit
+            self.ids[side] = np.concatenate([self.ids[side], ids.astype(np.int32)])
+            self.ends[side] = np.concatenate([self.ends[side], (total[1:] - np.repeat(total[first[:-1]], count)).astype(np.int32)])
+            self.at[side] = np.concatenate([self.at[side], self.at[side][-1] + first[1:]])
+        self.size, self.good = np.concatenate([self.size, size]), np.concatenate([self.good, good])
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+
+    def encoded(self, units: list[str], owner: np.ndarray) -> tuple[Tokens, list[np.ndarray], np.ndarray]:
+        """Tokens of units that follow each other, the owners of the A and of the B tokens, and which units are not spelled."""
+        self.learn(units)
+        code = np.fromiter(map(self.known.__getitem__, units), np.int64, len(units))
+        size = self.size[code]
+        begin = np.cumsum(size) - size
         out, owners = [], []
-        for side in (0, 2):
-            counts = np.array([len(f[side]) for f in found], np.int64)
-            ids = np.fromiter((i for f in found for i in f[side]), np.int64, counts.sum())
-            places = np.fromiter((i for f in found for i in f[side + 1]), np.int64, counts.sum())
-            begin = np.cumsum(counts) - counts
-            n = counts[code] if len(code) else _NONE
-            at = ragged(begin[code] if len(code) else _NONE, n)
-            out += [ids[at], places[at] + np.repeat(ends - size, n)]
+        for side in (0, 1):
+            n = self.at[side][code + 1] - self.at[side][code]
+            at = ragged(self.at[side][code], n)
+            out += [self.ids[side][at].astype(np.int64), self.ends[side][at] + np.repeat(begin, n)]
             owners.append(np.repeat(owner, n))
-        good = np.array([f[5] for f in found], bool)[code] if len(code) else np.empty(0, bool)
-        return Tokens(*out), owners, ends, ~good
+        return Tokens(*out), owners, ~self.good[code]
 
     def cut(self, text: str, chunk: int) -> Iterator[tuple[int, str, int, str, int]]:
         """(number, A's text, its byte offset, B's text, its offset) of ranges of about `chunk` bytes."""
@@ -217,6 +233,10 @@ def both_of(a_path: str, b_path: str) -> Both:
     return Both(a_path, b_path)
 
 
+def offsets_of(parts: list[bytes]) -> np.ndarray:
+    return np.cumsum([0, *map(len, parts)])
+
+
 def ragged(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
     """begin[0], begin[0] + 1, ... (size[0] numbers), begin[1], ..."""
     total = np.cumsum(size)
@@ -314,7 +334,7 @@ def _first(both: Both, chunk: int, groups: bool):
         found = [both.units.findall(" " + texts[i]) if texts[i] else [] for i in short]
         units = [u for f in found for u in f]
         owner = np.repeat(np.arange(len(short)), [len(f) for f in found])
-        tokens, (owner_a, owner_b), _, wrong = both.encoded(units, owner)
+        tokens, (owner_a, owner_b), wrong = both.encoded(units, owner)
         bad = np.zeros(len(short), bool)
         bad[owner[wrong]] = True
         keep_a, keep_b = ~bad[owner_a], ~bad[owner_b]
@@ -354,7 +374,7 @@ def _ranges(both: Both):
                 sides, bad = [], False
                 for side in "ab":
                     units = both.units.findall(r[f"{side}_text"])
-                    tokens, _, _, wrong = both.encoded(units, np.zeros(len(units), np.int64))
+                    tokens, _, wrong = both.encoded(units, np.zeros(len(units), np.int64))
                     ids, ends = (tokens.a, tokens.a_end) if side == "a" else (tokens.b, tokens.b_end)
                     sides += [ids, ends + r[f"{side}_at"]]
                     bad |= bool(wrong.any())
