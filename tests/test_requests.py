@@ -71,3 +71,56 @@ def test_answers_and_confirmation(spark, frames):
     assert got == [(1, "east", 150.0), (1, "north", 180.0), (2, "east", 150.0), (2, "north", 180.0)]
     said = {r["msg_id"]: r["confirmation"] for r in confirmation(found).collect()}
     assert said[1] == "Added: total **amount** by top 2 **region**, as a **bar** chart." and said[3] is None
+
+
+def test_mentions_meet_by_keys_as_all_pairs_do(spark):
+    import difflib
+    import random
+    import re
+
+    from tidemark.operators.requests import SIMILAR, mentions
+
+    rng = random.Random(4)
+    syllables = ["re", "ve", "nue", "a", "mount", "store", "_", "total", "x", "id", "sales", "ó"]
+    names = list(dict.fromkeys("".join(rng.choice(syllables) for _ in range(rng.randrange(1, 5))) for _ in range(60)))
+    bend = lambda n: n if rng.random() < 0.4 else n[: rng.randrange(len(n))] + rng.choice("abst") + n[rng.randrange(len(n)) :]
+    texts = [" ".join(bend(rng.choice(names)) for _ in range(rng.randrange(6))) for _ in range(80)] + [None, "", "a", "ab"]
+    catalog = spark.createDataFrame([(n, "measure", i) for i, n in enumerate(names)], "column string, role string, ordinal int")
+    found = mentions(spark.createDataFrame(list(enumerate(texts)), "msg_id long, text string"), catalog)
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString() and "Cartesian" not in found._jdf.queryExecution().executedPlan().toString()
+    plain = lambda s: s.lower().replace("ó", "o")
+    want = set()
+    for i, text in enumerate(texts):
+        t = plain((text or "").strip())
+        words = re.findall("[a-z0-9_]+", t)
+        for n in names:
+            needle = plain(n)
+            inside = [w for w in words if len(w) >= 3 and (w in needle or needle in w)]
+            near = [w for w in words if len(w) >= 4 and difflib.SequenceMatcher(None, w, needle).ratio() >= SIMILAR]
+            if needle in t:
+                want.add((i, n, t.index(needle) + 1))
+            elif inside or near:
+                want.add((i, n, t.index((inside or near)[0]) + 1))
+    assert {(r["msg_id"], r["column"], r["at"]) for r in found.collect()} == want
+
+
+def test_all_answers_of_a_log_come_from_one_read(spark, frames, tmp_path):
+    from tidemark.operators.charts import ChartRequest, chart_query, charts
+
+    frames["TIME"][0].withColumn("flag", F.col("Store") > 1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    asked = [ChartRequest("Store", "Weekly_Sales", "sum", "bar", 2), ChartRequest("Date", "Weekly_Sales", "mean", "line", grain="month"), ChartRequest("Date", None, "count", "bar", 1, "year"), ChartRequest("Date", "Temperature", "sum", "line", grain="week"), ChartRequest("flag", "Temperature", "mean", "pie"), ChartRequest("Store", "Weekly_Sales", "sum", "line")]
+    out = charts(df, asked)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
+    got = sorted(map(tuple, out.collect()))
+    want = [(i, k, str(r["x"]).lower() if isinstance(r["x"], bool) else str(r["x"]), float(r["value"])) for i, a in enumerate(asked) for k, r in enumerate(chart_query(df, a).collect(), 1)]
+    assert [g[:3] for g in got] == [w[:3] for w in want] and [g[3] for g in got] == pytest.approx([w[3] for w in want])
+    assert charts(df, []).count() == 0
+
+
+def test_repeated_rows_under_forced_equal_hashes(spark):
+    from tidemark.operators.health import duplicate_rows
+
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, None), (2, None), (3, "c")], "i int, t string")
+    for one_hash in (lambda *c: F.lit(7), lambda *c: F.pmod(F.xxhash64(*c), F.lit(2)), F.xxhash64):
+        assert duplicate_rows(df, hash_of=one_hash).first()["duplicates"] == 2

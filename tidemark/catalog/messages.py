@@ -78,6 +78,48 @@ STRICT = f"""WITH {ASKED}, s AS (SELECT * FROM (VALUES ('{PHRASES[0]}', 'pie', '
 SELECT msg_id, chart_type, dimension, measure, agg, CAST(top_n AS INTEGER) AS top_n FROM f JOIN s USING (text)"""
 
 
+def phrased(spark, sf):
+    """(msg_id, text): for each turn of a user one of the phrases."""
+    return asked(spark, sf).where("msg_id < 0")
+
+
+def resolved_phrases(spark, sf):
+    return r.confirmation(r.resolve(phrased(spark, sf), orders(spark, sf)[1]))
+
+
+def mentioned_phrases(spark, sf):
+    return r.mentions(phrased(spark, sf), orders(spark, sf)[1]).select("msg_id", "column", "at")
+
+
+def answered_phrases(spark, sf):
+    """The data of all phrases, loose ones too: three axes, two grains, sums, means and counts, from one read of the orders."""
+    df, catalog = orders(spark, sf)
+    out = r.answers(df, r.resolve(phrased(spark, sf), catalog))
+    return out.withColumn("value", F.round("value", 4))
+
+
+#: What each phrase means, in the order of the phrases.
+MEANT = [
+    ("chart", "pie", "o_orderstatus", None, "count", 3, None, "Added: row count by top 3 **o_orderstatus**, as a **pie** chart."),
+    ("chart", "bar", "o_orderpriority", "o_totalprice", "mean", None, None, "Added: average **o_totalprice** by **o_orderpriority**, as a **bar** chart."),
+    ("chart", "bar", "o_orderdate", "o_totalprice", "sum", None, "month", "Added: total **o_totalprice** by **o_orderdate** per month, as a **bar** chart."),
+    ("scalar", None, None, "o_totalprice", "sum", None, None, None),
+    ("answer", "bar", "o_orderstatus", "o_totalprice", "sum", None, None, "Added: total **o_totalprice** by **o_orderstatus**, as a **bar** chart."),
+    ("chart", "line", "o_orderdate", "o_totalprice", "sum", None, "week", "Added: total **o_totalprice** by **o_orderdate** per week, as a **line** chart."),
+    ("chart", "bar", "o_orderstatus", "o_totalprice", "sum", None, None, "Added: total **o_totalprice** by **o_orderstatus**, as a **bar** chart."),
+    ("none", None, None, None, None, None, None, None),
+    ("chart", "bar", "o_orderpriority", "o_totalprice", "sum", 2, None, "Added: total **o_totalprice** by top 2 **o_orderpriority**, as a **bar** chart."),
+    ("chart", "line", "o_orderdate", "o_totalprice", "sum", None, None, "Added: total **o_totalprice** by **o_orderdate**, as a **line** chart."),
+]
+
+
+def literal(v):
+    return "NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'"
+
+
+MEANINGS = "(VALUES " + ", ".join(f"({literal(t)}, {', '.join(map(literal, m))})" for t, m in zip(PHRASES, MEANT)) + ") v(text, resolved, chart_type, dimension, measure, agg, top_n, grain, confirmation)"
+
+
 def mentioned(spark, sf):
     return r.mentions(asked(spark, sf), orders(spark, sf)[1]).select("msg_id", "column", "at")
 
@@ -116,7 +158,24 @@ ANSWERS = f"""WITH {ASKED}, top AS (SELECT '{PHRASES[0]}' AS text, o_orderstatus
 two AS (SELECT '{PHRASES[8]}' AS text, o_orderpriority AS x, {_SUM} AS value FROM orders GROUP BY 2 ORDER BY 3 DESC, 2 LIMIT 2),
 days AS (SELECT '{PHRASES[9]}' AS text, strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS x, {_SUM} AS value FROM orders GROUP BY 2)
 SELECT msg_id, x, value FROM f JOIN (SELECT * FROM top UNION ALL SELECT * FROM two UNION ALL SELECT * FROM days) USING (text)"""
+RESOLVED = f"WITH {ASKED} SELECT msg_id, resolved, chart_type, dimension, measure, agg, CAST(top_n AS INTEGER) AS top_n, grain, confirmation FROM f JOIN {MEANINGS} USING (text) WHERE msg_id < 0"
+#: A column's whole name in a phrase, or the near-spelling of one; `status` and `total` are parts of names.
+MENTIONED = f"""WITH {ASKED}, c AS (SELECT unnest(['o_orderkey', 'o_custkey', 'o_orderstatus', 'o_totalprice', 'o_orderdate', 'o_orderpriority']) AS col),
+p AS (SELECT DISTINCT text, t FROM f WHERE msg_id < 0), w AS (SELECT text, t, unnest(regexp_extract_all(t, '[a-z0-9_]{{3,}}')) AS word FROM p),
+hit AS (SELECT text, col, instr(t, col) AS pos, 0 AS rule FROM p, c WHERE instr(t, col) > 0
+  UNION ALL SELECT text, col, min(instr(t, word)), 1 FROM w, c WHERE contains(col, word) OR (word = 'o_totalpricee' AND col = 'o_totalprice') GROUP BY 1, 2),
+best AS (SELECT text, col, arg_min(pos, rule) AS pos FROM hit GROUP BY 1, 2)
+SELECT msg_id, col AS "column", CAST(pos AS INTEGER) AS at FROM f JOIN best USING (text) WHERE msg_id < 0 AND col IN (SELECT col FROM c)"""
+_MEAN = "round(CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(o_totalprice), 4)"
+_SETS = {
+    0: "SELECT o_orderstatus AS x, CAST(count(*) AS DOUBLE) AS value FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3", 1: f"SELECT o_orderpriority AS x, {_MEAN} AS value FROM orders GROUP BY 1",
+    2: f"SELECT strftime(date_trunc('month', o_orderdate), '%Y-%m-%d %H:%M:%S') AS x, round({_SUM}, 4) AS value FROM orders GROUP BY 1", 4: f"SELECT o_orderstatus AS x, round({_SUM}, 4) AS value FROM orders GROUP BY 1",
+    5: f"SELECT strftime(date_trunc('week', o_orderdate), '%Y-%m-%d %H:%M:%S') AS x, round({_SUM}, 4) AS value FROM orders GROUP BY 1", 6: f"SELECT o_orderstatus AS x, round({_SUM}, 4) AS value FROM orders GROUP BY 1",
+    8: f"SELECT o_orderpriority AS x, round({_SUM}, 4) AS value FROM orders GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2", 9: f"SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS x, round({_SUM}, 4) AS value FROM orders GROUP BY 1",
+}
+ALL_ANSWERS = f"WITH {ASKED} SELECT msg_id, x, value FROM f JOIN (" + " UNION ALL ".join(f"SELECT '{PHRASES[i]}' AS text, * FROM ({q})" for i, q in _SETS.items()) + ") USING (text) WHERE msg_id < 0"
 ENTRIES = {
+    "tag_resolve_phrases": (resolved_phrases, RESOLVED), "tag_columns_phrases": (mentioned_phrases, MENTIONED), "tag_answers_phrases": (answered_phrases, ALL_ANSWERS),
     "tag_intents": (intents, INTENTS), "tag_strict": (strict, STRICT), "tag_validate_json": (proposals, PROPOSALS), "tag_answers": (answered, ANSWERS),
     "tag_synonyms": (synonyms, f"WITH {ASKED} SELECT msg_id, 'o_orderstatus' AS synonym FROM (SELECT *, '|' || regexp_replace(t, '[^a-z0-9_]+', '|', 'g') || '|' AS m FROM f) WHERE {said('status')}"),
     "tag_columns": (mentioned, None), "tag_resolve": (resolved, None),  # near-spellings need a sequence ratio; see tests/test_requests.py

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tidemark.catalog.inputs import DIRTY, dirty_orders, sql_moment, table
 from tidemark.operators import health as h
 from tidemark.operators import profile as p
-from tidemark.operators import rules
+from tidemark.operators import rules, state
+from tidemark.scratch import scratch
 
 #: Columns of the given tables and their kinds (i integer, n other number, d date, t text, b boolean).
 TABLES = {
@@ -61,6 +62,15 @@ def profile_of(name):
     return run, with_profile(name) + 'SELECT CAST(ordinal AS INTEGER) AS ordinal, col AS "column", nulls, CAST(null_pct AS DOUBLE) AS null_pct, n_distinct, is_pk_candidate, sql_type, is_pii, date_like, number_like FROM prof'
 
 
+def screened(name):
+    """The keys and roles' counts by a profile that counts exactly only near the thresholds; columns far from all of them have estimates."""
+    def run(spark, sf):
+        prof = p.profile(frame(spark, sf, name), "screened")
+        return prof.select("column", "null_pct", "is_pk_candidate", "sql_type", F.when(F.col("n_distinct") <= 50, F.col("n_distinct")).alias("few_distinct"))
+
+    return run, with_profile(name) + 'SELECT col AS "column", CAST(null_pct AS DOUBLE) AS null_pct, is_pk_candidate, sql_type, CASE WHEN n_distinct <= 50 THEN n_distinct END AS few_distinct FROM prof'
+
+
 DUPLICATES = "dups AS (SELECT (SELECT count(*) FROM {0}) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {0})) AS d)"
 HEALTH = DUPLICATES.format("dirty") + """,
 sums AS (SELECT sum(nulls) AS nulls, max(n_rows) AS r, count(*) AS c, count(*) FILTER (nulls > 0) AS wn, count(*) FILTER (is_pii) AS np, coalesce(string_agg(col, ', ' ORDER BY ordinal) FILTER (is_pii), '') AS pc FROM prof),
@@ -138,6 +148,41 @@ def volume(spark, sf):
     return out.withColumn("usual", F.round("usual", 6))
 
 
+def loads(spark, sf, name, moment):
+    """A store of a table's loads, each read once: one for each weekday of the moment."""
+    df, store = frame(spark, sf, name), state.StateStore(spark, f"{scratch(spark)}/state")
+    for day in range(1, 8):
+        store.add(f"day{day}", df.where(F.dayofweek(moment) == day))
+    return store
+
+
+def state_profile(spark, sf):
+    out = state.profile_of(loads(spark, sf, "orders", "o_orderdate").columns())
+    return out.select("ordinal", "column", "nulls", "null_pct", "sql_type", "is_pii", "date_like", "number_like")
+
+
+def state_numbers(spark, sf):
+    out = state.numbers(loads(spark, sf, "orders", "o_orderdate").columns())
+    return out.select("column", "count", *[F.round(c, 4).alias(c) for c in ("mean", "std", "min", "max")])
+
+
+def state_volume(spark, sf):
+    days = loads(spark, sf, "events", "ts").days().where("column = 'ts'").select("day", "n")
+    return rules.drops_of(days).withColumn("usual", F.round("usual", 6))
+
+
+def state_freshness(spark, sf):
+    return state.freshness(loads(spark, sf, "events", "ts").columns(), "ts", "2025-01-01 00:00:00")
+
+
+def state_null_rate(spark, sf):
+    """A new load of the dirty orders against the state of a load with fewer missing statuses; only states are compared."""
+    store = state.StateStore(spark, f"{scratch(spark)}/state")
+    store.add("old", table(spark, sf, "orders").select(F.when(F.col("o_orderkey") % 20 != 0, F.col("o_orderstatus")).alias("status")))
+    store.add("new", dirty_orders(spark, sf).select("status"))
+    return rules.null_rate(state.null_rates(store.columns("old")), state.null_rates(store.columns("new")))
+
+
 def outliers(spark, sf):
     return rules.outliers(table(spark, sf, "events"), ["value"]).select("event_id", "outlier_columns")
 
@@ -190,8 +235,15 @@ REPORT = f"""SELECT 'health' AS part, grade AS name, CAST(score AS VARCHAR) AS v
     UNION ALL SELECT 'index', col, CASE WHEN col = pk THEN 'primary_key' WHEN ends_with(lower(col), 'id') THEN 'foreign_key_like' ELSE 'date' END FROM ({with_profile("dirty")}{PK} SELECT * FROM prof LEFT JOIN pk ON true) WHERE col = pk OR ends_with(lower(col), 'id') OR kind = 'd'
     UNION ALL SELECT 'declaration', col || ' ' || sql_type || CASE WHEN nulls = 0 THEN ' NOT NULL' ELSE ' NULL' END, CASE WHEN col = pk THEN 'true' ELSE 'false' END FROM ({with_profile("dirty")}{PK} SELECT * FROM prof LEFT JOIN pk ON true)
     UNION ALL SELECT 'rule', name, condition FROM ({rules_sql("dirty")})"""
+NULL_RATE = f"""WITH {DIRTY}, o AS (SELECT round_even(CAST(100.0 * count(*) FILTER (o_orderkey % 20 = 0 OR o_orderstatus IS NULL) / count(*) AS DOUBLE), 1) AS b FROM orders), n AS (SELECT round_even(CAST(100.0 * (count(*) - count(status)) / count(*) AS DOUBLE), 1) AS c FROM dirty)
+        SELECT 'status' AS "column", b AS baseline_pct, c AS null_pct, greatest(1, CAST(round_even(b, 0) AS INTEGER)) AS limit_pct, c > greatest(1, CAST(round_even(b, 0) AS INTEGER)) AS broken FROM o, n"""
+FRESHNESS = "SELECT max(ts) AS latest, max(ts) < TIMESTAMP '2025-01-01 00:00:00' - INTERVAL 2 DAY AS broken FROM events"
+VOLUME = """WITH e AS (SELECT CAST(ts AS DATE) AS day FROM events), c AS (SELECT day, count(*) AS n FROM e GROUP BY 1),
+        s AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM c), (SELECT max(day) FROM c), INTERVAL 1 DAY)) AS DATE) AS day), f AS (SELECT s.day, coalesce(n, 0) AS n FROM s LEFT JOIN c ON s.day = c.day),
+        w AS (SELECT day, n, avg(n) OVER (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS usual FROM f) SELECT day, n, round(usual, 6) AS usual, coalesce(n < 0.5 * usual, false) AS broken FROM w"""
 ENTRIES = {
     **{f"profile_{n}": profile_of(n) for n in TABLES},
+    **{f"profile_screened_{n}": screened(n) for n in ("lineitem", "documents", "dirty")},
     "profile_first_values": (first_sample, FIRSTS),
     "pii_columns": (lambda s, d: p.profile(table(s, d, "customer").unionByName(table(s, d, "supplier"), allowMissingColumns=True)).select("column", "is_pii"),
         "SELECT col AS \"column\", regexp_matches(col, 'name') OR regexp_matches(col, 'mail') AS is_pii FROM (VALUES ('c_custkey'), ('c_name'), ('c_nationkey'), ('c_acctbal'), ('c_mktsegment'), ('s_suppkey'), ('s_name'), ('s_nationkey'), ('s_acctbal')) v(col)"),
@@ -214,13 +266,13 @@ ENTRIES = {
     "index_hints": (lambda s, d: h.index_hints(p.profile(table(s, d, "events"))).select("column", "kind"), with_profile("events") + PK + "SELECT col AS \"column\", CASE WHEN col = pk THEN 'primary_key' WHEN ends_with(lower(col), 'id') THEN 'foreign_key_like' ELSE 'date' END AS kind FROM prof, pk WHERE col = pk OR ends_with(lower(col), 'id') OR kind = 'd'"),
     "column_decls": (lambda s, d: h.column_declarations(p.profile(table(s, d, "events"))), with_profile("events") + PK + "SELECT CAST(ordinal AS INTEGER) AS ordinal, col || ' ' || sql_type || CASE WHEN nulls = 0 THEN ' NOT NULL' ELSE ' NULL' END AS declaration, col = pk AS is_key FROM prof, pk"),
     "rule_rows": (lambda s, d: h.rule_rows(p.profile(dirty_orders(s, d)).cache()), rules_sql("dirty")), "rule_rows_events": (lambda s, d: h.rule_rows(p.profile(table(s, d, "events")).cache()), rules_sql("events")),
-    "rule_null_rate": (rule_null_rate, f"""WITH {DIRTY}, o AS (SELECT round_even(CAST(100.0 * count(*) FILTER (o_orderkey % 20 = 0 OR o_orderstatus IS NULL) / count(*) AS DOUBLE), 1) AS b FROM orders), n AS (SELECT round_even(CAST(100.0 * (count(*) - count(status)) / count(*) AS DOUBLE), 1) AS c FROM dirty)
-        SELECT 'status' AS "column", b AS baseline_pct, c AS null_pct, greatest(1, CAST(round_even(b, 0) AS INTEGER)) AS limit_pct, c > greatest(1, CAST(round_even(b, 0) AS INTEGER)) AS broken FROM o, n"""),
+    "rule_null_rate": (rule_null_rate, NULL_RATE),
     "rule_dup_key": (lambda s, d: rules.duplicate_keys(dirty_orders(s, d), "order_id"), f"WITH {DIRTY} SELECT order_id AS key, count(*) AS n FROM dirty GROUP BY 1 HAVING count(*) > 1"),
     "rule_key_unique": (lambda s, d: rules.key_is_unique(dirty_orders(s, d), "order_id"), f"WITH {DIRTY} SELECT count(*) AS n_rows, count(DISTINCT order_id) AS n_distinct, count(*) > count(DISTINCT order_id) AS broken FROM dirty"),
-    "rule_freshness": (freshness, "SELECT max(ts) AS latest, max(ts) < TIMESTAMP '2025-01-01 00:00:00' - INTERVAL 2 DAY AS broken FROM events"),
-    "rule_volume": (volume, """WITH e AS (SELECT CAST(ts AS DATE) AS day FROM events), c AS (SELECT day, count(*) AS n FROM e GROUP BY 1),
-        s AS (SELECT CAST(unnest(generate_series((SELECT min(day) FROM c), (SELECT max(day) FROM c), INTERVAL 1 DAY)) AS DATE) AS day), f AS (SELECT s.day, coalesce(n, 0) AS n FROM s LEFT JOIN c ON s.day = c.day),
-        w AS (SELECT day, n, avg(n) OVER (ORDER BY day ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING) AS usual FROM f) SELECT day, n, round(usual, 6) AS usual, coalesce(n < 0.5 * usual, false) AS broken FROM w"""),
+    "rule_freshness": (freshness, FRESHNESS),
+    "rule_volume": (volume, VOLUME),
+    "state_profile": (state_profile, with_profile("orders") + 'SELECT CAST(ordinal AS INTEGER) AS ordinal, col AS "column", nulls, CAST(null_pct AS DOUBLE) AS null_pct, sql_type, is_pii, date_like, number_like FROM prof'),
+    "state_numbers": (state_numbers, " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg(CAST({c} AS DOUBLE)), 4) AS mean, round(stddev_samp({c}), 4) AS std, round(CAST(min({c}) AS DOUBLE), 4) AS min, round(CAST(max({c}) AS DOUBLE), 4) AS max FROM orders" for c in ("o_orderkey", "o_custkey", "o_totalprice"))),
+    "state_rule_volume": (state_volume, VOLUME), "state_rule_freshness": (state_freshness, FRESHNESS), "state_rule_null_rate": (state_null_rate, NULL_RATE),
     "rule_outlier": (outliers, "WITH s AS (SELECT avg(value) AS m, stddev_samp(value) AS d FROM events) SELECT event_id, 'value' AS outlier_columns FROM events, s WHERE abs(value - m) > 3 * d"),
 }

@@ -12,17 +12,23 @@ from tidemark.functions.types import missing_as_null, named
 from tidemark.operators.profile import id_like_loose, profile
 
 
-def duplicate_rows(df: DataFrame, by_hash: bool = True) -> DataFrame:
+def duplicate_rows(df: DataFrame, by_hash: bool = True, hash_of=F.xxhash64) -> DataFrame:
     """One row `duplicates`: copies after the first; missing values equal each other.
 
-    With `by_hash` rows are told apart by two 64-bit hashes, which spares the shuffle of wide rows; without it by
-    themselves. Map columns count by their entries.
+    With `by_hash` a first grouping by a hash of the row, which shuffles one number a row, finds the hashes that occur
+    again; only rows that have one of these are compared themselves, within their hash. Without it all rows are. The
+    result is exact either way. Map columns count by their entries.
     """
     clean = missing_as_null(df)
     keys = [F.map_entries(named(f.name)) if f.dataType.typeName() == "map" else named(f.name) for f in clean.schema.fields]
-    if by_hash and keys:
-        keys = [F.xxhash64(*keys), F.xxhash64(F.lit(1), *keys)]
-    groups = clean.groupBy(*[k.alias(f"k{i}") for i, k in enumerate(keys)]).agg(F.count("*").alias("n")) if keys else clean.agg(F.count("*").alias("n"))
+    if not keys:
+        groups = clean.agg(F.count("*").alias("n"))
+    else:
+        rows = clean.select(hash_of(*keys).alias("h"), *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+        if by_hash:
+            again = rows.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+            rows = rows.join(again, "h", "left_semi")
+        groups = rows.groupBy("h", *[f"k{i}" for i in range(len(keys))]).agg(F.count("*").alias("n"))
     return groups.agg(F.coalesce(F.sum(F.col("n") - 1), F.lit(0)).alias("duplicates"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType
 
 from tidemark.functions.text import folded
 from tidemark.functions.types import DATE, type_class
-from tidemark.operators.charts import GRAINS, grouped_values
+from tidemark.operators.charts import GRAINS, grouped_many
 from tidemark.operators.dashboard import PRIORITY
 
 MAX_CATALOG = 10_000
@@ -108,20 +108,40 @@ def word_ratio(word: pd.Series, needle: pd.Series) -> pd.Series:
     return pd.Series([difflib.SequenceMatcher(None, a, b).ratio() for a, b in zip(word, needle)])
 
 
+def grams(text: Column, n: int) -> Column:
+    """The different stretches of n letters of a text."""
+    return F.array_distinct(F.transform(F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: text.substr(i, F.lit(n))))
+
+
 def mentions(messages: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(msg_id, column, role, ordinal, at): columns a message names, and where: whole name, part of a word, near-spelling."""
+    """(msg_id, column, role, ordinal, at): columns a message names, and where: whole name, part of a word, near-spelling.
+
+    Columns are met by keys, not by trying all: a name in a text by its first letters, a word inside a name by its first
+    three, a near-spelling by two letters in a row, of which words and names so similar share some.
+    """
     cat = small(catalog)
+    needle, word = F.col("needle"), F.col("word")
     base = messages.select("msg_id", folded(F.trim(F.coalesce("text", F.lit("")))).alias("t"))
-    words = F.regexp_extract_all("t", F.lit(r"([a-z0-9_]+)"), F.lit(1))
-    pairs = base.withColumn("words", words).join(cat)
-    whole = F.instr(F.col("t"), F.col("needle"))
-    inside = F.filter("words", lambda w: (F.length(w) >= 3) & (F.col("needle").contains(w) | w.contains(F.col("needle"))))
-    pairs = pairs.withColumn("at", F.when(whole > 0, whole).when(F.size(inside) > 0, F.instr(F.col("t"), F.element_at(inside, 1))))
-    sure = pairs.where("at is not null").select("msg_id", "column", "role", "ordinal", "at")
-    open_words = pairs.where("at is null").select("msg_id", "column", "role", "ordinal", "needle", "t", F.posexplode("words").alias("k", "word")).where(F.length("word") >= 4)
-    near = open_words.select("word", "needle").distinct().withColumn("ratio", word_ratio("word", "needle")).where(F.col("ratio") >= SIMILAR)
-    close = open_words.join(near, ["word", "needle"]).groupBy("msg_id", "column", "role", "ordinal").agg(F.min_by(F.instr(F.col("t"), F.col("word")), "k").alias("at"))
-    return sure.unionByName(close)
+    found = F.transform(F.regexp_extract_all("t", F.lit(r"([a-z0-9_]+)"), F.lit(1)), lambda w: F.struct(w.alias("word"), F.instr(F.col("t"), w).alias("at")))
+    words = base.select("msg_id", F.posexplode(found).alias("k", "w")).select("msg_id", "k", "w.*").where(F.length("word") >= 3)
+    # The whole name somewhere in the text.
+    heads = cat.where(needle != "").select("*", F.left(needle, F.lit(3)).alias("key"))
+    keys = base.select("msg_id", F.explode(F.concat(*[grams(F.col("t"), n) for n in (1, 2, 3)])).alias("key"))
+    whole = keys.join(heads, "key").select("msg_id", "column", "role", "ordinal", "needle").distinct().join(base, "msg_id")
+    whole = whole.withColumn("at", F.instr(F.col("t"), needle)).where("at > 0").select("msg_id", "column", "role", "ordinal", F.lit(0).alias("rule"), F.lit(0).alias("k"), "at")
+    # A word inside the name.
+    different = words.select("word").distinct()
+    parts = cat.select("*", F.explode(grams(needle, 3)).alias("key"))
+    inside = different.withColumn("key", F.left(word, F.lit(3))).join(parts, "key").where(needle.contains(word))
+    # A near-spelling: were all its matched letters apart, as many would be unmatched, and the ratio under 0.8.
+    pairs = cat.select("*", F.explode(grams(needle, 2)).alias("key"))
+    both = F.length("word") + F.length("needle")
+    near = different.where(F.length("word") >= 4).withColumn("key", F.explode(grams(word, 2))).join(pairs, "key").select("word", "column", "role", "ordinal", "needle").distinct()
+    near = near.where(2 * F.least(F.length("word"), F.length("needle")) >= SIMILAR * both)
+    near = near.withColumn("ratio", word_ratio("word", "needle")).where(F.col("ratio") >= SIMILAR)
+    by_word = inside.select("word", "column", "role", "ordinal", F.lit(1).alias("rule")).unionByName(near.select("word", "column", "role", "ordinal", F.lit(2).alias("rule")))
+    rows = whole.unionByName(words.join(by_word, "word").select("msg_id", "column", "role", "ordinal", "rule", "k", "at"))
+    return rows.groupBy("msg_id", "column", "role", "ordinal").agg(F.min(F.struct("rule", "k", "at"))["at"].alias("at"))
 
 
 def synonym_dimensions(messages: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -232,24 +252,19 @@ def confirmation(requests: DataFrame) -> DataFrame:
 def answers(df: DataFrame, requests: DataFrame) -> DataFrame:
     """(msg_id, x, value): the data of every resolved chart, as `chart_query` gives them.
 
-    Requests on one dimension and grain share one aggregate over the table, however many messages ask them; their
-    top-n and type only choose rows of it. What is collected is the different (dimension, grain, measure, aggregate).
+    All requests share one read of the table, however many messages ask them on however many axes, grains and measures;
+    their top-n and type only choose rows of it. What is collected is the different (dimension, grain, measure, aggregate).
     """
     keys = ["dimension", "grain", "measure", "agg"]
     asked = requests.where("dimension is not null")
-    axes: dict[tuple, list] = {}
-    for r in sorted(asked.select(*keys).distinct().collect(), key=str):
-        axes.setdefault((r["dimension"], r["grain"]), []).append(r)
-    out = None
-    for (dimension, grain), group in axes.items():
-        values = grouped_values(df, dimension, grain, [(r["measure"], r["agg"]) for r in group])
-        cells = [F.struct(F.col(f"v{i}").cast("double").alias("value"), *[F.lit(r[k]).cast("string").alias(f"k_{k}") for k in keys]) for i, r in enumerate(group)]
-        rows = values.select(F.col("x").cast("string").alias("x"), F.col("x").alias("order"), F.explode(F.array(*cells)).alias("c")).select("x", "order", "c.*")
-        place = F.row_number().over(Window.partitionBy(*[f"k_{k}" for k in keys]).orderBy(F.desc("value"), F.asc("order")))
-        rows = rows.withColumn("place", place).withColumn("dated", F.lit(type_class(df.schema[dimension].dataType) == DATE)).drop("order")
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
+    wanted = sorted((tuple(r) for r in asked.select(*keys).distinct().collect()), key=str)
+    if not wanted:
         return requests.select("msg_id", F.lit("").alias("x"), F.lit(0.0).alias("value")).where("false")
+    place = F.row_number().over(Window.partitionBy("k").orderBy(F.desc("value"), F.asc("number"), F.asc("x")))
+    rows = grouped_many(df, wanted).withColumn("place", place)
+    known = [(k, *w, type_class(df.schema[w[0]].dataType) == DATE) for k, w in enumerate(wanted)]
+    known = df.sparkSession.createDataFrame(known, "k int, " + ", ".join(f"k_{c} string" for c in keys) + ", dated boolean")
+    same = [F.col(c).eqNullSafe(F.col(f"k_{c}")) for c in keys]
+    asked = asked.join(F.broadcast(known), same)  # a row a different request
     along_x = F.col("dated") | ((F.col("chart_type") == "line") & F.col("measure").isNotNull() & (F.col("agg") != "count"))
-    same = [F.col(k).eqNullSafe(F.col(f"k_{k}")) for k in keys]
-    return asked.join(out, same).where(along_x | F.col("top_n").isNull() | (F.col("place") <= F.col("top_n"))).select("msg_id", "x", "value")
+    return asked.join(rows, "k").where(along_x | F.col("top_n").isNull() | (F.col("place") <= F.col("top_n"))).select("msg_id", "x", "value")

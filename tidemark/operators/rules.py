@@ -33,20 +33,31 @@ def freshness(df: DataFrame, moment: str, as_of: str, days: int = 2) -> DataFram
     return latest.withColumn("broken", F.coalesce(F.col("latest") < line, F.lit(True)))
 
 
-def daily_volume(df: DataFrame, moment: str) -> DataFrame:
-    """(day, n) for every day from the first to the last, days without rows with 0."""
-    days = df.where(named(moment).isNotNull()).groupBy(named(moment).cast("date").alias("day")).agg(F.count("*").alias("n"))
+def every_day(days: DataFrame) -> DataFrame:
+    """(day, n) for every day from the first to the last of `days` (day, n), days without rows with 0."""
     spine = days.agg(F.min("day").alias("a"), F.max("day").alias("b")).where("a is not null").select(F.explode(F.sequence("a", "b")).alias("day"))
     return spine.join(days, "day", "left").select("day", F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def volume_drops(df: DataFrame, moment: str, share: float = 0.5, days: int = 7) -> DataFrame:
-    """(day, n, usual, broken): a day under `share` of the mean of the `days` before it. The window runs over days, not rows."""
-    before = Window.orderBy("day").rowsBetween(-days, -1)
-    out = daily_volume(df, moment).withColumn("usual", F.avg("n").over(before))
+def day_counts(df: DataFrame, moment: str) -> DataFrame:
+    return df.where(named(moment).isNotNull()).groupBy(named(moment).cast("date").alias("day")).agg(F.count("*").alias("n"))
+
+
+def daily_volume(df: DataFrame, moment: str) -> DataFrame:
+    return every_day(day_counts(df, moment))
+
+
+def drops_of(days: DataFrame, share: float = 0.5, days_before: int = 7) -> DataFrame:
+    """(day, n, usual, broken): a day under `share` of the mean of the days before it. The window runs over days, not rows."""
+    before = Window.orderBy("day").rowsBetween(-days_before, -1)
+    out = every_day(days).withColumn("usual", F.avg("n").over(before))
     return out.withColumn("broken", F.coalesce(F.col("n") < share * F.col("usual"), F.lit(False)))
 
 
+def volume_drops(df: DataFrame, moment: str, share: float = 0.5, days: int = 7) -> DataFrame:
+    return drops_of(day_counts(df, moment), share, days)
+
+
 def outliers(df: DataFrame, columns: list[str], k: float = 3.0) -> DataFrame:
     """Rows with a value outside mean +/- k standard deviations, with `outlier_columns`."""
     c = {name: value_of(df.schema[name]).cast("double") for name in columns}
