@@ -81,9 +81,26 @@ def test_signatures_never_rule_out_similar_sets():
 def test_a_large_bucket_is_not_held(monkeypatch):
     monkeypatch.setattr(near_copies, "HELD", 64)
     n = 300
-    columns = [np.zeros(n), np.arange(n), np.full(n, 100), np.zeros(n), np.arange(n), np.zeros(n)]
-    table = pa.table([pa.array(c.astype(np.int64)) for c in columns], names=["key", "node", "size", "at", "root", "side"])
-    rows = [tuple(r.values()) for b in near_copies._meet(False)(iter(table.to_batches(max_chunksize=50))) for r in b.to_pylist()]
+    columns = [np.zeros(n), np.arange(n), np.full(n, 100), np.zeros(n), np.arange(n)]
+    table = pa.table([pa.array(c.astype(np.int64)) for c in columns], names=["key", "node", "size", "at", "root"])
+    rows = [tuple(r.values()) for b in near_copies._meet(iter(table.to_batches(max_chunksize=50))) for r in b.to_pylist()]
     assert [r for r in rows if r[1] is None] == [(0, None, n)]
     pairs = {r[:2] for r in rows if r[1] is not None}
     assert {(i, i + k) for k in range(1, near_copies.NEAR + 1) for i in range(n - k)} <= pairs and len(pairs) < 10 * n
+
+
+def test_pairs_that_signatures_leave_open():
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 2**63, 200).astype(np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(base, 180, replace=False), rng.integers(0, 2**63, rng.integers(0, 60)).astype(np.uint64)])) for _ in range(90)]
+    sets.append(rng.integers(0, 2**63, 3000).astype(np.uint64))  # its signature is longer
+    root = np.arange(len(sets)) // 2
+    side = np.arange(len(sets)) % 3 > 0
+    columns = [np.zeros(len(sets), np.int64), np.arange(len(sets)), np.array([len(x) for x in sets]), root, side.astype(np.int64)]
+    table = pa.table([*map(pa.array, columns), pa.array([near_copies.signature(x) for x in sets])], names=["key", "node", "size", "root", "side", "bits"])
+    run = lambda best: {tuple(r.values()) for b in near_copies._meet_signed(best)(iter(table.to_batches(max_chunksize=20))) for r in b.to_pylist()}
+    open_ = {(i, j) for j in range(len(sets)) for i in range(j) if root[i] != root[j] and side[i] != side[j]}
+    similar = {(i, j) for i, j in open_ if near_copies.similar(sets[i], sets[j])}
+    every, best = run(False), run(True)
+    assert similar and similar <= every <= open_ and best <= every
+    assert all(any(i in p for p in best) for i in {x for p in every for x in p})

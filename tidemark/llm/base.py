@@ -87,7 +87,7 @@ class Tables:
         return self.held[-1]
 
     def keep(self, *tables: DataFrame) -> None:
-        """Deletes all others."""
+        """Deletes all others; what is still read from them must have been written."""
         for t in self.held:
             if not any(t is k for k in tables):
                 t._written_at.getFileSystem(t.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(t._written_at, True)

@@ -1,14 +1,17 @@
 """Near copies: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more, and their components.
 
-1. Shingles are named by XXH64; a text's set by the hash of its sorted shingles (a node; equal sets are one node).
+1. Shingles are named by XXH64; a text's set by the hash of its sorted shingles (a node; equal sets are one node). Sets
+   whose SimHash fingerprints differ in few bits are found by the operator of simhash.py; of its spanning links those
+   that a comparison in full confirms make the first components. What follows finds the rest.
 2. Two sets of at least 0.8 share a shingle among the first n - ceil(0.8 n) + 1 of each, in any order that is the
    same for all. Shingles that a sample of texts shows to be common come last in it, so that few sets meet by them.
    Sets that meet are candidates unless their sizes or the places of the shared shingle rule 0.8 out.
 3. Each set has a signature, the bits that its shingles fall on. A bit of one set that the other lacks is a shingle
    that is not shared, which rules most candidates out. The rest are compared in full on their texts: first one
    candidate of each set, then those that are not in one component yet.
-4. A bucket of more than `SMALL` sets is compared in two rounds: neighbours by size first, then all its pairs that are
-   not in one component yet, in parts of `LIMIT` sets.
+4. A bucket of more than `SMALL` sets is compared in three rounds: one set of each component with its neighbours by size
+   first; then in parts of `LIMIT` sets each set with that of another component whose signature is likeliest; then all
+   pairs of different components that the signatures do not rule out.
 
 Defined cases: words are those of the fingerprints of simhash.py; a text of fewer words than a shingle is one shingle;
 texts without words are one node.
@@ -24,12 +27,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.base import Tables, appended, checked, in_tasks, sliced, small_batches
-from tidemark.llm.simhash import SEED, components
+from tidemark.llm.simhash import SEED, components, links, majority
 
 WORDS = 5
 SHARE = (4, 5)  # the similarity, as a fraction
 SAMPLE, COMMON, MOST = 2_000, 4, 100_000
 SMALL, NEAR, LIMIT = 64, 4, 4096
+BLOCK = 16  # sets that are compared with a part of a bucket at once
 BITS, HELD = 1024, 1 << 16
 
 
@@ -90,7 +94,7 @@ def may_be_similar(one: bytes, two: bytes, size_one: int, size_two: int) -> bool
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """`docs` without text plus node, size, first, the shingles of the prefix, and the signature."""
+    """`docs` without text plus node, size, first, the shingles of the prefix, the signature and the fingerprint."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
     def make():
@@ -98,13 +102,14 @@ def _sets(docs: DataFrame) -> DataFrame:
 
         def run(column: pa.Array) -> list[pa.Array]:
             sets = [shingles(t or b"") for t in column.cast(pa.binary()).to_pylist()]
+            prints = np.array([majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             longs = pa.list_(pa.int64())
-            return [pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array([prefix(s, late).view(np.int64) for s in sets], longs), pa.array([signature(s) for s in sets], pa.binary())]
+            return [pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array([prefix(s, late).view(np.int64) for s in sets], longs), pa.array([signature(s) for s in sets], pa.binary()), pa.array(prints)]
 
         return run
 
-    return appended(docs, "text", [("node", T.LongType()), ("size", T.IntegerType()), ("first", T.ArrayType(T.LongType())), ("signature", T.BinaryType())], make, drop=True)
+    return appended(docs, "text", [("node", T.LongType()), ("size", T.IntegerType()), ("first", T.ArrayType(T.LongType())), ("signature", T.BinaryType()), ("fp", T.LongType())], make, drop=True)
 
 
 def _pairs(x: np.ndarray, y: np.ndarray, node, size, at) -> tuple[np.ndarray, np.ndarray]:
@@ -115,75 +120,145 @@ def _pairs(x: np.ndarray, y: np.ndarray, node, size, at) -> tuple[np.ndarray, np
     return np.minimum(a, b), np.maximum(a, b)
 
 
-def _meet(every: bool):
-    """Rows (key, node, size, at, root, side), sorted by key and never a key in two tasks, to candidates (a, b, 0).
+def _meet(batches):
+    """Rows (key, node, size, at, root), sorted by key and never a key in two tasks, to candidates (a, b, 0) of different roots.
 
-    Every pair of different roots (and sides, where there are two), or only neighbours in buckets beyond SMALL; these
-    have a row (key, null, size) as well. Of such a bucket no more than about HELD rows are held.
+    Every pair of a bucket up to SMALL; of a larger one a set of each component with its neighbours and with the first;
+    such a bucket has a row (key, null, size) as well. Of it no more than about HELD rows are held.
     """
 
-    def bucket(node, size, at, root, side, large=False):
+    def bucket(node, size, at, root, large=False):
+        if len(node) > SMALL or large:
+            some, large = np.sort(np.unique(root, return_index=True)[1]), True
+            node, size, at, root = (c[some] for c in (node, size, at, root))
         n = len(node)
-        both = side.min() != side.max()
-        for step in range(1, n if every or (n <= SMALL and not large) else min(n, NEAR + 1)):
+        for step in range(1, min(n, NEAR + 1) if large else n):
             x = np.arange(n - step)
             y = x + step
             ok = root[x] != root[y]
-            if both:
-                ok &= side[x] != side[y]
             yield _pairs(x[ok], y[ok], node, size, at)
-        if not every and n > SMALL:
+        if large and n > 1:
             yield _pairs(np.zeros(n - 1, np.int64), np.arange(1, n), node, size, at)
 
-    def run(batches):
-        rest = [np.empty(0, np.int64)] * 6
-        before = 0  # rows of the key of `rest` that were met and are no longer held
-
-        def found(columns, before):
-            key = columns[0]
-            ends = np.flatnonzero(np.concatenate([key[1:] != key[:-1], [True]])) + 1 if len(key) else []
-            out, large, start = [], [], 0
-            for end in ends:
-                n = end - start + before
-                if n > SMALL and not every:
-                    large.append((key[start], n))
-                if end - start > 1:
-                    out += bucket(*(c[start:end] for c in columns[1:]), large=before > 0)
-                start, before = end, 0
-                if len(out) > 1000:
-                    yield from flush(out)
-                    out = []
-            yield from flush(out)
-            if large:
-                keys, sizes = np.array(large, np.int64).T
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(keys), pa.int64()), pa.array(sizes)], names=["a", "b", "n"])
-
-        def flush(out):
-            a = np.concatenate([o[0] for o in out]) if out else []
-            if len(a):
-                pair = np.unique(np.stack([a, np.concatenate([o[1] for o in out])], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(np.zeros(len(pair), np.int64))], names=["a", "b", "n"])
+    rest = [np.empty(0, np.int64)] * 5
+    before = 0  # rows of the key of `rest` that were met and are no longer held
+
+    def found(columns, before):
+        key = columns[0]
+        ends = np.flatnonzero(np.concatenate([key[1:] != key[:-1], [True]])) + 1 if len(key) else []
+        out, large, start = [], [], 0
+        for end in ends:
+            n = end - start + before
+            if n > SMALL:
+                large.append((key[start], n))
+            if end - start > 1:
+                out += bucket(*(c[start:end] for c in columns[1:]), large=before > 0)
+            start, before = end, 0
+            if len(out) > 1000:
+                yield from flush(out)
+                out = []
+        yield from flush(out)
+        if large:
+            keys, sizes = np.array(large, np.int64).T
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.nulls(len(keys), pa.int64()), pa.array(sizes)], names=["a", "b", "n"])
+
+    def flush(out):
+        a = np.concatenate([o[0] for o in out]) if out else []
+        if len(a):
+            pair = np.unique(np.stack([a, np.concatenate([o[1] for o in out])], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(np.zeros(len(pair), np.int64))], names=["a", "b", "n"])
+
+    for batch in batches:
+        columns = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, r in enumerate(rest)]
+        cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
+        if cut:
+            yield from found([c[:cut] for c in columns], before)
+            before = 0
+        rest = [c[cut:] for c in columns]
+        if len(rest[0]) > HELD:
+            yield from flush(list(bucket(*rest[1:], large=True)))
+            before += len(rest[0]) - NEAR
+            rest = [c[-NEAR:] for c in rest]
+    yield from found(rest, before)
+
+
+def _meet_signed(best: bool):
+    """Rows (key, node, size, root, side, bits), sorted by key and never a key in two tasks, to pairs (a, b) that the bits leave possible.
+
+    Pairs of different roots, and of different sides where there are two: all of them, or of each set the likeliest.
+    A part of a bucket has no more than about 2 * LIMIT sets, which are compared in blocks.
+    """
 
+    def bucket(node, size, root, side, bits):
+        both = side.min() != side.max()
+        for i in range(0, len(node), BLOCK):
+            x = slice(i, i + BLOCK)
+            lacks = np.bitwise_count(bits[x, None] & ~bits[None]).sum(axis=2, dtype=np.int64)
+            extra = np.bitwise_count(~bits[x, None] & bits[None]).sum(axis=2, dtype=np.int64)
+            most = np.minimum(size[x, None] - lacks, size[None] - extra)
+            total = size[x, None] + size[None]
+            ok = (most * sum(SHARE) >= SHARE[0] * total) & (root[x, None] != root[None])
+            if both:
+                ok &= side[x, None] != side[None]
+            if best:
+                share = np.where(ok, most / total, -1.0)
+                at = share.argmax(axis=1)
+                one, two = np.flatnonzero(ok.any(axis=1)), at[ok.any(axis=1)]
+            else:
+                one, two = np.nonzero(ok & (np.arange(i, i + ok.shape[0])[:, None] < np.arange(len(node))))
+            if len(one):
+                a, b = node[i + one], node[two]
+                yield np.minimum(a, b), np.maximum(a, b)
+
+    def pairs(columns):
+        key, out = columns[0], []
+        ends = np.flatnonzero(np.concatenate([key[1:] != key[:-1], [True]])) + 1 if len(key) else []
+        start = 0
+        for end in ends:
+            out += bucket(*(c[start:end] for c in columns[1:]))
+            start = end
+        if out:
+            pair = np.unique(np.stack([np.concatenate(x) for x in zip(*out)], 1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["a", "b"])
+
+    def run(batches):
+        rest = [np.empty(0, np.int64)] * 5 + [np.empty((0, BITS // 64), np.uint64)]
         for batch in batches:
-            columns = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, r in enumerate(rest)]
+            bits = np.frombuffer(b"".join(_folded(x) for x in batch.column(5).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            columns = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, r in enumerate(rest[:5])] + [np.concatenate([rest[5], bits])]
             cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
-            if cut:
-                yield from found([c[:cut] for c in columns], before)
-                before = 0
+            yield from pairs([c[:cut] for c in columns])
             rest = [c[cut:] for c in columns]
-            if not every and len(rest[0]) > HELD:
-                yield from flush(list(bucket(*rest[1:], large=True)))
-                before += len(rest[0]) - NEAR
-                rest = [c[-NEAR:] for c in rest]
-        yield from found(rest, before)
+        yield from pairs(rest)
 
     return run
 
 
-def _candidates(rows: DataFrame, every: bool, name: str, tables: Tables) -> DataFrame:
+def _folded(bits: bytes) -> bytes:
+    """A signature of BITS bits: the parts of a longer one laid over each other."""
+    return bits if len(bits) == BITS // 8 else np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8)).tobytes()
+
+
+def _candidates(rows: DataFrame, tables: Tables) -> DataFrame:
     """(a, b, n) as of `_meet`, each once."""
-    sorted_rows = rows.select("key", "node", "size", "at", "root", "side").repartition("key").sortWithinPartitions("key", "size", "node")
-    return tables.written(sorted_rows.mapInArrow(in_tasks(_meet(every)), "a long, b long, n long").distinct(), name)
+    sorted_rows = rows.select("key", "node", "size", "at", "root").repartition("key").sortWithinPartitions("key", "size", "node")
+    return tables.written(sorted_rows.mapInArrow(in_tasks(_meet), "a long, b long, n long").distinct(), "near")
+
+
+def _open_pairs(rows: DataFrame, single: DataFrame, best: bool, name: str, tables: Tables) -> DataFrame:
+    """(a, b), each once, as of `_meet_signed`: of rows (key, node, size, root, n) of buckets that hold more than one component.
+
+    A bucket of more than LIMIT sets is dealt into parts, of which each pair meets once.
+    """
+    mixed = tables.written(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), f"mixed_{name}")
+    parts = F.ceil(F.col("n") / LIMIT).cast("int")
+    own = F.pmod(F.xxhash64("node"), parts).cast("int")
+    rows = rows.join(mixed, "key").join(single.select("node", "signature"), "node")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.withColumn("side", F.when(own == F.col("other"), 0).otherwise(F.when(own < F.col("other"), 1).otherwise(2)))
+    rows = rows.withColumn("key", F.when(parts == 1, F.col("key")).otherwise(F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other"))))
+    rows = rows.select("key", "node", "size", "root", "side", "signature").repartition("key").sortWithinPartitions("key")
+    return tables.written(small_batches(rows).mapInArrow(in_tasks(_meet_signed(best)), "a long, b long").distinct(), name)
 
 
 def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -230,43 +305,50 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, name: str, ta
     first = pairs.groupBy("b").agg(F.min(F.struct("a", "row_a", "row_b")).alias("x"))
     first = tables.written(first.select("x.a", "b", "x.row_a", "x.row_b"), f"first_{name}")
     edges = _compared(first, docs, f"{name}1", tables)
-    roots = tables.written(components(edges), f"roots_{name}")
+    roots = components(edges, tables)
     one, two = (roots.select(F.col("node").alias(c), F.col("root").alias(f"root_{c}")) for c in "ab")
     rest = pairs.join(first.select("a", "b"), ["a", "b"], "left_anti").join(one, "a", "left").join(two, "b", "left")
     rest = rest.where(F.coalesce("root_a", "a") != F.coalesce("root_b", "b")).select("a", "b", "row_a", "row_b")
     return edges.unionByName(_compared(tables.written(rest, f"rest_{name}"), docs, f"{name}2", tables))
 
 
-def near_copies(docs: DataFrame) -> DataFrame:
+def _by_fingerprint(single: DataFrame, docs: DataFrame, tables: Tables) -> DataFrame:
+    """Edges of similar sets among those whose SimHash fingerprints lie close together: a spanning forest's links, compared in full."""
+    prints = tables.written(single.groupBy("fp").agg(F.min(F.struct("node", "row")).alias("x")).select("fp", "x.*"), "prints")
+    spanning = tables.written(links(prints.select("fp"), tables.written), "spanning")
+    one, two = (prints.select(F.col("fp").alias(c), F.col("node").alias(f"node_{c}"), F.col("row").alias(f"row_{c}")) for c in "ab")
+    apart = spanning.join(one, "a").join(two, "b").select(F.col("node_a").alias("a"), F.col("node_b").alias("b"), "row_a", "row_b")
+    first = prints.select(F.col("fp").alias("of"), F.col("node").alias("a"), F.col("row").alias("row_a"))
+    equal = single.join(first, F.col("fp") == F.col("of")).where("node <> a").select("a", F.col("node").alias("b"), "row_a", F.col("row").alias("row_b"))
+    return _compared(tables.written(apart.unionByName(equal), "close"), docs, "close_links", tables)
+
+
+def near_copies(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
     """Rows (row, text, ...) to (row, ..., component): equal for all rows that links of similar sets connect.
 
-    `row` must name each row and stay the same when `docs` is read again.
+    `row` must name each row and stay the same when `docs` is read again. What the result reads is left in `tables`.
     """
-    tables = Tables()
+    tables = tables or Tables()
+    others = list(tables.held)
     sets = tables.written(_sets(docs), "sets")
     firsts = tables.written(sets.groupBy("node").agg(F.min("row").alias("row")), "firsts")
     single = sets.join(checked(firsts.select("row")), "row")  # one row a node
-    met = single.select("node", "size", F.posexplode("first").alias("at", "key")).select("key", "node", "size", "at", F.col("node").alias("root"), F.lit(0).alias("side"))
-    near = _candidates(met, False, "near", tables)
-    edges = _confirmed(near.where("b is not null"), single, docs, "links", tables)
+    edges = _by_fingerprint(single, docs, tables)
+    rooted = lambda rows: rows.join(components(edges, tables).withColumnsRenamed({"node": "of", "root": "top"}), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("top", "node"))
+    met = rooted(single.select("node", "size", F.posexplode("first").alias("at", "key"))).select("key", "node", "size", "at", "root")
+    near = _candidates(met, tables)
+    edges = edges.unionByName(_confirmed(near.where("b is not null"), single, docs, "links", tables))
     buckets = near.where("b is null").select(F.col("a").alias("key"), "n")
     if not buckets.isEmpty():
-        roots = components(edges).withColumnsRenamed({"node": "of", "root": "top"})
-        rows = met.join(checked(buckets), "key").join(roots, F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("top", "node"))
-        rows = tables.written(rows.select("key", "node", "size", "at", "root", "n"), "rows_large")
-        mixed = tables.written(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), "mixed")
-        rows = rows.join(mixed, "key")
-        parts = F.ceil(F.col("n") / LIMIT).cast("int")
-        own = F.pmod(F.xxhash64("node"), parts).cast("int")
-        rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-        rows = rows.withColumn("side", F.when(own == F.col("other"), 0).otherwise(F.when(own < F.col("other"), 1).otherwise(2)))
-        rows = rows.withColumn("key", F.when(parts == 1, F.col("key")).otherwise(F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other"))))
-        more = _candidates(rows, True, "all", tables)
-        if not more.isEmpty():
-            edges = edges.unionByName(_confirmed(more, single, docs, "more_links", tables))
-    roots = tables.written(components(edges).withColumnsRenamed({"node": "of", "root": "component"}), "roots")
-    tables.keep(sets, roots)
-    return sets.join(roots, F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "node")).drop("node", "size", "first", "signature", "of")
+        large = tables.written(met.select("key", "node", "size").join(checked(buckets), "key"), "large")
+        for best in (True, False):  # with the likeliest set of another component first, then with all that are still open
+            more = _open_pairs(rooted(large), single, best, f"open_{'best' if best else 'all'}", tables)
+            if more.isEmpty():
+                break
+            edges = edges.unionByName(_confirmed(more, single, docs, f"more_{'best' if best else 'all'}", tables))
+    roots = tables.written(components(edges, tables).withColumnsRenamed({"node": "of", "root": "component"}), "roots")
+    tables.keep(*others, sets, roots)
+    return sets.join(roots, F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "node")).drop("node", "size", "first", "signature", "fp", "of")
 
 
 def brute_force(texts: list[str | None]) -> list[int]:

@@ -18,6 +18,7 @@ than id and text are ignored.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from itertools import repeat
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.base import appended, in_tasks, table, written
+from tidemark.llm.base import Tables, appended, in_tasks, table, written
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
 LIMIT = 4096
@@ -35,6 +36,12 @@ LEVELS = (16, 12, 9)
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have."""
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+
+
 def fingerprint(text: bytes) -> int:
     words = text.lower().split()  # on bytes: A-Z only, and space with 0x09-0x0D
     if not words:
@@ -44,8 +51,7 @@ def fingerprint(text: bytes) -> int:
     else:
         shingles = map(b" ".join, zip(words, words[1:], words[2:]))
         hashes = np.fromiter(map(xxhash.xxh64_intdigest, shingles, repeat(SEED)), np.uint64, len(words) - 2)
-    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(bits * 2 > len(hashes), bitorder="little").view(np.uint64)[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", drop: bool = True) -> DataFrame:
@@ -148,8 +154,8 @@ def _finer(rows: DataFrame, level: int) -> DataFrame:
     return rows.select("fp", F.explode(F.array(*[part(i) for i in range(4)])).alias("x")).select("x.key", "x.rest", "fp")
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Edges (a, b) of distinct fingerprints `fp` that span all links within the radius."""
+def links(prints: DataFrame, written: Callable[[DataFrame, str], DataFrame] = written) -> DataFrame:
+    """Edges (a, b) of distinct fingerprints `fp` that span all links within the radius; `written` writes tables between steps."""
     rows = prints.select(F.lit(0).cast("long").alias("key"), F.col("fp").alias("rest"), "fp")
     ready = []
     for level in range(len(LEVELS)):
@@ -173,8 +179,13 @@ def links(prints: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root) of the nodes of `edges` (a, b); the root is the component's smallest node."""
+def components(edges: DataFrame, tables: Tables | None = None) -> DataFrame:
+    """(node, root) of the nodes of `edges` (a, b); the root is the component's smallest node.
+
+    A round's tables are deleted once the next are written. Those of the last round are among `tables`, where these are given.
+    """
+    own = Tables()
+    written = own.written
     both = written(edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels0")
     step = 0
@@ -185,9 +196,12 @@ def components(edges: DataFrame) -> DataFrame:
         hooked = written(hooked, f"hooked{step}")
         up = hooked.select(F.col("node").alias("up"), F.col("root").alias("above"))
         labels = written(hooked.join(up, F.col("root") == F.col("up")).select("node", F.col("above").alias("root"), (F.col("above") < F.col("old")).alias("moved")), f"labels{step}")
+        own.keep(both, labels)
         if labels.where("moved").isEmpty():
+            own.keep(labels)
+            if tables:
+                tables.held.append(labels)
             return labels.select("node", "root")
-        labels = labels.select("node", "root")
 
 
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
