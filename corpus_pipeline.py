@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import decontaminate, language_id, near_copies, pieces, repeats
-from tidemark.llm.base import written
+from tidemark.llm.base import Tables
 
 PASSAGE = 51  # words
 MODEL = "piece_bpe_32k.model"
@@ -37,15 +37,21 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     """Of texts that links of a Jaccard similarity of 0.8 or more (5-word shingles) connect one row stays: that of the smallest doc_id.
 
     Rows are told apart by numbers, so documents of one doc_id, or of none, are compared like any others. A null doc_id
-    comes last; rows of one doc_id are ordered by their content.
+    comes last; rows of one doc_id are ordered by a hash of their content. SimHash fingerprints find the first links.
     """
     def work(d: DataFrame) -> DataFrame:
-        content = F.xxhash64("text", *[f"`{f.name}`" for f in d.schema if isinstance(f.dataType, T.AtomicType)])
-        rows = written(d.withColumns({"__row": F.monotonically_increasing_id(), "__content": content}), "rows")
-        found = near_copies.near_copies(rows.select(F.col("__row").alias("row"), "text", F.col("doc_id").alias("id"), F.col("__content").alias("content")))
-        least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "content", "row"))["row"]
-        kept = found.groupBy("component").agg(least.alias("__kept")).select("__kept")
-        return rows.join(written(kept, "kept"), F.col("__row") == F.col("__kept"), "left_semi")
+        content = ["text", *[f"`{f.name}`" for f in d.schema if isinstance(f.dataType, T.AtomicType)]]
+        keyed = d.withColumns({"__k1": F.xxhash64(*content), "__k2": F.xxhash64(F.lit(1), *content)})
+        tables, key = Tables(), ["__k1", "__k2"]
+        rows = tables.written(keyed.select(F.monotonically_increasing_id().alias("row"), "text", F.col("doc_id").alias("id"), *key), "rows")
+        found = near_copies.near_copies(rows, tables)
+        least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", *key))
+        kept = tables.written(found.groupBy("component").agg(least.alias("x")).select(*[f"x.{k}" for k in key]), "kept")
+        # Rows that are the same throughout have one key; one of them stays.
+        again = tables.written(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").join(kept, key, "left_semi").select(*key), "again")
+        tables.keep(kept, again)
+        kept_rows = keyed.join(kept, key, "left_semi")
+        return kept_rows.join(again, key, "left_anti").unionByName(kept_rows.join(again, key, "left_semi").dropDuplicates(key)).drop(*key)
 
     return beside(docs, work)
 
@@ -87,7 +93,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, tables = spark.read.parquet(f"{sf_dir}/documents.parquet"), Tables()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        docs = tables.written(stage(spark, docs, sf_dir), name)
+        tables.keep(docs)  # the stage before is not read again
     return STAGES[-1][1](spark, docs, sf_dir)
