@@ -8,9 +8,10 @@ from tidemark.catalog.inputs import DIRTY, dirty_orders, money, sql_amount, sql_
 from tidemark.operators import clean
 from tidemark.operators.health import index_hints
 from tidemark.operators.profile import profile
-from tidemark.plans.recipe import Step, apply_recipe, from_json, run_recipe, to_json
+from tidemark.plans.recipe import Step, apply_recipe, from_json, run_recipe, run_recipe_checked, to_json
 from tidemark.scratch import scratch
 from tidemark.sources.layout import layout_of, read_dates, read_keys, write_buckets, write_laid_out
+from tidemark.sources.rejects import read_csv_checked
 from tidemark.sources.tables import read_json, read_table, write_table
 
 
@@ -64,6 +65,24 @@ def json_array(spark, sf):
     return read_json(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string")
 
 
+def rejected(spark, sf):
+    """Orders as lines of text, some with a customer that is no number, a value too many or one too few, read by a schema: every row with its reason, if rejected."""
+    k = F.col("o_orderkey")
+    cells = [k.cast("string"), F.when(k % 9 == 0, "n/a").otherwise(F.col("o_custkey").cast("string")), F.col("o_orderstatus"), F.when(k % 10 == 0, "P,extra").when(k % 11 != 0, "P")]
+    path = f"{scratch(spark)}/lines"
+    table(spark, sf, "orders").select(F.concat_ws(",", *cells).alias("value")).write.text(path)
+    read = read_csv_checked(spark, path, "o_orderkey long, o_custkey long, o_orderstatus string, o_orderpriority string", header=False)
+    good = read.good.select("o_orderkey", "o_custkey", F.lit(None).cast("string").alias("reason"))
+    return good.unionByName(read.rejected.select(F.split("text", ",")[0].cast("long").alias("o_orderkey"), F.lit(None).cast("long").alias("o_custkey"), "reason"))
+
+
+def checked_recipe(spark, sf):
+    """A recipe over a dirty file by a schema: how many rows were good, rejected and written."""
+    path = scratch(spark)
+    source = write_table(dirty_orders(spark, sf).select("order_id", "status", "amount", "order_date"), f"{path}/in", "csv")
+    return run_recipe_checked(spark, source, to_json([Step("drop_missing", {"column": "status"})]), f"{path}/out", schema="order_id long, status string, amount string, order_date date")
+
+
 def laid_out(spark, sf):
     """The events as their index hints say, in files of about a megabyte."""
     events = table(spark, sf, "events")
@@ -110,6 +129,10 @@ ENTRIES = {
     "recipe_run": (recipe, STEPS),
     "recipe_replayed": (replayed, STEPS),
     **{f"io_roundtrip_{k}": round_trip(k) for k in ("csv", "json", "parquet")},
+    "io_rejected_rows": (rejected, """SELECT o_orderkey, CASE WHEN o_orderkey % 9 <> 0 AND o_orderkey % 10 <> 0 AND o_orderkey % 11 <> 0 THEN o_custkey END AS o_custkey,
+        CASE WHEN o_orderkey % 10 = 0 THEN 'too many values' WHEN o_orderkey % 9 = 0 THEN 'o_custkey is no bigint' WHEN o_orderkey % 11 = 0 THEN 'too few values' END AS reason FROM orders"""),
+    "recipe_checked": (checked_recipe, f"""WITH {DIRTY}, d AS (SELECT status, regexp_full_match(order_date, '[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}') AS good FROM dirty)
+        SELECT count(*) FILTER (good) AS n_good, count(*) FILTER (NOT good) AS n_rejected, count(*) FILTER (good AND status IS NOT NULL) AS n_written FROM d"""),
     "layout_dated_read": (dated_read, "SELECT event_id, user_id, event_type FROM events WHERE ts >= TIMESTAMP '2024-01-10' AND ts < TIMESTAMP '2024-01-15'"),
     "layout_keyed_read": (keyed_read, "SELECT event_id, user_id, event_type FROM events WHERE event_id BETWEEN 200 AND 900"),
     "layout_bucketed_join": (bucketed_join, "SELECT o_orderkey, o_orderstatus, count(*) AS n, CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2"),

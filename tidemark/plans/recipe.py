@@ -7,9 +7,12 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from tidemark.operators import clean
-from tidemark.sources.tables import read_csv, write_table
+from tidemark.sources.rejects import read_csv_checked
+from tidemark.sources.tables import read_csv, read_table, write_table
 
 #: A step's name: its function, and which of its arguments name columns.
 STEPS: dict[str, tuple[Callable[..., DataFrame], tuple[str, ...]]] = {
@@ -71,3 +74,18 @@ def run_recipe(spark: SparkSession, source: str, recipe: str, target: str, kind:
     out = apply_recipe(read_csv(spark, source), from_json(recipe))
     write_table(out, target, kind)
     return out
+
+
+def run_recipe_checked(spark: SparkSession, source: str, recipe: str, target: str, kind: str = "csv", schema: StructType | str | None = None) -> DataFrame:
+    """As `run_recipe`, with rows that do not fit written to `<target>_rejected` as Parquet; returns one row (n_good, n_rejected, n_written).
+
+    The schema is stated or drawn from a sample. Good and rejected rows are all of the file's.
+    """
+    read = read_csv_checked(spark, source, schema)
+    out = apply_recipe(read.good, from_json(recipe))
+    path = write_table(out, target, kind)
+    read.rejected.write.mode("overwrite").parquet(f"{target}_rejected")
+    good = read.good.agg(F.count("*").alias("n_good"))
+    rejected = spark.read.parquet(f"{target}_rejected").agg(F.count("*").alias("n_rejected"))
+    written = read_table(spark, path, kind, out.schema).agg(F.count("*").alias("n_written"))
+    return good.crossJoin(F.broadcast(rejected)).crossJoin(F.broadcast(written))  # one row each

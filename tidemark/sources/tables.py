@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
 FORMATS = ("csv", "parquet", "json")
+ESCAPE = '"'  # a quote inside a quoted value is doubled
 
 
 def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
     """CSV with a header; types are inferred in a pass of its own unless `schema` is given."""
-    reader = spark.read.option("header", True)
+    reader = spark.read.option("header", True).option("escape", ESCAPE)
     return reader.schema(schema).csv(path) if schema is not None else reader.option("inferSchema", True).csv(path)
 
 
@@ -41,7 +42,7 @@ def write_table(df: DataFrame, path: str, kind: str = "csv", mode: str = "overwr
     kind = known_format(kind)
     target = f"{path}.{kind}"
     writer = df.write.mode(mode)
-    (writer.option("header", True) if kind == "csv" else writer).format(kind).save(target)
+    (writer.option("header", True).option("escape", ESCAPE) if kind == "csv" else writer).format(kind).save(target)
     return target
 
 
