@@ -29,7 +29,7 @@ def brute(rows, k=10):
 
 @pytest.mark.parametrize("block", [64, 32768])
 def test_ties_copies_and_bad_vectors(spark, monkeypatch, block):
-    monkeypatch.setattr(topk, "BLOCK", block)
+    monkeypatch.setattr(topk, "BLOCK_BYTES", block * 6 * 2)
     monkeypatch.setattr(topk, "LEAST", block)
     rng = np.random.default_rng(4)
     rows = [(i, rng.normal(0, 0.1, 6).round(1).tolist()) for i in range(300)]
@@ -47,3 +47,23 @@ def test_few_and_none(spark):
 
 def test_given_tables(spark):
     compare(spark, "/root/testdata/sf0.001", op2_topk, OP2_SQL)
+
+
+def test_wide_components_and_what_would_wrap(spark):
+    rng = np.random.default_rng(9)
+    for scale in (1.0, 1e3, 1e5):  # components of two, four and eight bytes
+        rows = [(i, (rng.normal(0, scale, 5)).tolist()) for i in range(250)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").selectExpr("*", "1 as v", "'x' as ids", "2 as block")
+        assert sorted(tuple(r) for r in top_k(df, lambda i: i % 100 == 0).collect()) == brute(rows)
+    with pytest.raises(ValueError, match="range"):
+        top_k(spark.createDataFrame([(0, [1e17]), (1, [1e17])], "vec_id long, embedding array<double>"), lambda i: i % 100 == 0)
+
+
+def test_memory_is_bounded_by_bytes():
+    import tracemalloc
+
+    tracemalloc.start()
+    vectors = np.random.default_rng(1).integers(-1000, 1000, (topk.BLOCK_BYTES // 2 // 1536, 1536), dtype=np.int16)
+    SlicedIndex(vectors)
+    assert tracemalloc.get_traced_memory()[1] < 350e6
+    tracemalloc.stop()

@@ -20,13 +20,14 @@ def brute(url, rules):
     return host, path, max(fits)[2], "block" if any(f[:2] == top and f[3] == "block" for f in fits) else "allow"
 
 
-@pytest.mark.parametrize("limit", [1000, 0])
+@pytest.mark.parametrize("limit", [1000, 42, 41, 0])
 def test_against_brute_force(spark, limit):
     rng = random.Random(limit)
     labels, paths = ["a", "b", "com", "net", "x-y", "é"], ["/", "/e/", "/en/", "/en/x", "", "/E/"]
     rules = [(".".join(rng.choice(labels) for _ in range(rng.randrange(1, 4))), rng.choice(paths), rng.choice(["allow", "block"])) for _ in range(40)]
+    rules += [("", "/e/", "block"), ("", "/en/", "allow")]
     urls = [f"{rng.choice(['http', 'HTTPS'])}://{'.'.join(rng.choice(labels + ['COM']) for _ in range(rng.randrange(1, 5)))}{rng.choice(paths)}{rng.choice(['', 'q.html', '?u=http://z/en/', '#t'])}" for _ in range(400)]
-    urls += [None, "", "no scheme", "://", "http://", "x://a.com", "a?b://com/e/", "http://com\n/en/", "http://.com/", "http://com./"]
+    urls += [None, "", "no scheme", "://", "http://", "x://a.com", "a?b://com/e/", "http://com\n/en/", "http://.com/", "http://com./", "http://com./e/", "http:///en/x", "http://a..com/e/", "http://a.com./en/", "http://./e/"]
     df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").selectExpr("*", "1 as host", "2 as verdict")
     table = spark.createDataFrame(rules, "host string, path string, verdict string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in judge_urls(df, table, max_index_rules=limit).collect()}

@@ -6,12 +6,12 @@ carry-save adders at the weights of the query's bits, which leaves the slices of
 rows. The k best are selected from the most significant slice downward. Every row that the quantisation error
 leaves in doubt is then scored exactly, so the result is exact.
 
-Rows are dealt to blocks of at most about `BLOCK` by a hash, each row once. A block's rows come to one task, which
-makes their index, and then the queries, which stream through it. So what is shuffled is the rows, and the queries
-once for each block. Equal vectors are one row of the index with its k + 1 smallest ids.
+Rows are dealt to blocks of at most about `BLOCK_BYTES` of components by a hash, each row once. A block's rows come to one
+task, which makes their index, and then the queries, which stream through it. So what is shuffled is the rows, and the
+queries once for each block, with components of as few bytes as the table's largest needs. Equal vectors are one row of the index with its k + 1 smallest ids.
 
 Defined cases: vectors that are null, or hold null or non-finite components, and rows with a null id take no
-part; shorter vectors count as ended by zeros; equal rows count once; ties go to the smaller id; fewer than k
+part; a table whose scores could leave the range of a long is refused; shorter vectors count as ended by zeros; equal rows count once; ties go to the smaller id; fewer than k
 candidates give all of them.
 """
 
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.base import in_tasks, table, written
 
-BLOCK, LEAST, SLICES = 65_536, 2_048, 7
+BLOCK_BYTES, LEAST, SLICES = 64 << 20, 2_048, 7
 
 
 def integer_vectors(rows: DataFrame, id: str, vector: str, scale: int = 1024) -> DataFrame:
@@ -39,9 +39,9 @@ def widest(column: pa.Array) -> int:
 
 
 def matrix(column: pa.Array, width: int) -> np.ndarray:
-    values, offsets = column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.asarray(column.offsets)
+    values, offsets = column.flatten().to_numpy(zero_copy_only=False), np.asarray(column.offsets)
     offsets, counts = offsets - offsets[0], np.diff(offsets)
-    out = np.zeros((len(counts), width), np.int64)
+    out = np.zeros((len(counts), width), values.dtype)
     row = np.repeat(np.arange(len(counts)), counts)
     out[row, np.arange(len(values)) - offsets[:-1][row]] = values
     return out
@@ -53,17 +53,17 @@ class SlicedIndex:
     def __init__(self, vectors: np.ndarray, slices: int = SLICES):
         self.vectors = vectors
         n, self.dims = vectors.shape
-        self.low = vectors.min(axis=0) if n else np.zeros(self.dims, np.int64)
-        shifted = vectors - self.low
-        self.shift = max(0, int(shifted.max(initial=0)).bit_length() - slices)
-        self.slices = min(slices, max(1, int(shifted.max(initial=0)).bit_length()))
-        codes = shifted >> self.shift
+        self.low = vectors.min(axis=0).astype(np.int64) if n else np.zeros(self.dims, np.int64)
+        span = int((vectors.max(axis=0).astype(np.int64) - self.low).max(initial=0)) if n else 0
+        self.shift = max(0, span.bit_length() - slices)
+        self.slices = min(slices, max(1, span.bit_length()))
         self.words = -(-n // 64)
         planes = np.zeros((self.dims, self.slices, self.words * 8), np.uint8)
-        for j in range(self.slices):
-            planes[:, j, : -(-n // 8)] = np.packbits((codes >> j & 1).astype(np.uint8), axis=0, bitorder="little").T
+        for d in range(0, self.dims, 32):  # some dimensions at a time, so that wide copies stay small
+            codes = (vectors[:, d : d + 32].astype(np.int64) - self.low[d : d + 32]) >> self.shift
+            for j in range(self.slices):
+                planes[d : d + 32, j, : -(-n // 8)] = np.packbits((codes >> j & 1).astype(np.uint8), axis=0, bitorder="little").T
         self.planes = planes.view(np.uint64)
-        self.negated = ~self.planes
         self.real = np.zeros(self.words * 8, np.uint8)
         self.real[: -(-n // 8)] = np.packbits(np.ones(n, np.uint8), bitorder="little")
         self.real = self.real.view(np.uint64)
@@ -72,7 +72,7 @@ class SlicedIndex:
         """Slices of sum |q_d| * t_d, least significant first; t_d is the code of the row, complemented for q_d < 0."""
         columns: list[list[np.ndarray]] = []
         for d in np.flatnonzero(query).tolist():
-            source, weight = (self.planes if query[d] > 0 else self.negated)[d], abs(int(query[d]))
+            source, weight = self.planes[d] if query[d] > 0 else ~self.planes[d], abs(int(query[d]))
             for b in range(weight.bit_length()):
                 if weight >> b & 1:
                     while len(columns) < b + self.slices:
@@ -135,7 +135,7 @@ class Block:
     def search(self, own: int, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids and scores of the k best rows but the query's own."""
         at = self.index.in_doubt(query, k + 1)
-        score = self.index.vectors[at] @ query
+        score = self.index.vectors[at].astype(np.int64) @ query
         best = np.lexsort((self.least[at], -score))[: k + 1]
         at, score = at[best], score[best]
         member = np.concatenate([self.ids[self.offsets[i] : self.offsets[i + 1]] for i in at.tolist()]) if len(at) else np.empty(0, np.int64)
@@ -170,7 +170,7 @@ def _searched(k: int):
                     continue
                 ids, vectors = part.column(1).to_pylist(), part.column(3)
                 width = block.index.dims
-                queries = matrix(vectors, max(width, widest(vectors)))[:, :width]
+                queries = matrix(vectors, max(width, widest(vectors)))[:, :width].astype(np.int64)
                 found = [block.search(own, query, k) for own, query in zip(ids, queries)]
                 n = [len(m) for m, _ in found]
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(ids, np.int64), n)), pa.array(np.concatenate([m for m, _ in found]).astype(np.int64)), pa.array(np.concatenate([s for _, s in found]).astype(np.int64))], names=["query_id", "vec_id", "score"])
@@ -180,13 +180,21 @@ def _searched(k: int):
 
 def top_k(rows: DataFrame, is_query, k: int = 10, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where `is_query` (on column id) holds, its k best other rows."""
-    vectors = written(integer_vectors(rows, id, vector), "vectors")
+    vectors = integer_vectors(rows, id, vector)
+    # Ranges by doubles, which cannot wrap; one row.
+    sized = rows.where(F.col(vector).isNotNull()).agg(F.max(F.size(vector)).alias("dims"), F.max(F.array_max(F.transform(F.filter(vector, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf"))), lambda x: F.abs(x.cast("double"))))).alias("most")).first()
+    dims, most = max(1, sized["dims"] or 1), int(1024 * (sized["most"] or 0)) + 1
+    if dims * most * most >= 1 << 63:
+        raise ValueError(f"scores of {dims} components up to {most} leave the range of a long")
+    kind, size = next((kind, size) for kind, size in (("smallint", 2), ("int", 4), ("bigint", 8)) if most < 1 << (8 * size - 1))
+    vectors = written(vectors.withColumn("v", F.col("v").cast(f"array<{kind}>")), "vectors")
+    block = max(64, BLOCK_BYTES // (dims * size))
     first = Window.partitionBy("v").orderBy("id")
     distinct = vectors.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= k + 1)
     distinct = written(distinct.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")), "distinct")
     queries = written(vectors.where(is_query(F.col("id"))).distinct(), "queries")
     n, least = distinct.count(), int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(1, -(-n // BLOCK), min(least, -(-n // LEAST)))
+    blocks = max(1, -(-n // block), min(least, -(-n // LEAST)))
     left = distinct.select(F.pmod(F.xxhash64("v"), F.lit(blocks)).alias("block"), F.lit(None).cast("long").alias("id"), "ids", "v")
     right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")).alias("block"), "id", F.lit(None).cast("array<long>").alias("ids"), "v")
     met = left.unionByName(right).repartition(blocks, "block").sortWithinPartitions("block", F.asc_nulls_first("id"))

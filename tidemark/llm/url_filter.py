@@ -5,7 +5,8 @@ sorted uint64 array, in a file that every task maps into memory, beside the full
 keys (each host suffix with each path prefix whose length occurs among the rules) are probed in one
 vectorised binary search, and a hit counts only if the stored string is the same.
 
-Defined cases: a null URL or one without "://" has empty host and path and gets the default verdict; of
+Defined cases: a null URL or one without "://" has empty host and path, which only a rule of empty host and path fits; a
+rule of empty host fits empty hosts and those that end in a dot; of
 several rules the longest string wins, then the longer host; repeated rules count once (block before
 allow); an empty rule table allows all; other columns of the page table pass through unless a result
 column has their name. Of more than `max_index_rules`
@@ -96,14 +97,12 @@ class DigestIndex:
         """Rule and verdict of each (host, path); rule None where no rule fits."""
         owner, strings, lengths = [], [], []
         for i, (host, path) in enumerate(zip(hosts, paths)):
-            suffix = host
-            while suffix:
+            for suffix in (host, *(host[j + 1 :] for j, c in enumerate(host) if c == ".")):
                 for k in self.path_lengths:
                     if k <= len(path):
                         owner.append(i)
                         strings.append((suffix + path[:k]).encode())
                         lengths.append(len(suffix))
-                suffix = suffix.partition(".")[2]
         best: list[tuple[int, int, int]] = [(-1, -1, -1)] * len(hosts)
         if strings and len(self.keys):
             probes = np.fromiter((xxhash.xxh64_intdigest(s, 0) for s in strings), np.uint64, len(strings))
@@ -177,7 +176,7 @@ def _parted(source: DataFrame, rules: DataFrame, n_rules: int, part_rules: int)
     lengths = F.broadcast(rules.agg(F.sort_array(F.collect_set(F.length("path"))).alias("__lengths")))  # one row
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    sites = source.select("host", "path").distinct().where("host <> ''").withColumn("suffix", F.explode(suffixes)).crossJoin(lengths)
+    sites = source.select("host", "path").distinct().withColumn("suffix", F.explode(suffixes)).crossJoin(lengths)
     sites = sites.withColumn("k", F.explode("__lengths")).where(F.col("k") <= F.length("path")).drop("__lengths")
     sites = written(sites.select("host", "path", F.concat("suffix", F.expr("substring(path, 1, k)")).alias("string"), F.length("suffix").alias("host_chars")), "probes")
     own = rules.select(F.concat("host", "path").alias("string"), F.length("host").alias("host_chars"), "block")
