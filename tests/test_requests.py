@@ -16,6 +16,7 @@ def frames(spark):
     return {k: (df, column_roles(profile(df)).cache()) for k, df in out.items()}
 
 
+#: Messages and what they must resolve to.
 CASES = [
     ("top 5 amount by region as pie chart", "FRAME", dict(resolved="chart", chart_type="pie", dimension="region", measure="amount", agg="sum", top_n=5)),
     ("amount by region", "FRAME", dict(resolved="chart", chart_type="bar", dimension="region", measure="amount")),

@@ -207,6 +207,7 @@ FIRSTS = " UNION ALL ".join(
     FROM (SELECT {c} AS v, row_number() OVER (ORDER BY doc_id) AS k FROM documents WHERE {c} IS NOT NULL) WHERE k <= 50"""
     for c in ("text", "lang", "source")
 )
+#: Labels, details and actions, stated for the SQL by themselves.
 CARDS = with_profile("dirty") + ", " + HEALTH + """SELECT 1 AS position, 'Health score' AS label, score || '/100 (' || grade || ')' AS value, CASE WHEN score >= 90 THEN 'good' WHEN score >= 75 THEN 'warn' ELSE 'bad' END AS status, 'Weighted data-quality score.' AS detail FROM graded
     UNION ALL SELECT 2, 'Completeness', co || '%', CASE WHEN co >= 98 THEN 'good' WHEN co >= 90 THEN 'warn' ELSE 'bad' END, 'Share of non-null cells.' FROM health
     UNION ALL SELECT 3, 'Duplicate rows', CAST(d AS VARCHAR), CASE WHEN d = 0 THEN 'good' WHEN d <= 2 THEN 'warn' ELSE 'bad' END, 'Fully duplicated rows.' FROM health

@@ -64,6 +64,7 @@ def cards(h: DataFrame) -> DataFrame:
         return F.struct(F.lit(i).alias("position"), F.lit(label).alias("label"), value.alias("value"), status(good, warn).alias("status"), detail.alias("detail"))
 
     c, text = F.col, lambda x: F.col(x).cast("string")
+    #: Labels and details of the cards.
     personal = F.when(c("n_pii") == 0, "No obvious PII detected.").otherwise(c("pii_columns"))
     return h.select(F.explode(F.array(
         card(1, "Health score", F.concat(text("score"), F.lit("/100 ("), c("grade"), F.lit(")")), c("score") >= 90, c("score") >= 75, F.lit("Weighted data-quality score.")),
@@ -84,6 +85,7 @@ def issues(prof: DataFrame, duplicates: DataFrame) -> DataFrame:
         )
 
     p = F.col("null_pct")
+    #: The actions.
     nulls = rows(prof.where(p > 0), "nulls", F.when(p >= 20, "High").when(p >= 5, "Medium").otherwise("Low"), F.col("nulls"), "Fill with default / drop rows", "Missing values", p, "% of the values are missing")
     pii = rows(prof.where("is_pii"), "pii", F.lit("High"), F.col("n_distinct"), "Mask / anonymize before storing", "Personal data", "its name or its values look personal")
     casts = rows(prof.where("number_like"), "cast", F.lit("Low"), F.col("number_seen"), "Cast to a numeric type", "Numbers kept as text", F.col("number_seen"), " values read as numbers")
