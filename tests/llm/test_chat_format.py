@@ -71,6 +71,51 @@ def test_windows_are_full_and_long_turns_are_told(spark):
     assert [w["n_tokens"] > 2000 for w in windows if w["over_budget"]] == [True]
 
 
+MIXES = {"small": lambda i: 100, "spread": lambda i: 40 + i * 7919 % 1160, "two sizes": lambda i: 60 if i % 3 else 700, "pairs": lambda i: 760 + 200 * (i % 2)}
+
+
+def greedy(tokens, room, history):
+    """Windows of turns as (first, last, repeated turns before the first)."""
+    out, i = [], 0
+    while i < len(tokens):
+        back = 0
+        if out:
+            a = out[-1][0]
+            while i - back - 1 >= a and sum(tokens[i - back - 1 : i]) <= history:
+                back += 1
+            if sum(tokens[i - back : i + 1]) > room:
+                back = 0
+        j = i
+        while j + 1 < len(tokens) and sum(tokens[i - back : j + 2]) <= room:
+            j += 1
+        out.append((i, j, back))
+        i = j + 1
+    return out
+
+
+def test_windows_of_mixed_turns_are_as_full_as_turns_allow(spark):
+    rows = [(name, t, "user" if t % 2 else "assistant", "w" * size(t)) for name, size in MIXES.items() for t in range(600)]
+    rows += [(f"s{name}", t, "system" if t == 0 else "user", "w" * (300 if t == 0 else size(t))) for name, size in MIXES.items() for t in range(300)]
+    windows = format_chats(spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")).collect()
+    for name in {r[0] for r in rows}:
+        own = sorted((w for w in windows if w["conv_id"] == name), key=lambda w: w["window"])
+        tokens = [-(-len(x) // 4) + 4 for c, _, _, x in rows if c == name]
+        cost = tokens.pop(0) if name[0] == "s" and name[1:] in MIXES else 0
+        want = greedy(tokens, 512 - cost, 96)
+        assert [w["n_tokens"] for w in own] == [cost + sum(tokens[a - back : b + 1]) for a, b, back in want], name
+        assert not any(w["over_budget"] for w in own)
+    fill = lambda name: sum(w["n_tokens"] for w in windows if w["conv_id"] == name) / 512 / sum(w["conv_id"] == name for w in windows)
+    assert all(fill(name) > (0.7 if name == "spread" else 0.85) for name in MIXES), {name: fill(name) for name in MIXES}
+
+
+def test_odd_tables(spark):
+    df = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
+    assert format_chats(df).count() == 0 and format_chats(df.limit(0)).columns[:3] == ["conv_id", "window", "formatted"]
+    rows = [(1, 1024 * b + t, "user", "w" * 100) for b in range(3) for t in range(5)]  # blocks of turn numbers
+    found = format_chats(spark.createDataFrame(rows, df.schema))
+    assert got(found)[1][0] == 15 and found.where("over_budget").count() == 0
+
+
 def test_given_tables(spark):
     sf = "/root/testdata/sf0.01"
     rows = duckdb.sql(f"SELECT conv_id, turn, role, text FROM '{sf}/conversations.parquet'").fetchall()

@@ -1,12 +1,12 @@
 """Chat formatting in budgeted, turn-aligned windows, with DataFrame functions only.
 
-Running token sums over a conversation place every turn: the sum at its end, in steps, is its window. Turns up to
-half the room of a window are small. A step is the room less the largest small turn, so what a window holds fits
-whatever the borders are, and windows of small turns are nearly full; a longer turn has a window of its own. Where a
-longer turn is no longer than that step, steps are half the room. Each window begins with the conversation's system turn and with as many of the last turns of the
-window before as fit the history budget; these are marked as repeated and carry no loss, so each assistant text
-is a target once. Sums are taken in blocks of `BLOCK` turns first, so no task needs a whole long conversation
-to place its turns.
+Prefix sums of tokens choose the windows greedily: a window takes turns as long as the tokens since its first turn fit its
+room, which is the budget less the system turn and less the history that it repeats. Each window begins with the
+conversation's system turn and with as many of the last turns of the window before as fit the history budget; these are
+marked as repeated and carry no loss, so each assistant text is a target once. Where they and the window's first turn
+are too long together, nothing is repeated; a turn that alone is too long has a window of its own, which says so. Windows
+are chosen within blocks of `BLOCK` turn numbers, from numbers without texts, so no task needs a whole long
+conversation; the first window of a block repeats nothing.
 
 A turn is written as `<|im_start|>role`, a line end, the text, `<|im_end|>` and a line end; a repeated one
 begins with `<|im_again|>`. Control strings inside texts are broken by a backslash behind their first character,
@@ -43,6 +43,31 @@ def turn_tokens(text: Column) -> Column:
     return F.ceil(F.octet_length(text) / 4).cast("long") + 4
 
 
+def _windows(turns: Column, room: Column, history: int) -> Column:
+    """Turns (place, tokens), in order, to (place, window, carry): the window's number, and whether it repeats what the one before ended with.
+
+    `last` holds the tokens of the window's last turns that are together within the history.
+    """
+    start = F.struct(
+        F.lit(-1).cast("long").alias("window"), F.lit(0).cast("long").alias("used"), F.lit(False).alias("carry"), F.array().cast("array<bigint>").alias("last"),
+        F.array().cast("array<struct<place:bigint,window:bigint,carry:boolean>>").alias("out"),
+    )
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x + y)
+
+    def step(s: Column, t: Column) -> Column:
+        t_tokens = t["tokens"].cast("long")
+        fits = (s["window"] >= 0) & (s["used"] + t_tokens <= room)
+        repeated = total(s["last"])
+        carry = F.when(fits, s["carry"]).otherwise((s["window"] >= 0) & (repeated + t_tokens <= room))
+        window = F.when(fits, s["window"]).otherwise(s["window"] + 1)
+        used = t_tokens + F.when(fits, s["used"]).when(carry, repeated).otherwise(F.lit(0).cast("long"))
+        recent = F.when(fits, F.array_append(s["last"], t_tokens)).otherwise(F.array(t_tokens))
+        last = F.filter(recent, lambda x, i: total(F.slice(recent, i + 1, F.size(recent))) <= history)
+        return F.struct(window.alias("window"), used.alias("used"), carry.alias("carry"), last.alias("last"), F.array_append(s["out"], F.struct(t["place"].cast("long").alias("place"), window.alias("window"), carry.alias("carry"))).alias("out"))
+
+    return F.aggregate(turns, start, step, lambda s: s["out"])
+
+
 def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY, tokens=turn_tokens, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """(conv_id, window, formatted, loss_spans, n_tokens, over_budget): one row for each window, windows in order of `window`.
 
@@ -54,35 +79,30 @@ def format_chats(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY,
     rows = rows.withColumn("tokens", tokens(F.col("text"))).withColumn("block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(1 << 60))))
     inside = Window.partitionBy("conv", "block").orderBy("turn", "role", "text")
     above = Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("conv", "block").agg(F.sum("tokens").alias("sum"), F.count("*").alias("rows"), F.min_by(F.struct("role", "tokens"), F.struct("turn", "role", "text")).alias("first"), F.collect_set("tokens").alias("sizes"))
+    sums = rows.groupBy("conv", "block").agg(F.count("*").alias("rows"), F.min_by(F.struct("role", "tokens"), F.struct("turn", "role", "text")).alias("first"))
     lead = F.first("first").over(Window.partitionBy("conv").orderBy("block").rowsBetween(Window.unboundedPreceding, 0))
-    sums = sums.select("conv", "block", F.coalesce(F.sum("sum").over(above), F.lit(0)).alias("sum0"), F.coalesce(F.sum("rows").over(above), F.lit(0)).alias("rows0"), lead.alias("lead"), "sizes")
-    cost = F.when(F.col("lead.role") == "system", F.col("lead.tokens"))
-    sums = sums.withColumn("cost", cost).withColumn("room", F.greatest(F.lit(budget - history) - F.coalesce("cost", F.lit(0)), F.lit(budget // 4))).withColumn("half", F.floor(F.col("room") / 2))
-    whole = Window.partitionBy("conv")  # of one row a block, as above
-    small = F.coalesce(F.max(F.array_max(F.filter("sizes", lambda x: x <= F.col("half")))).over(whole), F.lit(0))
-    large = F.min(F.array_min(F.filter("sizes", lambda x: x > F.col("half")))).over(whole)
-    sums = sums.withColumns({"small": small, "large": large})
-    step = F.when(F.col("large") <= F.col("room") - F.col("small"), F.col("half")).otherwise(F.col("room") - F.col("small"))
-    sums = sums.select(F.col("conv").alias("s_conv"), F.col("block").alias("s_block"), "sum0", "rows0", "cost", "half", step.alias("step"))
+    sums = sums.select("conv", "block", F.coalesce(F.sum("rows").over(above), F.lit(0)).alias("rows0"), lead.alias("lead"))
+    sums = sums.select(F.col("conv").alias("s_conv"), F.col("block").alias("s_block"), "rows0", F.when(F.col("lead.role") == "system", F.col("lead.tokens")).alias("cost"))
     rows = rows.withColumn("place", F.row_number().over(inside)).withColumn("end", F.sum("tokens").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     rows = rows.join(sums, F.col("conv").eqNullSafe(F.col("s_conv")) & (F.col("block") == F.col("s_block")))
-    cost = F.coalesce("cost", F.lit(0))
-    rows = rows.withColumn("place", F.col("place") + F.col("rows0")).withColumn("end", F.col("end") + F.col("sum0") - cost)
+    rows = rows.withColumn("place", F.col("place") + F.col("rows0"))
     is_system = F.col("cost").isNotNull() & (F.col("place") == 1)
-    window = F.when(is_system, F.lit(-1)).otherwise(2 * F.floor((F.col("end") - 1) / F.col("step")) + (F.col("tokens") <= F.col("half")).cast("int"))
-    rows = rows.withColumn("window", window).select("conv", "place", "role", "text", "tokens", "end", "window")
+    rows = rows.withColumn("is_system", is_system).select("conv", "block", "place", "role", "text", "tokens", "end", "rows0", "cost", "is_system")
+    # A block's turns, as numbers alone, to their windows; a window's number is above all of the blocks before.
+    turns_of = rows.where("not is_system").groupBy("conv", "block").agg(F.sort_array(F.collect_list(F.struct("place", "tokens"))).alias("turns"), F.first("rows0").alias("rows0"), F.greatest(F.lit(budget) - F.coalesce(F.first("cost"), F.lit(0)), F.lit(budget // 4)).alias("room"))
+    chosen = turns_of.select("conv", "rows0", F.explode(_windows(F.col("turns"), F.col("room"), history)).alias("w")).select(F.col("conv").alias("w_conv"), F.col("w.place").alias("w_place"), (F.col("rows0") + F.col("w.window")).alias("window"), F.col("w.carry").alias("carry"))
+    placed = rows.where("not is_system").join(chosen, F.col("conv").eqNullSafe(F.col("w_conv")) & (F.col("place") == F.col("w_place"))).select("conv", "place", "role", "text", "tokens", "end", "window", "carry")
     # One row a window: where it ends, and which window comes next.
     own = Window.partitionBy("conv").orderBy("window")
-    ends = rows.where("window >= 0").groupBy("conv", "window").agg(F.max("end").alias("last"))
-    ends = ends.select(F.col("conv").alias("e_conv"), F.col("window").alias("e_window"), "last", F.lead("window").over(own).alias("next"), F.row_number().over(own).alias("nth"))
+    ends = placed.groupBy("conv", "window").agg(F.max("end").alias("last"), F.first("carry").alias("carry"))
+    ends = ends.select(F.col("conv").alias("e_conv"), F.col("window").alias("e_window"), "last", F.lead("window").over(own).alias("next"), F.lead("carry").over(own).alias("next_carry"), F.row_number().over(own).alias("nth"))
     same = F.col("conv").eqNullSafe(F.col("e_conv")) & (F.col("window") == F.col("e_window"))
-    placed = rows.where("window >= 0").join(ends.drop("nth"), same)
-    again = F.col("next").isNotNull() & (F.col("last") - F.col("end") + F.col("tokens") <= history)
+    placed = placed.join(ends.drop("nth"), same)
+    again = F.coalesce("next_carry", F.lit(False)) & (F.col("last") - F.col("end") + F.col("tokens") <= history)
     uses = F.array_compact(F.array(F.struct(F.col("window").alias("window"), F.lit(True).alias("new")), F.when(again, F.struct(F.col("next").alias("window"), F.lit(False).alias("new")))))
     placed = placed.select("conv", "place", "role", "text", "tokens", F.explode(uses).alias("use")).select("conv", "use.window", "place", "role", "text", "tokens", "use.new")
     # The system turn goes to every window; a conversation of a system turn alone still is one window.
-    systems = rows.where("window = -1").join(ends.select("e_conv", "e_window", "nth"), F.col("conv").eqNullSafe(F.col("e_conv")), "left")
+    systems = rows.where("is_system").withColumn("window", F.lit(-1).cast("long")).join(ends.select("e_conv", "e_window", "nth"), F.col("conv").eqNullSafe(F.col("e_conv")), "left")
     systems = systems.select("conv", F.coalesce("e_window", "window").alias("window"), F.lit(0).cast("long").alias("place"), "role", "text", "tokens", (F.coalesce("nth", F.lit(1)) == 1).alias("new"))
     every = placed.unionByName(systems)
     head = F.concat(F.when(F.col("new"), NEW).otherwise(AGAIN), F.url_encode("role"), F.lit("\n"))
@@ -124,23 +144,30 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP6_SQL = rf"""
-WITH c AS (
+WITH RECURSIVE c AS (
   SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 t AS (SELECT *, CAST(ceil(strlen(text) / 4.0) AS BIGINT) + 4 AS tokens, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS place FROM c),
 s AS (SELECT conv_id, tokens AS cost FROM t WHERE place = 1 AND role = 'system'),
 p AS (
-  SELECT t.*, cost, sum(tokens) OVER (PARTITION BY t.conv_id ORDER BY place) - coalesce(cost, 0) AS last,
-         greatest({BUDGET - HISTORY} - coalesce(cost, 0), {BUDGET // 4}) AS room, floor(room / 2) AS half,
+  SELECT t.*, cost, coalesce(floor(turn / {BLOCK}), -1) AS block, sum(tokens) OVER (PARTITION BY t.conv_id ORDER BY place) AS last, greatest({BUDGET} - coalesce(cost, 0), {BUDGET // 4}) AS room,
          12 + length(role) + 1 + length(replace(text, '\', '\\')) + len(regexp_extract_all(text, '<\|im_(?:start|again|end)\|>|<</?SYS>>|</?s>|\[/?INST\]')) + 11 AS chars
   FROM t LEFT JOIN s ON t.conv_id = s.conv_id),
-l AS (SELECT conv_id, max(tokens) FILTER (tokens <= half) AS small, min(tokens) FILTER (tokens > half) AS large FROM p GROUP BY 1),
-x AS (SELECT p.*, 2 * floor((last - 1) / CASE WHEN large <= room - coalesce(small, 0) THEN half ELSE room - coalesce(small, 0) END) + CASE WHEN tokens <= half THEN 1 ELSE 0 END AS win
-  FROM p JOIN l ON p.conv_id = l.conv_id WHERE cost IS NULL OR place > 1),
-w AS (SELECT conv_id, win, max(last) AS upto, lead(win) OVER (PARTITION BY conv_id ORDER BY win) AS next FROM x GROUP BY conv_id, win),
+q AS (SELECT *, row_number() OVER (PARTITION BY conv_id, block ORDER BY place) AS k FROM p WHERE cost IS NULL OR place > 1),
+y(conv_id, block, k, win, used, carry, tail) AS (
+  SELECT conv_id, block, k, 0, tokens, false, CASE WHEN tokens <= {HISTORY} THEN [tokens] ELSE CAST([] AS BIGINT[]) END FROM q WHERE k = 1
+  UNION ALL
+  SELECT conv_id, block, k, win, used, carry, [base[i] FOR i IN range(1, len(base) + 1) IF list_sum(base[i:]) <= {HISTORY}] FROM (
+    SELECT q.conv_id, q.block, q.k, CASE WHEN y.used + tokens <= room THEN y.win ELSE y.win + 1 END AS win,
+      tokens + CASE WHEN y.used + tokens <= room THEN y.used WHEN coalesce(list_sum(tail), 0) + tokens <= room THEN coalesce(list_sum(tail), 0) ELSE 0 END AS used,
+      CASE WHEN y.used + tokens <= room THEN y.carry ELSE coalesce(list_sum(tail), 0) + tokens <= room END AS carry,
+      CASE WHEN y.used + tokens <= room THEN list_append(tail, tokens) ELSE [tokens] END AS base
+    FROM y JOIN q ON q.conv_id = y.conv_id AND q.block = y.block AND q.k = y.k + 1)),
+x AS (SELECT q.*, (block, win) AS win, carry FROM q JOIN y ON q.conv_id = y.conv_id AND q.block = y.block AND q.k = y.k),
+w AS (SELECT conv_id, win, max(last) AS upto, lead(bool_or(carry)) OVER (PARTITION BY conv_id ORDER BY win) AS next FROM x GROUP BY conv_id, win),
 n AS (SELECT conv_id, count(*) AS n FROM w GROUP BY 1),
 f AS (
-  SELECT x.conv_id, chars * CASE WHEN next IS NOT NULL AND upto - last + tokens <= {HISTORY} THEN 2 ELSE 1 END AS chars FROM x JOIN w ON x.conv_id = w.conv_id AND x.win = w.win
+  SELECT x.conv_id, chars * CASE WHEN next AND upto - last + tokens <= {HISTORY} THEN 2 ELSE 1 END AS chars FROM x JOIN w ON x.conv_id = w.conv_id AND x.win = w.win
   UNION ALL SELECT p.conv_id, chars * coalesce(n, 1) FROM p LEFT JOIN n ON p.conv_id = n.conv_id WHERE cost IS NOT NULL AND place = 1),
 g AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM f GROUP BY 1),
 said AS (
