@@ -163,7 +163,7 @@ y(conv_id, block, k, win, used, carry, tail) AS (
       CASE WHEN y.used + tokens <= room THEN y.carry ELSE coalesce(list_sum(tail), 0) + tokens <= room END AS carry,
       CASE WHEN y.used + tokens <= room THEN list_append(tail, tokens) ELSE [tokens] END AS base
     FROM y JOIN q ON q.conv_id = y.conv_id AND q.block = y.block AND q.k = y.k + 1)),
-x AS (SELECT q.*, (block, win) AS win, carry FROM q JOIN y ON q.conv_id = y.conv_id AND q.block = y.block AND q.k = y.k),
+x AS (SELECT q.*, (q.block, win) AS win, carry FROM q JOIN y ON q.conv_id = y.conv_id AND q.block = y.block AND q.k = y.k),
 w AS (SELECT conv_id, win, max(last) AS upto, lead(bool_or(carry)) OVER (PARTITION BY conv_id ORDER BY win) AS next FROM x GROUP BY conv_id, win),
 n AS (SELECT conv_id, count(*) AS n FROM w GROUP BY 1),
 f AS (
