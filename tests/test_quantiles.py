@@ -73,3 +73,32 @@ def test_summary_of_kinds_and_empty_tables(spark):
     got = {r["column"]: r for r in numeric_summary(df).collect()}
     assert list(got) == ["a.b", "c", "d"] and (got["a.b"]["p25"], got["a.b"]["p50"], got["c"]["p75"], got["d"]["p50"]) == (2.0, 3.0, 2.5, 1.25)
     assert all(r["count"] == 0 and r["p50"] is None for r in numeric_summary(df.limit(0)).collect()) and numeric_summary(df.select("t")).count() == 0
+
+
+def test_a_wide_table_in_batches_of_columns(spark, monkeypatch):
+    from tidemark.operators import profile as p
+
+    wide = spark.range(300).select(*[(F.col("id") % (i + 1)).alias(f"c{i}") if i % 3 else F.concat(F.lit("v"), (F.col("id") % (i + 1)).cast("string")).alias(f"c{i}") for i in range(90)])
+    want = {f"c{i}": min(i + 1, 300) for i in range(90)}
+    for mode in ("exact", "screened"):
+        rows = p.profile(wide, mode).collect()
+        assert [r["ordinal"] for r in sorted(rows, key=lambda r: r["ordinal"])] == list(range(90))
+        exact = {c: n for c, n in want.items() if mode == "exact" or n <= 50}
+        assert {r["column"]: r["n_distinct"] for r in rows if r["column"] in exact} == exact
+    monkeypatch.setattr(p, "BATCH", 7)
+    assert {r["column"]: r["n_distinct"] for r in p.profile(wide).collect()} == want
+    assert {r["column"]: r["n_distinct"] for r in p.profile(wide, hash_texts=False).collect()} == want
+
+
+def test_screening_gives_the_same_keys_and_roles(spark):
+    from tidemark.operators.dashboard import column_roles
+    from tidemark.operators.profile import profile
+
+    for name in ("orders", "events", "labels", "part"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        one, two = profile(df), profile(df, "screened")
+        key = lambda prof: sorted(tuple(r) for r in prof.select("column", "is_pk_candidate", "sql_type", "is_pii").collect())
+        role = lambda prof: sorted(tuple(r) for r in column_roles(prof).select("column", "role").collect())
+        assert key(one) == key(two) and role(one) == role(two)
+    with pytest.raises(ValueError):
+        profile(df, "some")

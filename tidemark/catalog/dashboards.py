@@ -8,6 +8,7 @@ from tidemark.catalog.inputs import money, table
 from tidemark.catalog.profiles import frame, with_profile
 from tidemark.functions.text import kpi_text
 from tidemark.operators import dashboard as d
+from tidemark.operators.charts import charts
 from tidemark.operators.profile import profile
 
 
@@ -44,6 +45,20 @@ def measure_totals(spark, sf):
     return d.measure_totals(df, d.Roles(None, ("l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice"), ()))
 
 
+def drawn(spark, sf):
+    """The data of all charts of the orders' dashboard, from one read of the table."""
+    df = table(spark, sf, "orders").withColumn("o_totalprice", money("o_totalprice"))
+    found = d.column_roles(profile(df, "screened")).cache()
+    counts = {r["column"]: r["n_distinct"] for r in found.collect()}
+    return charts(df, d.chart_recipes(d.roles_of(found), counts))
+
+
+_TOTAL = "CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) AS value"
+_BY = "SELECT {i} AS request, CAST(row_number() OVER (ORDER BY value DESC, x) AS INTEGER) AS place, x, value FROM (SELECT {x} AS x, " + _TOTAL + " FROM orders WHERE {x} IS NOT NULL GROUP BY 1)"
+DRAWN = f"""SELECT 0 AS request, CAST(row_number() OVER (ORDER BY x) AS INTEGER) AS place, x, value FROM (SELECT strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') AS x, {_TOTAL} FROM orders GROUP BY 1)
+    UNION ALL SELECT * FROM ({_BY.format(i=1, x='o_orderstatus')}) WHERE place <= 10 UNION ALL SELECT * FROM ({_BY.format(i=2, x='o_orderpriority')}) WHERE place <= 10 UNION ALL {_BY.format(i=3, x='o_orderstatus')}"""
+
+
 def recipes(name):
     def run(spark, sf):
         df = table(spark, sf, name)
@@ -104,6 +119,7 @@ SPECIFICATION = """SELECT 'kpi' AS part, label AS name, shown AS value FROM (SEL
     UNION ALL SELECT 'chart', title, type FROM ({charts}) UNION ALL SELECT 'insight', kind, text FROM ({sentences})
     UNION ALL SELECT 'insight', 'trend', 'o_totalprice trended ' || CASE WHEN change_pct >= 0 THEN 'up' ELSE 'down' END || format(' {{:.0f}}%', abs(change_pct)) || ' from first to last period.' FROM ({trend})"""
 ENTRIES = {
+    "dashboard_charts": (drawn, DRAWN),
     **{f"roles_{n}": roles_of(n) for n in ("lineitem", "orders", "part", "supplier", "labels", "events", "documents")},
     "kpis": (kpis, f"""SELECT 0 AS position, 'Total records' AS label, CAST(count(*) AS DOUBLE) AS value, 'int' AS format FROM orders UNION ALL SELECT 1, 'Total o_orderkey', CAST(sum(o_orderkey) AS DOUBLE), 'number' FROM orders
         UNION ALL SELECT 2, 'Total o_custkey', CAST(sum(o_custkey) AS DOUBLE), 'number' FROM orders UNION ALL SELECT 3, 'Total o_totalprice', CAST(sum({Q}) AS DOUBLE), 'currency' FROM orders"""),
