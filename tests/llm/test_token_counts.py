@@ -70,3 +70,15 @@ def test_odd_rows_through_spark(spark):
         assert r["n_tokens"] == len(library.encode(r["text"] or "", add_special_tokens=False).ids)
         assert len(prefix_counts(bytes(r["token_changes"]))) == len(r["text"] or "") + 1
     assert count_tokens(df.limit(0), PATH).count() == 0
+
+
+def test_vocabularies_that_are_not_followed_are_refused(tmp_path):
+    import json
+
+    with pytest.raises(ValueError, match="normalizer"):
+        PrefixCounter(public_tokenizers.path("word_bpe_49k.json"))
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"pre_tokenizer": spec["pre_tokenizer"] | {"add_prefix_space": True}}, {"model": spec["model"] | {"ignore_merges": True}}, {"added_tokens": [{"content": "x", "special": False}]}, {"model": spec["model"] | {"vocab": {"a" * 129: 1}}}):
+        (tmp_path / "v.json").write_text(json.dumps(spec | change))
+        with pytest.raises(ValueError):
+            PrefixCounter(str(tmp_path / "v.json"))

@@ -9,7 +9,8 @@ What is stored is the change of the count at each character, one signed byte eac
 character i is the number of tokens of text[:i]. Truncation and budget questions are answered from it.
 
 Defined cases: null and empty texts have no characters and 0 tokens; special strings of the vocabulary inside
-a text count one token from their last character on; a text of any length is taken whole.
+a text count one token from their last character on; a text of any length is taken whole. Vocabulary
+files with what is not followed here (a normalizer, another split, tokens of over 128 bytes, ...) are refused.
 """
 
 from __future__ import annotations
@@ -41,12 +42,26 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def refuse_unread(spec: dict) -> None:
+    """Raises where a vocabulary file says something that the counts would not follow."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    alphabet = byte_alphabet()
+    reasons = {
+        "a model other than BPE": model.get("type", "BPE") != "BPE", "a normalizer": bool(spec.get("normalizer")), "a split other than the byte-level one": split.get("type") != "ByteLevel" or not split.get("use_regex", True),
+        "a space of its own": bool(split.get("add_prefix_space")), "whole words before merges": bool(model.get("ignore_merges")), "marks of word ends": bool(model.get("end_of_word_suffix") or model.get("continuing_subword_prefix")),
+        "added tokens that are not special": any(not t.get("special") for t in spec.get("added_tokens", [])), "tokens of over 128 bytes": any(len(t) > 128 for t in model.get("vocab", {}) if all(c in alphabet for c in t)),
+    }
+    if found := [name for name, wrong in reasons.items() if wrong]:
+        raise ValueError("the vocabulary has " + ", ".join(found))
+
+
 class PrefixCounter:
     """Counts of one vocabulary file (tokenizers' JSON, byte-level BPE)."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_unread(spec)
         at = byte_alphabet()
         raw = lambda s: bytes(at[c] for c in s)
         pairs = [(raw(a), raw(b)) for a, b in (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])]
