@@ -125,3 +125,27 @@ def test_repeated_rows_under_forced_equal_hashes(spark):
     df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b"), (2, None), (2, None), (3, "c")], "i int, t string")
     for one_hash in (lambda *c: F.lit(7), lambda *c: F.pmod(F.xxhash64(*c), F.lit(2)), F.xxhash64):
         assert duplicate_rows(df, hash_of=one_hash).first()["duplicates"] == 2
+
+
+#: Messages with marks, other letters, other gaps and nothing at all.
+ODD = ["einßbest üung", "a best chart", "no-graph please", "what, is the total", "what's up", "what s up", "cúanto es", "GRÁFICO", "Åreas TOP 5", "ẗop 7", "top\u000b5", "top 6", "xtop 5", "top 123", "top 12ñ", "taİlİsman lİne", "Ṗie", "per_week", "per - week", "日best本", None, "", "́", "over\ntime"]
+
+
+@pytest.mark.parametrize("name", ["tag_intents", "tag_synonyms"])
+def test_odd_messages_give_the_rows_of_their_sql(spark, tmp_path, name):
+    from tests.oracle import compare
+    from tidemark.catalog import messages
+
+    said = [(i, 0, "user", t) for i, t in enumerate([*ODD, "státus", "ßstate", "eśtado", "status-bar"])]
+    spark.createDataFrame(said, "conv_id long, turn int, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet/")
+    spark.read.parquet("/root/testdata/sf0.001/orders.parquet").coalesce(1).write.parquet(f"{tmp_path}/orders.parquet/")
+    function, sql = messages.ENTRIES[name]
+    for t in ("conversations", "orders"):  # the SQL reads files
+        folder = tmp_path / f"{t}.parquet"
+        part = next(folder.glob("part-*.parquet"))
+        part.rename(tmp_path / f"{t}_part")
+        for f in (*folder.iterdir(),):
+            f.unlink()
+        folder.rmdir()
+        (tmp_path / f"{t}_part").rename(folder)
+    compare(spark, str(tmp_path), function, sql)

@@ -12,10 +12,10 @@ MONEY = ("revenue", "sales", "amount", "price", "cost", "value")
 
 
 def _accents() -> tuple[str, str]:
-    """Accented lower-case Latin letters and their base letters."""
-    letters = [chr(i) for i in range(0xE0, 0x180) if chr(i).islower()]
-    bases = {c: unicodedata.normalize("NFD", c) for c in letters}
-    return "".join(c for c in letters if len(bases[c]) > 1), "".join(bases[c][0] for c in letters if len(bases[c]) > 1)
+    """Characters with marks and the single characters that canonical decomposition leaves of them without its marks."""
+    plain = {chr(i): "".join(c for c in unicodedata.normalize("NFD", chr(i)) if unicodedata.category(c)[0] != "M") for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000}
+    changed = [c for c, base in plain.items() if len(base) == 1 and base != c]
+    return "".join(changed), "".join(plain[c] for c in changed)
 
 
 ACCENTS = _accents()
@@ -46,5 +46,5 @@ def number_text(value: Column, money: Column | bool = False) -> Column:
 
 
 def folded(text: Column) -> Column:
-    """Lower case without the accents of Latin letters, as the keyword patterns are written."""
-    return F.translate(F.lower(text), *ACCENTS)
+    """Lower case without accents, be they part of a letter or marks after it, as the keyword patterns are written."""
+    return F.regexp_replace(F.translate(F.lower(text), *ACCENTS), r"\p{M}+", "")

@@ -22,11 +22,16 @@ from tidemark.operators.dashboard import PRIORITY
 MAX_CATALOG = 10_000
 DEFAULT_TOP = 10
 SIMILAR = 0.82
+GAP = "[^a-z0-9_]+"
 
 
 def any_of(phrases: str) -> str:
-    """A pattern for any of the phrases (between commas) as whole words; a star stands for any ending."""
-    return r"\b(" + "|".join(p.strip().replace(" ", r"\s+").replace("*", r"\w*") for p in phrases.split(",")) + r")\b"
+    """A pattern for any of the phrases (between commas) as whole words; a star stands for any ending.
+
+    Between words stands whatever is no letter a-z, digit or underline; what `\\b` takes for a letter differs between Java versions.
+    """
+    parts = (p.strip().replace(" ", GAP).replace("'", GAP).replace("*", "[a-z0-9_]*") for p in phrases.split(","))
+    return "(?<![a-z0-9_])(" + "|".join(parts) + ")(?![a-z0-9_])"
 
 
 #: Words of requests in English and Spanish, without accents.
@@ -63,6 +68,7 @@ SYNONYMS = [
 ]
 STRICT = r"(?is)^(.*)\bas\s+(?:an?\s+)?(pie|bar|line)(?:\s+chart)?\s*\z"
 TOP = r"(?i)\btop\s+(\d{1,2})\b"
+FOLDED_TOP = r"(?<![a-z0-9_])top[ \t\n\f\r]+([0-9]{1,2})(?![a-z0-9_])"
 
 REQUEST = ("resolved", "chart_type", "dimension", "measure", "agg", "top_n", "grain")
 
@@ -76,7 +82,7 @@ def first_of(text: Column, patterns: dict[str, str]) -> Column:
 
 
 def top_n(text: Column) -> Column:
-    stated = F.regexp_extract(text, TOP, 1)
+    stated = F.regexp_extract(text, FOLDED_TOP, 1)
     return F.when(stated != "", stated.try_cast("int")).when(has(text, RANKING), DEFAULT_TOP)
 
 
@@ -85,9 +91,9 @@ def wants_chart(text: Column) -> Column:
 
 
 def intents(messages: DataFrame) -> DataFrame:
-    """`messages` (msg_id, text) plus what the wording says: type, top-n, average, sales, time, grain, chart or answer."""
+    """`messages` (msg_id, text) plus what the wording says: type, top-n, average, sales, time, grain, chart or answer; nulls for a null."""
     t = F.col("folded")
-    return messages.withColumn("folded", folded(F.trim(F.coalesce("text", F.lit(""))))).withColumns({
+    return messages.withColumn("folded", folded(F.trim("text"))).withColumns({
         "named_type": first_of(t, TYPES), "top": top_n(t), "ranking": has(t, RANKING), "average": has(t, AVERAGE),
         "sales": has(t, SALES), "timely": has(t, TIME), "time_grain": first_of(t, GRAIN), "chart": wants_chart(t),
     })
@@ -187,7 +193,7 @@ def resolve(messages: DataFrame, catalog: DataFrame) -> DataFrame:
     In this order: the strict form; a named dimension; a business word; the date column when named or meant; the only
     dimension on a ranking; a single figure when a question names a measure; else none. Blank messages resolve to none.
     """
-    tagged = intents(messages)
+    tagged = intents(messages.withColumn("text", F.coalesce("text", F.lit(""))))
     cat = [tuple(r) for r in catalog.select("column", "role", "ordinal").collect()]
     dates, dims = ([c for c, role, _ in sorted(cat, key=lambda x: x[2]) if role == r] for r in ("date", "dimension"))
     date, only, main = F.lit(dates[0] if dates else None).cast("string"), F.lit(dims[0] if len(dims) == 1 else None).cast("string"), _main_measure(catalog)
