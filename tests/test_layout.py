@@ -72,3 +72,18 @@ def test_an_empty_table(spark, events, tmp_path):
     layout = Layout("ts", "day", "event_id", None, 2)
     path = write_laid_out(events.limit(0), f"{tmp_path}/t", layout)
     assert read_keys(spark, path, layout, 0, 9).count() == 0
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    from tests.oracle import compare
+    from tidemark.catalog import cleaning
+    from tidemark.sources import layout
+
+    lines = spark.read.parquet(f"{SF}/lineitem.parquet")
+    n, width = lines.count(), int(lines._jdf.schema().defaultSize())
+    assert layout.n_buckets(lines) == 8
+    monkeypatch.setattr(layout, "BUCKET_BYTES", n * width // 30)
+    assert layout.n_buckets(lines.limit(1), lines) in (30, 31) and layout.n_buckets(lines.limit(1)) == 8
+    function, sql = cleaning.ENTRIES["layout_bucketed_join"]
+    assert len([f for f in function(spark, SF).inputFiles() if "/lines/" in f]) in (30, 31)
+    compare(spark, SF, function, sql)

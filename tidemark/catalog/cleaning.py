@@ -10,7 +10,7 @@ from tidemark.operators.health import index_hints
 from tidemark.operators.profile import profile
 from tidemark.plans.recipe import Step, apply_recipe, from_json, run_recipe, run_recipe_checked, to_json
 from tidemark.scratch import scratch
-from tidemark.sources.layout import layout_of, read_dates, read_keys, write_buckets, write_laid_out
+from tidemark.sources.layout import layout_of, n_buckets, read_dates, read_keys, write_buckets, write_laid_out
 from tidemark.sources.rejects import read_csv_checked
 from tidemark.sources.tables import read_json, read_table, write_table
 
@@ -103,8 +103,10 @@ def keyed_read(spark, sf):
 def bucketed_join(spark, sf):
     """Lines and orders in buckets of the order's number, joined and summed without a shuffle."""
     path = scratch(spark)
-    orders = write_buckets(table(spark, sf, "orders"), f"{path}/orders", "o_orderkey", 8)
-    lines = write_buckets(table(spark, sf, "lineitem"), f"{path}/lines", "l_orderkey", 8)
+    orders, lines = table(spark, sf, "orders"), table(spark, sf, "lineitem")
+    buckets = n_buckets(orders, lines)
+    orders = write_buckets(orders, f"{path}/orders", "o_orderkey", buckets)
+    lines = write_buckets(lines, f"{path}/lines", "l_orderkey", buckets)
     joined = lines.hint("merge").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.groupBy("o_orderkey", "o_orderstatus").agg(F.count("*").alias("n"), F.sum(money("l_extendedprice")).cast("double").alias("total"))
 

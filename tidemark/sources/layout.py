@@ -16,6 +16,8 @@ from tidemark.functions.types import named
 
 MAX_PARTS = 2_000  # partition folders of a table
 FILE_BYTES = 128 << 20
+BUCKET_BYTES = 128 << 20  # a bucket's rows in memory, where one task sorts them
+MAX_BUCKETS = 100_000  # Spark's own bound
 _FORMS = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}
 _MANIFEST = "_manifest"  # Spark skips names that begin so when it reads a folder
 
@@ -102,6 +104,15 @@ def read_keys(spark: SparkSession, path: str, layout: Layout, low, high) -> Data
     return out.drop(layout.part) if layout.part else out
 
 
+def n_buckets(*frames: DataFrame, least: int = 8) -> int:
+    """Buckets of at most about BUCKET_BYTES for tables that are joined, by their rows and Spark's width of a row.
+
+    The size of files would not do: how well they are compressed differs much.
+    """
+    most = max(df.count() * int(df._jdf.schema().defaultSize()) for df in frames)
+    return max(least, min(MAX_BUCKETS, -(-most // BUCKET_BYTES)))
+
+
 def write_buckets(df: DataFrame, path: str, column: str, buckets: int, name: str | None = None) -> DataFrame:
     """Writes the table in buckets of a column under a name of the session's catalog and returns it.
 
