@@ -149,3 +149,17 @@ def test_odd_messages_give_the_rows_of_their_sql(spark, tmp_path, name):
         folder.rmdir()
         (tmp_path / f"{t}_part").rename(folder)
     compare(spark, str(tmp_path), function, sql)
+
+
+def test_mentions_read_texts_once_a_way_and_join_no_text(spark, monkeypatch):
+    from tidemark.operators import requests
+
+    catalog = spark.createDataFrame([("amount", "measure", 0), ("ab", "dimension", 1), ("store_id", "dimension", 2)], "column string, role string, ordinal int")
+    log = spark.createDataFrame([(1, "the store 👍 amount"), (2, "amuont of x"), (3, "ab"), (4, None), (5, "stores tor amounts amounts")], "msg_id long, text string")
+    found = requests.mentions(log, catalog)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "lambda" not in plan
+    got = sorted((r["msg_id"], r["column"], r["at"]) for r in found.collect())
+    assert (1, "amount", 13) in got and (1, "store_id", 5) in got and (3, "ab", 1) in got and not [g for g in got if g[0] == 4]
+    monkeypatch.setattr(requests, "MAX_WORDS", 0)
+    assert sorted((r["msg_id"], r["column"], r["at"]) for r in requests.mentions(log, catalog).collect()) == got

@@ -16,6 +16,8 @@ PHRASES = ["top 3 o_orderstatus as pie chart", "average o_totalprice by o_orderp
 def asked(spark, sf):
     """(msg_id, text): every turn of the conversations as it is, and for each turn of a user one of the phrases (negative ids)."""
     said = table(spark, sf, "conversations")
+    # A log is a small file of much work: one row group would be one task.
+    said = said.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "conv_id", "turn")
     id = F.col("conv_id") * 1000 + F.col("turn")
     phrase = F.element_at(F.array(*map(F.lit, PHRASES)), (id % len(PHRASES) + 1).cast("int"))
     return said.select(id.alias("msg_id"), "text").unionByName(said.where("role = 'user'").select((-id - 1).alias("msg_id"), phrase.alias("text")))

@@ -47,4 +47,5 @@ def number_text(value: Column, money: Column | bool = False) -> Column:
 
 def folded(text: Column) -> Column:
     """Lower case without accents, be they part of a letter or marks after it, as the keyword patterns are written."""
-    return F.regexp_replace(F.translate(F.lower(text), *ACCENTS), r"\p{M}+", "")
+    low = F.lower(text)
+    return F.when(low.rlike(r"[^\x00-\x7F]"), F.regexp_replace(F.translate(low, *ACCENTS), r"\p{M}+", "")).otherwise(low)

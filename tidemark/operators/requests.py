@@ -20,6 +20,7 @@ from tidemark.operators.charts import GRAINS, grouped_many
 from tidemark.operators.dashboard import PRIORITY
 
 MAX_CATALOG = 10_000
+MAX_WORDS = 200_000
 DEFAULT_TOP = 10
 SIMILAR = 0.82
 GAP = "[^a-z0-9_]+"
@@ -115,39 +116,51 @@ def word_ratio(word: pd.Series, needle: pd.Series) -> pd.Series:
 
 
 def grams(text: Column, n: int) -> Column:
-    """The different stretches of n letters of a text."""
-    return F.array_distinct(F.transform(F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: text.substr(i, F.lit(n))))
+    """The stretches of n letters of a text, in one pass over it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+
+
+def _by_word(words: DataFrame, cat: DataFrame) -> DataFrame:
+    """(word, column, role, ordinal, rule) of different words: 1 if inside the name, 2 if a near-spelling of it.
+
+    Either shares two letters in a row with the name: were all matched letters of a near-spelling apart, as many would
+    be unmatched, and the ratio under 0.8.
+    """
+    needle, word = F.col("needle"), F.col("word")
+    pairs = cat.select("*", F.explode(F.array_distinct(grams(needle, 2))).alias("key"))
+    met = words.withColumn("key", F.explode(F.array_distinct(grams(word, 2)))).join(pairs, "key").select("word", "column", "role", "ordinal", "needle")
+    inside, both = needle.contains(word), F.length("word") + F.length("needle")
+    alike = (F.length("word") >= 4) & (2 * F.least(F.length("word"), F.length("needle")) >= SIMILAR * both)
+    met = met.where(inside | alike).distinct()
+    near = met.where(~inside).withColumn("ratio", word_ratio("word", "needle")).where(F.col("ratio") >= SIMILAR)
+    return met.where(inside).select("word", "column", "role", "ordinal", F.lit(1).alias("rule")).unionByName(near.select("word", "column", "role", "ordinal", F.lit(2).alias("rule")))
 
 
 def mentions(messages: DataFrame, catalog: DataFrame) -> DataFrame:
     """(msg_id, column, role, ordinal, at): columns a message names, and where: whole name, part of a word, near-spelling.
 
-    Columns are met by keys, not by trying all: a name in a text by its first letters, a word inside a name by its first
-    three, a near-spelling by two letters in a row, of which words and names so similar share some.
+    Columns are met by keys, not by trying all: a name in a text by its first letters, a word inside a name or a
+    near-spelling by two letters in a row. The words that mean a column are found once for all messages; up to
+    MAX_WORDS of them are broadcast, more are joined.
     """
     cat = small(catalog)
-    needle, word = F.col("needle"), F.col("word")
+    needle = F.col("needle")
     base = messages.select("msg_id", folded(F.trim(F.coalesce("text", F.lit("")))).alias("t"))
-    found = F.transform(F.regexp_extract_all("t", F.lit(r"([a-z0-9_]+)"), F.lit(1)), lambda w: F.struct(w.alias("word"), F.instr(F.col("t"), w).alias("at")))
-    words = base.select("msg_id", F.posexplode(found).alias("k", "w")).select("msg_id", "k", "w.*").where(F.length("word") >= 3)
+    words = base.select("msg_id", "t", F.posexplode(F.regexp_extract_all("t", F.lit(r"([a-z0-9_]{3,})"), F.lit(1))).alias("k", "word"))
     # The whole name somewhere in the text.
     heads = cat.where(needle != "").select("*", F.left(needle, F.lit(3)).alias("key"))
-    keys = base.select("msg_id", F.explode(F.concat(*[grams(F.col("t"), n) for n in (1, 2, 3)])).alias("key"))
-    whole = keys.join(heads, "key").select("msg_id", "column", "role", "ordinal", "needle").distinct().join(base, "msg_id")
-    whole = whole.withColumn("at", F.instr(F.col("t"), needle)).where("at > 0").select("msg_id", "column", "role", "ordinal", F.lit(0).alias("rule"), F.lit(0).alias("k"), "at")
-    # A word inside the name.
-    different = words.select("word").distinct()
-    parts = cat.select("*", F.explode(grams(needle, 3)).alias("key"))
-    inside = different.withColumn("key", F.left(word, F.lit(3))).join(parts, "key").where(needle.contains(word))
-    # A near-spelling: were all its matched letters apart, as many would be unmatched, and the ratio under 0.8.
-    pairs = cat.select("*", F.explode(grams(needle, 2)).alias("key"))
-    both = F.length("word") + F.length("needle")
-    near = different.where(F.length("word") >= 4).withColumn("key", F.explode(grams(word, 2))).join(pairs, "key").select("word", "column", "role", "ordinal", "needle").distinct()
-    near = near.where(2 * F.least(F.length("word"), F.length("needle")) >= SIMILAR * both)
-    near = near.withColumn("ratio", word_ratio("word", "needle")).where(F.col("ratio") >= SIMILAR)
-    by_word = inside.select("word", "column", "role", "ordinal", F.lit(1).alias("rule")).unionByName(near.select("word", "column", "role", "ordinal", F.lit(2).alias("rule")))
-    rows = whole.unionByName(words.join(by_word, "word").select("msg_id", "column", "role", "ordinal", "rule", "k", "at"))
-    return rows.groupBy("msg_id", "column", "role", "ordinal").agg(F.min(F.struct("rule", "k", "at"))["at"].alias("at"))
+    sizes = [r[0] for r in heads.select(F.length("key")).distinct().collect()]
+    keys = base.select("msg_id", "t", F.explode(F.concat(*[grams(F.col("t"), n) for n in sizes or [3]])).alias("key"))
+    whole = keys.join(heads, "key").withColumn("at", F.instr(F.col("t"), needle)).where("at > 0")
+    whole = whole.select("msg_id", "column", "role", "ordinal", F.lit(0).alias("rule"), F.lit(0).alias("k"), "at")
+    # A word inside the name, or a near-spelling of it.
+    by_word = _by_word(words.select("word").distinct(), cat).persist()
+    if by_word.count() <= MAX_WORDS:
+        met = words.join(F.broadcast(by_word), "word")
+    else:
+        met = words.drop("t").join(by_word, "word").join(base, "msg_id")
+    met = met.select("msg_id", "column", "role", "ordinal", "rule", "k", F.instr(F.col("t"), F.col("word")).alias("at"))
+    return whole.unionByName(met).groupBy("msg_id", "column", "role", "ordinal").agg(F.min(F.struct("rule", "k", "at"))["at"].alias("at"))
 
 
 def synonym_dimensions(messages: DataFrame, catalog: DataFrame) -> DataFrame:
@@ -193,7 +206,7 @@ def resolve(messages: DataFrame, catalog: DataFrame) -> DataFrame:
     In this order: the strict form; a named dimension; a business word; the date column when named or meant; the only
     dimension on a ranking; a single figure when a question names a measure; else none. Blank messages resolve to none.
     """
-    tagged = intents(messages.withColumn("text", F.coalesce("text", F.lit(""))))
+    tagged = intents(messages.withColumn("text", F.coalesce("text", F.lit("")))).withColumn("blank", F.col("folded") == "").drop("text", "folded")
     cat = [tuple(r) for r in catalog.select("column", "role", "ordinal").collect()]
     dates, dims = ([c for c, role, _ in sorted(cat, key=lambda x: x[2]) if role == r] for r in ("date", "dimension"))
     date, only, main = F.lit(dates[0] if dates else None).cast("string"), F.lit(dims[0] if len(dims) == 1 else None).cast("string"), _main_measure(catalog)
@@ -212,7 +225,7 @@ def resolve(messages: DataFrame, catalog: DataFrame) -> DataFrame:
     rows = rows.withColumn("measure", F.coalesce(said, F.when(F.col("sales") | F.col("ranking") | F.col("axis"), main)))
     scalar = F.coalesce(F.get("named_measures", F.lit(0)), F.when(F.col("sales"), main))
     is_strict, found, alone = F.col("s_dimension").isNotNull(), F.col("dimension").isNotNull(), ~F.col("chart") & scalar.isNotNull()
-    blank = F.col("folded") == ""
+    blank = F.col("blank")
     kind = F.when(blank, "none").when(is_strict | found, F.when(F.col("chart"), "chart").otherwise("answer")).when(alone, "scalar").otherwise("none")
     agg = lambda m: F.when(m.isNull(), "count").when(F.col("average"), "mean").otherwise("sum")
     by = lambda strictly, loosely, single=None: F.when(blank, None).when(is_strict, strictly).when(found, loosely).when(alone, single)
