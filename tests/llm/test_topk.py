@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import topk
 from tidemark.llm.topk import OP2_SQL, SlicedIndex, op2_topk, top_k
@@ -67,3 +68,10 @@ def test_memory_is_bounded_by_bytes():
     SlicedIndex(vectors)
     assert tracemalloc.get_traced_memory()[1] < 350e6
     tracemalloc.stop()
+
+
+def test_small_tables_are_few_blocks(spark):
+    rows = spark.range(6_000).select(F.col("id").alias("vec_id"), F.array(F.sin("id"), F.cos(F.col("id") * 3)).alias("embedding"))
+    found = top_k(rows, lambda i: i % 3_000 == 0)
+    assert "Exchange SinglePartition, REPARTITION_BY_NUM" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 20

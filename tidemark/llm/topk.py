@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.base import in_tasks, table, written
 
-BLOCK_BYTES, LEAST, SLICES = 64 << 20, 2_048, 7
+BLOCK_BYTES, LEAST, SLICES = 64 << 20, 32_768, 7  # fewer rows than LEAST a block, and calls on slices cost more than the slices
 
 
 def integer_vectors(rows: DataFrame, id: str, vector: str, scale: int = 1024) -> DataFrame:
