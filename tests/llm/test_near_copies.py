@@ -104,3 +104,20 @@ def test_pairs_that_signatures_leave_open():
     every, best = run(False), run(True)
     assert similar and similar <= every <= open_ and best <= every
     assert all(any(i in p for p in best) for i in {x for p in every for x in p})
+
+
+def test_large_sets_of_a_bucket_do_not_leave_all_pairs():
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm.near_copies import _meet_signed, signature
+
+    rng = np.random.default_rng(2)
+    sets = [rng.integers(0, 1 << 63, 6_000, dtype=np.uint64) for _ in range(60)]
+    sets.append(np.concatenate([sets[0][:5_900], sets[1][:100]]))  # a near copy of the first
+    n = len(sets)
+    longs = [pa.array(x, pa.int64()) for x in ([7] * n, range(n), map(len, sets), range(n), [0] * n)]
+    batch = pa.RecordBatch.from_arrays([*longs, pa.array([signature(s) for s in sets])], names=["key", "node", "size", "root", "side", "signature"])
+    for best in (True, False):
+        got = [tuple(r.values()) for out in _meet_signed(best)([batch.slice(0, 20), batch.slice(20)]) for r in out.to_pylist()]
+        assert got == [(0, n - 1)]

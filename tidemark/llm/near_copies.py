@@ -186,11 +186,13 @@ def _meet_signed(best: bool):
     """Rows (key, node, size, root, side, bits), sorted by key and never a key in two tasks, to pairs (a, b) that the bits leave possible.
 
     Pairs of different roots, and of different sides where there are two: all of them, or of each set the likeliest.
-    A part of a bucket has no more than about 2 * LIMIT sets, which are compared in blocks.
+    A part of a bucket has no more than about 2 * LIMIT sets, which are compared in blocks, by BITS bits at first. These say
+    nothing of large sets, so that all pairs of such would be left; what passes is compared by the whole signatures.
     """
 
-    def bucket(node, size, root, side, bits):
+    def bucket(node, size, root, side, bits, whole):
         both = side.min() != side.max()
+        long = np.array([len(w) > BITS // 8 for w in whole])
         for i in range(0, len(node), BLOCK):
             x = slice(i, i + BLOCK)
             lacks = np.bitwise_count(bits[x, None] & ~bits[None]).sum(axis=2, dtype=np.int64)
@@ -206,8 +208,13 @@ def _meet_signed(best: bool):
                 one, two = np.flatnonzero(ok.any(axis=1)), at[ok.any(axis=1)]
             else:
                 one, two = np.nonzero(ok & (np.arange(i, i + ok.shape[0])[:, None] < np.arange(len(node))))
+            one = i + one
+            for j in np.flatnonzero(long[one] & long[two]):
+                if not may_be_similar(whole[one[j]], whole[two[j]], size[one[j]], size[two[j]]):
+                    one[j] = -1
+            one, two = one[one >= 0], two[one >= 0]
             if len(one):
-                a, b = node[i + one], node[two]
+                a, b = node[one], node[two]
                 yield np.minimum(a, b), np.maximum(a, b)
 
     def pairs(columns):
@@ -222,10 +229,12 @@ def _meet_signed(best: bool):
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["a", "b"])
 
     def run(batches):
-        rest = [np.empty(0, np.int64)] * 5 + [np.empty((0, BITS // 64), np.uint64)]
+        rest = [np.empty(0, np.int64)] * 5 + [np.empty((0, BITS // 64), np.uint64), np.empty(0, object)]
         for batch in batches:
-            bits = np.frombuffer(b"".join(_folded(x) for x in batch.column(5).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            columns = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, r in enumerate(rest[:5])] + [np.concatenate([rest[5], bits])]
+            whole = np.empty(batch.num_rows, object)
+            whole[:] = batch.column(5).to_pylist()
+            bits = np.frombuffer(b"".join(map(_folded, whole)), np.uint64).reshape(-1, BITS // 64)
+            columns = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, r in enumerate(rest[:5])] + [np.concatenate([rest[5], bits]), np.concatenate([rest[6], whole])]
             cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
             yield from pairs([c[:cut] for c in columns])
             rest = [c[cut:] for c in columns]
