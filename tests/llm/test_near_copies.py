@@ -121,3 +121,21 @@ def test_large_sets_of_a_bucket_do_not_leave_all_pairs():
     for best in (True, False):
         got = [tuple(r.values()) for out in _meet_signed(best)([batch.slice(0, 20), batch.slice(20)]) for r in out.to_pylist()]
         assert got == [(0, n - 1)]
+
+
+def test_a_pair_is_made_in_the_first_of_its_buckets_only():
+    from tidemark.llm.near_copies import _meet_signed, similar, signature
+
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    fresh = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    near = [np.concatenate([base[:380], fresh(20)]) for _ in range(4)]
+    apart = [np.concatenate([rng.choice(base, 345, replace=False), fresh(55)]) for _ in range(30)]  # similar to 0.6 among themselves
+    sets = near + apart
+    n, keys = len(sets), [3, 5, 9]
+    rows = [(key, i, len(x), i, 0, signature(x), [k for k in keys if k < key]) for key in keys for i, x in enumerate(sets)]
+    table = pa.table([pa.array(c) for c in zip(*rows)], names=["key", "node", "size", "root", "side", "signature", "less"])
+    made = [tuple(r.values()) for out in _meet_signed(False)(iter(table.to_batches(max_chunksize=25))) for r in out.to_pylist()]
+    want = {(i, j) for j in range(n) for i in range(j) if similar(sets[i], sets[j])}
+    assert len(made) == len(set(made)) and want <= set(made)
+    assert len(made) < n * (n - 1) // 2 // 10

@@ -35,6 +35,9 @@ SAMPLE, COMMON, MOST = 2_000, 4, 100_000
 SMALL, NEAR, LIMIT = 64, 4, 4096
 BLOCK = 16  # sets that are compared with a part of a bucket at once
 BITS, HELD = 1024, 1 << 16
+WIDE = 8  # bits of a signature for each shingle, so that few pairs below the similarity are left to a comparison in full
+COMPARED = 2_000_000  # bytes of signatures that are compared at once
+LISTED = 256  # keys of a set that are known in its buckets
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -76,8 +79,8 @@ def _common(docs: DataFrame) -> np.ndarray:
 
 
 def signature(found: np.ndarray) -> bytes:
-    """The bits that the shingles fall on: BITS, or the power of two from the set's size on."""
-    bits = np.zeros(max(BITS, 1 << max(0, len(found) - 1).bit_length()), bool)
+    """The bits that the shingles fall on: BITS, or the power of two from WIDE times the set's size on."""
+    bits = np.zeros(max(BITS, 1 << max(0, WIDE * len(found) - 1).bit_length()), bool)
     bits[(found & np.uint64(len(bits) - 1)).astype(np.int64)] = True
     return np.packbits(bits, bitorder="little").tobytes()
 
@@ -183,16 +186,16 @@ def _meet(batches):
 
 
 def _meet_signed(best: bool):
-    """Rows (key, node, size, root, side, bits), sorted by key and never a key in two tasks, to pairs (a, b) that the bits leave possible.
+    """Rows (key, node, size, root, side, bits, less), sorted by key and never a key in two tasks, to pairs (a, b) that the bits leave possible.
 
     Pairs of different roots, and of different sides where there are two: all of them, or of each set the likeliest.
-    A part of a bucket has no more than about 2 * LIMIT sets, which are compared in blocks, by BITS bits at first. These say
-    nothing of large sets, so that all pairs of such would be left; what passes is compared by the whole signatures.
+    A part of a bucket has no more than about 2 * LIMIT sets, which are compared in blocks, by BITS bits at first; what
+    passes is compared by the whole signatures. `less` has keys of the set's other buckets that come before this one: two sets
+    with such a key in common meet there, so of all pairs each is made in the first of its buckets only.
     """
 
-    def bucket(node, size, root, side, bits, whole):
+    def bucket(node, size, root, side, bits, whole, less):
         both = side.min() != side.max()
-        long = np.array([len(w) > BITS // 8 for w in whole])
         for i in range(0, len(node), BLOCK):
             x = slice(i, i + BLOCK)
             lacks = np.bitwise_count(bits[x, None] & ~bits[None]).sum(axis=2, dtype=np.int64)
@@ -202,19 +205,22 @@ def _meet_signed(best: bool):
             ok = (most * sum(SHARE) >= SHARE[0] * total) & (root[x, None] != root[None])
             if both:
                 ok &= side[x, None] != side[None]
-            if best:
-                share = np.where(ok, most / total, -1.0)
-                at = share.argmax(axis=1)
-                one, two = np.flatnonzero(ok.any(axis=1)), at[ok.any(axis=1)]
-            else:
-                one, two = np.nonzero(ok & (np.arange(i, i + ok.shape[0])[:, None] < np.arange(len(node))))
-            one = i + one
-            for j in np.flatnonzero(long[one] & long[two]):
-                if not may_be_similar(whole[one[j]], whole[two[j]], size[one[j]], size[two[j]]):
-                    one[j] = -1
-            one, two = one[one >= 0], two[one >= 0]
+            if not best:
+                ok &= np.arange(i, i + ok.shape[0])[:, None] < np.arange(len(node))
+            one, two = np.nonzero(ok)
+            if not best:
+                first = np.fromiter((less[x].isdisjoint(less[y]) for x, y in zip((one + i).tolist(), two.tolist())), bool, len(one))
+                one, two = one[first], two[first]
+            found = _most_shared(whole, size, one + i, two)
+            may = found * sum(SHARE) >= SHARE[0] * total[one, two]
+            one, two, found = one[may], two[may], found[may]
+            if best and len(one):
+                share = np.full(ok.shape, -1.0)
+                share[one, two] = found / total[one, two]
+                one = np.unique(one)
+                two = share[one].argmax(axis=1)
             if len(one):
-                a, b = node[one], node[two]
+                a, b = node[one + i], node[two]
                 yield np.minimum(a, b), np.maximum(a, b)
 
     def pairs(columns):
@@ -229,12 +235,13 @@ def _meet_signed(best: bool):
             yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["a", "b"])
 
     def run(batches):
-        rest = [np.empty(0, np.int64)] * 5 + [np.empty((0, BITS // 64), np.uint64), np.empty(0, object)]
+        rest = [np.empty(0, np.int64)] * 5 + [np.empty((0, BITS // 64), np.uint64), np.empty(0, object), np.empty(0, object)]
         for batch in batches:
-            whole = np.empty(batch.num_rows, object)
+            whole, less = np.empty(batch.num_rows, object), np.empty(batch.num_rows, object)
             whole[:] = batch.column(5).to_pylist()
+            less[:] = [frozenset(x or ()) for x in (batch.column(6).to_pylist() if batch.num_columns > 6 else [None] * batch.num_rows)]
             bits = np.frombuffer(b"".join(map(_folded, whole)), np.uint64).reshape(-1, BITS // 64)
-            columns = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, r in enumerate(rest[:5])] + [np.concatenate([rest[5], bits]), np.concatenate([rest[6], whole])]
+            columns = [np.concatenate([r, batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64)]) for i, r in enumerate(rest[:5])] + [np.concatenate(x) for x in zip(rest[5:], (bits, whole, less))]
             cut = int(np.searchsorted(columns[0], columns[0][-1])) if len(columns[0]) else 0
             yield from pairs([c[:cut] for c in columns])
             rest = [c[cut:] for c in columns]
@@ -243,9 +250,24 @@ def _meet_signed(best: bool):
     return run
 
 
-def _folded(bits: bytes) -> bytes:
-    """A signature of BITS bits: the parts of a longer one laid over each other."""
-    return bits if len(bits) == BITS // 8 else np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, BITS // 8)).tobytes()
+def _folded(bits: bytes, size: int = BITS // 8) -> bytes:
+    """A signature of so many bytes: the parts of a longer one laid over each other."""
+    return bits if len(bits) == size else np.bitwise_or.reduce(np.frombuffer(bits, np.uint8).reshape(-1, size)).tobytes()
+
+
+def _most_shared(whole: np.ndarray, size: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """How many shingles the sets of each pair share at most, by as many bits as both signatures have."""
+    width = np.fromiter(map(len, whole), np.int64, len(whole))
+    least, out = np.minimum(width[one], width[two]), np.empty(len(one), np.int64)
+    for w in np.unique(least).tolist():
+        of = np.flatnonzero(least == w)
+        for at in np.split(of, range(step := max(1, COMPARED // w), len(of), step)):
+            used, where = np.unique(np.concatenate([one[at], two[at]]), return_inverse=True)
+            bits = np.frombuffer(b"".join(_folded(whole[k], w) for k in used.tolist()), np.uint64).reshape(len(used), -1)
+            x, y = bits[where[: len(at)]], bits[where[len(at) :]]
+            lacks, extra = (np.bitwise_count(z).sum(axis=1, dtype=np.int64) for z in (x & ~y, ~x & y))
+            out[at] = np.minimum(size[one[at]] - lacks, size[two[at]] - extra)
+    return out
 
 
 def _candidates(rows: DataFrame, tables: Tables) -> DataFrame:
@@ -262,11 +284,18 @@ def _open_pairs(rows: DataFrame, single: DataFrame, best: bool, name: str, table
     mixed = tables.written(rows.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key"), f"mixed_{name}")
     parts = F.ceil(F.col("n") / LIMIT).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
-    rows = rows.join(mixed, "key").join(single.select("node", "signature"), "node")
+    rows = rows.join(mixed, "key")
+    if best:
+        rows = rows.withColumn("less", F.lit(None).cast("array<long>"))
+    else:
+        rows = tables.written(rows, f"met_{name}")
+        keys = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LISTED).alias("keys"))
+        rows = rows.join(keys, "node").withColumn("less", F.filter("keys", lambda k: k < F.col("key")))
+    rows = rows.join(single.select("node", "signature"), "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.withColumn("side", F.when(own == F.col("other"), 0).otherwise(F.when(own < F.col("other"), 1).otherwise(2)))
     rows = rows.withColumn("key", F.when(parts == 1, F.col("key")).otherwise(F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other"))))
-    rows = rows.select("key", "node", "size", "root", "side", "signature").repartition("key").sortWithinPartitions("key")
+    rows = rows.select("key", "node", "size", "root", "side", "signature", "less").repartition("key").sortWithinPartitions("key")
     return tables.written(small_batches(rows).mapInArrow(in_tasks(_meet_signed(best)), "a long, b long").distinct(), name)
 
 
