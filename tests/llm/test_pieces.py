@@ -107,3 +107,14 @@ def test_given_tables(spark):
 
 def test_empty(spark):
     assert encode_samples(spark.createDataFrame([], "doc_id long, text string"), PATH, "doc_id").count() == 0
+
+
+def test_drawn_edges_are_those_of_a_plain_count():
+    for texts in (["the reason is"], ["a b", "", "ünd\u2581x"], ["international responsibilities " * 3]):
+        lattices = Lattices(Vocabulary(public_tokenizers.path("piece_bpe_32k.model")), texts)
+        shares = lattices.below[:, : lattices.width]
+        row = np.repeat(np.arange(len(shares)), 40)
+        u = np.random.default_rng(1).random(len(row)).astype(np.float32)
+        took = lattices.drawn(row, u)
+        assert took.tolist() == np.minimum((u[:, None] > shares[row]).sum(axis=1) + 1, lattices.width).tolist()
+        assert (lattices.edge_of(row, took.astype(np.int64)) == lattices.edge[row, took.astype(np.int64) - 1]).all()

@@ -243,21 +243,35 @@ class Lattices:
         with np.errstate(divide="ignore"):  # what is left when the edge goes; ties of the largest have a half or less
             self.log_rest = np.log(np.where(best & (share > 0.5), rest, 1 - np.minimum(share, 0.5)))
         self.width = int(span.max(initial=1))
+        at = row * self.width + span - 1  # flat places are much faster to index than pairs
         self.edge = np.full((n, self.width), -1, np.int32)
-        self.edge[row, span - 1] = np.arange(len(row))
-        self.below = np.zeros((n, self.width), np.float32)
-        self.below[row, span - 1] = share
-        np.cumsum(self.below, axis=1, out=self.below)
-        self.below /= self.below[:, -1:]
+        self.edge.ravel()[at] = np.arange(len(row), dtype=np.int32)
+        below = np.zeros((n, self.width), np.float32)
+        below.ravel()[at] = share
+        np.cumsum(below, axis=1, out=below)
+        # Eight comparisons are counted as one word, so rows are filled up to words.
+        self.below = np.full((n, -(-self.width // 8) * 8), np.inf, np.float32)
+        np.divide(below, below[:, -1:], out=self.below[:, : self.width])
 
     def allowed(self, row: np.ndarray, barred: np.ndarray) -> np.ndarray:
         """Log-probabilities of the rows' edges by length; -inf where there is none or its bit is barred."""
         edge = self.edge[row]
         return np.where((edge >= 0) & (barred[:, None] >> np.arange(self.width) & 1 == 0), self.log_prob[edge], -np.inf)
 
+    def edge_of(self, row: np.ndarray, length: np.ndarray) -> np.ndarray:
+        return self.edge.ravel().take(row.astype(np.int64) * self.width + length - 1)
+
+    def drawn(self, row: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The lengths of the rows' edges at which the running shares reach u."""
+        passed = np.bitwise_count((u[:, None] > self.below.take(row, axis=0)).view(np.uint64))
+        took = passed[:, 0] + 1
+        for k in range(1, passed.shape[1]):
+            took += passed[:, k]
+        return np.minimum(took, self.width).astype(np.uint8)
+
     def ids(self, row: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Piece ids of edges, and how many each edge has (bytes have several)."""
-        piece = self.piece[self.edge[row, length - 1]]
+        piece = self.piece[self.edge_of(row, length)]
         bare = piece < 0
         count = np.where(bare, self.bytes[row], 1)
         out = np.repeat(piece, count)
@@ -301,8 +315,7 @@ def sample(lattices: Lattices, seeds: np.ndarray, k: int) -> tuple[list[Path], n
         while len(place):
             text = text_of[place]
             u = uniform(seeds[text], place - start_of_text[text], salt).astype(np.float32)
-            took = (u[:, None] > lattices.below[row_of[place]]).sum(axis=1).astype(np.uint8) + 1
-            took = np.minimum(took, lattices.width).astype(np.uint8)
+            took = lattices.drawn(row_of[place], u)
             length[place] = took
             place, end = place + took, field_end[place]
             place = place[place < end]
@@ -310,7 +323,7 @@ def sample(lattices: Lattices, seeds: np.ndarray, k: int) -> tuple[list[Path], n
     def opened(length, value, branch, barred, salt):
         at = np.flatnonzero(length)
         row, text, took = row_of[at], text_of[at], length[at].astype(np.int64)
-        edge = lattices.edge[row, took - 1]
+        edge = lattices.edge_of(row, took)
         log_prob = lattices.log_prob[edge]
         path = Path(at, row, took, log_prob, text, value, branch, barred, bounds)
         ahead = np.cumsum(log_prob) - log_prob
