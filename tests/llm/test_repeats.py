@@ -69,3 +69,16 @@ def test_given_tables(spark):
 
 def test_empty(spark):
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string, key long, spans string")).count() == 0
+
+
+def test_common_prefixes_in_bounded_blocks():
+    rng = np.random.default_rng(4)
+    base = rng.integers(1, 256, 60, np.uint8).tobytes()
+    strings = [base, base[:33] + b"\xff\x01" + base[35:], base[7:50], b"\x80" * 20, b"\x80" * 9, b""]
+    index = repeats.RunLengthIndex(strings)
+    n = len(index.data)
+    x, y = (z.ravel() for z in np.meshgrid(np.arange(n), np.arange(n)))
+    rest = [index.data[i : index.ends[i]].tobytes() for i in range(n)]
+    want = [next((k for k, (p, q) in enumerate(zip(rest[i], rest[j])) if p != q), min(len(rest[i]), len(rest[j]))) for i, j in zip(x.tolist(), y.tolist())]
+    assert index.common(x, y).tolist() == want
+    assert repeats.CHUNK <= 250_000 and repeats.SEGMENT <= 250_000  # a worker's arrays are of some times these sizes

@@ -43,8 +43,8 @@ SPAN, GRAM = 400, 32
 CODE = 5
 PASSAGE = 51  # words
 LIMIT = 256
-SEGMENT = 500_000
-CHUNK = 500_000
+SEGMENT = 250_000
+CHUNK = 250_000
 PLACE_BITS = 24
 
 _ODD = 0x9E3779B97F4A7C15
@@ -216,13 +216,13 @@ class RunLengthIndex:
         out, most = np.zeros(len(x), np.int64), np.minimum(self.ends[x] - x, self.ends[y] - y)
         live = np.flatnonzero(most > 0)
         padded = np.concatenate([self.data, np.zeros(8, np.uint8)])
-        words = np.lib.stride_tricks.sliding_window_view(padded, 8)
+        words = np.ndarray(len(self.data) + 1, "<u8", padded, strides=(1,))  # at each place the eight bytes from there on
         while len(live):
             at = out[live]
-            differ = (words[x[live] + at] != words[y[live] + at]).argmax(axis=1)
-            same = (words[x[live] + at] == words[y[live] + at]).all(axis=1)
-            out[live] = np.minimum(at + np.where(same, 8, differ), most[live])
-            live = live[same & (out[live] < most[live])]
+            differ = words[x[live] + at] ^ words[y[live] + at]
+            low = np.bitwise_count(~differ & (differ - np.uint64(1))) >> 3  # equal bytes before the first that differs
+            out[live] = np.minimum(at + low, most[live])
+            live = live[(differ == 0) & (out[live] < most[live])]
         return out
 
     def matching_statistics(self) -> np.ndarray:
