@@ -139,3 +139,5 @@ def test_a_pair_is_made_in_the_first_of_its_buckets_only():
     want = {(i, j) for j in range(n) for i in range(j) if similar(sets[i], sets[j])}
     assert len(made) == len(set(made)) and want <= set(made)
     assert len(made) < n * (n - 1) // 2 // 10
+    best = [tuple(r.values()) for out in _meet_signed(True)(iter(table.to_batches(max_chunksize=25))) for r in out.to_pylist()]
+    assert len(best) == len(set(best)) and set(best) <= set(made) and {0, 1, 2, 3} <= {i for p in best for i in p}

@@ -191,7 +191,7 @@ def _meet_signed(best: bool):
     Pairs of different roots, and of different sides where there are two: all of them, or of each set the likeliest.
     A part of a bucket has no more than about 2 * LIMIT sets, which are compared in blocks, by BITS bits at first; what
     passes is compared by the whole signatures. `less` has keys of the set's other buckets that come before this one: two sets
-    with such a key in common meet there, so of all pairs each is made in the first of its buckets only.
+    with such a key in common meet there, so each pair is looked at in the first of its buckets only.
     """
 
     def bucket(node, size, root, side, bits, whole, less):
@@ -208,9 +208,8 @@ def _meet_signed(best: bool):
             if not best:
                 ok &= np.arange(i, i + ok.shape[0])[:, None] < np.arange(len(node))
             one, two = np.nonzero(ok)
-            if not best:
-                first = np.fromiter((less[x].isdisjoint(less[y]) for x, y in zip((one + i).tolist(), two.tolist())), bool, len(one))
-                one, two = one[first], two[first]
+            first = np.fromiter((less[x].isdisjoint(less[y]) for x, y in zip((one + i).tolist(), two.tolist())), bool, len(one))
+            one, two = one[first], two[first]
             found = _most_shared(whole, size, one + i, two)
             may = found * sum(SHARE) >= SHARE[0] * total[one, two]
             one, two, found = one[may], two[may], found[may]
@@ -285,12 +284,9 @@ def _open_pairs(rows: DataFrame, single: DataFrame, best: bool, name: str, table
     parts = F.ceil(F.col("n") / LIMIT).cast("int")
     own = F.pmod(F.xxhash64("node"), parts).cast("int")
     rows = rows.join(mixed, "key")
-    if best:
-        rows = rows.withColumn("less", F.lit(None).cast("array<long>"))
-    else:
-        rows = tables.written(rows, f"met_{name}")
-        keys = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LISTED).alias("keys"))
-        rows = rows.join(keys, "node").withColumn("less", F.filter("keys", lambda k: k < F.col("key")))
+    rows = tables.written(rows, f"met_{name}")
+    keys = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LISTED).alias("keys"))
+    rows = rows.join(keys, "node").withColumn("less", F.filter("keys", lambda k: k < F.col("key")))
     rows = rows.join(single.select("node", "signature"), "node")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.withColumn("side", F.when(own == F.col("other"), 0).otherwise(F.when(own < F.col("other"), 1).otherwise(2)))
