@@ -5,15 +5,16 @@ Every stage takes (spark, docs, sf_dir). All but the last return the columns of
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm import decontaminate, language_id, near_copies, pieces, repeats
-from tidemark.llm.base import Tables
+from tidemark.llm.base import CHECKED_ROWS, Tables
 
 PASSAGE = 51  # words
 MODEL = "piece_bpe_32k.model"
@@ -33,25 +34,47 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return beside(docs, lambda d: language_id.identify(d, model, prefix="__found_").where("not __found_rejected"))
 
 
+def content_hash(content: list[str], salt: int) -> Column:
+    return F.xxhash64(*[F.lit(-salt)] * (salt > 0), *content)
+
+
+def told_apart(docs: DataFrame, tables: Tables) -> tuple[DataFrame, list[DataFrame]]:
+    """Each different row of `docs` once, with a hash of its content that no other has as __k1; and the tables that this reads.
+
+    So rows have names without a copy of the texts. Only rows that come more than once are written; all, if that are many.
+    """
+    content = ["text", *[f"`{f.name}`" for f in docs.schema if isinstance(f.dataType, T.AtomicType)]]
+    for salt in itertools.count():  # another one if two different rows have one hash
+        named = docs.withColumn("__k1", content_hash(content, salt))
+        sums = named.withColumn("k2", F.xxhash64(F.lit(1), *content)).groupBy("__k1").agg(F.count("*").alias("n"), F.min("k2").alias("low"), F.max("k2").alias("high"))
+        again = tables.written(sums.where("n > 1"), "again")
+        if again.where("low < high").isEmpty():
+            break
+    n = again.count()
+    if not n:
+        return named, []
+    if n > CHECKED_ROWS:
+        once = tables.written(named.dropDuplicates(["__k1"]), "once")
+        return once, [once]
+    same = F.broadcast(again.select("__k1"))
+    once = tables.written(named.join(same, "__k1", "left_semi").dropDuplicates(["__k1"]), "once")
+    return named.join(same, "__k1", "left_anti").unionByName(once), [again, once]
+
+
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of texts that links of a Jaccard similarity of 0.8 or more (5-word shingles) connect one row stays: that of the smallest doc_id.
 
-    Rows are told apart by numbers, so documents of one doc_id, or of none, are compared like any others. A null doc_id
-    comes last; rows of one doc_id are ordered by a hash of their content. SimHash fingerprints find the first links.
+    Rows are told apart by hashes of their content, so documents of one doc_id, or of none, are compared like any others.
+    A null doc_id comes last; rows of one doc_id are ordered by such a hash. SimHash fingerprints find the first links.
     """
     def work(d: DataFrame) -> DataFrame:
-        content = ["text", *[f"`{f.name}`" for f in d.schema if isinstance(f.dataType, T.AtomicType)]]
-        keyed = d.withColumns({"__k1": F.xxhash64(*content), "__k2": F.xxhash64(F.lit(1), *content)})
-        tables, key = Tables(), ["__k1", "__k2"]
-        rows = tables.written(keyed.select(F.monotonically_increasing_id().alias("row"), "text", F.col("doc_id").alias("id"), *key), "rows")
-        found = near_copies.near_copies(rows, tables)
-        least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", *key))
-        kept = tables.written(found.groupBy("component").agg(least.alias("x")).select(*[f"x.{k}" for k in key]), "kept")
-        # Rows that are the same throughout have one key; one of them stays.
-        again = tables.written(rows.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").join(kept, key, "left_semi").select(*key), "again")
-        tables.keep(kept, again)
-        kept_rows = keyed.join(kept, key, "left_semi")
-        return kept_rows.join(again, key, "left_anti").unionByName(kept_rows.join(again, key, "left_semi").dropDuplicates(key)).drop(*key)
+        tables = Tables()
+        named, read = told_apart(d, tables)
+        found = near_copies.near_copies(named.select(F.col("__k1").alias("row"), "text", F.col("doc_id").alias("id")), tables)
+        least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row"))
+        kept = tables.written(found.groupBy("component").agg(least.alias("x")).select(F.col("x.row").alias("__k1")), "kept")
+        tables.keep(kept, *read)
+        return named.join(kept, "__k1", "left_semi").drop("__k1")
 
     return beside(docs, work)
 

@@ -2,9 +2,10 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import near_copies
+from tidemark.llm import base, near_copies
 from tidemark.llm.near_copies import brute_force
 
 
@@ -141,3 +142,44 @@ def test_a_pair_is_made_in_the_first_of_its_buckets_only():
     assert len(made) < n * (n - 1) // 2 // 10
     best = [tuple(r.values()) for out in _meet_signed(True)(iter(table.to_batches(max_chunksize=25))) for r in out.to_pylist()]
     assert len(best) == len(set(best)) and set(best) <= set(made) and {0, 1, 2, 3} <= {i for p in best for i in p}
+
+
+def test_stage_keeps_no_copy_of_the_texts_and_moves_them_once(spark, monkeypatch):
+    texts = [t for t in made(4, n=60) if t]
+    kept_tables, written = [], base.written
+    monkeypatch.setattr(base, "written", lambda df, name: kept_tables.append((name, df.columns, (out := written(df, name)).count())) or out)
+    out = corpus_pipeline.keep_one_of_near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join ") == 1  # the rows that stay, by name
+    assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(brute_force(texts)))
+    assert kept_tables and not [x for x in kept_tables if "text" in x[1] and x[2] >= len(texts)]
+
+
+def test_stage_takes_other_names_when_two_rows_share_one(spark, monkeypatch):
+    texts = made(5, n=15)
+    own = corpus_pipeline.content_hash
+    monkeypatch.setattr(corpus_pipeline, "content_hash", lambda content, salt: own(content, salt) if salt > 1 else F.coalesce(F.length("text"), F.lit(0)).cast("long"))
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(set(brute_force(texts)))
+
+
+def test_stage_with_many_rows_that_come_again(spark, monkeypatch):
+    texts = ["red sails at dawn over the bay", "cold sand under the old pier", "a lamp in the harbour office"]
+    docs = spark.createDataFrame([(i % 4, texts[i % 3]) for i in range(60)], "doc_id long, text string")
+    for most in (corpus_pipeline.CHECKED_ROWS, 2):
+        monkeypatch.setattr(corpus_pipeline, "CHECKED_ROWS", most)
+        got = sorted(tuple(r) for r in corpus_pipeline.keep_one_of_near_duplicates(spark, docs, "").collect())
+        assert got == sorted((0, t) for t in texts)
+
+
+def test_brief_signatures_are_small_and_never_rule_out_similar_sets():
+    rng = np.random.default_rng(7)
+    for n in (1, 90, 400, 1030, 5000):
+        a = rng.integers(0, 1 << 63, n, dtype=np.uint64)
+        whole = near_copies.signature(a)
+        assert len(near_copies.brief(whole)) * 8 <= max(near_copies.BITS, 2 * n)
+        for share in (0.0, 0.5, 0.82, 0.9, 1.0):
+            b = np.unique(np.concatenate([a[rng.random(n) < share], rng.integers(0, 1 << 63, max(1, int(n * (1 - share) / 2)), dtype=np.uint64)]))
+            may = near_copies.may_be_similar(near_copies.brief(whole), near_copies.brief(near_copies.signature(b)), n, len(b))
+            assert may or not near_copies.similar(np.unique(a), b)
+            assert not (may and share == 0 and n > 1)

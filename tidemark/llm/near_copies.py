@@ -7,8 +7,9 @@
    same for all. Shingles that a sample of texts shows to be common come last in it, so that few sets meet by them.
    Sets that meet are candidates unless their sizes or the places of the shared shingle rule 0.8 out.
 3. Each set has a signature, the bits that its shingles fall on. A bit of one set that the other lacks is a shingle
-   that is not shared, which rules most candidates out. The rest are compared in full on their texts: first one
-   candidate of each set, then those that are not in one component yet.
+   that is not shared, which rules most candidates out: first by a part of the bits, laid over each other, as all candidates
+   take these along, then by all. The rest are compared in full on their texts: first one candidate of each set, then
+   those that are not in one component yet.
 4. A bucket of more than `SMALL` sets is compared in three rounds: one set of each component with its neighbours by size
    first; then in parts of `LIMIT` sets each set with that of another component whose signature is likeliest; then all
    pairs of different components that the signatures do not rule out.
@@ -37,7 +38,8 @@ BLOCK = 16  # sets that are compared with a part of a bucket at once
 BITS, HELD = 1024, 1 << 16
 WIDE = 8  # bits of a signature for each shingle, so that few pairs below the similarity are left to a comparison in full
 COMPARED = 2_000_000  # bytes of signatures that are compared at once
-LISTED = 256  # keys of a set that are known in its buckets
+BRIEF = 8  # a signature that goes along with candidates, or into buckets, has so many times fewer bits, but BITS at least
+LISTED = 16  # keys of a set that are known in its buckets: two sets that may be similar have most of their keys in common
 
 
 def shingles(text: bytes) -> np.ndarray:
@@ -85,6 +87,10 @@ def signature(found: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def brief(bits: bytes) -> bytes:
+    return _folded(bits, max(BITS // 8, len(bits) // BRIEF))
+
+
 def may_be_similar(one: bytes, two: bytes, size_one: int, size_two: int) -> bool:
     """False if the bits rule the similarity out: each bit that only one of two sets has is a shingle that only it has."""
     x, y = np.frombuffer(one, np.uint8), np.frombuffer(two, np.uint8)
@@ -97,7 +103,7 @@ def may_be_similar(one: bytes, two: bytes, size_one: int, size_two: int) -> bool
 
 
 def _sets(docs: DataFrame) -> DataFrame:
-    """`docs` without text plus node, size, first, the shingles of the prefix, the signature and the fingerprint."""
+    """`docs` without text plus node, size, first, the shingles of the prefix, the signature, whole and brief, and the fingerprint."""
     common = docs.sparkSession.sparkContext.broadcast(_common(docs))
 
     def make():
@@ -107,12 +113,12 @@ def _sets(docs: DataFrame) -> DataFrame:
             sets = [shingles(t or b"") for t in column.cast(pa.binary()).to_pylist()]
             prints = np.array([majority(s) if len(s) else 0 for s in sets], np.uint64).view(np.int64)
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
-            longs = pa.list_(pa.int64())
-            return [pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array([prefix(s, late).view(np.int64) for s in sets], longs), pa.array([signature(s) for s in sets], pa.binary()), pa.array(prints)]
+            longs, signed = pa.list_(pa.int64()), [signature(s) for s in sets]
+            return [pa.array(nodes), pa.array([len(s) for s in sets], pa.int32()), pa.array([prefix(s, late).view(np.int64) for s in sets], longs), pa.array(signed, pa.binary()), pa.array([brief(x) for x in signed], pa.binary()), pa.array(prints)]
 
         return run
 
-    return appended(docs, "text", [("node", T.LongType()), ("size", T.IntegerType()), ("first", T.ArrayType(T.LongType())), ("signature", T.BinaryType()), ("fp", T.LongType())], make, drop=True)
+    return appended(docs, "text", [("node", T.LongType()), ("size", T.IntegerType()), ("first", T.ArrayType(T.LongType())), ("signature", T.BinaryType()), ("brief", T.BinaryType()), ("fp", T.LongType())], make, drop=True)
 
 
 def _pairs(x: np.ndarray, y: np.ndarray, node, size, at) -> tuple[np.ndarray, np.ndarray]:
@@ -271,7 +277,9 @@ def _most_shared(whole: np.ndarray, size: np.ndarray, one: np.ndarray, two: np.n
 
 def _candidates(rows: DataFrame, tables: Tables) -> DataFrame:
     """(a, b, n) as of `_meet`, each once."""
-    sorted_rows = rows.select("key", "node", "size", "at", "root").repartition("key").sortWithinPartitions("key", "size", "node")
+    # These are the most rows of all, so they travel in fewer bytes: most sets are their own root.
+    moved = rows.select("key", "node", (F.shiftleft(F.col("size").cast("long"), 32) + F.col("at")).alias("both"), F.when(F.col("root") != F.col("node"), F.col("root")).alias("root")).repartition("key")
+    sorted_rows = moved.select("key", "node", F.shiftright("both", 32).alias("size"), F.pmod("both", F.lit(1 << 32)).alias("at"), F.coalesce("root", "node").alias("root")).sortWithinPartitions("key", "size", "node")
     return tables.written(sorted_rows.mapInArrow(in_tasks(_meet), "a long, b long, n long").distinct(), "near")
 
 
@@ -286,25 +294,24 @@ def _open_pairs(rows: DataFrame, single: DataFrame, best: bool, name: str, table
     rows = rows.join(mixed, "key")
     rows = tables.written(rows, f"met_{name}")
     keys = rows.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, LISTED).alias("keys"))
-    rows = rows.join(keys, "node").withColumn("less", F.filter("keys", lambda k: k < F.col("key")))
-    rows = rows.join(single.select("node", "signature"), "node")
+    rows = rows.join(keys.join(single.select("node", "brief"), "node"), "node").withColumn("less", F.filter("keys", lambda k: k < F.col("key")))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
     rows = rows.withColumn("side", F.when(own == F.col("other"), 0).otherwise(F.when(own < F.col("other"), 1).otherwise(2)))
     rows = rows.withColumn("key", F.when(parts == 1, F.col("key")).otherwise(F.xxhash64("key", F.least(own, "other"), F.greatest(own, "other"))))
-    rows = rows.select("key", "node", "size", "root", "side", "signature", "less").repartition("key").sortWithinPartitions("key")
+    rows = rows.select("key", "node", "size", "root", "side", "brief", "less").repartition("key").sortWithinPartitions("key")
     return tables.written(small_batches(rows).mapInArrow(in_tasks(_meet_signed(best)), "a long, b long").distinct(), name)
 
 
-def _likely(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that the signatures do not rule out, with a row of each."""
-    one, two = (sets.select(F.col("node").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("row", "size", "signature")]) for c in "ab")
+def _likely(pairs: DataFrame, sets: DataFrame, bits: str) -> DataFrame:
+    """The pairs (a, b) that the signatures of the column `bits` do not rule out, with a row of each."""
+    one, two = (sets.select(F.col("node").alias(c), *[F.col(x).alias(f"{y}_{c}") for x, y in (("row", "row"), ("size", "size"), (bits, "bits"))]) for c in "ab")
 
     def run(batches):
         for batch in batches:
             keep = [may_be_similar(*x) for x in zip(*(batch.column(i).to_pylist() for i in range(4, 8)))]
             yield pa.RecordBatch.from_arrays(batch.columns[:4], names=["a", "b", "row_a", "row_b"]).filter(pa.array(keep, pa.bool_()))
 
-    found = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "row_a", "row_b", "signature_a", "signature_b", "size_a", "size_b")
+    found = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "row_a", "row_b", "bits_a", "bits_b", "size_a", "size_b")
     return found.mapInArrow(in_tasks(run), "a long, b long, row_a long, row_b long")
 
 
@@ -331,11 +338,12 @@ def _compared(pairs: DataFrame, docs: DataFrame, name: str, tables: Tables) -> D
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, docs: DataFrame, name: str, tables: Tables) -> DataFrame:
-    """Edges that connect what the pairs of nodes with similar whole sets connect; `sets` has one row a node.
+    """Edges that connect what the pairs of nodes with similar whole sets connect; `sets` has one row a node, `pairs` is written.
 
     First each node is compared with one other, then only pairs that this has not put into one component.
     """
-    pairs = tables.written(_likely(pairs, sets), f"likely_{name}")
+    nodes = tables.written(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"nodes_{name}")
+    pairs = tables.written(_likely(pairs, sets.join(checked(nodes), "node"), "signature"), f"likely_{name}")
     first = pairs.groupBy("b").agg(F.min(F.struct("a", "row_a", "row_b")).alias("x"))
     first = tables.written(first.select("x.a", "b", "x.row_a", "x.row_b"), f"first_{name}")
     edges = _compared(first, docs, f"{name}1", tables)
@@ -371,7 +379,8 @@ def near_copies(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
     rooted = lambda rows: rows.join(components(edges, tables).withColumnsRenamed({"node": "of", "root": "top"}), F.col("node") == F.col("of"), "left").withColumn("root", F.coalesce("top", "node"))
     met = rooted(single.select("node", "size", F.posexplode("first").alias("at", "key"))).select("key", "node", "size", "at", "root")
     near = _candidates(met, tables)
-    edges = edges.unionByName(_confirmed(near.where("b is not null"), single, docs, "links", tables))
+    hinted = tables.written(_likely(near.where("b is not null"), single, "brief"), "hinted")
+    edges = edges.unionByName(_confirmed(hinted, single, docs, "links", tables))
     buckets = near.where("b is null").select(F.col("a").alias("key"), "n")
     if not buckets.isEmpty():
         large = tables.written(met.select("key", "node", "size").join(checked(buckets), "key"), "large")
@@ -382,7 +391,7 @@ def near_copies(docs: DataFrame, tables: Tables | None = None) -> DataFrame:
             edges = edges.unionByName(_confirmed(more, single, docs, f"more_{'best' if best else 'all'}", tables))
     roots = tables.written(components(edges, tables).withColumnsRenamed({"node": "of", "root": "component"}), "roots")
     tables.keep(*others, sets, roots)
-    return sets.join(roots, F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "node")).drop("node", "size", "first", "signature", "fp", "of")
+    return sets.join(roots, F.col("node") == F.col("of"), "left").withColumn("component", F.coalesce("component", "node")).drop("node", "size", "first", "signature", "brief", "fp", "of")
 
 
 def brute_force(texts: list[str | None]) -> list[int]:
